@@ -2,7 +2,7 @@
 
 A value's low bits are packed; its high part h puts a one at bit h + i of a bit vector. ``locate``
 finds the bucket of a high part by selecting zeros (a position is kept for every ``EVERY``-th zero) and
-compares low bits along the bucket, which holds one or two values on average.
+bisects the low bits of the bucket, which holds one or two values on average and many where values crowd.
 """
 
 from __future__ import annotations
@@ -85,36 +85,36 @@ class EliasFano:
         return out
 
     def locate(self, x: np.ndarray) -> np.ndarray:
-        """The index of each value, -1 if it is absent: the search runs over the bucket of its high part."""
+        """The index of each value, -1 if it is absent: low bits are bisected in the bucket of its high part."""
         x = x.astype(np.uint64)
         out = np.full(len(x), -1, np.int64)
         if not self.n:
             return out
         h = x >> U(self.low_bits)
-        at = np.zeros(len(x), np.uint64)
+        lo = np.zeros(len(x), np.int64)
         later = h > 0
-        at[later] = self.select0((h[later] - ONE).astype(np.int64)) + ONE
+        lo[later] = self.select0((h[later] - ONE).astype(np.int64)).astype(np.int64) + 1 - h[later].astype(np.int64)
+        end = self.select0(h).astype(np.int64) - h.astype(np.int64)
         want = x & ((ONE << U(self.low_bits)) - ONE)
-        todo = np.arange(len(x))
+        full = np.flatnonzero(lo < end)
+        todo, low, high = full, lo[full], end[full]
         while len(todo):
-            one = (_window(self.high, at) & ONE) == ONE
-            todo, at, h, want = todo[one], at[one], h[one], want[one]
-            i = at - h
-            low = _field(self.low, i, self.low_bits)
-            hit = low == want
-            out[todo[hit]] = i[hit].astype(np.int64)
-            go = low < want
-            todo, at, h, want = todo[go], at[go] + ONE, h[go], want[go]
+            mid = (low + high) // 2
+            less = _field(self.low, mid, self.low_bits) < want[todo]
+            low, high = np.where(less, mid + 1, low), np.where(less, high, mid)
+            lo[todo] = low
+            more = low < high
+            todo, low, high = todo[more], low[more], high[more]
+        full = full[lo[full] < end[full]]
+        hit = full[_field(self.low, lo[full], self.low_bits) == want[full]]
+        out[hit] = lo[hit]
         return out
 
     def get(self, i: np.ndarray) -> np.ndarray:
         """The value at each index, by bisection over the zeros before it."""
         i = i.astype(np.int64)
-        lo, hi = np.zeros(len(i), np.int64), np.full(len(i), len(self.zeros) * EVERY)
-        top = int(self.zeros[-1]) if len(self.zeros) else 0
-        hi = np.minimum(hi, top + 1)
         total = self.count0()
-        hi = np.full(len(i), total)
+        lo, hi = np.zeros(len(i), np.int64), np.full(len(i), total)
         while (lo < hi).any():  # the number of zeros before the one with index i
             mid = (lo + hi) // 2
             inside = mid < total
