@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, jaccard, line_dedup, lm, mixing, toxicity
+from plumbline.llm import ann, bpe, jaccard, line_dedup, lm, mixing, topk, toxicity
 from plumbline.llm.common import crc_mod, stored, table
 
 TOKENIZER_FILE = "byte_bpe_50k.tiktoken"
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -21,6 +25,10 @@ def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"))
+
+
 def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.train_and_score(spark, table(spark, sf_dir, "documents"))
 
@@ -51,8 +59,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ann": op1_ann,
     "op4_line_dedup": op4_line_dedup,
     "op5_jaccard": op5_jaccard,
+    "op6_topk": op6_topk,
     "op7_lm": op7_lm,
     "op8_mixing": op8_mixing,
     "op9_toxicity": op9_toxicity,
