@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import ann, bpe, jaccard, line_dedup, lm, mixing, topk, toxicity
+from plumbline.llm import ann, bpe, jaccard, line_dedup, lm, mixing, secret_scan, topk, toxicity, url_filter
 from plumbline.llm.common import crc_mod, stored, table
 
 TOKENIZER_FILE = "byte_bpe_50k.tiktoken"
@@ -17,6 +17,14 @@ def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"))
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(url_filter.captures_of(table(spark, sf_dir, "pages")), url_filter.entries(spark))
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"), secret_scan.train(secret_scan.findings(spark)))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -60,6 +68,8 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ann": op1_ann,
+    "op2_url_filter": op2_url_filter,
+    "op3_secret_scan": op3_secret_scan,
     "op4_line_dedup": op4_line_dedup,
     "op5_jaccard": op5_jaccard,
     "op6_topk": op6_topk,
@@ -70,5 +80,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_url_filter": url_filter.ORACLE,
     "op8_mixing": mixing.ORACLE,
 }
