@@ -93,6 +93,16 @@ def mix(
     return out.select(*docs.columns, "size", "source_size", "target", "taken")
 
 
+def materialised(mixed: DataFrame, columns: list[str], *, text: str = "text") -> DataFrame:
+    """The mix as rows: a document once for each whole time it is taken, and the document at a source's cut, if the cut is inside it, up to its last word taken."""
+    times = F.expr("array_repeat(size, int(taken div greatest(size, 1)))")
+    rest = F.expr("CASE WHEN size > 0 AND taken % size > 0 THEN array(taken % size) ELSE array() END")
+    rows = mixed.where("taken > 0").withColumn("__mix_words", F.explode(F.concat(times, rest)))
+    ends = F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
+    part = F.array_join(F.slice(ends, F.lit(1), F.col("__mix_words").cast("int")), "")
+    return rows.select(*(F.when(F.col("__mix_words") < F.col("size"), part).otherwise(F.col(text)).alias(c) if c == text else F.col(c) for c in columns))
+
+
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
