@@ -11,11 +11,15 @@ import json
 
 import numpy as np
 
-EVERY = 8
+EVERY = 4
 U = np.uint64
 ONE = U(1)
 
 
+def _mask(bits: int) -> np.uint64:
+    return U((1 << bits) - 1)
+
+
 def _pack(values: np.ndarray, bits: int) -> np.ndarray:
     """``bits``-wide fields, one after another, with a spare word at the end."""
     n = len(values)
@@ -36,7 +40,7 @@ def _field(words: np.ndarray, at: np.ndarray, bits: int) -> np.ndarray:
     if not bits:
         return np.zeros(len(at), np.uint64)
     at = at.astype(np.uint64) * U(bits)
-    return _window(words, at) & ((ONE << U(bits)) - ONE)
+    return _window(words, at) & _mask(bits)
 
 
 def _window(words: np.ndarray, bit: np.ndarray) -> np.ndarray:
@@ -61,14 +65,14 @@ class EliasFano:
         flags = np.ones(top + n + 64, np.uint8)  # the padding is ones: no zeros are found there
         flags[: top + n] = 0
         flags[place] = 1
-        zeros = np.flatnonzero(flags == 0)[::EVERY].astype(np.uint64)
+        zeros = np.flatnonzero(flags == 0)[::EVERY].astype(np.uint32 if len(flags) < 1 << 32 else np.uint64)
         flags = np.concatenate([flags, np.ones(-len(flags) % 64 + 64, np.uint8)])
-        return cls(n, bits, _pack(values & ((ONE << U(bits)) - ONE), bits), np.packbits(flags, bitorder="little").view(np.uint64), zeros)
+        return cls(n, bits, _pack(values & _mask(bits), bits), np.packbits(flags, bitorder="little").view(np.uint64), zeros)
 
     def select0(self, k: np.ndarray) -> np.ndarray:
         """The position of the k-th zero, from 0."""
         k = k.astype(np.int64)
-        at, left = self.zeros[k // EVERY], k % EVERY
+        at, left = self.zeros[k // EVERY].astype(np.uint64), k % EVERY
         out = np.zeros(len(k), np.uint64)
         todo = np.arange(len(k))
         while len(todo):
@@ -94,8 +98,12 @@ class EliasFano:
         lo = np.zeros(len(x), np.int64)
         later = h > 0
         lo[later] = self.select0((h[later] - ONE).astype(np.int64)).astype(np.int64) + 1 - h[later].astype(np.int64)
-        end = self.select0(h).astype(np.int64) - h.astype(np.int64)
-        want = x & ((ONE << U(self.low_bits)) - ONE)
+        free = ~_window(self.high, lo.astype(np.uint64) + h)  # the bucket ends at the next zero
+        end = lo + np.bitwise_count((free & (~free + ONE)) - ONE)
+        wide = np.flatnonzero(free == 0)
+        if len(wide):
+            end[wide] = self.select0(h[wide]).astype(np.int64) - h[wide].astype(np.int64)
+        want = x & _mask(self.low_bits)
         full = np.flatnonzero(lo < end)
         todo, low, high = full, lo[full], end[full]
         while len(todo):

@@ -23,10 +23,11 @@ has the fold of the empty text. Words are told apart by a 64-bit hash.
 
 from __future__ import annotations
 
+import itertools
 import os
 import tempfile
 import uuid
-from functools import lru_cache
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -233,11 +234,9 @@ def train(docs: DataFrame, *, text: str = "text", fold: str = "fold") -> dict:
 
     def count_words(batches):
         for _, _, _, words in steps(batches, 0, 1):
-            index: dict[bytes, int] = {}
-            flat = [w for ws in words for w in ws]
-            at = np.fromiter((index.setdefault(w, len(index)) for w in flat), np.int64, len(flat))
-            hashes = np.fromiter(map(word_hash, index), np.uint64, len(index))
-            keys, counts = summed(hashes, np.bincount(at, minlength=len(index)).astype(np.int64))
+            found = Counter(itertools.chain.from_iterable(words))
+            hashes = np.fromiter(map(word_hash, found), np.uint64, len(found))
+            keys, counts = summed(hashes, np.fromiter(found.values(), np.int64, len(found)))
             yield blocks(shard_of_hash(keys, n), keys, counts)
 
     def build_words(table: pa.Table) -> pa.Table:
@@ -260,7 +259,7 @@ def train(docs: DataFrame, *, text: str = "text", fold: str = "fold") -> dict:
             if not own:
                 continue
             lengths = np.fromiter(map(len, own), np.int64, len(own))
-            ids, _ = vocabulary.look([w for ws in own for w in ws])
+            ids, _ = vocabulary.look(list(itertools.chain.from_iterable(own)))
             v = contexts(ids, lengths, V)
             keys, counts = np.unique(v.astype(np.uint64) * np.uint64(V) + ids.astype(np.uint64), return_counts=True)
             v, w = (keys // np.uint64(V)).astype(np.int64), (keys % np.uint64(V)).astype(np.int64)
@@ -306,10 +305,16 @@ def train(docs: DataFrame, *, text: str = "text", fold: str = "fold") -> dict:
 
 def context_counts(words: Words, v: np.ndarray) -> np.ndarray:
     """``v`` is sorted: each context is looked up once."""
-    own, back = np.unique(v, return_inverse=True)
+    own, back = runs(v)
     return words.counts(own)[back]
 
 
+def runs(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of a sorted array and where each element's is among them."""
+    new = np.concatenate([[True], v[1:] != v[:-1]]) if len(v) else np.zeros(0, bool)
+    return v[new], np.cumsum(new) - 1
+
+
 class Trie:
     """Queries of both levels."""
 
@@ -335,7 +340,7 @@ class Trie:
                 continue
             at = order[i:j]
             context, _, follower, value = self.shard(k)
-            own, back = np.unique(v[at], return_inverse=True)
+            own, back = runs(v[at])  # pairs come sorted, and a stable sort by shard keeps that
             rank = context.locate(own)[back]
             at, rank = at[rank >= 0], rank[rank >= 0]
             child = follower.locate(rank.astype(np.uint64) * np.uint64(self.model["V"]) + w[at].astype(np.uint64))
@@ -352,10 +357,9 @@ class Trie:
         i, j = pointer.get(np.array([rank, rank + 1])).astype(np.int64)
         return (follower.get(np.arange(i, j)) - np.uint64(rank * self.model["V"])).astype(np.int64), value[i:j] * (LEAST_LOG / (LEVELS - 1))
 
-    def score(self, ids: np.ndarray, counts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """log10 probability of each token of the texts that ``ids`` holds one after another."""
+    def score(self, ids: np.ndarray, counts: np.ndarray, base: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """log10 probability of each token of the texts that ``ids`` holds one after another; ``base`` is that of words alone."""
         V, m = self.model["V"], self.model["m"]
-        base = np.log10(self.words.p(counts))
         v = contexts(ids, lengths, V)
         cv = np.empty_like(counts)
         cv[1:] = counts[:-1]
@@ -384,10 +388,11 @@ def score(docs: DataFrame, model: dict, *, text: str = "text") -> DataFrame:
         vocabulary = Vocabulary(trie.words)
         for b, i, j, own in steps(batches, len(out)):
             lengths = np.fromiter(map(len, own), np.int64, len(own))
-            ids, counts = vocabulary.look([w for ws in own for w in ws])
+            ids, counts = vocabulary.look(list(itertools.chain.from_iterable(own)))
             starts = np.cumsum(lengths) - lengths
             each = lambda x: np.add.reduceat(x, starts)
-            cols = [lengths, each((counts > 0).astype(np.int64)), np.full(len(own), model["N"]), each(np.log10(trie.words.p(counts))), each(trie.score(ids, counts, lengths))]
+            base = np.log10(trie.words.p(counts))
+            cols = [lengths, each((counts > 0).astype(np.int64)), np.full(len(own), model["N"]), each(base), each(trie.score(ids, counts, base, lengths))]
             yield pa.RecordBatch.from_arrays([*b.slice(i, j - i).columns[:-1], *(pa.array(x, pa.int64()) for x in cols[:3]), *(pa.array(x, pa.float64()) for x in cols[3:])], schema.names)
 
     return docs.select(*out, text).mapInArrow(run, schema)
