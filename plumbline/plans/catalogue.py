@@ -1,7 +1,628 @@
-"""The queries over the driver's tables and the SQL that checks each of them."""
+"""The queries over the driver's tables and, where SQL can express one, the SQL that checks it.
+
+Doubles are rounded to six places on both sides; every tie is broken; arrays are joined into strings.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from plumbline.functions import numbers as N
+from plumbline.functions import text as X
+from plumbline.operators import chunking, evaluate, scores, sources_of_truth, vectors
+from plumbline.plans import diagnose
+from plumbline.sources.tables import AS_OF, GOLD_SQL, QA_RUNS_SQL, SCORE_RUNS_SQL, gold, qa_runs, score_runs, table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "full_diagnosis"
+
+# Pieces of SQL that several checks share.
+STOP_SQL = "[" + ", ".join(f"'{w}'" for w in X.STOP) + "]"
+
+
+def tok(c: str) -> str:
+    return f"regexp_extract_all(lower({c}), '[a-z0-9]+')"
+
+
+def term(c: str) -> str:
+    return f"list_distinct(list_filter({tok(c)}, lambda w: NOT list_contains({STOP_SQL}, w)))"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def r6(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(F.col(n).cast("double"), 6) for n in names})
+
+
+# ---- texts -----------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT doc_id, CAST(len({tok('text')}) AS INTEGER) AS n_tokens, CAST(len({term('text')}) AS INTEGER) AS n_terms FROM documents")
+def tokenize_terms(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.size(X.tokens("text")).alias("n_tokens"), F.size(X.terms("text")).alias("n_terms"))
+
+
+@query(
+    f"""WITH {QA_RUNS_SQL}, t AS (SELECT conv_id, turn, {term('query')} AS q, {term('answer')} AS a FROM qa_runs)
+SELECT conv_id, turn, round(CASE WHEN len(q) > 0 THEN len(list_intersect(q, a)) / len(q)::DOUBLE END, 6) AS ratio,
+  CASE WHEN len(q) = 0 THEN 'unknown' WHEN len(list_intersect(q, a)) / len(q)::DOUBLE >= 0.1 THEN 'relevant' WHEN len(list_intersect(q, a)) > 0 THEN 'partial' ELSE 'irrelevant' END AS label
+FROM t"""
+)
+def term_overlap_relevance(spark, sf):
+    rows = qa_runs(spark, sf).select("conv_id", "turn", X.terms("query").alias("q"), X.terms("answer").alias("a"))
+    ratio = X.overlap(F.col("q"), F.col("a"))
+    return r6(rows.select("conv_id", "turn", ratio.alias("ratio"), X.relevance(ratio, F.col("q")).alias("label")), "ratio")
+
+
+@query(
+    f"""WITH {QA_RUNS_SQL}, t AS (SELECT conv_id, {term('query')} AS q, {term('answer')} AS a FROM qa_runs),
+l AS (SELECT conv_id, CASE WHEN len(q) = 0 THEN 'unknown' WHEN len(list_intersect(q, a)) / len(q)::DOUBLE >= 0.1 THEN 'relevant' WHEN len(list_intersect(q, a)) > 0 THEN 'partial' ELSE 'irrelevant' END AS label FROM t),
+c AS (SELECT conv_id, count(*) FILTER (label = 'irrelevant') AS n_irrelevant, count(*) FILTER (label = 'relevant') AS n_relevant, count(*) AS n FROM l GROUP BY conv_id)
+SELECT *, CASE WHEN n_irrelevant = n THEN 'fail' WHEN n_irrelevant > n_relevant THEN 'warn' ELSE 'pass' END AS status FROM c"""
+)
+def scope_verdict(spark, sf):
+    rows = qa_runs(spark, sf).select("conv_id", X.terms("query").alias("q"), X.terms("answer").alias("a"))
+    rows = rows.withColumn("label", X.relevance(X.overlap(F.col("q"), F.col("a")), F.col("q")))
+    n = lambda v: F.sum((F.col("label") == v).cast("long"))
+    out = rows.groupBy("conv_id").agg(n("irrelevant").alias("n_irrelevant"), n("relevant").alias("n_relevant"), F.count(F.lit(1)).alias("n"))
+    return out.withColumn("status", F.when(F.col("n_irrelevant") == F.col("n"), "fail").when(F.col("n_irrelevant") > F.col("n_relevant"), "warn").otherwise("pass"))
+
+
+@query(
+    f"""WITH {QA_RUNS_SQL}, t AS (SELECT conv_id, turn, list_distinct(list_filter(regexp_split_to_array(lower(query), '\\s+'), lambda w: w <> '')) AS q,
+  list_distinct(list_filter(regexp_split_to_array(lower(answer), '\\s+'), lambda w: w <> '')) AS a FROM qa_runs),
+u AS (SELECT *, len(list_intersect(q, a)) AS i, len(list_distinct(list_concat(q, a))) AS n FROM t)
+SELECT conv_id, turn, round(CASE WHEN n = 0 THEN 1.0 ELSE i / n::DOUBLE END, 6) AS jaccard FROM u"""
+)
+def answer_jaccard(spark, sf):
+    rows = qa_runs(spark, sf)
+    return r6(rows.select("conv_id", "turn", X.jaccard(X.white_words("query"), X.white_words("answer")).alias("jaccard")), "jaccard")
+
+
+@query(
+    f"""WITH t AS (SELECT conv_id, turn, list_distinct({tok('text')}) AS w FROM conversations),
+p AS (SELECT a.conv_id, a.turn AS turn_a, b.turn AS turn_b, len(list_intersect(a.w, b.w)) AS i, least(len(a.w), len(b.w)) AS n FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.turn < b.turn)
+SELECT conv_id, turn_a, turn_b, round(i / n::DOUBLE, 6) AS similarity FROM p WHERE n > 0 AND i / n::DOUBLE > 0.5"""
+)
+def near_duplicate_chunks(spark, sf):
+    """Pairs within a run only; a run's chunks are few."""
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", F.array_distinct(X.tokens("text")).alias("w"))
+    a, b = rows.alias("a"), rows.alias("b")
+    pairs = a.join(b, (F.col("a.conv_id") == F.col("b.conv_id")) & (F.col("a.turn") < F.col("b.turn")))
+    out = pairs.select(F.col("a.conv_id").alias("conv_id"), F.col("a.turn").alias("turn_a"), F.col("b.turn").alias("turn_b"), X.min_overlap(F.col("a.w"), F.col("b.w")).alias("similarity"))
+    return r6(out.where("similarity > 0.5"), "similarity")
+
+
+@query(
+    """WITH s AS (SELECT conv_id, turn, string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS p FROM conversations),
+u AS (SELECT conv_id, turn, list_filter(list_transform(p, lambda x: trim(x)), lambda x: x <> '') AS p FROM s)
+SELECT conv_id, turn, CAST(len(p) AS INTEGER) AS n_sentences, md5(list_aggregate(p, 'string_agg', '|')) AS digest FROM u WHERE len(p) > 0"""
+)
+def sentence_claims(spark, sf):
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", X.sentences("text").alias("p")).where("size(p) > 0")
+    return rows.select("conv_id", "turn", F.size("p").alias("n_sentences"), F.md5(F.array_join("p", "|").cast("binary")).alias("digest"))
+
+
+@query(
+    r"""WITH s AS (SELECT conv_id, turn, unnest(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) AS raw FROM conversations),
+c AS (SELECT conv_id, turn, trim(raw) AS c, lower(trim(raw)) AS l FROM s WHERE trim(raw) <> ''),
+k AS (SELECT CASE WHEN regexp_matches(c, '\d') THEN 'numeric' WHEN regexp_matches(l, '\b(must|shall)\b') THEN 'obligation' WHEN regexp_matches(l, '\bmay not\b|\bprohibit') THEN 'prohibition'
+  WHEN regexp_matches(l, '\beligib') THEN 'eligibility' WHEN regexp_matches(l, '\bcaus|because|due to|leads to\b') THEN 'causal' WHEN regexp_matches(l, '\bcompare|higher|lower|increase|decrease|grow|grew\b') THEN 'comparison'
+  WHEN regexp_matches(l, '\bmeans\b|\bdefined\b|\brefers to\b') THEN 'definition' WHEN regexp_matches(l, '\bpolicy\b|\brule\b|\border\b|\bregulation\b|\bapplies\b') THEN 'policy_rule'
+  WHEN regexp_matches(l, '\bversion\b|\bsupersed|\bdeprecated\b|\bwithdrawn\b') THEN 'version_validity' WHEN regexp_matches(c, '(^|[^A-Za-z0-9_À-ɏ])[A-Z][a-z]+') THEN 'entity_attribute' ELSE 'other' END AS claim_type FROM c)
+SELECT claim_type, count(*) AS n FROM k GROUP BY claim_type"""
+)
+def claim_types(spark, sf):
+    rows = table(spark, sf, "conversations").select(F.explode(X.sentences("text")).alias("c"))
+    return rows.groupBy(X.claim_type(F.col("c")).alias("claim_type")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    rf"""WITH s AS (SELECT unnest(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) AS raw FROM conversations),
+c AS (SELECT trim(raw) AS c FROM s WHERE trim(raw) <> ''),
+k AS (SELECT CASE WHEN len(list_filter(regexp_split_to_array(c, '\s+'), lambda w: w <> '')) < 5 THEN 'unclear' WHEN len(regexp_extract_all(c, '{X.CONJUNCTIONS}')) >= 2 THEN 'compound' WHEN len(regexp_extract_all(c, '{X.FINITE_VERBS}')) > 2 THEN 'compound' ELSE 'atomic' END AS atomicity FROM c)
+SELECT atomicity, count(*) AS n FROM k GROUP BY atomicity"""
+)
+def atomicity(spark, sf):
+    rows = table(spark, sf, "conversations").select(F.explode(X.sentences("text")).alias("c"))
+    return rows.groupBy(X.atomicity(F.col("c")).alias("atomicity")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def bank_sql(c: str, bank) -> str:
+    return " + ".join(f"CASE WHEN regexp_matches({c}, '{p.replace(chr(39), chr(39) * 2)}') THEN 1 ELSE 0 END" for p, _ in bank)
+
+
+#: The tables' prose is of invented words: this bank is wide enough to find something.
+WIDE = ((r"(?i)\btoken\s*=", "credential"), (r"(?i)\b(licensed|license)\b", "license"), (r"[0-9]{3}-[0-9]{4}", "number"), (r"(?i)example\.(com|org|net)", "address"))
+
+
+@query(f"SELECT doc_id, CAST({bank_sql('text', X.INJECTION)} AS INTEGER) AS n_injection, CAST({bank_sql('text', WIDE)} AS INTEGER) AS n_wide FROM documents")
+def injection_scan(spark, sf):
+    hits = lambda bank: sum((F.col("text").rlike(p).cast("int") for p, _ in bank), F.lit(0))
+    return table(spark, sf, "documents").select("doc_id", hits(X.INJECTION).alias("n_injection"), hits(WIDE).alias("n_wide"))
+
+
+@query(f"SELECT conv_id, turn, CAST({bank_sql('text', X.STEERING)} AS INTEGER) AS n_steering, regexp_matches(text, '(?i)^[a-z]+ (is|of|the) ') AS n_assertive FROM conversations")
+def steering_scan(spark, sf):
+    hits = sum((F.col("text").rlike(p).cast("int") for p, _ in X.STEERING), F.lit(0))
+    return table(spark, sf, "conversations").select("conv_id", "turn", hits.alias("n_steering"), F.col("text").rlike("(?i)^[a-z]+ (is|of|the) ").alias("n_assertive"))
+
+
+@query(
+    rf"""WITH t AS (SELECT doc_id, text, lower(text) AS l FROM documents)
+SELECT doc_id, (regexp_matches(l, '({"|".join(X.PRIVATE_STRONG)})') AND NOT regexp_matches(l, 'password\s+(reset|lost|forgot|2fa)|(reset|lost|forgot)\s+(my\s+|the\s+)?password'))
+  OR (regexp_matches(l, '\b({"|".join(X.PRIVATE_WEAK)})\b') AND (regexp_matches(text, '\b[A-Z][a-z]+''s\b') OR regexp_matches(text, '{X.PERSON.replace(chr(39), chr(39) * 2)}') OR regexp_matches(text, '{X.PERSON_NUMBER}'))) AS request,
+  regexp_matches(text, '{X.PERSON_NUMBER}') AND regexp_matches(l, '({"|".join(X.MEDICAL)})') AS medical
+FROM t"""
+)
+def privacy_scan(spark, sf):
+    text = F.col("text")
+    return table(spark, sf, "documents").select("doc_id", X.privacy_request(text).alias("request"), X.medical_privacy(text).alias("medical"))
+
+
+@query(
+    """WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[^A-Za-z]+'), lambda w: length(w) >= 5) AS w FROM documents)
+SELECT doc_id, len(w) >= 5 AND len(list_filter(w, lambda x: len(list_distinct(string_split(lower(x), ''))) <= 2)) >= 4 AS unlikely FROM t"""
+)
+def unlikely_tokens(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", X.unlikely_tokens(F.col("text")).alias("unlikely"))
+
+
+@query()
+def anchors_and_stems(spark, sf):
+    """Anchors and stemmed terms of every turn (look-behind and nested suffix rules: no SQL on the checking engine)."""
+    rows = table(spark, sf, "conversations")
+    return rows.select("conv_id", "turn", F.size(X.anchors("text")).alias("n_anchors"), F.size(X.stemmed_terms("text")).alias("n_stems"), F.size(X.content_terms("text")).alias("n_content"))
+
+
+@query(
+    r"""SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), '\bwithdrawn\b') THEN 'withdrawn' WHEN regexp_matches(lower(text), '\bsuperseded by\b') THEN 'superseded' WHEN regexp_matches(lower(text), '\breplaced by\b') THEN 'replaced'
+  WHEN regexp_matches(lower(text), '\bdeprecated\b') THEN 'deprecated' WHEN regexp_matches(lower(text), '\bexpired\s+\d{4}\b') THEN 'expired' WHEN regexp_matches(lower(text), '\beffective\s+\d{4}\b') THEN 'effective'
+  WHEN regexp_matches(lower(text), '\bas of\s+\d{4}\b') THEN 'as_of' END AS marker, CAST(length(regexp_extract(text, '(\d[\d,]*)', 1)) AS INTEGER) AS digits FROM conversations"""
+)
+def lifecycle_markers(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", X.lifecycle(F.col("text")).alias("marker"), F.length(F.regexp_extract("text", r"(\d[\d,]*)", 1)).alias("digits"))
+
+
+# ---- scores of runs --------------------------------------------------------------------------------------------
+
+
+@query(
+    f"""WITH {SCORE_RUNS_SQL}, w AS (SELECT *, count(score) OVER (PARTITION BY run_id) AS n, avg(score) OVER (PARTITION BY run_id) AS m, stddev_pop(score) OVER (PARTITION BY run_id) AS sd FROM score_runs)
+SELECT run_id, rank, round((score - m) / sd, 6) AS z FROM w WHERE n >= 2 AND sd > 1e-12 AND abs((score - m) / sd) > 1.55"""
+)
+def score_outliers_z(spark, sf):
+    return r6(scores.z_outliers(score_runs(spark, sf), threshold=1.55).select("run_id", "rank", "z"), "z")
+
+
+@query(
+    f"""WITH {SCORE_RUNS_SQL}, t AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY score DESC, rank) AS rn FROM score_runs),
+b AS (SELECT run_id, max(CASE WHEN rn = 1 THEN score END) AS first, max(CASE WHEN rn = 2 THEN score END) AS second FROM t WHERE rn <= 2 GROUP BY run_id)
+SELECT run_id, round(first, 6) AS first, round(second, 6) AS second FROM b WHERE first > 0.55 AND second < 0.5 AND first - second > 0.15"""
+)
+def score_cliff(spark, sf):
+    return r6(scores.score_cliff(score_runs(spark, sf), high=0.55, low=0.5, gap=0.15), "first", "second")
+
+
+@query(
+    f"""WITH {SCORE_RUNS_SQL}, q AS (SELECT run_id, count(score) AS n, quantile_cont(score, 0.25) AS q1, quantile_cont(score, 0.75) AS q3 FROM score_runs GROUP BY run_id)
+SELECT s.run_id, s.rank, round(s.score, 6) AS score FROM score_runs s JOIN q ON s.run_id = q.run_id WHERE s.score > CASE WHEN n < 3 THEN 0.92 ELSE q3 + 1.5 * (q3 - q1) END + 1e-9"""
+)
+def iqr_outliers(spark, sf):
+    rows = score_runs(spark, sf)
+    return r6(scores.iqr_outliers(rows).where(F.col("score") > F.col("fence") + 1e-9).select("run_id", "rank", "score"), "score")
+
+
+@query(f"WITH {SCORE_RUNS_SQL}, t AS (SELECT *, CAST(row_number() OVER (PARTITION BY run_id ORDER BY score DESC, rank) AS INTEGER) AS rn FROM score_runs) SELECT run_id, rank, rn, doc_id FROM t WHERE rn <= 3")
+def topk_per_run(spark, sf):
+    return scores.top_k(score_runs(spark, sf)).select("run_id", "rank", "rn", "doc_id")
+
+
+@query(f"WITH {SCORE_RUNS_SQL}, t AS (SELECT *, row_number() OVER (PARTITION BY run_id, failure_type ORDER BY score DESC, rank) AS rn FROM score_runs) SELECT run_id, failure_type, rank FROM t WHERE rn = 1")
+def best_per_type(spark, sf):
+    return scores.best_per(score_runs(spark, sf), keys=["run_id", "failure_type"], order=[F.desc("score"), F.col("rank")]).select("run_id", "failure_type", "rank")
+
+
+@query(
+    f"""WITH {SCORE_RUNS_SQL}, c AS (SELECT run_id, failure_type, count(*) AS c FROM score_runs GROUP BY ALL), p AS (SELECT *, c / sum(c) OVER (PARTITION BY run_id) AS p FROM c)
+SELECT run_id, round(-sum(p * log2(p)), 6) + 0.0 AS entropy, round(max(p), 6) AS largest_share, count(*) AS n_labels FROM p GROUP BY run_id"""
+)
+def label_entropy(spark, sf):
+    out = r6(scores.label_entropy(score_runs(spark, sf), label="failure_type"), "entropy", "largest_share")
+    return out.withColumn("entropy", F.col("entropy") + 0.0)
+
+
+@query(
+    f"""WITH {SCORE_RUNS_SQL}, n AS (SELECT run_id, count(*) AS n, sum(CASE WHEN score < 0.3 THEN 1 ELSE 0 END) AS noisy FROM score_runs GROUP BY run_id)
+SELECT run_id, n, CAST(noisy AS BIGINT) AS noisy, round(noisy / n, 6) AS ratio, CASE WHEN noisy / n >= 0.9 AND n >= 5 THEN 'fail' WHEN noisy / n >= 0.5 AND n >= 2 THEN 'warn' ELSE 'pass' END AS status FROM n"""
+)
+def noise_ratio(spark, sf):
+    return r6(scores.noise(score_runs(spark, sf), F.col("score") < 0.3), "ratio")
+
+
+@query(
+    f"""WITH {SCORE_RUNS_SQL} SELECT run_id, round(avg(score), 6) AS mean, round(coalesce(stddev_samp(score), 0), 6) AS deviation, round(least(1, greatest(0, avg(score) - CASE WHEN avg(score) < 0.5 THEN 0.1 ELSE 0 END - 0.05 * count(*) FILTER (failure_type = 'R'))), 6) AS confidence
+FROM score_runs GROUP BY run_id"""
+)
+def confidence_score(spark, sf):
+    mean = F.avg("score")
+    penalty = F.when(mean < 0.5, 0.1).otherwise(0.0) + 0.05 * F.sum((F.col("failure_type") == "R").cast("int"))
+    out = score_runs(spark, sf).groupBy("run_id").agg(mean.alias("mean"), F.coalesce(F.stddev_samp("score"), F.lit(0.0)).alias("deviation"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), mean - penalty)).alias("confidence"))
+    return r6(out, "mean", "deviation", "confidence")
+
+
+# ---- citations, freshness, validity ----------------------------------------------------------------------------
+
+
+@query("SELECT o_orderkey AS run_id, o_custkey AS doc_id FROM orders WHERE o_orderstatus = 'F' AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+def phantom_citations(spark, sf):
+    cited = table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("run_id"), F.col("o_custkey").alias("doc_id"))
+    retrieved = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("run_id"))
+    return cited.join(retrieved, "run_id", "left_anti")
+
+
+@query(
+    f"""WITH {SCORE_RUNS_SQL}, cited AS (SELECT DISTINCT run_id, doc_id FROM score_runs WHERE failure_type = 'R')
+SELECT s.run_id, s.rank, CASE WHEN NOT EXISTS (SELECT 1 FROM cited c WHERE c.run_id = s.run_id) THEN 'unknown' WHEN EXISTS (SELECT 1 FROM cited c WHERE c.run_id = s.run_id AND c.doc_id = s.doc_id) THEN 'cited' ELSE 'uncited' END AS cited_status FROM score_runs s"""
+)
+def cited_status(spark, sf):
+    rows = score_runs(spark, sf)
+    return sources_of_truth.cited_status(rows, rows.where("failure_type = 'R'")).select("run_id", "rank", "cited_status")
+
+
+@query(
+    f"""SELECT o_orderkey AS doc_id, CAST(floor(epoch(TIMESTAMP '{AS_OF}' - o_orderdate) / 86400) AS BIGINT) AS age_days, CASE WHEN o_orderdate < TIMESTAMP '{AS_OF}' - INTERVAL 180 DAY THEN 'stale' ELSE 'fresh' END AS freshness FROM orders"""
+)
+def stale_docs(spark, sf):
+    docs = table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderdate").cast("timestamp").alias("timestamp"))
+    return sources_of_truth.freshness(docs, F.lit(AS_OF).cast("timestamp")).select("doc_id", "age_days", "freshness")
+
+
+@query(f"WITH {SCORE_RUNS_SQL}, w AS (SELECT *, max(date) OVER (PARTITION BY run_id) AS newest FROM score_runs) SELECT run_id, rank, CAST(date AS VARCHAR) AS date, CAST(newest AS VARCHAR) AS newest FROM w WHERE date < newest")
+def newer_alternative(spark, sf):
+    return sources_of_truth.newer_alternative(score_runs(spark, sf)).select("run_id", "rank", F.col("date").cast("string"), F.col("newest").cast("string"))
+
+
+@query(
+    f"""WITH {SCORE_RUNS_SQL}, u AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY score DESC, rank) AS a, row_number() OVER (PARTITION BY run_id ORDER BY date DESC, rank) AS b FROM score_runs),
+p AS (SELECT run_id, max(CASE WHEN a = 1 THEN rank END) AS used_rank, max(CASE WHEN b = 1 THEN rank END) AS newest_rank, max(CASE WHEN b = 1 THEN date END) - max(CASE WHEN a = 1 THEN date END) AS gap_days FROM u GROUP BY run_id)
+SELECT run_id, used_rank, newest_rank, CAST(gap_days AS INTEGER) AS gap_days FROM p WHERE gap_days >= 30"""
+)
+def aligned_vs_newest(spark, sf):
+    return sources_of_truth.aligned_vs_newest(score_runs(spark, sf))
+
+
+LADDER = dict(withdrawn="o_orderpriority = '1-URGENT' AND o_totalprice < 20000", superseded="o_orderkey % 17 = 0", replaced="o_orderkey % 19 = 0", deprecated="o_orderkey % 23 = 0", amended="o_orderkey % 29 = 0")
+
+
+@query(
+    f"""WITH d AS (SELECT o_orderkey AS doc_id, *, CAST(o_orderdate AS DATE) AS made FROM orders)
+SELECT doc_id, CASE WHEN {LADDER['withdrawn']} THEN 'withdrawn' WHEN {LADDER['superseded']} THEN 'superseded' WHEN {LADDER['replaced']} THEN 'replaced' WHEN {LADDER['deprecated']} THEN 'deprecated'
+  WHEN DATE '2000-01-01' > made + 1500 THEN 'expired' WHEN DATE '2000-01-01' < made - 500 THEN 'not_yet_effective' WHEN {LADDER['amended']} THEN 'amended' WHEN o_orderstatus = 'F' THEN 'active' WHEN made < DATE '{AS_OF}' - 180 THEN 'stale_by_age' ELSE 'active' END AS validity
+FROM d"""
+)
+def validity_ladder(spark, sf):
+    d = table(spark, sf, "orders").withColumn("at", F.col("o_orderdate").cast("date"))
+    rung = sources_of_truth.validity(
+        **{k: F.expr(v) for k, v in LADDER.items()}, expiry=F.date_add("at", 1500), effective=F.date_sub("at", 500), applicable=F.lit(True),
+        status=F.when(F.col("o_orderstatus") == "F", "active"), at=F.col("at"), query_date=F.lit("2000-01-01").cast("date"), as_of=F.lit(AS_OF).cast("date"),
+    )
+    return d.select(F.col("o_orderkey").alias("doc_id"), rung.alias("validity"))
+
+
+@query("SELECT l_partkey AS doc_id, arg_max(l_suppkey, (l_shipdate, l_orderkey, l_linenumber, l_suppkey)) AS supplier FROM lineitem GROUP BY l_partkey")
+def last_corpus_entry(spark, sf):
+    rows = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("doc_id"), F.col("l_suppkey").alias("supplier"), F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey").alias("pos"))
+    return sources_of_truth.last_entry(rows, keys=["doc_id"], pos="pos").select("doc_id", "supplier")
+
+
+# ---- claims and evidence ---------------------------------------------------------------------------------------
+
+
+@query(
+    f"""WITH c AS (SELECT conv_id, turn, {term('text')} AS q FROM conversations WHERE role = 'user'), e AS (SELECT conv_id, turn AS rank, {term('text')} AS d FROM conversations WHERE role = 'assistant'),
+p AS (SELECT c.conv_id, c.turn, e.rank, CASE WHEN len(q) > 0 THEN len(list_intersect(q, d)) / len(q)::DOUBLE ELSE 0 END AS score FROM c JOIN e ON c.conv_id = e.conv_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY conv_id, turn ORDER BY round(score, 9) DESC, rank) AS INTEGER) AS rn FROM p)
+SELECT conv_id, turn, rank, rn, round(score, 6) AS score FROM r WHERE rn <= 3"""
+)
+def claim_topk_evidence(spark, sf):
+    """Every claim of a run against the run's evidence, the three best kept."""
+    turns = table(spark, sf, "conversations")
+    c = turns.where("role = 'user'").select("conv_id", "turn", X.terms("text").alias("q"))
+    e = turns.where("role = 'assistant'").select("conv_id", F.col("turn").alias("rank"), X.terms("text").alias("d"))
+    pairs = c.join(e, "conv_id").withColumn("score", F.coalesce(X.overlap(F.col("q"), F.col("d")), F.lit(0.0)))
+    w = Window.partitionBy("conv_id", "turn").orderBy(F.desc(F.round("score", 9)), "rank")
+    return r6(pairs.withColumn("rn", F.row_number().over(w)).where("rn <= 3").select("conv_id", "turn", "rank", "rn", "score"), "score")
+
+
+@query(
+    f"""WITH {SCORE_RUNS_SQL}, l AS (SELECT *, CASE WHEN score >= 0.7 THEN 'entailed' WHEN score >= 0.3 THEN 'unsupported' ELSE 'contradicted' END AS label FROM score_runs),
+a AS (SELECT run_id, count(*) AS n, count(*) FILTER (label = 'entailed') AS entailed, count(*) FILTER (label = 'unsupported') AS unsupported, count(*) FILTER (label = 'contradicted') AS contradicted FROM l GROUP BY run_id)
+SELECT *, round((unsupported + contradicted) / n, 4) AS failed_rate, CASE WHEN (unsupported + contradicted) / n < 0.3 THEN CASE WHEN unsupported + contradicted = 0 THEN 'pass' ELSE 'warn' END ELSE 'fail' END AS status,
+  CASE WHEN unsupported + contradicted = 0 THEN NULL WHEN unsupported = 0 THEN 'CONTRADICTED_CLAIM' ELSE 'UNSUPPORTED_CLAIM' END AS failure_type FROM a"""
+)
+def claim_rollup(spark, sf):
+    label = F.when(F.col("score") >= 0.7, "entailed").when(F.col("score") >= 0.3, "unsupported").otherwise("contradicted")
+    n = lambda v: F.sum((label == v).cast("long")).alias(v)
+    a = score_runs(spark, sf).groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), n("entailed"), n("unsupported"), n("contradicted"))
+    bad = F.col("unsupported") + F.col("contradicted")
+    return a.withColumns(
+        {
+            "failed_rate": F.round(bad / F.col("n"), 4),
+            "status": F.when(bad == 0, "pass").when(bad / F.col("n") < 0.3, "warn").otherwise("fail"),
+            "failure_type": F.when(bad == 0, None).when(F.col("unsupported") == 0, "CONTRADICTED_CLAIM").otherwise("UNSUPPORTED_CLAIM"),
+        }
+    )
+
+
+# ---- retrieval -------------------------------------------------------------------------------------------------
+
+
+@query(
+    """WITH q AS (SELECT list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE vec_id = 0), e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)
+SELECT e.vec_id, round(list_cosine_similarity(e.v, q.v), 6) AS similarity FROM e, q ORDER BY list_cosine_similarity(e.v, q.v) DESC, vec_id LIMIT 10"""
+)
+def cosine_topk(spark, sf):
+    """The report of the ten vectors nearest to vector 0 (the top-k is the feature)."""
+    index = table(spark, sf, "embeddings")
+    first = index.where("vec_id = 0").select("embedding").first()
+    return r6(vectors.cosine_top_k(index, first[0] if first else [0.0], key="vec_id", vector="embedding", k=10), "similarity")
+
+
+@query(
+    f"""WITH t AS (SELECT conv_id * 1000 + turn AS id, unnest({tok('text')}) AS t FROM conversations), h AS (SELECT id, sha256(t) AS h FROM t),
+b AS (SELECT id, CAST(CAST('0x' || substr(h, 1, 2) AS INTEGER) % 32 AS INTEGER) AS bucket, 1 + CAST('0x' || substr(h, 3, 2) AS INTEGER) / 255.0::DOUBLE AS v FROM h)
+SELECT id, bucket, round(sum(v), 6) AS value FROM b GROUP BY id, bucket
+UNION ALL SELECT conv_id * 1000 + turn, 0, 1.0 FROM conversations WHERE len({tok('text')}) = 0"""
+)
+def hash_embedding(spark, sf):
+    docs = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    return r6(vectors.hash_embedding(docs, key="id", text="text"), "value")
+
+
+@query(
+    """WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') AS w FROM documents),
+x AS (SELECT doc_id, w, unnest(range(0, CAST(greatest(ceil((len(w) - 200) / 150.0), 0) AS BIGINT) + 1)) AS k FROM w WHERE len(w) > 0)
+SELECT doc_id, CAST(k AS INTEGER) AS "window", CAST(least(len(w) - k * 150, 200) AS INTEGER) AS n_words, md5(list_aggregate(w[k * 150 + 1 : k * 150 + 200], 'string_agg', ' ')) AS digest FROM x"""
+)
+def fixed_windows(spark, sf):
+    return chunking.fixed_windows(table(spark, sf, "documents")).select("doc_id", "window", "n_words", F.md5(F.col("chunk").cast("binary")).alias("digest"))
+
+
+@query(
+    """SELECT doc_id, 0 AS part, CAST(length(CASE WHEN length(text) > 100 THEN substr(text, 1, CAST(floor(length(text) / 2) AS INTEGER)) ELSE text END) AS INTEGER) AS n FROM documents
+UNION ALL SELECT doc_id, 1, CAST(length(text) - floor(length(text) / 2) AS INTEGER) FROM documents WHERE length(text) > 100"""
+)
+def oversegment(spark, sf):
+    return chunking.oversegment(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", "part", F.length("text").alias("n"))
+
+
+@query(
+    """WITH r AS (SELECT conv_id, turn, text, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 2 AS merged FROM conversations)
+SELECT conv_id, CAST(merged AS BIGINT) AS merged, CAST(count(*) AS INTEGER) AS n, md5(string_agg(text, chr(10) ORDER BY turn)) AS digest FROM r GROUP BY conv_id, merged"""
+)
+def undersegment(spark, sf):
+    out = chunking.undersegment(table(spark, sf, "conversations"), group="conv_id", order="turn")
+    return out.select("conv_id", F.col("merged").cast("long").alias("merged"), "n", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query("SELECT source, CAST(c.copy AS INTEGER) AS copy, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents, (SELECT unnest([0, 1, 2]) AS copy) c GROUP BY ALL")
+def duplicate_chunks(spark, sf):
+    return chunking.duplicate(table(spark, sf, "documents")).groupBy("source", "copy").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+@query(r"SELECT doc_id, md5(regexp_replace(text, '(?m)^[ \t]*(?:\d+[.)]|[#*\-]+)[ \t]+', '', 'g')) AS digest FROM documents")
+def erase_markers(spark, sf):
+    return chunking.erase_markers(table(spark, sf, "documents")).select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query(
+    r"""WITH w AS (SELECT *, lead(text) OVER (PARTITION BY source ORDER BY doc_id) AS nt, lead(lang) OVER (PARTITION BY source ORDER BY doc_id) AS nl FROM documents)
+SELECT doc_id FROM w WHERE lang = nl AND NOT regexp_matches(rtrim(text), '[.!?:;]\s*$') AND regexp_matches(nt, '^\s*[a-zA-Z]')"""
+)
+def boundary_damage(spark, sf):
+    """Neighbours in a source, told apart by language; a capital counts too, as the tables' texts all begin with one."""
+    docs = table(spark, sf, "documents").withColumn("text", F.concat(F.lower(F.substring("text", 1, 1)), F.expr("substring(text, 2)")))
+    return chunking.boundary_damage(docs, run="source", rank="doc_id", doc="lang").select("doc_id")
+
+
+@query(
+    """WITH RECURSIVE n AS (SELECT 'r' || r_regionkey AS node, CAST(NULL AS VARCHAR) AS parent FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation),
+b(ancestor, node, depth) AS (SELECT node, node, 0 FROM n UNION ALL SELECT b.ancestor, n.node, b.depth + 1 FROM b JOIN n ON n.parent = b.node) SELECT * FROM b"""
+)
+def node_descendants(spark, sf):
+    r = table(spark, sf, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("node_id"), F.lit(None).cast("string").alias("parent_id"))
+    n = table(spark, sf, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("node_id"), F.concat(F.lit("r"), "n_regionkey").alias("parent_id"))
+    return chunking.descendants(r.unionByName(n))
+
+
+# ---- evaluation ------------------------------------------------------------------------------------------------
+
+
+@query(
+    f"""WITH {GOLD_SQL}, c AS (SELECT lang, count(*) AS n, count(*) FILTER (gold = 1 AND pred = 1) AS tp, count(*) FILTER (gold <> 1 AND pred = 1) AS fp, count(*) FILTER (gold = 1 AND pred <> 1) AS fn, count(*) FILTER (gold <> 1 AND pred <> 1) AS tn FROM gold GROUP BY lang)
+SELECT *, round((tp + tn) / n, 6) AS accuracy, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall, round(2 * tp / nullif(2 * tp + fp + fn, 0), 6) AS f1 FROM c"""
+)
+def classification_metrics(spark, sf):
+    return r6(evaluate.classification(gold(spark, sf), by=["lang"]), "accuracy", "precision", "recall", "f1")
+
+
+@query(f"WITH {GOLD_SQL} SELECT gold, pred, count(*) AS n FROM gold GROUP BY gold, pred")
+def confusion_matrix(spark, sf):
+    return evaluate.confusion(gold(spark, sf))
+
+
+@query(f"WITH {GOLD_SQL} SELECT CASE WHEN grouping(lang) = 1 THEN 'default' ELSE lang END || ':' || pred AS cell, count(*) AS n, round(avg(gold), 6) AS mean FROM gold GROUP BY GROUPING SETS ((lang, pred), (pred))")
+def reliability_grouping_sets(spark, sf):
+    return r6(evaluate.reliability(gold(spark, sf), keys=["lang", "pred"], y="gold"), "mean")
+
+
+@query(
+    f"""WITH {GOLD_SQL}, b AS (SELECT ceil(p * 10) AS bin, count(*) AS c, sum(p) AS sp, sum(gold) AS sy, sum(pow(p - gold, 2)) AS sq FROM gold GROUP BY 1)
+SELECT round(sum(sq) / sum(c), 6) AS brier, round(sum(CASE WHEN bin >= 1 THEN abs(sp - sy) ELSE 0 END) / sum(c), 6) AS ece FROM b"""
+)
+def brier_ece(spark, sf):
+    return r6(evaluate.brier_ece(gold(spark, sf), y="gold"), "brier", "ece")
+
+
+THRESHOLDS = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
+
+
+@query(
+    f"""WITH {GOLD_SQL}, t AS (SELECT unnest({THRESHOLDS}::DOUBLE[]) AS threshold), c AS (SELECT threshold, count(*) FILTER (gold = 1 AND p >= threshold) AS tp, count(*) FILTER (gold <> 1 AND p >= threshold) AS fp, count(*) FILTER (gold = 1 AND p < threshold) AS fn FROM gold, t GROUP BY threshold)
+SELECT threshold, tp, fp, fn, round(2 * tp / nullif(2 * tp + fp + fn, 0), 6) AS f1 FROM c"""
+)
+def threshold_sweep(spark, sf):
+    return r6(evaluate.sweep(gold(spark, sf), THRESHOLDS, score="p").select("threshold", "tp", "fp", "fn", "f1"), "f1")
+
+
+@query(
+    f"""WITH {GOLD_SQL}, x AS (SELECT p AS a, CASE WHEN doc_id % 3 = 0 THEN gold END AS g FROM gold),
+s AS (SELECT avg(a) AS ma, var_samp(a) AS va, count(a) AS na, avg(g - a) AS md, var_samp(g - a) AS vd, count(g) AS nd FROM x)
+SELECT round(least(greatest(ma + md, 0), 1), 6) AS mean, round(least(greatest(ma + md - 1.96 * sqrt(va / na + vd / nd), 0), 1), 6) AS low, round(least(greatest(ma + md + 1.96 * sqrt(va / na + vd / nd), 0), 1), 6) AS high, nd AS n_gold,
+  CASE WHEN nd < 30 THEN 'insufficient' WHEN nd < 150 THEN 'provisional' ELSE 'calibrated' END AS status FROM s"""
+)
+def ppi_interval(spark, sf):
+    """A third of the labels stand for the human-checked ones."""
+    rows = gold(spark, sf).select(F.col("p").alias("automated"), F.when(F.col("doc_id") % 3 == 0, F.col("gold")).cast("double").alias("gold"))
+    return r6(evaluate.ppi(rows), "mean", "low", "high")
+
+
+@query(f"WITH {GOLD_SQL} SELECT doc_id, round(1 / (1 + exp(-ln(p / (1 - p)) / 1.5)), 6) AS tempered, CASE WHEN p >= 0.75 THEN 'high' WHEN p >= 0.40 THEN 'medium' ELSE 'low' END AS band, CASE WHEN p >= 0.9 THEN 'very_high' WHEN p >= 0.7 THEN 'high' WHEN p >= 0.4 THEN 'medium' ELSE 'low' END AS bucket FROM gold WHERE p > 0")
+def temperature_scale(spark, sf):
+    rows = gold(spark, sf).where("p > 0")
+    return r6(rows.select("doc_id", N.tempered(F.col("p"), 1.5).alias("tempered"), N.band(F.col("p")).alias("band"), N.bucket(F.col("p")).alias("bucket")), "tempered")
+
+
+@query(
+    """WITH c AS (SELECT user_id, event_type, count(*) AS c FROM events GROUP BY ALL), r AS (SELECT *, c / sum(c) OVER (PARTITION BY user_id) AS share, row_number() OVER (PARTITION BY user_id ORDER BY c DESC, event_type) AS rn FROM c)
+SELECT user_id, event_type AS winner, c AS votes, round(share, 6) AS share FROM r WHERE rn = 1"""
+)
+def majority_vote(spark, sf):
+    return r6(evaluate.majority(table(spark, sf, "events"), item="user_id", label="event_type"), "share")
+
+
+@query("SELECT user_id, count(*) AS n FROM events GROUP BY user_id ORDER BY n DESC, user_id LIMIT 10")
+def top_notes(spark, sf):
+    """The ten most frequent notes (a top-k report)."""
+    return table(spark, sf, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "user_id").limit(10)
+
+
+# ---- policy ----------------------------------------------------------------------------------------------------
+
+
+@query(
+    f"""WITH {SCORE_RUNS_SQL}, r AS (SELECT run_id, rank, CASE failure_type WHEN 'R' THEN 0 WHEN 'A' THEN 1 ELSE 2 END AS tier, score AS weight FROM score_runs),
+o AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY tier, weight DESC, rank) AS rn, count(*) OVER (PARTITION BY run_id) AS n FROM r) SELECT run_id, rank AS primary_rank, tier, n - 1 AS alternatives FROM o WHERE rn = 1"""
+)
+def policy_rank(spark, sf):
+    """One primary a run by tier, weight and place, as an arg-min aggregate: no sort of the run's rows."""
+    tier = F.when(F.col("failure_type") == "R", 0).when(F.col("failure_type") == "A", 1).otherwise(2)
+    key = F.struct(tier.alias("tier"), (-F.col("score")).alias("w"), "rank")
+    out = score_runs(spark, sf).groupBy("run_id").agg(F.min(key).alias("k"), F.count(F.lit(1)).alias("n"))
+    return out.select("run_id", F.col("k.rank").alias("primary_rank"), F.col("k.tier").alias("tier"), (F.col("n") - 1).alias("alternatives"))
+
+
+@query(
+    f"""WITH {SCORE_RUNS_SQL}, s AS (SELECT *, CASE WHEN score < 0.2 THEN 'fail' WHEN score < 0.4 THEN 'uncertain' ELSE 'pass' END AS status FROM score_runs),
+k AS (SELECT *, coalesce(sum(CASE WHEN status = 'fail' THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s)
+SELECT run_id, count(*) FILTER (before = 0) AS evaluated, min(CASE WHEN status = 'fail' THEN rank END) AS first_fail, min(CASE WHEN status = 'uncertain' AND before = 0 THEN rank END) AS first_uncertain, count(*) FILTER (before > 0) AS downstream FROM k GROUP BY run_id"""
+)
+def ncv_first_fail(spark, sf):
+    """First failing node of each run, the nodes evaluated up to it, and those after it."""
+    status = F.when(F.col("score") < 0.2, "fail").when(F.col("score") < 0.4, "uncertain").otherwise("pass")
+    w = Window.partitionBy("run_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    k = score_runs(spark, sf).withColumn("status", status).withColumn("before", F.coalesce(F.sum((F.col("status") == "fail").cast("int")).over(w), F.lit(0)))
+    n = lambda c: F.sum(c.cast("long"))
+    return k.groupBy("run_id").agg(
+        n(F.col("before") == 0).alias("evaluated"), F.min(F.when(F.col("status") == "fail", F.col("rank"))).alias("first_fail"),
+        F.min(F.when((F.col("status") == "uncertain") & (F.col("before") == 0), F.col("rank"))).alias("first_uncertain"), n(F.col("before") > 0).alias("downstream"),
+    )
+
+
+@query(f"WITH {SCORE_RUNS_SQL} SELECT run_id, string_agg(failure_type || rank, '>' ORDER BY failure_type, rank) AS chain FROM score_runs WHERE score < 0.5 GROUP BY run_id")
+def failure_chain(spark, sf):
+    rows = score_runs(spark, sf).where("score < 0.5").groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("failure_type", "rank"))).alias("x"))
+    return rows.select("run_id", F.array_join(F.transform("x", lambda s: F.concat(s["failure_type"], s["rank"].cast("string"))), ">").alias("chain"))
+
+
+# ---- overlap, pages, logs --------------------------------------------------------------------------------------
+
+
+@query(
+    f"""WITH b AS (SELECT DISTINCT item_id, unnest({tok('text')}) AS t FROM benchmark), n AS (SELECT item_id, count(*) AS n FROM b GROUP BY item_id),
+d AS (SELECT DISTINCT source, unnest({tok('text')}) AS t FROM documents), m AS (SELECT d.source, b.item_id, count(*) AS shared FROM d JOIN b ON d.t = b.t GROUP BY ALL)
+SELECT m.source, m.item_id, shared, round(shared / n, 6) AS containment FROM m JOIN n ON m.item_id = n.item_id WHERE shared / n >= 0.9"""
+)
+def benchmark_leakage(spark, sf):
+    """Share of each item's tokens that a source holds: an equality join on distinct tokens."""
+    b = table(spark, sf, "benchmark").select("item_id", F.explode(X.tokens("text")).alias("t")).distinct()
+    d = table(spark, sf, "documents").select("source", F.explode(X.tokens("text")).alias("t")).distinct()
+    n = b.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
+    out = d.join(b, "t").groupBy("source", "item_id").agg(F.count(F.lit(1)).alias("shared")).join(n, "item_id").withColumn("containment", F.col("shared") / F.col("n"))
+    return r6(out.where("containment >= 0.9").select("source", "item_id", "shared", "containment"), "containment")
+
+
+@query(
+    r"""SELECT page_id, CAST(len(regexp_extract_all(html, '(?i)<h[1-6][ >]')) AS INTEGER) AS headings, CAST(len(regexp_extract_all(html, '(?i)<tr[ >]')) AS INTEGER) AS table_rows, CAST(len(regexp_extract_all(html, '(?i)<p[ >]')) AS INTEGER) AS paragraphs,
+  len(regexp_extract_all(html, '(?i)<p[ >]')) >= 3 AND len(regexp_extract_all(html, '(?i)<h[1-6][ >]')) <= 1 AS flattened FROM pages"""
+)
+def html_structure(spark, sf):
+    n = lambda p: F.regexp_count("html", F.lit(p))
+    h, p = n(r"(?i)<h[1-6][ >]"), n(r"(?i)<p[ >]")
+    return table(spark, sf, "pages").select("page_id", h.alias("headings"), n(r"(?i)<tr[ >]").alias("table_rows"), p.alias("paragraphs"), ((p >= 3) & (h <= 1)).alias("flattened"))
+
+
+@query("SELECT event_id, event_type FROM (SELECT event_id, event_type, ts FROM events ORDER BY ts DESC, event_id DESC LIMIT 10) ORDER BY ts, event_id")
+def audit_tail(spark, sf):
+    """The last ten entries of the log, in order (the tail is the feature)."""
+    return table(spark, sf, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(10).orderBy("ts", "event_id").select("event_id", "event_type")
+
+
+@query(
+    """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 12 HOUR THEN 0 ELSE 1 END AS new, event_id FROM events),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS burst FROM g) SELECT user_id, CAST(burst AS BIGINT) AS burst, count(*) AS n FROM s GROUP BY ALL"""
+)
+def session_bursts(spark, sf):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    gap = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag("ts").over(w).cast("timestamp"))
+    rows = table(spark, sf, "events").withColumn("new", F.when(gap <= 12 * 3600 * 1_000_000, 0).otherwise(1))
+    rows = rows.withColumn("burst", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.groupBy("user_id", "burst").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY ALL")
+def hourly_failures(spark, sf):
+    return table(spark, sf, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").cast("timestamp_ntz").alias("hour"), "event_type", "n")
+
+
+@query(
+    """WITH a AS (SELECT doc_id, 'gold' AS origin, quality AS label, 2 AS o FROM labels UNION ALL SELECT doc_id, 'heuristic', CAST(n_chars >= 500 AS INTEGER), 1 FROM documents)
+SELECT doc_id, arg_max(origin, o) AS origin, arg_max(label, o) AS label FROM a GROUP BY doc_id"""
+)
+def merged_labels(spark, sf):
+    """Two label sets in one, the gold one first."""
+    a = table(spark, sf, "labels").select("doc_id", F.lit("gold").alias("origin"), F.col("quality").alias("label"), F.lit(2).alias("o"))
+    b = table(spark, sf, "documents").select("doc_id", F.lit("heuristic").alias("origin"), (F.col("n_chars") >= 500).cast("int").alias("label"), F.lit(1).alias("o"))
+    x = a.unionByName(b).groupBy("doc_id").agg(F.max_by(F.struct("origin", "label"), "o").alias("x"))
+    return x.select("doc_id", "x.origin", "x.label")
+
+
+@query()
+def full_diagnosis(spark, sf):
+    """One explained diagnosis of every question and answer, with the conversation's other turns as retrieved chunks."""
+    return diagnose.diagnose(diagnose.conversation_runs(table(spark, sf, "conversations")), as_of="2026-01-01").select(
+        "run_id", "primary_failure", "stage", "security_risk", "confidence", F.to_json("results").alias("results"), "should_have_answered", "human_review"
+    )
