@@ -65,7 +65,7 @@ def with_features(runs: DataFrame, as_of: Column) -> DataFrame:
             "context": F.array_join(F.transform("chunks", lambda c: c["text"]), "\n"),
             "docs": F.transform("chunks", lambda c: c["source_doc_id"]),
             "scores": F.filter(F.transform("chunks", lambda c: c["score"]), lambda s: s.isNotNull()),
-            "claims": F.filter(W.sentences("final_answer"), lambda s: (F.size(F.split(s, r"\s+")) >= 3) & ~s.rlike(ABSTAIN)),
+            "claims": F.filter(W.sentences("final_answer"), lambda s: (F.size(F.split(s, r"\s+")) >= 3) & ~s.rlike(ABSTAIN) & ~s.rlike(UNSURE)),
         }
     )
     n = F.size("scores")
@@ -122,7 +122,7 @@ def analyzers() -> list[Column]:
     p = F.filter(F.array(*(count(v) / F.greatest(total, lit(1)) for v in ("entailed", "unsupported", "contradicted"))), lambda x: x > 0)
     entropy = -F.aggregate(p, lit(0.0), lambda a, x: a + x * F.log2(x))
     when, to_s = F.when, lambda a: F.transform(a, lambda x: x.cast("string"))
-    grounding = when(total == 0, "skip").when(failed / total >= 0.3, "fail").when(failed > 0, "warn").otherwise("pass")
+    grounding = when((total == 0) | (n == 0), "skip").when(failed / total >= 0.3, "fail").when(failed > 0, "warn").otherwise("pass")
     return [
         result(1, "parser", 0.85, "PARSING", when(pairs(n, lambda i, j: (j == i + 1) & (F.element_at("docs", i) == F.element_at("docs", j)) & ~F.element_at("chunks", i)["text"].rlike(r"[.!?:;]\s*$") & F.element_at("chunks", j)["text"].rlike(r"^\s*[a-z]")), "warn").otherwise("pass"), lit("CHUNKING_BOUNDARY_ERROR"), F.array(lit("a chunk breaks off inside a sentence"))),
         result(2, "sufficiency", 0.9, "SUFFICIENCY", when(n == 0, "fail").when(F.col("query").rlike(CURRENT) & F.col("context").rlike(DATED), "fail").when(~has_query, "skip").when(coverage < 0.3, "fail").otherwise("pass"), when((n > 0) & F.col("query").rlike(CURRENT) & F.col("context").rlike(DATED), "STALE_RETRIEVAL").otherwise("INSUFFICIENT_CONTEXT"), F.array(F.concat(lit("coverage "), F.round(coverage, 4).cast("string"))), coverage),
