@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import numbers as N
 from plumbline.functions import text as X
-from plumbline.operators import chunking, evaluate, scores, sources_of_truth, vectors
+from plumbline.functions import values
+from plumbline.operators import chunking, documents, evaluate, grounding, scores, sources_of_truth, vectors
 from plumbline.plans import diagnose
 from plumbline.sources.tables import AS_OF, GOLD_SQL, QA_RUNS_SQL, SCORE_RUNS_SQL, gold, qa_runs, score_runs, table
 
@@ -620,6 +621,88 @@ def merged_labels(spark, sf):
     return x.select("doc_id", "x.origin", "x.label")
 
 
+@query()
+def value_mentions(spark, sf):
+    """Numbers, money, dates and durations of every document, with their places (spans: no SQL)."""
+    return values.value_mentions(table(spark, sf, "documents"), key="doc_id")
+
+
+@query(
+    r"""WITH p AS (SELECT doc_id, source, text, n_chars, lang FROM documents)
+SELECT source, count(*) AS n, round(avg(CASE WHEN lang IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS has_lang, round(avg(CASE WHEN n_chars >= 200 THEN 1.0 ELSE 0.0 END), 6) AS long_enough,
+  round(avg(CASE WHEN regexp_matches(text, '[.!?:;]\s*$') THEN 1.0 ELSE 0.0 END), 6) AS whole FROM p GROUP BY source"""
+)
+def metadata_coverage(spark, sf):
+    checks = {"has_lang": F.col("lang").isNotNull(), "long_enough": F.col("n_chars") >= 200, "whole": F.col("text").rlike(r"[.!?:;]\s*$")}
+    return r6(documents.coverage(table(spark, sf, "documents"), checks, by="source"), *checks)
+
+
+@query(
+    r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '') AS w, text FROM documents)
+SELECT doc_id, round(coalesce(len(list_filter(w, lambda x: regexp_matches(x, '^[\d.,%$-]+$'))) / nullif(len(w), 0)::DOUBLE, 0), 6) AS numeric_ratio, len(regexp_extract_all(text, ' [-*•] ')) >= 3 OR len(regexp_extract_all(text, ' \d+[.)] ')) >= 4 AS flattened FROM w"""
+)
+def table_structure(spark, sf):
+    docs = table(spark, sf, "documents")
+    return r6(docs.select("doc_id", documents.numeric_ratio(F.col("text")).alias("numeric_ratio"), documents.flattened(F.col("text")).alias("flattened")), "numeric_ratio")
+
+
+@query("SELECT p_partkey AS table_id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 40)")
+def lost_tables(spark, sf):
+    parts = table(spark, sf, "part").select(F.col("p_partkey").alias("table_id"))
+    chunks = table(spark, sf, "lineitem").where("l_quantity > 40").select(F.array("l_partkey").alias("source_table_ids"))
+    return documents.lost_tables(parts, chunks)
+
+
+@query(
+    f"""WITH {SCORE_RUNS_SQL} SELECT run_id, rank, CASE WHEN failure_type = 'N' THEN 'missing' WHEN doc_id % 11 = 0 THEN 'phantom' WHEN score < 0.1 THEN 'contradicted' WHEN score >= 0.9 THEN 'full' WHEN score >= 0.7 THEN 'partial' WHEN score >= 0.6 THEN 'unsupported'
+  WHEN score >= 0.5 THEN 'full' WHEN score >= 0.4 THEN 'partial' WHEN score >= 0.2 THEN 'unsupported' ELSE 'unknown' END AS label FROM score_runs"""
+)
+def citation_ladder(spark, sf):
+    s = F.col("score")
+    label = grounding.citation_label(cited=F.col("failure_type") != "N", phantom=F.col("doc_id") % 11 == 0, contradicted=s < 0.1, exact=s >= 0.9, partial=s >= 0.7, uncited_support=s >= 0.6, doc_precise=s >= 0.5, doc_overlap=s >= 0.4, elsewhere=s >= 0.3, unsupported=s >= 0.2)
+    return score_runs(spark, sf).select("run_id", "rank", label.alias("label"))
+
+
+@query(
+    f"""WITH {SCORE_RUNS_SQL}, c AS (SELECT run_id, failure_type AS cause, count(*) AS n, count(*) FILTER (score > 0.5) AS k FROM score_runs GROUP BY ALL),
+s AS (SELECT run_id, cause, least(1, greatest(0, least(0.35, 0.15 * n) + 0.25 + least(0.20, 0.05 * k) + least(0.10, 0.03 * n) - least(0.20, 0.10 * (n - k)) - least(0.20, 0.07 * 0))) AS score FROM c),
+r AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY round(score, 9) DESC, cause) AS rn FROM s WHERE score >= 0.3)
+SELECT run_id, max(CASE WHEN rn = 1 THEN cause END) AS primary_cause, coalesce(string_agg(cause, ',' ORDER BY rn) FILTER (rn > 1), '') AS secondary FROM r GROUP BY run_id"""
+)
+def cause_attribution(spark, sf):
+    c = score_runs(spark, sf).groupBy("run_id", F.col("failure_type").alias("cause")).agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("score") > 0.5).cast("long")).alias("k"))
+    s = c.select("run_id", "cause", F.round(grounding.cause_score(F.col("n"), F.col("k"), F.col("n"), F.col("n") - F.col("k"), F.lit(0)), 9).alias("score"))
+    return grounding.causes(s).select("run_id", "primary_cause", F.array_join("secondary_causes", ",").alias("secondary"))
+
+
+@query(
+    f"""WITH {SCORE_RUNS_SQL}, s AS (SELECT run_id, doc_id, arg_max(failure_type, rank) AS external_label FROM score_runs WHERE score > 0.3 GROUP BY run_id, doc_id)
+SELECT c.run_id, c.rank, s.external_label FROM score_runs c LEFT JOIN s ON c.run_id = s.run_id AND c.doc_id = s.doc_id"""
+)
+def external_relevance(spark, sf):
+    """The last external signal about each chunk."""
+    rows = score_runs(spark, sf)
+    signals = rows.where("score > 0.3").select("run_id", F.array("doc_id").alias("affected_chunk_ids"), F.col("failure_type").alias("label"), F.col("rank").alias("pos"))
+    return grounding.external_relevance(rows, signals, chunk="doc_id").select("run_id", "rank", "external_label")
+
+
+@query(
+    rf"""WITH {QA_RUNS_SQL} SELECT conv_id, turn, CASE WHEN regexp_matches(lower(query), 'how (many|much)') THEN CASE WHEN regexp_matches(answer, '\d') THEN 'match' ELSE 'mismatch' END
+  WHEN regexp_matches(lower(query), '^(is|are|was|were|do|does|did|can|could|will|should|has|have)\b') THEN CASE WHEN regexp_matches(lower(answer), '^(yes|no)\b') THEN 'match' ELSE 'mismatch' END ELSE 'uncertain' END AS verdict FROM qa_runs WHERE NOT regexp_matches(lower(query), '\b(when|who|where)\b')"""
+)
+def answer_type(spark, sf):
+    rows = qa_runs(spark, sf).where(~F.lower("query").rlike(r"\b(when|who|where)\b"))
+    return rows.select("conv_id", "turn", X.answer_type(F.col("query"), F.col("answer")).alias("verdict"))
+
+
+@query("SELECT user_id, event_type, count(*) AS n FROM events WHERE value > 50 GROUP BY ALL UNION ALL SELECT user_id, 'total', count(*) FROM events WHERE value > 50 GROUP BY user_id")
+def suite_breakdown(spark, sf):
+    """Counts by category and in total, in one pass by grouping sets."""
+    rows = table(spark, sf, "events").where("value > 50")
+    out = rows.groupingSets([[F.col("user_id"), F.col("event_type")], [F.col("user_id")]], "user_id", "event_type").agg(F.count(F.lit(1)).alias("n"), F.grouping("event_type").alias("g"))
+    return out.select("user_id", F.when(F.col("g") == 1, "total").otherwise(F.col("event_type")).alias("event_type"), "n")
+
+
 @query()
 def full_diagnosis(spark, sf):
     """One explained diagnosis of every question and answer, with the conversation's other turns as retrieved chunks."""
