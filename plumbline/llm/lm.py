@@ -180,23 +180,33 @@ def shard_of_pair(v: np.ndarray, w: np.ndarray, cv: np.ndarray, model: dict) ->
     return (own + w * parts // max(1, model["V"])) % n
 
 
+class Numbered(dict):
+    """Numbers words as they are first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        k = self[word] = len(self)
+        return k
+
+
 class Vocabulary:
-    """A worker's table of the words it met: ids and counts from level 1, kept up to a bounded number."""
+    """A worker's table of the words it met: ids, counts and log10 base probabilities from level 1, kept up to a bounded number."""
 
     def __init__(self, words: Words):
-        self.words, self.index = words, {}
-        self.ids, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.words, self.index = words, Numbered()
+        self.ids, self.counts, self.base = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
 
-    def look(self, flat: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def look(self, texts: list[list[bytes]], total: int) -> np.ndarray:
+        """The place in the table of each word of the texts, one after another."""
         if len(self.index) > KEEP:
             self.__init__(self.words)
-        new = list(set(flat).difference(self.index))
-        if new:
-            ids, counts = self.words.find(np.fromiter(map(word_hash, new), np.uint64, len(new)))
-            self.index.update(zip(new, range(len(self.ids), len(self.ids) + len(new))))
+        old = len(self.index)
+        at = np.fromiter(map(self.index.__getitem__, itertools.chain.from_iterable(texts)), np.int64, total)
+        if len(self.index) > old:
+            new = itertools.islice(self.index, old, None)
+            ids, counts = self.words.find(np.fromiter(map(word_hash, new), np.uint64, len(self.index) - old))
             self.ids, self.counts = np.concatenate([self.ids, ids]), np.concatenate([self.counts, counts])
-        at = np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat))
-        return self.ids[at], self.counts[at]
+            self.base = np.concatenate([self.base, np.log10(self.words.p(counts))])
+        return at
 
 
 def steps(batches, text: int, fold: int | None = None):
@@ -259,7 +269,8 @@ def train(docs: DataFrame, *, text: str = "text", fold: str = "fold") -> dict:
             if not own:
                 continue
             lengths = np.fromiter(map(len, own), np.int64, len(own))
-            ids, _ = vocabulary.look(list(itertools.chain.from_iterable(own)))
+            at = vocabulary.look(own, int(lengths.sum()))
+            ids = vocabulary.ids[at]
             v = contexts(ids, lengths, V)
             keys, counts = np.unique(v.astype(np.uint64) * np.uint64(V) + ids.astype(np.uint64), return_counts=True)
             v, w = (keys // np.uint64(V)).astype(np.int64), (keys % np.uint64(V)).astype(np.int64)
@@ -388,10 +399,10 @@ def score(docs: DataFrame, model: dict, *, text: str = "text") -> DataFrame:
         vocabulary = Vocabulary(trie.words)
         for b, i, j, own in steps(batches, len(out)):
             lengths = np.fromiter(map(len, own), np.int64, len(own))
-            ids, counts = vocabulary.look(list(itertools.chain.from_iterable(own)))
+            at = vocabulary.look(own, int(lengths.sum()))
+            ids, counts, base = vocabulary.ids[at], vocabulary.counts[at], vocabulary.base[at]
             starts = np.cumsum(lengths) - lengths
             each = lambda x: np.add.reduceat(x, starts)
-            base = np.log10(trie.words.p(counts))
             cols = [lengths, each((counts > 0).astype(np.int64)), np.full(len(own), model["N"]), each(base), each(trie.score(ids, counts, base, lengths))]
             yield pa.RecordBatch.from_arrays([*b.slice(i, j - i).columns[:-1], *(pa.array(x, pa.int64()) for x in cols[:3]), *(pa.array(x, pa.float64()) for x in cols[3:])], schema.names)
 
