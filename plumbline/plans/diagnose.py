@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import taxonomy as X
@@ -24,18 +24,23 @@ CURRENT = r"(?i)\b(current|currently|latest|today|now|recent|up.to.date)\b"
 DATED = r"(?i)\b(as of|since|dated)\s+\d{4}\b"
 
 
-def conversation_runs(turns: DataFrame) -> DataFrame:
-    """Runs from a conversation table: a user's turn and its answer, with the conversation's assistant turns as chunks."""
-    ordered = F.array_sort(F.collect_list(F.struct("turn", "text")))
+def conversation_runs(turns: DataFrame, chunks: int = 8) -> DataFrame:
+    """Runs from a conversation table: a user's turn and its answer, with the assistant's turns among the ``chunks`` turns up to it as retrieved chunks.
+
+    One shuffle by conversation serves the order, the next turn and the chunks; a run's array is bounded however long its conversation is.
+    """
+    parts = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    near = F.collect_list(F.struct("turn", "role", "text")).over(w.rowsBetween(-chunks, 1))
+    next_ = lambda c: F.lead(c).over(w)
+    rows = turns.select("conv_id", "turn", "role", "text").repartition(parts, "conv_id").select("*", near.alias("near"), next_("role").alias("next_role"), next_("turn").alias("next_turn"), next_("text").alias("final_answer"))
+    rows = rows.where("role = 'user' AND next_role = 'assistant' AND next_turn = turn + 1")
     chunk = lambda x: F.struct(
         F.concat_ws("-", "conv_id", x["turn"]).alias("chunk_id"), x["text"].alias("text"), F.concat(F.lit("doc"), x["turn"]).alias("source_doc_id"), F.lit(None).cast("double").alias("score"), F.expr("CAST(map() AS map<string,string>)").alias("metadata")
     )
-    chunks = turns.where("role = 'assistant'").groupBy("conv_id").agg(ordered.alias("x")).select("conv_id", F.transform("x", chunk).alias("retrieved_chunks"))
-    ask = turns.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("query"))
-    say = turns.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("final_answer"))
-    runs = ask.join(say, ["conv_id", "turn"]).join(chunks, "conv_id")
-    return runs.select(
-        F.concat_ws("-", "conv_id", "turn").alias("run_id"), "query", "retrieved_chunks", "final_answer", F.array(F.concat(F.lit("doc"), F.col("turn") + 1), F.concat(F.lit("doc"), F.col("turn") + 7)).alias("cited_doc_ids"),
+    return rows.select(
+        F.concat_ws("-", "conv_id", "turn").alias("run_id"), F.col("text").alias("query"), F.transform(F.filter("near", lambda x: x["role"] == "assistant"), chunk).alias("retrieved_chunks"), "final_answer",
+        F.array(F.concat(F.lit("doc"), F.col("turn") + 1), F.concat(F.lit("doc"), F.col("turn") + 7)).alias("cited_doc_ids"),
         F.lit(None).cast("double").alias("answer_confidence"), F.expr("CAST(array() AS array<struct<doc_id:string,text:string,timestamp:timestamp,metadata:map<string,string>>>)").alias("corpus_entries"),
         F.expr("CAST(map() AS map<string,string>)").alias("metadata"), F.lit(None).cast("timestamp").alias("created_at"),
     )
@@ -97,13 +102,13 @@ def claim_label(claim: Column) -> Column:
     return F.when((cover >= 0.5) & (denied != denies) & (cover < 0.9), "contradicted").when(cover >= 0.5, "entailed").otherwise("unsupported")
 
 
-def analyzers() -> list[Column]:
-    lit = F.lit
+def facts() -> dict[str, Column]:
+    """What several analyzers or several fields of one use, computed once a row."""
     n = F.size("chunks")
     irrelevant, relevant = (F.size(F.filter("ratios", f)) for f in (lambda r: r == 0, lambda r: r >= 0.1))
-    quoted = F.filter(F.regexp_extract_all("query", lit("""['"]([^'"]{3,80})['"]"""), lit(1)), lambda e: ~F.contains(F.lower("context"), F.lower(e)))
+    quoted = F.filter(F.regexp_extract_all("query", F.lit("""['"]([^'"]{3,80})['"]"""), F.lit(1)), lambda e: ~F.contains(F.lower("context"), F.lower(e)))
     has_query = F.size("q") > 0
-    coverage = F.coalesce(W.overlap(F.col("q"), F.col("context_terms")), lit(0.0))
+    coverage = F.coalesce(W.overlap(F.col("q"), F.col("context_terms")), F.lit(0.0))
     phantom = F.filter(F.coalesce("cited_doc_ids", F.array().cast("array<string>")), lambda d: ~F.array_contains("docs", d))
     total = F.size("claims")
     count = lambda v: F.size(F.filter("labels", lambda x: x == v))
@@ -119,9 +124,23 @@ def analyzers() -> list[Column]:
     everything = F.concat_ws("\n", "query", "final_answer", "context")
     denied = lambda t: F.size(F.array_intersect(t, F.array(*map(F.lit, NEGATION)))) > 0
     conflict = pairs(n, lambda i, j: (F.size(F.array_intersect(F.element_at("chunk_terms", i), F.element_at("chunk_terms", j))) >= 4) & (denied(F.element_at("chunk_terms", i)) != denied(F.element_at("chunk_terms", j))))
-    p = F.filter(F.array(*(count(v) / F.greatest(total, lit(1)) for v in ("entailed", "unsupported", "contradicted"))), lambda x: x > 0)
-    entropy = -F.aggregate(p, lit(0.0), lambda a, x: a + x * F.log2(x))
-    when, to_s = F.when, lambda a: F.transform(a, lambda x: x.cast("string"))
+    p = F.filter(F.array(*(count(v) / F.greatest(total, F.lit(1)) for v in ("entailed", "unsupported", "contradicted"))), lambda x: x > 0)
+    entropy = -F.aggregate(p, F.lit(0.0), lambda a, x: a + x * F.log2(x))
+    return {
+        "x_irrelevant": irrelevant, "x_relevant": relevant, "x_quoted": quoted, "x_coverage": coverage, "x_phantom": phantom, "x_entailed": count("entailed"), "x_contradicted": count("contradicted"),
+        "x_near": near, "x_injected": F.transform(injected, lambda c: c["chunk_id"]), "x_steering": steering, "x_hard": hard | high, "x_private": W.privacy_request(F.col("query")) | W.medical_privacy(everything),
+        "x_conflict": conflict, "x_entropy": entropy, "x_odd": z | cliff,
+    }
+
+
+def analyzers() -> list[Column]:
+    lit, when = F.lit, F.when
+    n, total = F.size("chunks"), F.size("claims")
+    has_query = F.size("q") > 0
+    irrelevant, relevant, quoted, coverage, phantom, near, injected, steering, conflict, entropy = (F.col(f"x_{c}") for c in ("irrelevant", "relevant", "quoted", "coverage", "phantom", "near", "injected", "steering", "conflict", "entropy"))
+    hard, private, odd = F.col("x_hard"), F.col("x_private"), F.col("x_odd")
+    failed = total - F.col("x_entailed")
+    count = lambda v: F.col(f"x_{v}")
     grounding = when((total == 0) | (n == 0), "skip").when(failed / total >= 0.3, "fail").when(failed > 0, "warn").otherwise("pass")
     return [
         result(1, "parser", 0.85, "PARSING", when(pairs(n, lambda i, j: (j == i + 1) & (F.element_at("docs", i) == F.element_at("docs", j)) & ~F.element_at("chunks", i)["text"].rlike(r"[.!?:;]\s*$") & F.element_at("chunks", j)["text"].rlike(r"^\s*[a-z]")), "warn").otherwise("pass"), lit("CHUNKING_BOUNDARY_ERROR"), F.array(lit("a chunk breaks off inside a sentence"))),
@@ -131,10 +150,10 @@ def analyzers() -> list[Column]:
         result(6, "staleness", 0.95, "RETRIEVAL", when(F.size("stale") > 0, "fail").otherwise("pass"), lit("STALE_RETRIEVAL"), F.col("stale")),
         result(7, "citations", 1.0, "RETRIEVAL", when(F.size(F.coalesce("cited_doc_ids", F.array().cast("array<string>"))) == 0, "skip").when(F.size(phantom) > 0, "fail").otherwise("pass"), lit("CITATION_MISMATCH"), phantom),
         result(8, "inconsistency", 0.5, "RETRIEVAL", when(conflict, "warn").otherwise("pass"), lit("INCONSISTENT_CHUNKS"), F.array(lit("chunks with shared terms differ in negation"))),
-        result(14, "anomaly", 0.7, "RETRIEVAL", when(near, "fail").when(z | cliff, "warn").otherwise("pass"), lit("RETRIEVAL_ANOMALY"), F.array(when(near, "near-duplicate chunks").otherwise("score outlier"))),
-        result(15, "injection", 1.0, "SECURITY", when(F.size(injected) > 0, "fail").otherwise("pass"), lit("PROMPT_INJECTION"), F.transform(injected, lambda c: c["chunk_id"]), None, when(F.size(injected) > 0, "HIGH").otherwise("NONE")),
-        result(16, "poisoning", 0.95, "SECURITY", when((F.size(steering) > 0) & (hard | high), "fail").when(F.size(steering) > 0, "warn").otherwise("pass"), lit("SUSPICIOUS_CHUNK"), steering, None, when((F.size(steering) > 0) & (hard | high), "HIGH").when(F.size(steering) > 0, "LOW").otherwise("NONE")),
-        result(17, "privacy", 1.0, "SECURITY", when(W.privacy_request(F.col("query")) | W.medical_privacy(everything), "fail").otherwise("pass"), lit("PRIVACY_VIOLATION"), F.array(lit("the query asks for a person's data")), None, when(W.privacy_request(F.col("query")) | W.medical_privacy(everything), "MEDIUM").otherwise("NONE")),
+        result(14, "anomaly", 0.7, "RETRIEVAL", when(near, "fail").when(odd, "warn").otherwise("pass"), lit("RETRIEVAL_ANOMALY"), F.array(when(near, "near-duplicate chunks").otherwise("score outlier"))),
+        result(15, "injection", 1.0, "SECURITY", when(F.size(injected) > 0, "fail").otherwise("pass"), lit("PROMPT_INJECTION"), injected, None, when(F.size(injected) > 0, "HIGH").otherwise("NONE")),
+        result(16, "poisoning", 0.95, "SECURITY", when((F.size(steering) > 0) & hard, "fail").when(F.size(steering) > 0, "warn").otherwise("pass"), lit("SUSPICIOUS_CHUNK"), steering, None, when((F.size(steering) > 0) & hard, "HIGH").when(F.size(steering) > 0, "LOW").otherwise("NONE")),
+        result(17, "privacy", 1.0, "SECURITY", when(private, "fail").otherwise("pass"), lit("PRIVACY_VIOLATION"), F.array(lit("the query asks for a person's data")), None, when(private, "MEDIUM").otherwise("NONE")),
         result(19, "uncertainty", 1.0, "CONFIDENCE", when(F.col("final_answer").rlike(UNSURE), "fail").when(total == 0, "skip").when(entropy < 0.5, "pass").when(entropy <= 1.2, "warn").otherwise("fail"), lit("LOW_CONFIDENCE"), F.array(F.concat(lit("entropy "), F.round(entropy, 4).cast("string"))), entropy),
     ]
 
@@ -165,7 +184,7 @@ def primary(results: Column, rules=RULES) -> Column:
 
 def diagnose(runs: DataFrame, *, as_of: str) -> DataFrame:
     """``run_id`` and the diagnosis of each run: primary failure, stage, risk, confidence, results and review."""
-    out = with_features(runs, F.lit(as_of).cast("timestamp")).withColumn("results", F.array(*analyzers()))
+    out = with_features(runs, F.lit(as_of).cast("timestamp")).withColumns(facts()).withColumn("results", F.array(*analyzers()))
     out = out.withColumn("winner", F.get(F.array(primary(F.col("results"))), 0))
     warned = F.get(F.filter("results", lambda r: (r["status"] == "warn") & r["failure_type"].isin("RETRIEVAL_ANOMALY", "CHUNKING_BOUNDARY_ERROR")), 0)
     failure = F.coalesce(F.col("winner.failure_type"), warned["failure_type"], F.lit("CLEAN"))
