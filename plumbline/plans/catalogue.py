@@ -707,5 +707,5 @@ def suite_breakdown(spark, sf):
 def full_diagnosis(spark, sf):
     """One explained diagnosis of every question and answer, with the conversation's other turns as retrieved chunks."""
     return diagnose.diagnose(diagnose.conversation_runs(table(spark, sf, "conversations")), as_of="2026-01-01").select(
-        "run_id", "primary_failure", "stage", "security_risk", "confidence", F.to_json("results").alias("results"), "should_have_answered", "human_review"
+        "run_id", "primary_failure", "stage", "security_risk", "confidence", F.to_json("results").alias("results"), "first_failing_node", "pipeline_health", F.array_join("also_considered", ",").alias("also_considered"), "failure_chain", "remedy", "should_have_answered", "human_review"
     )

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import taxonomy as X
 from plumbline.functions import text as W
+from plumbline.operators.documents import missing_items
 
 RESULT = "struct<analyzer:string,at:int,weight:double,status:string,failure_type:string,stage:string,score:double,security_risk:string,evidence:array<string>>"
 NEGATION = ("not", "never", "cannot", "no")
@@ -85,21 +86,22 @@ def with_features(runs: DataFrame, as_of: Column) -> DataFrame:
             "spread": spread,
             "context_terms": context_terms,
             "stale": F.filter(known, lambda d: entry(d)["timestamp"] < as_of - F.expr("INTERVAL 180 DAYS")),
-            "labels": F.transform("claims", claim_label),
+            "verified": F.transform("claims", claim_label),
         }
     )
-    return out
+    return out.withColumns({"labels": F.transform("verified", lambda v: v["label"]), "support": F.transform("verified", lambda v: F.get("docs", v["chunk"]))})
 
 
 def claim_label(claim: Column) -> Column:
-    """entailed, contradicted or unsupported by the three chunks that share most terms with the claim."""
+    """(label, chunk): entailed, contradicted or unsupported by the three chunks that share most terms with the claim, and the first of them."""
     terms = W.content_terms(claim)
     near = F.slice(F.reverse(F.array_sort(F.transform("chunk_terms", lambda t, i: F.struct(F.size(F.array_intersect(terms, t)).alias("n"), (-i).alias("i"), t.alias("t"))))), 1, 3)
     best = F.array_distinct(F.flatten(F.transform(near, lambda x: x["t"])))
     denied = F.size(F.array_intersect(best, F.array(*map(F.lit, NEGATION)))) > 0
     denies = claim.rlike(r"(?i)\b(not|never|cannot|no longer)\b")
     cover = F.coalesce(W.overlap(W.terms(claim), best), F.lit(0.0))
-    return F.when((cover >= 0.5) & (denied != denies) & (cover < 0.9), "contradicted").when(cover >= 0.5, "entailed").otherwise("unsupported")
+    label = F.when((cover >= 0.5) & (denied != denies) & (cover < 0.9), "contradicted").when(cover >= 0.5, "entailed").otherwise("unsupported")
+    return F.struct(label.alias("label"), (-F.get(near, 0)["i"]).cast("int").alias("chunk"))
 
 
 def facts() -> dict[str, Column]:
@@ -158,6 +160,79 @@ def analyzers() -> list[Column]:
     ]
 
 
+#: What a source's metadata or text says of its validity, the gravest first; the rest of the ladder is in operators/sources_of_truth.py.
+INVALID = ("withdrawn", "superseded", "replaced", "deprecated", "expired")
+NODES = ("query_understanding", "retrieval_coverage", "retrieval_precision", "context_assembly", "version_validity", "claim_support", "citation_support", "answer_completeness", "security", "confidence")
+
+
+def status_of(name: str) -> Column:
+    """An analyzer's status among the first results."""
+    return F.get(F.filter("results", lambda r: r["analyzer"] == name), 0)["status"]
+
+
+def later_facts() -> dict[str, Column]:
+    """What the analyzers that read others' results use."""
+    cited = F.coalesce("cited_doc_ids", F.array().cast("array<string>"))
+    claims = F.arrays_zip("labels", "support")
+    entailed = F.filter(claims, lambda c: c["labels"] == "entailed")
+    said = F.transform("chunks", lambda c: F.struct(c["source_doc_id"].alias("doc"), F.coalesce(F.lower(F.element_at(c["metadata"], F.lit("status"))), W.lifecycle(c["text"])).alias("state")))
+    invalid = F.filter(said, lambda x: x["state"].isin(*INVALID))
+    n = F.size("chunks")
+    return {
+        "y_cited": cited,
+        "y_uncited": F.filter(entailed, lambda c: ~F.array_contains(cited, c["support"])),
+        "y_entailed": F.size(entailed),
+        "y_invalid": F.array_distinct(F.transform(invalid, lambda x: F.concat_ws(": ", x["doc"], x["state"]))),
+        "y_invalid_used": F.exists(invalid, lambda x: F.array_contains(cited, x["doc"]) | F.array_contains(F.transform(entailed, lambda c: c["support"]), x["doc"])),
+        "y_noise": F.try_divide(F.col("x_irrelevant").cast("double"), n),
+        "y_missing": missing_items(F.col("query"), F.col("final_answer")),
+        "y_score": F.least(F.greatest(F.lit(1.0) - F.when(F.col("mean") < 0.5, 0.1).otherwise(0.0) * (F.size("scores") > 0).cast("int") - F.aggregate("results", F.lit(0.0), lambda a, r: a + F.when(r["status"] == "fail", F.when(r["security_risk"] == "HIGH", 0.2).otherwise(0.1)).when(r["status"] == "warn", 0.05).otherwise(0.0)), F.lit(0.0)), F.lit(1.0)),
+        "y_sure": F.col("final_answer").rlike(r"(?i)\b(definitely|certainly|without doubt|guaranteed|always)\b"),
+    }
+
+
+def later_analyzers() -> list[Column]:
+    lit, when = F.lit, F.when
+    n = F.size("chunks")
+    uncited, cited = F.size("y_uncited"), F.size("y_cited")
+    failed = lambda name: F.coalesce(status_of(name) == "fail", lit(False))
+    faithful = when((F.col("y_entailed") == 0) | (cited == 0), "skip").when(uncited == F.col("y_entailed"), "fail").when(uncited > 0, "warn").otherwise("pass")
+    noisy = when((F.col("y_noise") >= 0.9) & (n >= 5), "fail").when((F.col("y_noise") >= 0.5) & (n >= 2), "warn").otherwise("pass")
+    cause = when(failed("citations"), "CITATION_MISMATCH").when(failed("staleness") | F.col("y_invalid_used"), "STALE_RETRIEVAL").when(n == 0, "INSUFFICIENT_CONTEXT").when(noisy == "fail", "SCOPE_VIOLATION")
+    return [
+        result(4, "claim_sufficiency", 0.9, "SUFFICIENCY", when(F.size("claims") == 0, "skip").otherwise("pass"), lit("INSUFFICIENT_CONTEXT"), F.array(), F.try_divide(F.col("y_entailed").cast("double"), F.size("claims"))),
+        result(9, "citation_faithfulness", 0.7, "GROUNDING", faithful, lit("POST_RATIONALIZED_CITATION"), F.transform("y_uncited", lambda c: F.concat(lit("supported by an uncited source: "), c["support"]))),
+        result(10, "validity", 0.65, "RETRIEVAL", when(F.col("y_invalid_used"), "fail").when(F.size("y_invalid") > 0, "warn").otherwise("pass"), lit("STALE_RETRIEVAL"), F.col("y_invalid")),
+        result(11, "retrieval", 0.7, "RETRIEVAL", when(cause.isNotNull(), "fail").when(noisy == "warn", "warn").otherwise("pass"), F.coalesce(cause, lit("SCOPE_VIOLATION")), F.array(F.concat(lit("irrelevant share "), F.round("y_noise", 4).cast("string")))),
+        result(21, "confidence", 1.0, "CONFIDENCE", when(F.col("y_score") < 0.4, "fail").when(F.col("y_score") < 0.6, "warn").otherwise("pass"), lit("LOW_CONFIDENCE"), F.array(F.concat(lit("score "), F.round("y_score", 2).cast("string"))), F.round("y_score", 2)),
+        result(22, "depth", 0.98, "RETRIEVAL", when((F.size("y_missing") > 0) & (F.size(missing_items(F.col("query"), F.col("context"))) > 0), "fail").otherwise("pass"), lit("RETRIEVAL_DEPTH_LIMIT"), F.transform("y_missing", lambda i: F.concat(lit("item "), i.cast("string")))),
+        result(23, "answer", 0.95, "GENERATION", when((F.size("y_missing") > 0) & (F.size(missing_items(F.col("query"), F.col("context"))) == 0), "fail").when(F.col("y_sure") & F.exists("scores", lambda s: s < 0.5), "warn").otherwise("pass"), lit("GENERATION_IGNORE"), F.transform("y_missing", lambda i: F.concat(lit("item "), i.cast("string")))),
+    ]
+
+
+def nodes() -> Column:
+    """The verifier's nodes in order, each pass, uncertain, fail or skip."""
+    when = F.when
+    three = lambda name: when(status_of(name) == "fail", "fail").when(status_of(name) == "warn", "uncertain").when(status_of(name) == "skip", "skip").otherwise("pass")
+    kind = W.answer_type(F.col("query"), F.col("final_answer"))
+    security = when(F.exists("results", lambda r: (r["stage"] == "SECURITY") & (r["status"] == "fail")), "fail").otherwise("pass")
+    found = (
+        when(F.size("q") == 0, "fail").otherwise("pass"), when(F.size("chunks") == 0, "fail").otherwise(three("sufficiency")), three("scope"),
+        when(F.col("x_near") | F.col("x_conflict"), "uncertain").otherwise("pass"), three("staleness"), three("grounding"), three("citations"),
+        when((kind == "mismatch") | (F.size("y_missing") > 0), "fail").when(kind == "uncertain", "uncertain").otherwise("pass"), security, three("uncertainty"),
+    )
+    return F.array(*(F.struct(F.lit(i).alias("place"), F.lit(name).alias("node"), s.alias("status")) for i, (name, s) in enumerate(zip(NODES, found))))
+
+
+#: What to do about a failure.
+REMEDY = {
+    "STALE_RETRIEVAL": "refresh the index or filter by date", "SCOPE_VIOLATION": "check the query's preparation and the index", "CITATION_MISMATCH": "let answers cite retrieved documents only",
+    "INCONSISTENT_CHUNKS": "look for contradictions among the chunks", "INSUFFICIENT_CONTEXT": "retrieve more or abstain", "UNSUPPORTED_CLAIM": "drop claims without evidence",
+    "CONTRADICTED_CLAIM": "drop claims that the evidence denies", "PROMPT_INJECTION": "filter instructions from retrieved text", "SUSPICIOUS_CHUNK": "set the document aside and check its origin",
+    "RETRIEVAL_ANOMALY": "look for duplicates and broken scores", "PRIVACY_VIOLATION": "refuse or redact", "LOW_CONFIDENCE": "abstain or ask a person", "CHUNKING_BOUNDARY_ERROR": "cut chunks at sentences and sections",
+    "POST_RATIONALIZED_CITATION": "ask for quotations of the text used", "RETRIEVAL_DEPTH_LIMIT": "retrieve more candidates", "GENERATION_IGNORE": "tighten the grounding instructions", "CLEAN": "nothing to do",
+}
+
 #: (winner now, root cause that takes its place), in sequence: each rule sees the winner before it.
 RULES = (
     ("POST_RATIONALIZED_CITATION", "CITATION_MISMATCH"),
@@ -171,7 +246,7 @@ RULES = (
 
 def primary(results: Column, rules=RULES) -> Column:
     """The failure that explains the run: the first by tier, specificity, weight, priority and place, after the rules."""
-    failed = F.filter(results, lambda r: (r["status"] == "fail") & r["failure_type"].isNotNull() & (r["analyzer"] != "inconsistency"))
+    failed = F.filter(results, lambda r: (r["status"] == "fail") & r["failure_type"].isNotNull() & ~r["analyzer"].isin("inconsistency", "confidence"))
     key = lambda r: F.struct(X.tier(r["failure_type"]).alias("t"), (-X.specificity(r["failure_type"])).alias("s"), (-r["weight"]).alias("w"), X.place(r["failure_type"], X.PRIORITY).alias("p"), r["at"].alias("at"), r.alias("r"))
     first = F.get(F.array_sort(F.transform(failed, key)), 0)["r"]
 
@@ -185,12 +260,21 @@ def primary(results: Column, rules=RULES) -> Column:
 def diagnose(runs: DataFrame, *, as_of: str) -> DataFrame:
     """``run_id`` and the diagnosis of each run: primary failure, stage, risk, confidence, results and review."""
     out = with_features(runs, F.lit(as_of).cast("timestamp")).withColumns(facts()).withColumn("results", F.array(*analyzers()))
+    out = out.withColumns(later_facts()).withColumns({"nodes": nodes(), "results": F.concat("results", F.array(*later_analyzers()))})
     out = out.withColumn("winner", F.get(F.array(primary(F.col("results"))), 0))
     warned = F.get(F.filter("results", lambda r: (r["status"] == "warn") & r["failure_type"].isin("RETRIEVAL_ANOMALY", "CHUNKING_BOUNDARY_ERROR")), 0)
     failure = F.coalesce(F.col("winner.failure_type"), warned["failure_type"], F.lit("CLEAN"))
     risk = F.get(F.reverse(F.array_sort(F.transform("results", lambda r: F.struct(X.place(r["security_risk"], X.RISKS).alias("o"), r["security_risk"].alias("r"))))), 0)["r"]
     known = F.filter(F.transform("results", lambda r: F.when(r["analyzer"] != "uncertainty", r["score"])), lambda s: s.isNotNull())
     mean = F.try_divide(F.aggregate(known, F.lit(0.0), lambda a, s: a + s), F.size(known))
-    out = out.select("run_id", "created_at", failure.alias("primary_failure"), F.coalesce(F.col("winner.stage"), warned["stage"], F.lit("UNKNOWN")).alias("stage"), risk.alias("security_risk"), F.round(mean, 6).alias("confidence"), "results")
+    failing = F.get(F.filter("nodes", lambda x: x["status"] == "fail"), 0)
+    others = F.array_distinct(F.filter(F.transform("results", lambda r: r["failure_type"]), lambda f: f.isNotNull() & (f != F.coalesce(failure, F.lit("")))))
+    chain = F.transform(F.array_sort(F.transform(F.filter("results", lambda r: r["status"] == "fail"), lambda r: F.struct(X.place(r["stage"], X.STAGES).alias("o"), r["at"].alias("at"), F.concat_ws(":", r["stage"], r["failure_type"]).alias("s")))), lambda x: x["s"])
+    remedy = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in REMEDY.items() for x in kv)), failure), F.lit("look at the results"))
+    ok = F.size(F.filter("nodes", lambda x: x["status"].isin("pass", "skip")))
+    out = out.select(
+        "run_id", "created_at", failure.alias("primary_failure"), F.coalesce(F.col("winner.stage"), warned["stage"], F.lit("UNKNOWN")).alias("stage"), risk.alias("security_risk"), F.round(mean, 6).alias("confidence"),
+        "results", failing["node"].alias("first_failing_node"), F.round(ok / F.lit(len(NODES)), 2).alias("pipeline_health"), others.alias("also_considered"), F.array_join(chain, " > ").alias("failure_chain"), remedy.alias("remedy"),
+    )
     review = F.col("primary_failure").isin(*X.UNANSWERABLE, "CONTRADICTED_CLAIM", "UNSUPPORTED_CLAIM", "LOW_CONFIDENCE") | (F.col("security_risk") == "HIGH")
     return out.withColumns({"should_have_answered": ~F.col("primary_failure").isin(*X.UNANSWERABLE), "human_review": review})

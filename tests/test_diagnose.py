@@ -42,6 +42,25 @@ def test_failures(spark, change, failure):
     assert run(spark, **(GOOD | change)).primary_failure == failure
 
 
+def test_report(spark):
+    r = run(spark, **(GOOD | dict(cited_doc_ids=["ghost"])))
+    assert r.first_failing_node == "citation_support" and r.failure_chain.startswith("RETRIEVAL:CITATION_MISMATCH") and r.remedy and 0 < r.pipeline_health < 1
+    assert run(spark, **GOOD).first_failing_node is None
+
+
+@pytest.mark.parametrize(
+    "change,failure",
+    [
+        (dict(chunks=["The refund window for annual plans is thirty days after purchase. Superseded by policy nine."]), "STALE_RETRIEVAL"),
+        (dict(chunks=[("Cats sleep all day long in the warm sun.",), *[(c,) for c in GOOD["chunks"]]], cited_doc_ids=["d0"]), "POST_RATIONALIZED_CITATION"),
+        (dict(query="List all 3 steps of the refund window for annual plans", chunks=["1. ask 2. wait 3. get the refund window for annual plans"], final_answer="1. ask for the refund window 2. wait for annual plans"), "GENERATION_IGNORE"),
+    ],
+)
+def test_later_analyzers(spark, change, failure):
+    r = run(spark, **(GOOD | change))
+    assert failure in [x.failure_type for x in r.results]
+
+
 def test_odd_rows(spark):
     empty = spark.createDataFrame([("a",) + (None,) * 8], RUN)
     assert D.diagnose(empty, as_of=AS_OF).collect()[0].run_id == "a"
