@@ -16,7 +16,7 @@ from plumbline.llm.queries import TOKENIZER_FILE
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects (score 0.5 or more) go."""
-    model = toxicity.train(toxicity.labelled(docs, table(spark, sf_dir, "labels")))
+    model = toxicity.fit(toxicity.labelled(docs, table(spark, sf_dir, "labels")))
     return toxicity.score(docs, model).where("toxicity < 0.5").select(*docs.columns)
 
 

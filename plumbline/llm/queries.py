@@ -49,7 +49,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = toxicity.train(toxicity.labelled(docs, table(spark, sf_dir, "labels")))
+    model = toxicity.fit(toxicity.labelled(docs, table(spark, sf_dir, "labels")))
     return toxicity.score(docs, model).select(
         "doc_id",
         (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"),

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -181,9 +182,12 @@ def train(rows: list[tuple[str, int]], *, rounds: int = 60, least: int = 6, odds
         return Model(np.zeros(BUCKETS, np.float32), np.ones((2, 2)), 1.0, (0.0, 0.0, 0.0), float(np.mean(labels)) if labels else 0.0)
     vocabulary: dict[bytes, int] = {}
     ids = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in ws], np.int64) for ws in docs]
-    feats = [features(w.decode("utf-8", "replace")) for w in vocabulary]
-    many = np.fromiter(map(len, feats), np.int64, len(feats))
-    flat, of = np.array([x for f in feats for x in f], np.int64), np.repeat(np.arange(len(feats)), many)
+    packed, many = array("q"), np.zeros(len(vocabulary), np.int64)
+    for k, w in enumerate(vocabulary):
+        own = features(w.decode("utf-8", "replace"))
+        packed.extend(own)
+        many[k] = len(own)
+    flat, of, size = np.frombuffer(packed, np.int64), np.repeat(np.arange(len(vocabulary)), many), len(vocabulary)
     count = np.zeros((2, BUCKETS))
     start_of = np.cumsum(many) - many
     for d, label in zip(ids, y):
@@ -191,7 +195,7 @@ def train(rows: list[tuple[str, int]], *, rounds: int = 60, least: int = 6, odds
         k = np.repeat(start_of[u], many[u]) + np.arange(many[u].sum()) - np.repeat(np.cumsum(many[u]) - many[u], many[u])
         count[int(label), np.unique(flat[k])] += 1
     ratio = ((count[1] + 0.5) / (y.sum() + 1)) / ((count[0] + 0.5) / (len(y) - y.sum() + 1))
-    marked = np.zeros(len(feats), bool)
+    marked = np.zeros(size, bool)
     np.logical_or.at(marked, of, ((count[1] >= least) & (ratio >= odds))[flat])
     lengths = np.array([len(d) for d in ids], np.int64)
     word = np.concatenate(ids) if len(ids) else np.zeros(0, np.int64)
@@ -207,10 +211,10 @@ def train(rows: list[tuple[str, int]], *, rounds: int = 60, least: int = 6, odds
     pair_gold = gold[:-1] * 2 + gold[1:]
     not_cross = ~is_first[1:]
     for r in range(rounds):
-        emit = np.bincount(of, weights[flat], len(feats))
+        emit = np.bincount(of, weights[flat], size)
         trans, start = np.exp(theta[:4].reshape(2, 2)), float(np.exp(theta[4]))
         p = marginals(emit[word], cut, trans, start)
-        by_word = np.bincount(word, p - gold, len(feats))
+        by_word = np.bincount(word, p - gold, size)
         grad = np.bincount(flat, by_word[of], BUCKETS)
         # Expected transitions by the pairwise marginals that agree with neighbouring unary marginals.
         q0, q1 = p[:-1][not_cross], p[1:][not_cross]
@@ -227,7 +231,7 @@ def train(rows: list[tuple[str, int]], *, rounds: int = 60, least: int = 6, odds
         weights -= step[:-5]
         theta -= 0.3 * step[-5:]
     trans, start = np.exp(theta[:4].reshape(2, 2)), float(np.exp(theta[4]))
-    emit = np.bincount(of, weights[flat], len(feats))
+    emit = np.bincount(of, weights[flat], size)
     x = doc_stats(marginals(emit[word], lengths, trans, start), lengths)
     fit = np.array([0.3, 0.1, 0.0])
     for _ in range(40):  # Newton steps of a logistic regression with a small penalty
@@ -237,19 +241,32 @@ def train(rows: list[tuple[str, int]], *, rounds: int = 60, least: int = 6, odds
     return Model(weights.astype(np.float32), trans, start, tuple(map(float, fit)))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS, most_chars: int = MOST_CHARS, folds: int = 5, label: str = "toxic") -> list[tuple[str, int]]:
-    """A bounded sample of labelled training rows: ids by the order of a hash, then their texts."""
+def labelled(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS, most_chars: int = MOST_CHARS, folds: int = 5, label: str = "toxic") -> DataFrame:
+    """(doc_id, text, label) of a bounded sample of labelled training rows: ids by the order of a hash, then their texts."""
     fold = labels.where((crc_mod(F.col("doc_id"), folds) != 0) & F.col("doc_id").isNotNull())
-    own = docs.select("doc_id", "text").where(F.length("text") <= most_chars)
-    rows = []
+    few = None
     for value, n in ((1, per_class), (0, 2 * per_class)):
-        ids = fold.where(F.col(label) == value).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-        ids = [r[0] for r in ids.collect()]
-        if ids:
-            few = docs.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long")
-            got = own.join(F.broadcast(few), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).collect()
-            rows += [(r["text"], value) for r in sorted(got, key=lambda r: r["doc_id"])]
-    return rows
+        ids = fold.where(F.col(label) == value).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).withColumn("label", F.lit(value))
+        few = ids if few is None else few.unionByName(ids)
+    own = docs.select("doc_id", "text").where(F.length("text") <= most_chars)
+    return own.join(F.broadcast(few), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+
+
+def fit(sample: DataFrame) -> Model:
+    """Trains in one task, as the sample is bounded; only the weights come to the driver."""
+
+    def run(batches):
+        rows = sorted((r for b in batches for r in zip(*(b.column(c).to_pylist() for c in range(3)))), key=lambda r: (r[0], r[1]))
+        m = train([(t, y) for _, y, t in rows])
+        head = np.array([*m.trans.ravel(), m.start, *m.fit, np.nan if m.share is None else m.share])
+        yield pa.RecordBatch.from_arrays([pa.array([head.tobytes()], pa.binary()), pa.array([m.weights.astype(np.float32).tobytes()], pa.binary())], ["head", "weights"])
+
+    got = sample.select("doc_id", "label", "text").repartition(1).mapInArrow(run, "head binary, weights binary").first()
+    if got is None:  # no labelled rows
+        return train([])
+    head, weights = got
+    x = np.frombuffer(head, np.float64)
+    return Model(np.frombuffer(weights, np.float32), x[:4].reshape(2, 2), float(x[4]), tuple(map(float, x[5:8])), None if np.isnan(x[8]) else float(x[8]))
 
 
 def score(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:

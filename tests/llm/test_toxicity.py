@@ -62,7 +62,20 @@ def test_learns_and_tells_places(spark):
 def test_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    assert toxicity.labelled(docs, labels) == []
+    none = toxicity.fit(toxicity.labelled(docs, labels))
+    assert none.share == 0.0 and [r.toxicity for r in toxicity.score(docs, none).collect()] == [0.0, 0.0]
     assert [r.toxicity for r in toxicity.score(docs, toxicity.train([])).collect()] == [0.0, 0.0]
     assert toxicity.train([("a b", 1), ("c d", 1)]).share == 1.0
     assert toxicity.score(docs.limit(0), toxicity.train(rows(100))).count() == 0
+
+
+def test_sample_is_bounded_and_fits_in_a_task(spark):
+    data = [(i, t, y) for i, (t, y) in enumerate(rows(400))]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in data] + [(3, "again")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in data] + [(None, 1, 1), (7, 1, None)], "doc_id long, quality int, toxic int")
+    sample = toxicity.labelled(docs, labels, per_class=40)
+    got = sample.groupBy("label").count().collect()
+    assert {r.label: r["count"] for r in got} == {1: 40, 0: 80}
+    model = toxicity.fit(sample)
+    p = [r.toxicity for r in toxicity.score(docs.where("doc_id < 100 AND text <> 'again'").orderBy("doc_id"), model).collect()]
+    assert sum((x >= 0.5) == (y == 1) for x, (_, _, y) in zip(p, data)) >= 95
