@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import numbers as N
 from plumbline.functions import text as X
 from plumbline.functions import values
-from plumbline.operators import chunking, documents, evaluate, grounding, scores, sources_of_truth, vectors
+from plumbline.operators import chunking, clusters, documents, evaluate, grounding, probes, scores, sources_of_truth, sufficiency, vectors
 from plumbline.plans import diagnose
 from plumbline.sources.tables import AS_OF, GOLD_SQL, QA_RUNS_SQL, SCORE_RUNS_SQL, gold, qa_runs, score_runs, table
 
@@ -703,6 +703,52 @@ def suite_breakdown(spark, sf):
     return out.select("user_id", F.when(F.col("g") == 1, "total").otherwise(F.col("event_type")).alias("event_type"), "n")
 
 
+@query(
+    rf"""WITH {QA_RUNS_SQL}, t AS (SELECT conv_id, turn, query, answer, {term('query')} AS q, {term('answer')} AS c FROM qa_runs),
+u AS (SELECT *, CASE WHEN len(q) > 0 THEN len(list_intersect(q, c)) / len(q)::DOUBLE ELSE 0 END AS cover FROM t)
+SELECT conv_id, turn, CASE WHEN regexp_matches(query, '{sufficiency.CURRENT}') AND regexp_matches(answer, '{sufficiency.OLD}') THEN 'stale_context'
+  WHEN regexp_matches(query, '{sufficiency.TEMPORAL}') AND NOT regexp_matches(answer, '{sufficiency.TEMPORAL}') THEN 'missing_time'
+  WHEN regexp_extract(query, '{sufficiency.CONDITION}', 1) <> '' AND NOT contains(lower(answer), lower(regexp_extract(query, '{sufficiency.CONDITION}', 1))) THEN 'missing_condition'
+  WHEN regexp_extract(query, '{sufficiency.EVERYONE}', 1) <> '' AND contains(lower(answer), lower(regexp_extract(query, '{sufficiency.EVERYONE}', 1))) AND regexp_matches(answer, '{sufficiency.QUALIFIER}') THEN 'missing_scope'
+  WHEN len(q) = 0 THEN 'no_query_terms' WHEN cover < 0.3 THEN 'low_coverage' ELSE 'covered' END AS reason FROM u"""
+)
+def sufficiency_ladder(spark, sf):
+    """The answer stands for the context here, so no answer omits what its context holds."""
+    rows = qa_runs(spark, sf)
+    return rows.select("conv_id", "turn", sufficiency.sufficiency(F.col("query"), F.col("answer"), F.col("answer"))["reason"].alias("reason"))
+
+
+METRICS_SQL = "['faithfulness', 'hallucination', 'context_recall', 'answer_relevancy', 'other']"
+
+
+@query(
+    f"""WITH {SCORE_RUNS_SQL}, s AS (SELECT run_id, rank, {METRICS_SQL}[rank % 5 + 1] AS metric, score AS value FROM score_runs), g AS (SELECT *, CASE WHEN metric = 'hallucination' THEN 1 - value ELSE value END AS good FROM s WHERE metric <> 'other')
+SELECT run_id, metric, CASE WHEN good >= 0.75 THEN 'high' WHEN good >= 0.40 THEN 'medium' ELSE 'low' END AS band, CASE metric WHEN 'context_recall' THEN 'INSUFFICIENT_CONTEXT' WHEN 'answer_relevancy' THEN 'GENERATION_IGNORE' ELSE 'UNSUPPORTED_CLAIM' END AS failure_type, metric <> 'answer_relevancy' AND good < 0.25 AS blocking FROM g WHERE good < 0.5"""
+)
+def external_probes(spark, sf):
+    names = F.array(*map(F.lit, ("faithfulness", "hallucination", "context_recall", "answer_relevancy", "other")))
+    signals = score_runs(spark, sf).select("run_id", F.lit("provider").alias("provider"), F.get(names, F.col("rank") % 5).alias("metric"), F.col("score").alias("value"))
+    return probes.probes(signals).select("run_id", "metric", "band", "failure_type", "blocking")
+
+
+@query()
+def answer_clusters(spark, sf):
+    """Clusters of each conversation's assistant turns and their entropy (a transitive closure in each run)."""
+    turns = table(spark, sf, "conversations").where("role = 'assistant'")
+    return r6(clusters.entropy(clusters.clusters(turns, run="conv_id", at="turn", text="text", least=0.2), run="conv_id"), "entropy", "largest_share")
+
+
+@query(
+    """WITH n AS (SELECT md5(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS h, lang, doc_id FROM documents)
+SELECT a.doc_id FROM n a WHERE lang = 'en' AND EXISTS (SELECT 1 FROM n b WHERE b.lang <> 'en' AND b.h = a.h) OR lang = 'en' AND EXISTS (SELECT 1 FROM n b WHERE b.h = a.h AND b.doc_id < a.doc_id)"""
+)
+def heldout_overlap(spark, sf):
+    """Documents whose normalised text an earlier or other-language document has: a semi-join on a hash."""
+    n = table(spark, sf, "documents").select("doc_id", "lang", F.md5(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " ").cast("binary")).alias("h"))
+    least = n.groupBy("h").agg(F.min("doc_id").alias("first"), F.max((F.col("lang") != "en").cast("int")).alias("other"))
+    return n.where("lang = 'en'").join(least, "h").where("other = 1 OR first < doc_id").select("doc_id")
+
+
 @query()
 def full_diagnosis(spark, sf):
     """One explained diagnosis of every question and answer, with the conversation's other turns as retrieved chunks."""
