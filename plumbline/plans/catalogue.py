@@ -604,9 +604,9 @@ def session_bursts(spark, sf):
     return rows.groupBy("user_id", "burst").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY ALL")
+@query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS n FROM events GROUP BY ALL")
 def hourly_failures(spark, sf):
-    return table(spark, sf, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").cast("timestamp_ntz").alias("hour"), "event_type", "n")
+    return table(spark, sf, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.date_format("w.start", "yyyy-MM-dd HH").alias("hour"), "event_type", "n")
 
 
 @query(
