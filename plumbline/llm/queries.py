@@ -18,7 +18,8 @@ def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge(url_filter.captures_of(table(spark, sf_dir, "pages")), url_filter.entries(spark))
+    judged = url_filter.judge(url_filter.captures_of(table(spark, sf_dir, "pages")), url_filter.entries(spark))
+    return judged.select("page_id", "url", F.date_format("fetched_at", "yyyy-MM-dd").alias("fetched_on"), "host", "blocked", "n_active", "category")
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -115,6 +115,6 @@ m AS (
   FROM (SELECT DISTINCT * FROM d) d JOIN v ON v.action = 'add' AND d.fetched_at >= v.since AND (v.until IS NULL OR d.fetched_at < v.until)
     AND (d.host = v.host OR (v.scope = 'domain' AND ends_with(d.host, '.' || v.host))) AND starts_with(d.path, v.path)
   GROUP BY ALL)
-SELECT d.page_id, d.url, d.fetched_at, d.host, m.n_active IS NOT NULL AS blocked, CAST(coalesce(m.n_active, 0) AS BIGINT) AS n_active, m.category
+SELECT d.page_id, d.url, strftime(d.fetched_at, '%Y-%m-%d') AS fetched_on, d.host, m.n_active IS NOT NULL AS blocked, CAST(coalesce(m.n_active, 0) AS BIGINT) AS n_active, m.category
 FROM d LEFT JOIN m ON d.page_id = m.page_id AND d.url = m.url AND d.fetched_at = m.fetched_at
 """.replace("{values}", ", ".join("(" + ", ".join(f"'{x}'" for x in r) + ")" for r in ENTRIES))
