@@ -57,3 +57,28 @@ def boundary_damage(chunks: DataFrame, *, run: str, rank: str, doc: str, text="t
     w = Window.partitionBy(run).orderBy(rank)
     out = chunks.withColumn("next_text", F.lead(text).over(w)).withColumn("next_doc", F.lead(doc).over(w))
     return out.where((F.col(doc) == F.col("next_doc")) & ~F.rtrim(text).rlike(r"[.!?:;]\s*$") & F.col("next_text").rlike(r"^\s*[a-z]")).drop("next_text", "next_doc")
+
+
+def hierarchical(nodes: DataFrame, *, node="node_id", parent="parent_id", text="text", order="pos") -> DataFrame:
+    """One chunk a node: its text and that of all nodes below it, in document order."""
+    below = descendants(nodes, node=node, parent=parent)
+    own = nodes.select(F.col(node).alias("node"), F.col(order).alias("o"), F.col(text).alias("t"))
+    out = below.join(own, "node").groupBy("ancestor").agg(F.array_sort(F.collect_list(F.struct("o", "t"))).alias("x"))
+    return out.select(F.col("ancestor").alias(node), F.array_join(F.transform("x", lambda s: s["t"]), "\n").alias("chunk"), F.size("x").alias("n_nodes"))
+
+
+def retrieved(queries: DataFrame, index: DataFrame, *, query: str, key: str, k: int = 5) -> DataFrame:
+    """The ``k`` chunks of each query that share most terms with it, found by their terms and not by all pairs; ties by key."""
+    from plumbline.functions import text as X
+
+    q = queries.select(query, F.explode(X.terms("text")).alias("t"))
+    c = index.select(key, F.explode(X.terms("text")).alias("t"))
+    hits = q.join(c, "t").groupBy(query, key).agg(F.count(F.lit(1)).alias("score"))
+    w = Window.partitionBy(query).orderBy(F.desc("score"), key)
+    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def dry_answer(top: DataFrame, *, score: str = "score") -> DataFrame:
+    """A confidence for an answer made of the best chunk alone: (score + 1) / 2 between .25 and .99."""
+    c = F.round(F.least(F.greatest((F.col(score) + 1) / 2, F.lit(0.25)), F.lit(0.99)), 2)
+    return top.withColumn("confidence", c)

@@ -63,3 +63,15 @@ def majority(votes: DataFrame, *, item: str, label: str) -> DataFrame:
     w = Window.partitionBy(item)
     c = c.withColumn("share", F.col("c") / F.sum("c").over(w)).withColumn("rn", F.row_number().over(w.orderBy(F.desc("c"), label)))
     return c.where("rn = 1").select(item, F.col(label).alias("winner"), F.col("c").alias("votes"), "share")
+
+
+def expectations(gold: DataFrame, found: DataFrame, *, key: str) -> DataFrame:
+    """Each case's expected and found failure, whether type or stage match, and whether expected secondary failures are among the found ones."""
+    both = gold.join(found, key)
+    return both.withColumns(
+        {
+            "type_match": F.col("expected_failure").eqNullSafe(F.col("found_failure")),
+            "stage_match": F.col("expected_stage").eqNullSafe(F.col("found_stage")),
+            "secondary_match": F.size(F.array_except("expected_secondary", "found_secondary")) == 0,
+        }
+    )

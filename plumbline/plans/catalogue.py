@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import numbers as N
 from plumbline.functions import text as X
-from plumbline.functions import values
-from plumbline.operators import chunking, clusters, documents, evaluate, grounding, probes, scores, sources_of_truth, sufficiency, vectors
+from plumbline.functions import security, values
+from plumbline.operators import chunking, clusters, datasets, documents, evaluate, grounding, probes, scores, sources_of_truth, sufficiency, vectors
 from plumbline.plans import diagnose
 from plumbline.sources.tables import AS_OF, GOLD_SQL, QA_RUNS_SQL, SCORE_RUNS_SQL, gold, qa_runs, score_runs, table
 
@@ -749,6 +749,97 @@ def heldout_overlap(spark, sf):
     return n.where("lang = 'en'").join(least, "h").where("other = 1 OR first < doc_id").select("doc_id")
 
 
+@query("SELECT CASE WHEN event_type IN ('click') THEN 'CLEAN' ELSE 'RETRIEVAL_ANOMALY' END AS failure_type, count(*) AS n, 'supported' AS tier FROM events GROUP BY ALL HAVING count(*) >= 5")
+def dataset_support(spark, sf):
+    rows = table(spark, sf, "events").select(F.when(F.col("event_type") == "click", "CLEAN").otherwise("RETRIEVAL_ANOMALY").alias("label"))
+    return datasets.support(rows, label="label").where("tier = 'supported'")
+
+
+@query(
+    f"""WITH {GOLD_SQL}, c AS (SELECT CASE WHEN toxic = 1 THEN 'PRIVACY_VIOLATION' WHEN pred = 0 THEN 'INSUFFICIENT_CONTEXT' ELSE 'CLEAN' END AS verdict FROM gold WHERE quality = 1)
+SELECT verdict, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM c GROUP BY verdict"""
+)
+def clean_false_positives(spark, sf):
+    verdict = F.when(F.col("toxic") == 1, "PRIVACY_VIOLATION").when(F.col("pred") == 0, "INSUFFICIENT_CONTEXT").otherwise("CLEAN")
+    rows = gold(spark, sf).select(F.when(F.col("quality") == 1, "CLEAN").otherwise("OTHER").alias("gold"), verdict.alias("verdict"))
+    return r6(datasets.clean_false_positives(rows, gold="gold", pred="verdict"), "share")
+
+
+@query("SELECT event_type, round(avg(value), 6) AS mean, round(min(value), 6) AS least, round(max(value), 6) AS most, count(value) AS n FROM events GROUP BY event_type")
+def multi_run_metrics(spark, sf):
+    return r6(datasets.over_runs(table(spark, sf, "events"), by=["event_type"], value="value"), "mean", "least", "most")
+
+
+@query(
+    r"""WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) ORDER BY doc_id) AS rn FROM documents) SELECT doc_id, source FROM r WHERE rn > 1"""
+)
+def repeated_chunks(spark, sf):
+    return datasets.duplicates(table(spark, sf, "documents").select("doc_id", "source", "text"), run="source", order=["doc_id"], text="text").select("doc_id", "source")
+
+
+@query("SELECT r_name AS domain, m AS mode, r_name || '-' || m AS case_id FROM region, (SELECT unnest(['stale', 'phantom', 'injection', 'noise']) AS m)")
+def synthetic_cases(spark, sf):
+    domains = table(spark, sf, "region").select(F.col("r_name").alias("domain"))
+    return datasets.cases(domains, spark.sql("SELECT explode(array('stale', 'phantom', 'injection', 'noise')) AS mode"))
+
+
+@query(
+    r"""SELECT CASE WHEN n_chars < 50 THEN 'too_short' WHEN regexp_matches(text, '\|') THEN 'table' WHEN lang <> 'en' THEN 'language' ELSE 'none' END AS root_cause, count(*) AS n FROM documents GROUP BY ALL"""
+)
+def triage(spark, sf):
+    return datasets.triage(table(spark, sf, "documents"), {"too_short": F.col("n_chars") < 50, "table": F.col("text").rlike(r"\|"), "language": F.col("lang") != "en"})
+
+
+@query()
+def encoded_injection(spark, sf):
+    """Decoded base64, percent codes, documentation context and intent of every document (decoding errors differ between engines: no SQL)."""
+    text = F.col("text")
+    return table(spark, sf, "documents").select("doc_id", security.decoded(text).alias("base64"), security.in_documentation(text, W_TOKEN).alias("documented"), security.intent(security.percent_decoded(text))["intent"].alias("intent"))
+
+
+W_TOKEN = WIDE[0][0]
+
+
+@query()
+def isotonic_calibration(spark, sf):
+    """Probabilities after a monotone fit on the labels (pool-adjacent-violators: no SQL)."""
+    rows = gold(spark, sf).select("doc_id", "p", F.col("gold").alias("y"))
+    return r6(datasets.isotonic(rows).transform(datasets.with_features(rows)).select("doc_id", F.col("prediction").alias("calibrated")), "calibrated")
+
+
+@query(
+    """WITH n AS (SELECT 'r' || r_regionkey AS id, r_regionkey * 100 AS pos, r_name AS t, r_regionkey AS r FROM region UNION ALL SELECT 'n' || n_nationkey, n_regionkey * 100 + 1 + n_nationkey, n_name, n_regionkey FROM nation)
+SELECT 'r' || r_regionkey AS node_id, string_agg(n.t, chr(10) ORDER BY pos) AS chunk, CAST(count(*) AS INTEGER) AS n_nodes FROM region JOIN n ON n.r = r_regionkey GROUP BY ALL
+UNION ALL SELECT 'n' || n_nationkey, n_name, 1 FROM nation"""
+)
+def hierarchical_chunks(spark, sf):
+    r = table(spark, sf, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("node_id"), F.lit(None).cast("string").alias("parent_id"), (F.col("r_regionkey") * 100).alias("pos"), F.col("r_name").alias("text"))
+    n = table(spark, sf, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("node_id"), F.concat(F.lit("r"), "n_regionkey").alias("parent_id"), (F.col("n_regionkey") * 100 + 1 + F.col("n_nationkey")).alias("pos"), F.col("n_name").alias("text"))
+    return chunking.hierarchical(r.unionByName(n))
+
+
+@query(
+    f"""WITH q AS (SELECT item_id, unnest({term('text')}) AS t FROM benchmark), c AS (SELECT conv_id * 1000 + turn AS id, unnest({term('text')}) AS t FROM conversations),
+h AS (SELECT item_id, id, count(*) AS score FROM q JOIN c USING (t) GROUP BY ALL), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM h) SELECT * FROM r WHERE rank <= 5"""
+)
+def retrieved_chunks(spark, sf):
+    """The five turns that share most terms with each benchmark item (the top-k is the feature)."""
+    index = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    return chunking.retrieved(table(spark, sf, "benchmark"), index, query="item_id", key="id").select("item_id", "id", "score", "rank")
+
+
+@query(
+    """SELECT l.doc_id, CASE WHEN l.toxic = 1 THEN 'PRIVACY_VIOLATION' ELSE 'CLEAN' END = CASE WHEN d.n_chars < 500 THEN 'PRIVACY_VIOLATION' ELSE 'CLEAN' END AS type_match, (l.quality = 1) = (d.lang = 'en') AS stage_match, l.quality = 0 OR d.n_chars >= 100 AS secondary_match
+FROM labels l JOIN documents d ON l.doc_id = d.doc_id"""
+)
+def expected_vs_actual(spark, sf):
+    name = lambda c: F.when(c, "PRIVACY_VIOLATION").otherwise("CLEAN")
+    list_ = lambda c: F.when(c, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>"))
+    want = table(spark, sf, "labels").select("doc_id", name(F.col("toxic") == 1).alias("expected_failure"), (F.col("quality") == 1).alias("expected_stage"), list_(F.col("quality") == 1).alias("expected_secondary"))
+    got = table(spark, sf, "documents").select("doc_id", name(F.col("n_chars") < 500).alias("found_failure"), (F.col("lang") == "en").alias("found_stage"), list_(F.col("n_chars") >= 100).alias("found_secondary"))
+    return evaluate.expectations(want, got, key="doc_id").select("doc_id", "type_match", "stage_match", "secondary_match")
+
+
 @query()
 def full_diagnosis(spark, sf):
     """One explained diagnosis of every question and answer, with the conversation's other turns as retrieved chunks."""
