@@ -41,8 +41,8 @@ from plumbline.llm.elias_fano import EliasFano, from_buffer, to_bytes
 
 FOLDS = 10
 MASSES = tuple(10.0**k for k in (1, 1.5, 2, 2.5, 3, 3.5, 4, 4.5, 5, 6, 7))
-STEP = 1_500_000
-KEEP = 400_000
+STEP = 1_000_000
+KEEP = 250_000
 SHARD_BYTES = 16 << 20
 #: No word holds a space, so the end token is none of them.
 END = b" end"
