@@ -8,8 +8,6 @@ files and runs unchanged on a stream. ``as_of`` is the time that ages are counte
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,14 +91,20 @@ def with_features(runs: DataFrame, as_of: Column) -> DataFrame:
 
 
 def claim_label(claim: Column) -> Column:
-    """(label, chunk): entailed, contradicted or unsupported by the three chunks that share most terms with the claim, and the first of them."""
+    """(label, chunk): entailed, contradicted or unsupported by the three chunks that share most terms with the claim, and the first of them.
+
+    A number that the nearest chunk replaces by another contradicts, as does a denial on one side only.
+    """
     terms = W.content_terms(claim)
     near = F.slice(F.reverse(F.array_sort(F.transform("chunk_terms", lambda t, i: F.struct(F.size(F.array_intersect(terms, t)).alias("n"), (-i).alias("i"), t.alias("t"))))), 1, 3)
     best = F.array_distinct(F.flatten(F.transform(near, lambda x: x["t"])))
     denied = F.size(F.array_intersect(best, F.array(*map(F.lit, NEGATION)))) > 0
     denies = claim.rlike(r"(?i)\b(not|never|cannot|no longer)\b")
     cover = F.coalesce(W.overlap(W.terms(claim), best), F.lit(0.0))
-    label = F.when((cover >= 0.5) & (denied != denies) & (cover < 0.9), "contradicted").when(cover >= 0.5, "entailed").otherwise("unsupported")
+    numbers = lambda t: F.transform(F.regexp_extract_all(t, F.lit(r"\d[\d,]*(?:\.\d+)?"), F.lit(0)), lambda x: F.regexp_replace(x, ",", ""))
+    own, shown = numbers(claim), numbers(F.get("chunks", (-F.get(near, 0)["i"]).cast("int"))["text"])
+    conflict = (F.size(own) > 0) & (F.size(shown) > 0) & ~F.arrays_overlap(own, shown) & (cover >= 0.25)
+    label = F.when(conflict, "contradicted").when((cover >= 0.5) & (denied != denies) & (cover < 0.9), "contradicted").when(cover >= 0.5, "entailed").otherwise("unsupported")
     return F.struct(label.alias("label"), (-F.get(near, 0)["i"]).cast("int").alias("chunk"))
 
 
@@ -156,7 +160,7 @@ def analyzers() -> list[Column]:
         result(15, "injection", 1.0, "SECURITY", when(F.size(injected) > 0, "fail").otherwise("pass"), lit("PROMPT_INJECTION"), injected, None, when(F.size(injected) > 0, "HIGH").otherwise("NONE")),
         result(16, "poisoning", 0.95, "SECURITY", when((F.size(steering) > 0) & hard, "fail").when(F.size(steering) > 0, "warn").otherwise("pass"), lit("SUSPICIOUS_CHUNK"), steering, None, when((F.size(steering) > 0) & hard, "HIGH").when(F.size(steering) > 0, "LOW").otherwise("NONE")),
         result(17, "privacy", 1.0, "SECURITY", when(private, "fail").otherwise("pass"), lit("PRIVACY_VIOLATION"), F.array(lit("the query asks for a person's data")), None, when(private, "MEDIUM").otherwise("NONE")),
-        result(19, "uncertainty", 1.0, "CONFIDENCE", when(F.col("final_answer").rlike(UNSURE), "fail").when(total == 0, "skip").when(entropy < 0.5, "pass").when(entropy <= 1.2, "warn").otherwise("fail"), lit("LOW_CONFIDENCE"), F.array(F.concat(lit("entropy "), F.round(entropy, 4).cast("string"))), entropy),
+        result(19, "uncertainty", 1.0, "CONFIDENCE", when(F.col("final_answer").rlike(UNSURE), "fail").when(total == 0, "skip").when(entropy < 0.5, "pass").when(entropy <= 1.2, "warn").otherwise("fail"), lit("LOW_CONFIDENCE"), F.array(F.concat(when(F.col("final_answer").rlike(UNSURE), "text-only uncertainty, ").otherwise(""), lit("entropy "), F.round(entropy, 4).cast("string"))), entropy),
     ]
 
 
@@ -233,35 +237,48 @@ REMEDY = {
     "POST_RATIONALIZED_CITATION": "ask for quotations of the text used", "RETRIEVAL_DEPTH_LIMIT": "retrieve more candidates", "GENERATION_IGNORE": "tighten the grounding instructions", "CLEAN": "nothing to do",
 }
 
-#: (winner now, root cause that takes its place), in sequence: each rule sees the winner before it.
+#: (winner now, root cause that takes its place, what its evidence must say), in sequence: each rule sees the winner before it.
 RULES = (
-    ("POST_RATIONALIZED_CITATION", "CITATION_MISMATCH"),
-    ("INSUFFICIENT_CONTEXT", "UNSUPPORTED_CLAIM"),
-    ("INSUFFICIENT_CONTEXT", "CONTRADICTED_CLAIM"),
-    ("CONTRADICTED_CLAIM", "STALE_RETRIEVAL"),
-    ("UNSUPPORTED_CLAIM", "STALE_RETRIEVAL"),
-    ("SCOPE_VIOLATION", "RETRIEVAL_ANOMALY"),
+    ("POST_RATIONALIZED_CITATION", "CITATION_MISMATCH", None),
+    ("CONTRADICTED_CLAIM", "CITATION_MISMATCH", None),
+    ("UNSUPPORTED_CLAIM", "LOW_CONFIDENCE", "text-only uncertainty"),
+    ("INSUFFICIENT_CONTEXT", "LOW_CONFIDENCE", "text-only uncertainty"),
+    ("INSUFFICIENT_CONTEXT", "CONTRADICTED_CLAIM", None),
+    ("INSUFFICIENT_CONTEXT", "UNSUPPORTED_CLAIM", None),
+    ("INSUFFICIENT_CONTEXT", "SCOPE_VIOLATION", "quoted query entity missing"),
+    ("CONTRADICTED_CLAIM", "STALE_RETRIEVAL", None),
+    ("POST_RATIONALIZED_CITATION", "STALE_RETRIEVAL", None),
+    ("UNSUPPORTED_CLAIM", "STALE_RETRIEVAL", None),
+    ("SCOPE_VIOLATION", "RETRIEVAL_ANOMALY", "near-duplicate"),
 )
 
 
-def primary(results: Column, rules=RULES) -> Column:
-    """The failure that explains the run: the first by tier, specificity, weight, priority and place, after the rules."""
-    failed = F.filter(results, lambda r: (r["status"] == "fail") & r["failure_type"].isNotNull() & ~r["analyzer"].isin("inconsistency", "confidence"))
+def failures(results: Column) -> Column:
+    return F.filter(results, lambda r: (r["status"] == "fail") & r["failure_type"].isNotNull() & ~r["analyzer"].isin("inconsistency", "confidence"))
+
+
+def primary(failed: Column, rules=RULES) -> Column:
+    """The failure that explains the run: the first of ``failed`` by tier, specificity, weight, priority and place, after the rules.
+
+    The rules are folded over an array, so the expression grows with their number and not as its power.
+    """
     key = lambda r: F.struct(X.tier(r["failure_type"]).alias("t"), (-X.specificity(r["failure_type"])).alias("s"), (-r["weight"]).alias("w"), X.place(r["failure_type"], X.PRIORITY).alias("p"), r["at"].alias("at"), r.alias("r"))
     first = F.get(F.array_sort(F.transform(failed, key)), 0)["r"]
+    table = F.array(*(F.struct(F.lit(now).alias("now"), F.lit(then).alias("then"), F.lit(says or "").alias("says")) for now, then, says in rules))
 
-    def apply(winner: Column, rule: tuple[str, str]) -> Column:
-        other = F.get(F.filter(failed, lambda r: r["failure_type"] == rule[1]), 0)
-        return F.when((winner["failure_type"] == rule[0]) & other.isNotNull(), other).otherwise(winner)
+    def apply(winner: Column, rule: Column) -> Column:
+        says = lambda r: (rule["says"] == "") | F.exists(r["evidence"], lambda e: F.contains(e, rule["says"]))
+        other = F.get(F.filter(failed, lambda r: (r["failure_type"] == rule["then"]) & says(r)), 0)
+        return F.when(winner["failure_type"] == rule["now"], F.coalesce(other, winner)).otherwise(winner)
 
-    return reduce(apply, rules, first)
+    return F.aggregate(table, first.cast(RESULT), apply)
 
 
 def diagnose(runs: DataFrame, *, as_of: str) -> DataFrame:
     """``run_id`` and the diagnosis of each run: primary failure, stage, risk, confidence, results and review."""
     out = with_features(runs, F.lit(as_of).cast("timestamp")).withColumns(facts()).withColumn("results", F.array(*analyzers()))
     out = out.withColumns(later_facts()).withColumns({"nodes": nodes(), "results": F.concat("results", F.array(*later_analyzers()))})
-    out = out.withColumn("winner", F.get(F.array(primary(F.col("results"))), 0))
+    out = out.withColumn("failed", failures(F.col("results"))).withColumn("winner", primary(F.col("failed")))
     warned = F.get(F.filter("results", lambda r: (r["status"] == "warn") & r["failure_type"].isin("RETRIEVAL_ANOMALY", "CHUNKING_BOUNDARY_ERROR")), 0)
     failure = F.coalesce(F.col("winner.failure_type"), warned["failure_type"], F.lit("CLEAN"))
     risk = F.get(F.reverse(F.array_sort(F.transform("results", lambda r: F.struct(X.place(r["security_risk"], X.RISKS).alias("o"), r["security_risk"].alias("r"))))), 0)["r"]

@@ -35,6 +35,8 @@ def test_clean(spark):
         (dict(corpus_entries=[{"doc_id": "d0", "text": "", "timestamp": datetime(2020, 1, 1), "metadata": {}}]), "STALE_RETRIEVAL"),
         (dict(corpus_entries=[{"doc_id": "d0", "text": "", "timestamp": datetime(2020, 1, 1), "metadata": {}}, {"doc_id": "d0", "text": "", "timestamp": datetime(2024, 5, 1), "metadata": {}}]), "CLEAN"),
         (dict(chunks=GOOD["chunks"] * 2), "RETRIEVAL_ANOMALY"),
+        (dict(chunks=["The refund window for annual plans is 30 days after purchase."], final_answer="The refund window for annual plans is 60 days after purchase."), "CONTRADICTED_CLAIM"),
+        (dict(query="Which 'golden ticket' rule holds for annual plans and the refund window?"), "SCOPE_VIOLATION"),
         (dict(final_answer="I am not sure about the refund window for annual plans."), "LOW_CONFIDENCE"),
     ],
 )
