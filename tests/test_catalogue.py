@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from plumbline.plans import catalogue
@@ -20,7 +21,7 @@ def db():
 
 
 def norm(v):
-    if v is None or v != v:
+    if v is None or v is pd.NA or v != v:
         return "null"
     if isinstance(v, float):
         return f"{v + 0.0:.5f}"
