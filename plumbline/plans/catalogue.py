@@ -539,17 +539,17 @@ def policy_rank(spark, sf):
 @query(
     f"""WITH {SCORE_RUNS_SQL}, s AS (SELECT *, CASE WHEN score < 0.2 THEN 'fail' WHEN score < 0.4 THEN 'uncertain' ELSE 'pass' END AS status FROM score_runs),
 k AS (SELECT *, coalesce(sum(CASE WHEN status = 'fail' THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s)
-SELECT run_id, count(*) FILTER (before = 0) AS evaluated, min(CASE WHEN status = 'fail' THEN rank END) AS first_fail, min(CASE WHEN status = 'uncertain' AND before = 0 THEN rank END) AS first_uncertain, count(*) FILTER (before > 0) AS downstream FROM k GROUP BY run_id"""
+SELECT run_id, count(*) FILTER (before = 0) AS evaluated, coalesce(min(CASE WHEN status = 'fail' THEN rank END), 0) AS first_fail, coalesce(min(CASE WHEN status = 'uncertain' AND before = 0 THEN rank END), 0) AS first_uncertain, count(*) FILTER (before > 0) AS downstream FROM k GROUP BY run_id"""
 )
 def ncv_first_fail(spark, sf):
-    """First failing node of each run, the nodes evaluated up to it, and those after it."""
+    """First failing node of each run (0: none), the nodes evaluated up to it, and those after it."""
     status = F.when(F.col("score") < 0.2, "fail").when(F.col("score") < 0.4, "uncertain").otherwise("pass")
     w = Window.partitionBy("run_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
     k = score_runs(spark, sf).withColumn("status", status).withColumn("before", F.coalesce(F.sum((F.col("status") == "fail").cast("int")).over(w), F.lit(0)))
     n = lambda c: F.sum(c.cast("long"))
     return k.groupBy("run_id").agg(
-        n(F.col("before") == 0).alias("evaluated"), F.min(F.when(F.col("status") == "fail", F.col("rank"))).alias("first_fail"),
-        F.min(F.when((F.col("status") == "uncertain") & (F.col("before") == 0), F.col("rank"))).alias("first_uncertain"), n(F.col("before") > 0).alias("downstream"),
+        n(F.col("before") == 0).alias("evaluated"), F.coalesce(F.min(F.when(F.col("status") == "fail", F.col("rank"))), F.lit(0)).alias("first_fail"),
+        F.coalesce(F.min(F.when((F.col("status") == "uncertain") & (F.col("before") == 0), F.col("rank"))), F.lit(0)).alias("first_uncertain"), n(F.col("before") > 0).alias("downstream"),
     )
 
 

@@ -23,9 +23,9 @@ def db():
 def norm(v):
     if v is None or v is pd.NA or v != v:
         return "null"
-    if isinstance(v, float):
-        return f"{v + 0.0:.5f}"
-    return str(int(v)) if isinstance(v, bool) or hasattr(v, "__index__") else str(v)
+    if isinstance(v, (bool, float)) or hasattr(v, "__index__"):
+        return f"{float(v) + 0.0:.5f}"
+    return str(v)
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.ORACLE_SQL))
