@@ -16,6 +16,19 @@ INTENTS = (
     ("exfiltration", ("send", "forward", "leak", "export", "reveal", "transmit", "disclose"), ("password", "passwords", "secret", "secrets", "key", "keys", "token", "credentials")),
     ("role", ("act", "pretend", "become", "roleplay", "behave"), ("assistant", "administrator", "admin", "developer", "unrestricted", "jailbroken")),
 )
+#: What the diagnosis of chunks goes by (fixed values): phrases near a match in documentation, words of decoded and of split injections, concepts.
+SAFE_PHRASES = r"(?i)(uses the|the model uses|delimiter is|token is|example:|syntax:|format:|mark sequence|represents a)"
+ENCODED_KEYWORDS = r"(?i)(ignore|system prompt|api key|password|secret|token|override|bypass)"
+SPLIT_KEYWORDS = r"(?i)(ignore|system|reveal|send|password|instruction|override)"
+CONCEPTS = tuple(
+    (verbs.replace("set aside", "set_aside").split(), objects.split())
+    for verbs, objects in (
+        ("override ignore disregard set aside forget dismiss skip bypass cancel undo revoke reset", "instruction instructions parameter parameters guideline guidelines rule rules constraint constraints directive directives policy policies context prompt prior previous earlier"),
+        ("become transform switch change act pretend roleplay simulate impersonate adopt", "role persona identity character mode version assistant agent system"),
+        ("send transmit forward share reveal disclose expose leak output print return export", "key secret token password credential credentials prompt instruction instructions configuration config api system"),
+    )
+)
+LONGEST, JOINED = 50_000, 5
 NEAR = 10
 PROXIMITY = 0.72
 
@@ -28,11 +41,11 @@ def in_documentation(text: Column, pattern: str) -> Column:
     return (at > 0) & ((fences % 2 == 1) | before.rlike(r"\n {4}[^\n]*$") | around.rlike(DOC_PHRASE))
 
 
-def decoded(text: Column) -> Column:
+def decoded(text: Column, keywords: str = KEYWORDS) -> Column:
     """Whether a run of base64 characters decodes to text with a keyword; what does not decode counts as nothing."""
     runs = F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9+/]{20,}={0,2}"), F.lit(0))
     whole = F.transform(runs, lambda r: F.substring(r, F.lit(1), (F.length(r) - F.length(r) % 4)))
-    return F.exists(whole, lambda r: F.coalesce(F.try_to_binary(r, F.lit("base64")).cast("string").rlike(KEYWORDS), F.lit(False)))
+    return F.exists(whole, lambda r: F.coalesce(F.try_to_binary(r, F.lit("base64")).cast("string").rlike(keywords), F.lit(False)))
 
 
 def percent_decoded(text: Column) -> Column:
@@ -66,3 +79,48 @@ def contradicts(a: Column, b: Column, window: int = 16) -> Column:
     denied = lambda tok: F.array_intersect(shared, beside(tok, 5))
     clear = lambda tok, terms: F.array_except(terms, beside(tok, window))
     return (F.size(clear(tb, denied(ta))) >= 2) | (F.size(clear(ta, denied(tb))) >= 2)
+
+
+def quoted(text: Column, pattern: str) -> Column:
+    """Whether the pattern's first match stands in a closed fence, on a line indented by four spaces, or within 50 characters of a phrase of documentation."""
+    at = F.regexp_instr(text, F.lit(pattern))
+    before, after = F.substring(text, F.lit(1), at - 1), F.substring(text, at, F.length(text))
+    start = F.greatest(at - 50, F.lit(1))
+    fences = lambda t: F.size(F.split(t, FENCE)) - 1
+    return ((fences(before) % 2 == 1) & (fences(after) > 0)) | before.rlike(r"(^|\n) {4}[^\n]*\z") | F.substring(text, start, at + 50 - start).rlike(SAFE_PHRASES)
+
+
+def unquoted(text: Column) -> Column:
+    """The text with percent codes decoded; a percent sign that begins no code stays."""
+    return F.coalesce(F.try_url_decode(F.regexp_replace(F.regexp_replace(text, "%(?![0-9A-Fa-f]{2})", "%25"), r"\+", "%2B")), text)
+
+
+def any_of(text: Column, bank) -> Column:
+    return F.size(W.matches(text, bank)) > 0
+
+
+def paraphrased(text: Column) -> Column:
+    """Whether a verb and an object of one concept are within ten words."""
+    tok = F.regexp_extract_all(F.regexp_replace(F.lower(text), r"\bset[^a-z]+aside\b", "set_aside"), F.lit("set_aside|[a-z]+"), F.lit(0))
+    at = lambda words: F.filter(F.transform(tok, lambda t, i: F.when(t.isin(*words), i)), lambda i: i.isNotNull())
+    out = F.lit(False)
+    for verbs, objects in CONCEPTS:
+        out = out | F.exists(at(verbs), lambda v: F.exists(at(objects), lambda o: F.abs(v - o) <= NEAR))  # noqa: B023
+    return out
+
+
+def injected(text: Column) -> Column:
+    """Whether a chunk carries an injection: in the open outside documentation, encoded or paraphrased."""
+    shown = F.lit(False)
+    for pattern, _ in W.INJECTION_ALL:
+        shown = shown | (text.rlike(pattern) & ~quoted(text, pattern))
+    encoded = decoded(text, ENCODED_KEYWORDS) | (text.rlike("%[0-9A-Fa-f]{2}") & (unquoted(text) != text) & any_of(unquoted(text), W.INJECTION_ALL))
+    return (F.length(text) <= LONGEST) & (shown | encoded | paraphrased(text))
+
+
+def split_over(chunks: Column) -> Column:
+    """The ids of the chunks that share an injection: the first chunks joined hold one and two or more of them a word of it."""
+    first = F.slice(chunks, 1, JOINED)
+    parts = F.transform(F.filter(first, lambda c: c["text"].rlike(SPLIT_KEYWORDS)), lambda c: c["chunk_id"])
+    joined = F.array_join(F.transform(first, lambda c: c["text"]), " ")
+    return F.when((F.size(parts) > 1) & any_of(joined, W.INJECTION_ALL), parts).otherwise(F.array().cast("array<string>"))

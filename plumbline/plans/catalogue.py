@@ -152,12 +152,12 @@ WIDE = ((r"(?i)\btoken\s*=", "credential"), (r"(?i)\b(licensed|license)\b", "lic
 @query(f"SELECT doc_id, CAST({bank_sql('text', X.INJECTION)} AS INTEGER) AS n_injection, CAST({bank_sql('text', WIDE)} AS INTEGER) AS n_wide FROM documents")
 def injection_scan(spark, sf):
     hits = lambda bank: sum((F.col("text").rlike(p).cast("int") for p, _ in bank), F.lit(0))
-    return table(spark, sf, "documents").select("doc_id", hits(X.INJECTION).alias("n_injection"), hits(WIDE).alias("n_wide"))
+    return table(spark, sf, "documents").select("doc_id", hits(X.INJECTION_ALL).alias("n_injection"), hits(WIDE).alias("n_wide"))
 
 
 @query(f"SELECT conv_id, turn, CAST({bank_sql('text', X.STEERING)} AS INTEGER) AS n_steering, regexp_matches(text, '(?i)^[a-z]+ (is|of|the) ') AS n_assertive FROM conversations")
 def steering_scan(spark, sf):
-    hits = sum((F.col("text").rlike(p).cast("int") for p, _ in X.STEERING), F.lit(0))
+    hits = sum((F.col("text").rlike(p).cast("int") for p, _ in X.STEERING_ALL), F.lit(0))
     return table(spark, sf, "conversations").select("conv_id", "turn", hits.alias("n_steering"), F.col("text").rlike("(?i)^[a-z]+ (is|of|the) ").alias("n_assertive"))
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions import security
 from plumbline.functions import taxonomy as X
 from plumbline.functions import text as W
 from plumbline.operators.documents import missing_items
@@ -123,8 +124,9 @@ def facts() -> dict[str, Column]:
     z = F.exists("scores", lambda s: (F.size("scores") >= 2) & (F.col("spread") > 0) & (F.abs(s - F.col("mean")) / F.col("spread") > 2.0))
     top = F.reverse(F.array_sort("scores"))
     cliff = (F.size("scores") >= 2) & (F.get(top, 0) > 0.95) & (F.get(top, 1) < 0.5)
-    injected = F.filter("chunks", lambda c: (F.length(c["text"]) <= 50_000) & (F.size(W.matches(c["text"], W.INJECTION)) > 0))
-    steering = F.array_distinct(F.flatten(F.transform("chunks", lambda c: W.matches(c["text"], W.STEERING))))
+    injected = F.transform(F.filter("chunks", lambda c: security.injected(c["text"])), lambda c: c["chunk_id"])
+    injected = F.array_distinct(F.concat(injected, security.split_over(F.col("chunks"))))
+    steering = F.array_distinct(F.flatten(F.transform("chunks", lambda c: W.matches(c["text"], W.STEERING_ALL))))
     hard = F.arrays_overlap(steering, F.array(*map(F.lit, W.HARD_MARKERS))) | F.exists("chunks", lambda c: W.unlikely_tokens(c["text"]))
     high = F.exists("scores", lambda s: s > 0.92)
     everything = F.concat_ws("\n", "query", "final_answer", "context")
@@ -134,7 +136,7 @@ def facts() -> dict[str, Column]:
     entropy = -F.aggregate(p, F.lit(0.0), lambda a, x: a + x * F.log2(x))
     return {
         "x_irrelevant": irrelevant, "x_relevant": relevant, "x_quoted": quoted, "x_coverage": coverage, "x_phantom": phantom, "x_entailed": count("entailed"), "x_contradicted": count("contradicted"),
-        "x_near": near, "x_injected": F.transform(injected, lambda c: c["chunk_id"]), "x_steering": steering, "x_hard": hard | high, "x_private": W.privacy_request(F.col("query")) | W.medical_privacy(everything),
+        "x_near": near, "x_injected": injected, "x_steering": steering, "x_hard": hard | high, "x_private": W.privacy_request(F.col("query")) | W.medical_privacy(everything),
         "x_conflict": conflict, "x_entropy": entropy, "x_odd": z | cliff,
     }
 
