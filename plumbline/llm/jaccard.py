@@ -18,7 +18,11 @@
    shingles of y - of p) + 1) / 7 of them. So candidates share one of the first differences of y, those
    that p lacks first. For random edits hardly any is left.
 
-No link between different components is missed, and pairs inside a component are not listed.
+6. Links are counted in each component, as both ends of every link are in one: its classes are dealt by hash to
+   blocks of about ``BLOCK``, and each two blocks are compared in arrays, without a row for each pair. The work grows with
+   the square of a component's classes, the rows with that square over ``BLOCK``.
+
+No link between different components is missed; inside a component pairs are counted, not listed.
 
 Two sets link if 100 * |A and B| >= 75 * |A or B|.
 
@@ -52,6 +56,8 @@ HOT = 32
 BY_COUNT = np.uint32(2**32 - 1)
 #: Classes in a list up to which its pairs are listed.
 SMALL = 48
+#: Classes of a component in a block whose links are counted.
+BLOCK = 512
 ROW = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("block", T.LongType()), *(T.StructField(x, T.BinaryType()) for x in "abc")])
 SETS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("sig", T.BinaryType()), T.StructField("toks", T.ArrayType(T.LongType()))])
 
@@ -246,8 +252,14 @@ def verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE) -> DataFrame:
-    """One row a document: ``doc_id``, ``n_shingles``, ``component_id``, ``n_links`` (links found from its class to others),
+    """One row a document: ``doc_id``, ``n_shingles``, ``component_id``, ``n_links`` (how many other classes its class links with),
     the row's ``key`` (a hash of id and text) and ``kept_key``, the key of the component's row with the least id."""
+    sets, classes, labels = labelled(docs, doc_id=doc_id, text=text, size=size)
+    return results(sets, labels, degrees(labels, classes))
+
+
+def labelled(docs: DataFrame, *, doc_id: str, text: str, size: int = SHINGLE) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The documents' sets, the classes that may link and the component's label of each."""
     sets = stored(shingle_sets(docs, doc_id=doc_id, text=text, size=size), "jaccard-sets")
     classes = sets.where("toks IS NOT NULL AND n > 0").dropDuplicates(["sig"])
     share = F.expr(f"int(n - ceil({LEAST} * n / {WHOLE}) + 1 - (n - size(toks)))")
@@ -273,7 +285,46 @@ def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: i
     for part in (small_lists, long_lists):
         links += part(lists, members.join(labels, "sig"), classes)
         labels = relabel(members, links)
-    return results(sets, labels, links)
+    return sets, classes, labels
+
+
+def degrees(labels: DataFrame, classes: DataFrame) -> DataFrame:
+    """(sig, links) of every class that links with another one."""
+    sizes = stored(labels.groupBy("label").agg(F.count(F.lit(1)).alias("many")).where("many > 1"), "jaccard-sizes")
+    inside = labels.join(sizes, "label")
+    two = inside.where("many = 2").select("sig", F.lit(1).cast("long").alias("links"))
+    blocks = F.ceil(F.col("many") / BLOCK)
+    dealt = inside.where("many > 2").select("sig", "label", blocks.alias("blocks"), F.pmod(F.xxhash64("sig"), blocks).alias("at"))
+    dealt = dealt.join(classes.select("sig", "n", "toks"), "sig")
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("label", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "at", "sig", "n", "toks")
+    counted = dealt.groupBy("label", "i", "j").applyInArrow(count_links, "sig binary, links long")
+    return two.unionByName(counted.groupBy("sig").agg(F.sum("links").alias("links")))
+
+
+def count_links(table: pa.Table) -> pa.Table:
+    """The links of each class of one block with the others in it, or of each class of two blocks with those of the other one."""
+    i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+    at, n = table.column("at").to_numpy(), table.column("n").to_numpy()
+    toks = table.column("toks").combine_chunks()
+    own, ids = np.unique(toks.flatten().to_numpy(), return_inverse=True)
+    ends = np.concatenate([[0], np.cumsum(toks.value_lengths().to_numpy())])
+    links = np.zeros(len(n), np.int64)
+    right = np.flatnonzero(at == j)
+    starts = np.concatenate([[0], np.cumsum((ends[1:] - ends[:-1])[right])])
+    if len(right):
+        theirs = np.concatenate([ids[ends[y] : ends[y + 1]] for y in right])
+        held = np.zeros(len(own), np.int32)
+        for x in np.flatnonzero(at == i):
+            mine = ids[ends[x] : ends[x + 1]]
+            held[mine] = 1
+            same = np.add.reduceat(held[theirs], starts[:-1])
+            held[mine] = 0
+            met = right[(same * (WHOLE + LEAST) >= (n[x] + n[right]) * LEAST) & (right != x)]
+            links[x] += len(met)
+            if i != j:
+                links[met] += 1
+    return pa.table({"sig": table.column("sig"), "links": links})
 
 
 def small_lists(lists: DataFrame, members: DataFrame, classes: DataFrame) -> list[DataFrame]:
@@ -334,12 +385,7 @@ def relabel(members: DataFrame, links: list[DataFrame]) -> DataFrame:
     return stored(members.join(found, "sig", "left").select("sig", F.coalesce("label", "sig").alias("label")), "jaccard-labels")
 
 
-def results(sets: DataFrame, labels: DataFrame, links: list[DataFrame]) -> DataFrame:
-    edges = links[0]
-    for x in links[1:]:
-        edges = edges.unionByName(x)
-    ends = edges.select(F.col("a").alias("sig"), F.col("b").alias("to")).unionByName(edges.select(F.col("b").alias("sig"), F.col("a").alias("to")))
-    degree = ends.distinct().groupBy("sig").agg(F.count(F.lit(1)).alias("links"))
+def results(sets: DataFrame, labels: DataFrame, degree: DataFrame) -> DataFrame:
     about = stored(labels.join(degree, "sig", "left").where("label <> sig OR links IS NOT NULL").select("sig", "label", "links"), "jaccard-about")
     rows = sets.select("doc_id", "key", "n", "sig").join(about, "sig", "left")
     rows = rows.select("doc_id", "key", "n", F.when(F.col("n") > 0, F.coalesce("label", "sig")).alias("root"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
@@ -353,6 +399,7 @@ def results(sets: DataFrame, labels: DataFrame, links: list[DataFrame]) -> DataF
 
 def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each component: the one with the least id. Rows that repeat id and text are one document."""
-    kept = join(docs, doc_id=doc_id, text=text).where("key = kept_key").select(F.col("key").alias("__nd_key")).distinct()
+    sets, _, labels = labelled(docs, doc_id=doc_id, text=text)
+    kept = results(sets, labels, labels.select("sig", F.lit(0).cast("long").alias("links")).limit(0)).where("key = kept_key").select(F.col("key").alias("__nd_key")).distinct()
     out = docs.withColumn("__nd_key", row_key(doc_id, text)).join(kept, "__nd_key", "left_semi")
     return out.dropDuplicates(["__nd_key"]).select(*docs.columns)

@@ -72,3 +72,25 @@ def test_one_of_each_and_empty(spark):
     docs = spark.createDataFrame([(4, text, "a"), (2, text + " end", "b"), (2, text + " end", "b"), (9, "other words here", "c"), (10, None, "d"), (None, text, "e")], "doc_id long, text string, source string")
     assert sorted((r.doc_id, r.source) for r in jaccard.one_of_each(docs).collect()) == [(2, "b"), (9, "c"), (10, "d")]
     assert jaccard.join(docs.limit(0)).count() == 0
+
+
+def test_links_inside_components_count(spark, monkeypatch):
+    rng = random.Random(5)
+    base = words(rng, 100, 10**6)
+    rows = []
+    for i in range(70):  # near copies, all linked, and chains in which only neighbours link
+        k = rng.randint(0, 95)
+        rows.append((i, " ".join([*base[:k], f"x{i}", *base[k + 1 :]])))
+    for c in range(12):
+        ws = words(rng, 80, 10**6)
+        for i in range(1 + c % 6):
+            ws = [*ws[:-7], *(f"c{c}-{i}-{k}" for k in range(7))] if i % 2 else [*(f"d{c}-{i}-{k}" for k in range(7)), *ws[7:]]
+            rows.append((100 + 10 * c + i, " ".join(ws)))
+    rows += [(300, rows[0][1].upper()), (301, None), (302, "alone")]
+    sets = {d: shingles(t) for d, t in rows}
+    near = lambda a, b: 100 * len(a & b) >= 75 * len(a | b)
+    want = {d: sum(near(s, o) for o in set(sets.values()) - {s, frozenset()}) for d, s in sets.items()}
+    assert want[0] > 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(jaccard, "BLOCK", 32)  # one component has several blocks, the others one
+    assert {r.doc_id: r.n_links for r in jaccard.join(docs).collect()} == want
