@@ -3,21 +3,22 @@
 Texts are split by the tokenizer's pattern; each distinct piece becomes a row of byte ids in the
 matrix of its length bucket. In every round each row looks up the rank of all its neighbouring pairs
 in an open-addressing hash table, merges its leftmost pair of lowest rank, and is compacted by one
-column; rows without a pair leave. Pieces longer than ``LONG`` bytes, for which rounds over columns
-would take quadratic time, go through a heap with the same order of merges.
+column; rows without a pair leave. Rows of the buckets over ``LONG`` bytes are cut into blocks with their least
+ranks, and a round merges as many leftmost pairs of one rank as no other pair can come between.
 
 A unit is an optional space and the following run without white space. No match of the pattern
 crosses a unit's border, so a unit's ids are looked up by its text. The look-up table is an
-accelerator of bounded size, emptied when full.
+accelerator of bounded bytes, emptied when full and when a task ends.
 
 Defined results: null text counts as empty and has no ids; ids decode to exactly the text's UTF-8
-bytes; repeated rows are encoded alike; the input's other columns are passed through by ``encode``.
+bytes; repeated rows are encoded alike; a text of any length is encoded whole, in one step of its own if it
+is longer than a step; an empty table gives an empty result. The input's other columns pass through; columns of the names
+``ids`` and ``decoded`` (and those of the digests) are replaced. Among pairs of one rank the leftmost goes first.
 """
 
 from __future__ import annotations
 
 import base64
-import heapq
 import itertools
 import re
 from functools import lru_cache
@@ -29,11 +30,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.llm.common import trim
+
 #: White space as the pattern's \s means it (fixed values).
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 LONG = 96
-KEEP = 400_000
-CHARS_A_STEP = 1_500_000
+BLOCK = 64
+#: Look-up tables are emptied beyond so many bytes of keys and ids, and steps hold about so many characters, matrices so many cells.
+KEEP_BYTES = 40 << 20
+CHARS_A_STEP = 1_000_000
+CELLS = 500_000
+#: Bytes that an entry of a look-up table takes besides its key and ids.
+EACH = 160
 
 
 class PairTable:
@@ -87,6 +95,7 @@ class Tokenizer:
         self.pairs = PairTable(self.key(a[:, 0], a[:, 1]), a[:, 2].astype(np.int32))
         self.pieces: dict[bytes, bytes] = {}
         self.units: dict[str, bytes] = {}
+        self.piece_bytes = self.unit_bytes = 0
 
     @staticmethod
     def key(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -135,38 +144,66 @@ class Tokenizer:
             i = np.flatnonzero(at + 1 >= size)  # the merged id is the row's last: no pair starts there
             rank[i[at[i] < n], at[i[at[i] < n]]] = none
 
-    def merge_long(self, piece: bytes) -> np.ndarray:
-        """The same merges for one long piece: a heap of (rank, place) over a linked list."""
-        ids = self.byte_id[np.frombuffer(piece, np.uint8)].tolist()
-        n = len(ids)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        arr = np.array(ids, np.int64)
-        got = self.pairs.get(self.key(arr[:-1], arr[1:]))
-        heap = [(int(r), i, ids[i], ids[i + 1]) for i, r in enumerate(got.tolist()) if r >= 0]
-        heapq.heapify(heap)
-        seen: dict[tuple[int, int], int] = {}
-
-        def push(i: int) -> None:
-            j = after[i]
-            if j < n:
-                pair = (ids[i], ids[j])
-                if pair not in seen:
-                    seen[pair] = int(self.pairs.get(self.key(np.array([pair[0]]), np.array([pair[1]])))[0])
-                if seen[pair] >= 0:
-                    heapq.heappush(heap, (seen[pair], i, *pair))
-
-        while heap:
-            r, i, a, b = heapq.heappop(heap)
-            j = after[i]
-            if ids[i] != a or j >= n or ids[j] != b:
-                continue
-            ids[i], ids[j], after[i] = r, -1, after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            push(i)
-            if before[i] >= 0:
-                push(before[i])
-        return np.array([x for x in ids if x >= 0], np.int32)
+    def merge_wide(self, rows: list[bytes]) -> list[np.ndarray]:
+        """The ids of long pieces: rows of blocks of ``BLOCK`` places with each block's least rank, merged ids linked.
+
+        A round finds each row's least rank among the blocks' and merges its occurrences from left to right, up to
+        the first whose merge makes a pair that must come before the next one. So a round is several
+        leftmost merges in turn, and costs no more than the blocks it touches and a look at the minima.
+        """
+        none = np.int32(2**31 - 1)
+        size = np.fromiter(map(len, rows), np.int64, len(rows))
+        width = int(-(-size.max() // BLOCK) * BLOCK)
+        end = len(rows) * width  # stands for no neighbour
+        starts = np.arange(len(rows)) * width
+        full = (np.arange(width) < size[:, None]).ravel()
+        m = np.full(end + 1, -1, np.int32)
+        m[:-1][full] = self.byte_id[np.frombuffer(b"".join(rows), np.uint8)]
+        after, before = np.arange(1, end + 2), np.arange(-1, end)
+        after[starts + size - 1] = before[starts] = after[end] = before[end] = end
+        rank = np.full(end, none, np.int32)
+        at = np.flatnonzero(full & (after[:-1] < end))
+        rank[at] = self.rank_of(m[at], m[after[at]])
+        rank = rank.reshape(-1, BLOCK)
+        least = rank.min(1)
+        flat, least_of = rank.reshape(-1), least.reshape(len(rows), -1)
+        while True:
+            best = least_of.min(1)
+            block = np.flatnonzero((least_of == np.where(best == none, -1, best)[:, None]).ravel())
+            if not len(block):
+                break
+            which, place = np.nonzero(rank[block] == best[block * BLOCK // width][:, None])
+            at = block[which] * BLOCK + place
+            chain = np.concatenate([[False], after[at[:-1]] == at[1:]])
+            if chain.any():  # of overlapping occurrences every second one goes
+                i = np.arange(len(at))
+                at = at[(i - np.maximum.accumulate(np.where(chain, 0, i))) % 2 == 0]
+            r = best[at // width]
+            right, left = after[at], before[at]
+            far = after[right]
+            beside = m[left]
+            beside[1:] = np.where(right[:-1] == left[1:], r[:-1], beside[1:])
+            early = np.where(left < end, self.rank_of(beside, r), none) <= r
+            early |= np.where(far < end, self.rank_of(r, m[far]), none) <= r
+            if early.any():
+                row = at // width
+                ahead = np.cumsum(early) - early
+                keep = ahead == ahead[np.searchsorted(row, row)]
+                at, r, right, far = at[keep], r[keep], right[keep], far[keep]
+            m[at], m[right], flat[right] = r, -1, none
+            after[at], before[far] = far, at
+            before[end] = end
+            left = before[at]
+            flat[at] = np.where(far < end, self.rank_of(r, m[far]), none)
+            i = left < end
+            flat[left[i]] = self.rank_of(m[left[i]], r[i])
+            block = np.unique(np.concatenate([at, right, left[i]]) // BLOCK)
+            least[block] = rank[block].min(1)
+        return [x[x >= 0] for x in m[:-1].reshape(len(rows), width)]
+
+    def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        got = self.pairs.get(self.key(left, right))
+        return np.where(got < 0, np.int32(2**31 - 1), got)
 
     def merge(self, pieces: list[bytes]) -> list[np.ndarray]:
         out: list = [None] * len(pieces)
@@ -174,36 +211,44 @@ class Tokenizer:
         for i, p in enumerate(pieces):
             if (r := self.ranks.get(p)) is not None:
                 out[i] = np.array([r], np.int32)
-            elif len(p) > LONG:
-                out[i] = self.merge_long(p)
-            else:
-                buckets.setdefault((len(p) + 3) // 4, []).append(i)
-        for own in buckets.values():
-            for k in range(0, len(own), 20_000):
-                for i, ids in zip(own[k : k + 20_000], self.merge_bucket([pieces[i] for i in own[k : k + 20_000]])):
+            else:  # buckets of 4 bytes up to LONG, then of a power of two
+                buckets.setdefault((len(p) + 3) // 4 if len(p) <= LONG else -len(p).bit_length(), []).append(i)
+        for bucket, own in buckets.items():
+            merge = self.merge_wide if bucket < 0 else self.merge_bucket
+            step = max(1, CELLS // max(len(pieces[i]) for i in own))
+            for k in range(0, len(own), step):
+                for i, ids in zip(own[k : k + step], merge([pieces[i] for i in own[k : k + step]])):
                     out[i] = ids
         return out
 
     def learn(self, units: list[str]) -> None:
         """Adds the ids of new units to the look-up table."""
         split = {u: [p.encode() for p in self.pattern.findall(u)] for u in units}
-        if len(self.pieces) > KEEP:
+        if self.piece_bytes > KEEP_BYTES:
             self.pieces.clear()
+            self.piece_bytes = 0
         new = list({p for ps in split.values() for p in ps} - self.pieces.keys())
         self.pieces.update(zip(new, (x.tobytes() for x in self.merge(new))))
+        self.piece_bytes += sum(len(p) + len(self.pieces[p]) + EACH for p in new)
         for u, ps in split.items():
-            self.units[u] = b"".join([self.pieces[p] for p in ps])
+            ids = self.units[u] = b"".join([self.pieces[p] for p in ps])
+            self.unit_bytes += len(u) + len(ids) + EACH
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         split = list(map(self.unit.findall, texts))
-        if len(self.units) > KEEP:
+        if self.unit_bytes > KEEP_BYTES:
             self.units.clear()
+            self.unit_bytes = 0
         new = set(itertools.chain.from_iterable(split)).difference(self.units)
         if new:
             self.learn(list(new))
         get = self.units.__getitem__
         return [np.frombuffer(b"".join(map(get, us)), np.int32) for us in split]
 
+    def forget(self) -> None:
+        """Empties the look-up tables, as a worker keeps its tokenizer between tasks."""
+        self.pieces, self.units, self.piece_bytes, self.unit_bytes = {}, {}, 0, 0
+
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
 
@@ -213,6 +258,19 @@ def tokenizer(path: str, pattern: str) -> Tokenizer:
     return Tokenizer(path, pattern)
 
 
+def own(run, path: str, pattern: str):
+    """``run`` with the look-up tables emptied and their memory given back when the task ends."""
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            tokenizer(path, pattern).forget()
+            trim()
+
+    return task
+
+
 def by_chars(texts: list[str], most: int):
     """Slices of rows with about ``most`` characters."""
     start = total = 0
@@ -240,7 +298,7 @@ def encode(docs: DataFrame, path: str, pattern: str, *, text: str = "text", ids:
                 flat = pa.array(np.concatenate(got) if got else np.zeros(0, np.int32), pa.int32())
                 yield pa.RecordBatch.from_arrays([*b.slice(i, j - i).columns, pa.ListArray.from_arrays(pa.array(ends), flat)], [*rest, ids])
 
-    return docs.select(*rest).mapInArrow(run, schema)
+    return docs.select(*rest).mapInArrow(own(run, path, pattern), schema)
 
 
 def decode(tokens: DataFrame, path: str, pattern: str, *, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -276,7 +334,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, *, text: str = "text")
                 flat = pa.array(np.concatenate(got), pa.int32())
                 yield pa.RecordBatch.from_arrays([*b.slice(i, j - i).columns[: len(rest)], pa.ListArray.from_arrays(pa.array(ends), flat), back], [*rest, "ids", "decoded"])
 
-    return docs.select(*rest, text).mapInArrow(run, schema)
+    return docs.select(*rest, text).mapInArrow(own(run, path, pattern), schema)
 
 
 def digests(tokens: DataFrame) -> DataFrame:

@@ -31,13 +31,21 @@ def test_agrees_with_the_library(library):
 
 
 def test_lookup_is_bounded(monkeypatch, library):
-    monkeypatch.setattr(bpe, "KEEP", 3)
+    monkeypatch.setattr(bpe, "KEEP_BYTES", 300)
     tok = bpe.Tokenizer(PATH, PATTERN)
     for _ in range(3):
         for t in ("one two three four", "five six seven eight"):
             assert tok.encode_batch([t])[0].tolist() == library.encode_ordinary(t)
 
 
+def test_long_pieces(library):
+    rng = random.Random(5)
+    tok = bpe.Tokenizer(PATH, PATTERN)
+    pieces = ["".join(rng.choices("abcdehinorst", k=n)) for n in (97, 128, 129, 500, 511, 512, 4000, 30_000)] + ["a" * 1001, "日本語" * 700, "ab" * 4001 + "c", "aab" * 333]
+    for p, ids in zip(pieces, tok.merge([p.encode() for p in pieces])):
+        assert ids.tolist() == library.encode_ordinary(p)
+
+
 def test_spark_round_trip(spark, library):
     texts = [None, "", "hello world", "hello world", " \n x", "é" * 500, "a b " * 5000]
     docs = spark.createDataFrame([(i, t, "clash", i) for i, t in enumerate(texts)], "doc_id long, text string, ids string, n_chars int")
