@@ -50,7 +50,7 @@ SHINGLE = 5
 LEAST, WHOLE = 75, 100  # the constants of long_lists follow from these
 STEP = 1_000_000
 KEEP = 400_000
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 6 << 20
 #: Documents of a block from which a shingle's postings stay in the block.
 HOT = 32
 BY_COUNT = np.uint32(2**32 - 1)
@@ -59,7 +59,7 @@ SMALL = 48
 #: Classes of a component in a block whose links are counted.
 BLOCK = 512
 ROW = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("block", T.LongType()), *(T.StructField(x, T.BinaryType()) for x in "abc")])
-SETS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("sig", T.BinaryType()), T.StructField("toks", T.ArrayType(T.LongType()))])
+SETS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("sig", T.BinaryType()), T.StructField("toks", T.ArrayType(T.LongType()))])
 
 
 class Shingler:
@@ -104,7 +104,7 @@ def to_batch(rows: list[tuple]) -> pa.RecordBatch:
 def postings(shards: int, size: int):
     """The map side: packed postings for the shards and one row that describes the block."""
 
-    def describe(block: int, ids: list, keys: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+    def describe(block: int, ids: list, keys: list[bytes], sets: list[np.ndarray]) -> pa.RecordBatch:
         sigs = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
         first: dict[bytes, int] = {}
         rep = np.array([first.setdefault(s, i) for i, s in enumerate(sigs)], np.uint32)
@@ -135,7 +135,7 @@ def postings(shards: int, size: int):
         about = {
             "id": np.array([0 if x is None else x for x in ids], np.int64),
             "null": np.array([x is None for x in ids], np.uint8),
-            "key": np.array(keys, np.int64),
+            "key": np.frombuffer(b"".join(keys), np.uint8),
             "n": np.array([len(s) for s in sets], np.int64),
             "rep": rep,
             "sig": np.frombuffer(b"".join(sigs), np.uint8),
@@ -194,7 +194,7 @@ def gather_block(table: pa.Table) -> pa.Table:
     rows = table.to_pylist()
     about = from_buffer(next(r["a"] for r in rows if r["part"] < 0))
     rows = [r for r in rows if r["part"] >= 0]
-    n, rep, sig = about["n"], about["rep"], about["sig"].tobytes()
+    n, rep, sig, key = about["n"], about["rep"], about["sig"].tobytes(), about["key"].tobytes()
     toks: list = [None] * len(n)
     if rows:
         tok = np.concatenate([np.cumsum(unplanes(r["a"], np.uint64), dtype=np.uint64) for r in rows])
@@ -217,17 +217,20 @@ def gather_block(table: pa.Table) -> pa.Table:
                 toks[i] = own
     ids = pa.array([None if null else int(x) for x, null in zip(about["id"], about["null"])], pa.int64())
     sigs = pa.array([sig[16 * i : 16 * i + 16] for i in range(len(n))], pa.binary())
-    return pa.table({"doc_id": ids, "key": pa.array(about["key"]), "n": pa.array(n), "sig": sigs, "toks": pa.array([toks[i] if rep[i] == i else None for i in range(len(n))], pa.list_(pa.int64()))})
+    return pa.table({"doc_id": ids, "key": pa.array([key[16 * i : 16 * i + 16] for i in range(len(n))], pa.binary()), "n": pa.array(n), "sig": sigs, "toks": pa.array([toks[i] if rep[i] == i else None for i in range(len(n))], pa.list_(pa.int64()))})
 
 
 def shingle_sets(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE) -> DataFrame:
-    shards = pieces(docs, SHARD_BYTES, 64)
+    shards = pieces(docs, text, SHARD_BYTES, 64)
     sent = docs.select(F.col(doc_id).cast("long"), row_key(doc_id, text), text).mapInArrow(postings(shards, size), ROW)
-    return sent.groupBy("part").applyInArrow(count_shard, ROW).groupBy("block").applyInArrow(gather_block, SETS)
+    counted = sent.repartition(shards, "part").groupBy("part").applyInArrow(count_shard, ROW)
+    return counted.repartition(shards, "block").groupBy("block").applyInArrow(gather_block, SETS)
 
 
 def row_key(doc_id: str, text: str) -> Column:
-    return F.xxhash64(doc_id, text)
+    """128 bits of a row's id and text; null differs from empty in both."""
+    part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
+    return F.unhex(F.md5(F.concat(part(doc_id), F.lit("\n"), part(text)).cast("binary")))
 
 
 def fits(na: str, nb: str):
