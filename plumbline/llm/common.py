@@ -38,18 +38,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of the bytes ``df`` reads. It only decides how finely work is dealt out, never what is computed."""
-    try:
-        n = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # a plan without statistics
-        return 1 << 30
-    return min(n, 1 << 50)
-
-
-def pieces(df: DataFrame, each: int, least: int) -> int:
-    """How many parts of about ``each`` bytes the input makes, ``least`` at least."""
-    return max(least, math.ceil(plan_bytes(df) / each))
+def pieces(df: DataFrame, text: str, each: int, least: int) -> int:
+    """How many parts of about ``each`` bytes of text the input makes, ``least`` at least; a pass over the texts' lengths."""
+    total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return max(least, math.ceil(total / each))
 
 
 def crc_mod(doc_id: Column, modulus: int) -> Column:

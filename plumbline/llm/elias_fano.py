@@ -3,6 +3,8 @@
 A value's low bits are packed; its high part h puts a one at bit h + i of a bit vector. ``locate``
 finds the bucket of a high part by selecting zeros (a position is kept for every ``EVERY``-th zero) and
 bisects the low bits of the bucket, which holds one or two values on average and many where values crowd.
+``ranges`` reads pointers by selecting ones (kept for every ``ONES``-th one), and ``Ids.find`` searches the range of
+packed ids between two pointers.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ import json
 import numpy as np
 
 EVERY = 4
+ONES = 4
 U = np.uint64
 ONE = U(1)
 
@@ -51,11 +54,12 @@ def _window(words: np.ndarray, bit: np.ndarray) -> np.ndarray:
 
 
 class EliasFano:
-    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, zeros: np.ndarray):
-        self.n, self.low_bits, self.low, self.high, self.zeros = n, low_bits, low, high, zeros
+    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, zeros: np.ndarray, ones: np.ndarray):
+        self.n, self.low_bits, self.low, self.high, self.zeros, self.ones = n, low_bits, low, high, zeros, ones
 
     @classmethod
-    def build(cls, values: np.ndarray, universe: int) -> EliasFano:
+    def build(cls, values: np.ndarray, universe: int, *, ones: bool = False) -> EliasFano:
+        """``ones`` keeps places for ``get`` and ``ranges`` instead of those for ``locate``."""
         values = values.astype(np.uint64)
         n = len(values)
         bits = max(0, (universe // max(1, n)).bit_length() - 1)
@@ -65,25 +69,31 @@ class EliasFano:
         flags = np.ones(top + n + 64, np.uint8)  # the padding is ones: no zeros are found there
         flags[: top + n] = 0
         flags[place] = 1
-        zeros = np.flatnonzero(flags == 0)[::EVERY].astype(np.uint32 if len(flags) < 1 << 32 else np.uint64)
+        small = np.uint32 if len(flags) < 1 << 32 else np.uint64
+        kept = (np.zeros(0, small), place[::ONES].astype(small)) if ones else (np.flatnonzero(flags == 0)[::EVERY].astype(small), np.zeros(0, small))
         flags = np.concatenate([flags, np.ones(-len(flags) % 64 + 64, np.uint8)])
-        return cls(n, bits, _pack(values & _mask(bits), bits), np.packbits(flags, bitorder="little").view(np.uint64), zeros)
+        return cls(n, bits, _pack(values & _mask(bits), bits), np.packbits(flags, bitorder="little").view(np.uint64), *kept)
 
     def select0(self, k: np.ndarray) -> np.ndarray:
         """The position of the k-th zero, from 0."""
+        return self._select(self.zeros, k, EVERY, U(2**64 - 1))
+
+    def _select(self, kept: np.ndarray, k: np.ndarray, every: int, flip: np.uint64 = U(0)) -> np.ndarray:
         k = k.astype(np.int64)
-        at, left = self.zeros[k // EVERY].astype(np.uint64), k % EVERY
+        at, left = kept[k // every].astype(np.uint64), k % every
         out = np.zeros(len(k), np.uint64)
         todo = np.arange(len(k))
         while len(todo):
-            z = ~_window(self.high, at)
+            z = _window(self.high, at) ^ flip
             has = np.bitwise_count(z).astype(np.int64)
             ok = has > left
             if ok.any():
-                zz, ll = z[ok], left[ok].copy()
-                while (more := ll > 0).any():
+                zz, ll = z[ok], left[ok]
+                for step in range(every - 1):
+                    more = ll > step
+                    if not more.any():
+                        break
                     zz = np.where(more, zz & (zz - ONE), zz)
-                    ll -= more
                 out[todo[ok]] = at[ok] + np.bitwise_count((zz & (~zz + ONE)) - ONE)
             todo, at, left = todo[~ok], at[~ok] + U(64), left[~ok] - has[~ok]
         return out
@@ -118,33 +128,77 @@ class EliasFano:
         out[hit] = lo[hit]
         return out
 
+    def select1(self, k: np.ndarray) -> np.ndarray:
+        """The position of the k-th one, from 0."""
+        return self._select(self.ones, k, ONES)
+
     def get(self, i: np.ndarray) -> np.ndarray:
-        """The value at each index, by bisection over the zeros before it."""
+        """The value at each index; the sequence was built with ``ones``."""
+        i = i.astype(np.int64)
+        return self._value(i, self.select1(i))
+
+    def ranges(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values at each index and at the next one; the next one is mostly in sight of the first."""
         i = i.astype(np.int64)
-        total = self.count0()
-        lo, hi = np.zeros(len(i), np.int64), np.full(len(i), total)
-        while (lo < hi).any():  # the number of zeros before the one with index i
-            mid = (lo + hi) // 2
-            inside = mid < total
-            before = np.full(len(i), 2**62)
-            before[inside] = self.select0(mid[inside]).astype(np.int64) - mid[inside]
-            go = (before <= i) & (lo < hi)
-            lo, hi = np.where(go, mid + 1, lo), np.where(go | (lo >= hi), hi, mid)
-        return (lo.astype(np.uint64) << U(self.low_bits)) | _field(self.low, i, self.low_bits)
-
-    def count0(self) -> int:
-        full = (len(self.zeros) - 1) * EVERY
-        at = int(self.zeros[-1])
-        bits = np.unpackbits(self.high[at // 64 :].view(np.uint8), bitorder="little")[at % 64 :]
-        return full + int((bits == 0).sum())
+        at = self.select1(i)
+        z = _window(self.high, at + ONE)
+        after = at + ONE + np.bitwise_count((z & (~z + ONE)) - ONE)
+        far = np.flatnonzero(z == 0)
+        if len(far):
+            after[far] = self.select1(i[far] + 1)
+        return self._value(i, at).astype(np.int64), self._value(i + 1, after).astype(np.int64)
+
+    def _value(self, i: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return ((at - i.astype(np.uint64)) << U(self.low_bits)) | _field(self.low, i, self.low_bits)
 
     def arrays(self, name: str) -> dict[str, np.ndarray]:
-        return {f"{name}.n": np.array([self.n, self.low_bits], np.uint64), f"{name}.low": self.low, f"{name}.high": self.high, f"{name}.zeros": self.zeros}
+        return {f"{name}.n": np.array([self.n, self.low_bits], np.uint64), f"{name}.low": self.low, f"{name}.high": self.high, f"{name}.zeros": self.zeros, f"{name}.ones": self.ones}
 
     @classmethod
     def of(cls, arrays: dict[str, np.ndarray], name: str) -> EliasFano:
         n, bits = map(int, arrays[f"{name}.n"])
-        return cls(n, bits, *(arrays[f"{name}.{k}"] for k in ("low", "high", "zeros")))
+        return cls(n, bits, *(arrays[f"{name}.{k}"] for k in ("low", "high", "zeros", "ones")))
+
+
+class Ids:
+    """Sorted runs of ids of equal width, one after another."""
+
+    def __init__(self, bits: int, packed: np.ndarray):
+        self.bits, self.packed = bits, packed
+
+    def find(self, lo: np.ndarray, hi: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """The place of each x in the run [lo, hi), -1 if it is absent: the run's first id that is not below x, if it is x."""
+        x = x.astype(np.uint64)
+        lo, last = lo.copy(), hi
+        out = np.full(len(x), -1, np.int64)
+        todo = np.flatnonzero(last - lo > 1)
+        low, high = lo[todo], last[todo]
+        while len(todo):
+            mid = (low + high) // 2
+            less = _field(self.packed, mid, self.bits) < x[todo]
+            low, high = np.where(less, mid + 1, low), np.where(less, high, mid)
+            lo[todo] = low
+            more = low < high
+            todo, low, high = todo[more], low[more], high[more]
+        todo = np.flatnonzero(lo < last)
+        hit = todo[_field(self.packed, lo[todo], self.bits) == x[todo]]
+        out[hit] = lo[hit]
+        return out
+
+    def get(self, i: np.ndarray) -> np.ndarray:
+        return _field(self.packed, i.astype(np.int64), self.bits)
+
+    @classmethod
+    def build(cls, ids: np.ndarray, most: int) -> Ids:
+        bits = max(1, int(most).bit_length())
+        return cls(bits, _pack(ids.astype(np.uint64), bits))
+
+    def arrays(self, name: str) -> dict[str, np.ndarray]:
+        return {f"{name}.bits": np.array([self.bits], np.uint64), f"{name}.packed": self.packed}
+
+    @classmethod
+    def of(cls, arrays: dict[str, np.ndarray], name: str) -> Ids:
+        return cls(int(arrays[f"{name}.bits"][0]), arrays[f"{name}.packed"])
 
 
 def to_bytes(arrays: dict[str, np.ndarray]) -> bytes:

@@ -1,29 +1,36 @@
-"""N-gram language model in an Elias-Fano trie, trained and queried on the same tables.
-
-Level 1 holds the words: their 64-bit hashes in an Elias-Fano sequence (a word's rank is its id) and
-their counts. Level 2 holds the pairs seen: the contexts' ids and the monotone pointers to where each
-context's followers begin, both Elias-Fano coded, the followers as (context's rank, word id) in a third
-sequence, and the quantised smoothed log10 probability of each. A query finds its context, then the
-follower by successor search relative to the context. Levels are cut into shards, one file each in the
-folder the cluster shares; tasks map those they need into memory (copied to a local file first, and
-unlinked, where the folder is in a store that cannot be mapped), so memory stays small and pages can go.
-
-Probabilities: p(w|v) = (c(vw) + m * p(w)) / (c(v) + m) with p(w) = (c(w) + 0.1) / (N + 0.1 * (V + 1)),
-which sums to one over the words and one unknown word; m is the value of ``MASSES`` that gives the
-training pairs the highest likelihood when each is left out in turn. All training rows count; nothing is pruned.
-
-Counts travel as packed, sorted, delta-coded blocks, summed per block before the shuffle. A shard of
-level 2 is a hash of the context; the followers of a context that holds more than a shard's share are
-dealt over several shards by ranges of their ids.
-
-Defined results: null text counts as empty; every text ends with one end token; without training rows
-every token has probability 1 and scores are 0; repeated rows count as often as they occur; a null id
-has the fold of the empty text. Words are told apart by a 64-bit hash.
+"""N-gram language model of order 3 in an Elias-Fano trie, trained and queried on the same tables.
+
+Level 1 holds the words: their 64-bit hashes in an Elias-Fano sequence (a word's rank is its id) and their
+counts. Level 2 holds the pairs seen: the ids of the contexts and monotone pointers to where each one's
+followers begin, both Elias-Fano coded, the followers' ids packed and sorted within each context, the
+quantised log10 of each pair's discounted probability and of the mass it leaves to shorter contexts. Level 3
+holds the triples seen: pointers from the pairs, the followers' ids, and their quantised discounted
+probabilities. A query finds its context, follows the pointers and searches the range between them, so ids are looked up
+relative to their context. Levels are cut into shards, one file each in the folder the cluster shares;
+tasks map those they need into memory (copied to a local file first, and unlinked, where the folder is
+in a store that cannot be mapped), so memory stays small and pages can go.
+
+Probabilities are interpolated with absolute discounting (``DISCOUNT``, D): p(w) = (c(w) + 0.1) / (N + 0.1 * (V + 1)), and for
+a context h with shorter context h', p(w|h) = max(c(hw) - D, 0) / c(h) + D * n(h) / c(h) * p(w|h') with n(h) the number of
+distinct followers of h; an unseen context gives p(w|h'). They sum to one over the words and one unknown
+word. The beginning of a text is a context of its own. All training rows count; nothing is pruned.
+
+Counts travel as packed, sorted, delta-coded blocks, summed per block before the shuffle: words, then
+triples, whose sums are the pairs. A block addresses at most ``FAN`` groups of shards; beyond that many shards
+the groups are merged and dealt out again, so rows grow with the input. A shard of
+pairs is a hash of the context; the followers of a context that holds more than a shard's share are
+dealt over several shards by ranges of their ids, and the mass of such a context is summed over its shards.
+
+Defined results: null text counts as empty; every text ends with one end token; a text of any length is read whole;
+without training rows every token has probability 1 and scores are 0; repeated rows count as often as they occur; a null id
+has the fold of the empty text; an empty table gives an empty result; input columns of the result's names are
+replaced, others pass through ``score``. Words are told apart by a 64-bit hash.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 import os
 import tempfile
 import uuid
@@ -36,18 +43,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import crc_mod, pieces, shared_dir
-from plumbline.llm.elias_fano import EliasFano, from_buffer, to_bytes
+from plumbline.llm.common import crc_mod, given_back, pieces, shared_dir
+from plumbline.llm.elias_fano import EliasFano, Ids, from_buffer, to_bytes
 
 FOLDS = 10
-MASSES = tuple(10.0**k for k in (1, 1.5, 2, 2.5, 3, 3.5, 4, 4.5, 5, 6, 7))
-STEP = 1_000_000
+STEP = 500_000
 KEEP = 250_000
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 12 << 20
+#: Groups of shards that a block addresses at most.
+FAN = 256
 #: No word holds a space, so the end token is none of them.
 END = b" end"
 LEVELS = 65_536
-LEAST_LOG = -20.0
+LEAST_LOG = -16.0
+DISCOUNT = 0.75
 
 
 def word_hash(word: bytes) -> int:
@@ -62,14 +71,17 @@ def tokens(text: str | None) -> list[bytes]:
 
 
 def put(folder: str, name: str, raw: bytes) -> None:
-    """Writes a whole file or none, so a task may run twice."""
+    """Writes a whole file or none, so a task may run twice; its second file would be the same."""
     from pyarrow import fs
 
     store, path = fs.FileSystem.from_uri(folder)
     own = f"{path}/.{name}.{uuid.uuid4().hex}"
     with store.open_output_stream(own) as f:
         f.write(raw)
-    store.move(own, f"{path}/{name}")
+    if store.get_file_info(f"{path}/{name}").type == fs.FileType.NotFound:
+        store.move(own, f"{path}/{name}")
+    else:
+        store.delete_file(own)
 
 
 def mapped(folder: str, name: str):
@@ -90,7 +102,9 @@ def mapped(folder: str, name: str):
 
 # ---- packed counts ---------------------------------------------------------------------------------------------
 
-BLOCK = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("keys", T.BinaryType()), T.StructField("counts", T.BinaryType())])
+#: ``many`` and ``next`` are empty where keys are words: a pair's triples are its ``many`` next ids with their counts.
+BLOCK = T.StructType([T.StructField("shard", T.IntegerType()), *(T.StructField(x, T.BinaryType()) for x in ("keys", "many", "next", "counts"))])
+ENTRIES_A_MERGE = 1_500_000
 
 
 def planes(a: np.ndarray) -> bytes:
@@ -103,30 +117,130 @@ def unplanes(raw: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(n, -1).T).view(kind).ravel()
 
 
-def blocks(shard: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    """One packed row a shard. ``keys`` are sorted within a shard."""
-    order = np.argsort(shard, kind="stable")
-    shard, keys, counts = shard[order], keys[order], counts[order]
-    starts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(shard) else np.zeros(0, np.int64)
-    ends = np.append(starts[1:], len(shard))
-    rows = [(planes(np.diff(keys[i:j], prepend=np.uint64(0))), planes(counts[i:j].astype(np.uint32))) for i, j in zip(starts, ends)]
-    return pa.RecordBatch.from_arrays([pa.array(shard[starts].astype(np.int32)), pa.array([x for x, _ in rows], pa.binary()), pa.array([y for _, y in rows], pa.binary())], BLOCK.names)
-
-
-def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[starts], np.add.reduceat(counts, starts) if len(keys) else counts
-
-
-def merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    keys = [np.cumsum(unplanes(x, np.uint64), dtype=np.uint64) for x in table.column("keys").to_pylist()]
-    counts = [unplanes(x, np.uint32) for x in table.column("counts").to_pylist()]
-    return summed(np.concatenate(keys), np.concatenate(counts).astype(np.int64))
-
-
-# ---- the two levels --------------------------------------------------------------------------------------------
+class Counts:
+    """Sorted distinct keys with counts; for pairs the counts of their triples, ``many`` a pair, sorted by the next id."""
+
+    def __init__(self, keys, counts, many=None, after=None):
+        self.keys, self.counts, self.many, self.after = keys, counts, many, after
+
+    @classmethod
+    def of_words(cls, keys: np.ndarray, counts: np.ndarray) -> Counts:
+        order = np.argsort(keys)
+        keys, counts = keys[order], counts[order]
+        starts = np.flatnonzero(first_of_runs(keys))
+        return cls(keys[starts], np.add.reduceat(counts, starts) if len(keys) else counts)
+
+    @classmethod
+    def of_triples(cls, keys: np.ndarray, after: np.ndarray, counts: np.ndarray, bits: int) -> Counts:
+        """From triples (pair's key, next id of ``bits`` bits, count) in any order."""
+        order = np.argsort(keys)
+        keys = keys[order]
+        new = first_of_runs(keys)
+        both = (np.cumsum(new).astype(np.uint64) - np.uint64(1)) << np.uint64(bits) | after[order].astype(np.uint64)
+        again = np.argsort(both)
+        both, counts = both[again], counts[order[again]]
+        starts = np.flatnonzero(first_of_runs(both))
+        both = both[starts]
+        keys = keys[new]
+        return cls(keys, np.add.reduceat(counts, starts) if len(starts) else counts, np.bincount((both >> np.uint64(bits)).astype(np.int64), minlength=len(keys)), both & np.uint64((1 << bits) - 1))
+
+    def rows(self, shard: np.ndarray) -> pa.RecordBatch:
+        """One packed row for each shard; ``shard`` is that of each key, below 65,536."""
+        wide = shard.astype(np.uint16)
+        order = np.argsort(wide, kind="stable")
+        shard, keys, counts, many, after = shard[order], self.keys[order], self.counts, self.many, self.after
+        if many is None:
+            counts = counts[order]
+        else:
+            own = np.argsort(np.repeat(wide, many), kind="stable")
+            counts, after, many = counts[own], after[own], many[order]
+        cuts = np.append(np.flatnonzero(first_of_runs(shard)), len(shard))
+        ends = cuts if many is None else np.concatenate([[0], np.cumsum(many)])[cuts]
+        kind = np.uint32 if after is None or not len(after) or int(after.max()) < 1 << 32 else np.uint64
+        rows = []
+        for i, j, k, m in zip(cuts[:-1], cuts[1:], ends[:-1], ends[1:]):
+            rest = (b"", b"") if many is None else (planes(many[i:j].astype(np.uint32)), planes(after[k:m].astype(kind)))
+            rows.append((planes(np.diff(keys[i:j], prepend=np.uint64(0))), *rest, planes(counts[k:m].astype(np.uint64 if counts[k:m].max() >> 32 else np.uint32))))
+        cols = list(zip(*rows)) if rows else [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(shard[cuts[:-1]].astype(np.int32)), *(pa.array(c, pa.binary()) for c in cols)], BLOCK.names)
+
+    @classmethod
+    def merged(cls, rows: list[tuple], bits: int) -> Counts:
+        """The sum of packed rows (keys, many, next, counts)."""
+        keys = [np.cumsum(unplanes(r[0], np.uint64), dtype=np.uint64) for r in rows]
+        if not rows[0][1]:
+            return cls.of_words(np.concatenate(keys), np.concatenate([numbers(r[3], len(k)) for r, k in zip(rows, keys)]))
+        many = [unplanes(r[1], np.uint32).astype(np.int64) for r in rows]
+        sizes = [int(m.sum()) for m in many]
+        return cls.of_triples(
+            np.repeat(np.concatenate(keys), np.concatenate(many)),
+            np.concatenate([numbers(r[2], n) for r, n in zip(rows, sizes)]),
+            np.concatenate([numbers(r[3], n) for r, n in zip(rows, sizes)]),
+            bits,
+        )
+
+
+def numbers(raw: bytes, n: int) -> np.ndarray:
+    return unplanes(raw, np.uint32 if len(raw) == 4 * n else np.uint64).astype(np.int64)
+
+
+def first_of_runs(a: np.ndarray) -> np.ndarray:
+    return np.concatenate([[True], a[1:] != a[:-1]]) if len(a) else np.zeros(0, bool)
+
+
+def by_shard(rows: DataFrame, n: int, shard_of, bits: int) -> DataFrame:
+    """Packed rows dealt to the partitions of their shards, each in one partition.
+
+    Up to ``FAN`` shards they are addressed at once. Beyond, ``rows`` carry a group of shards; rows of a group (spread over
+    several partitions by a salt) are merged up to ``ENTRIES_A_MERGE`` entries and dealt out to the group's
+    shards or smaller groups by ``shard_of``, level by level.
+    """
+    level = levels(n)
+    while level > 1:
+        level -= 1
+        step = FAN ** (level - 1)
+
+        def finer(batches, step=step):
+            have: dict[int, list] = {}
+            size: Counter = Counter()
+
+            def out(g: int) -> pa.RecordBatch:
+                own = Counts.merged(have.pop(g), bits)
+                del size[g]
+                return parted(own, shard_of(own.keys) // step)
+
+            for b in batches:
+                for g, *r in zip(*(c.to_pylist() for c in b.columns)):
+                    have.setdefault(g, []).append(r)
+                    size[g] += len(r[3]) // 4
+                    if size[g] >= ENTRIES_A_MERGE:
+                        yield out(g)
+                while sum(size.values()) >= 2 * ENTRIES_A_MERGE:
+                    yield out(size.most_common(1)[0][0])
+            for g in list(have):
+                yield out(g)
+
+        parts = max(8, math.ceil(n / 8))
+        rows = rows.repartition(parts, "shard", F.pmod(F.hash("keys"), F.lit(math.ceil(parts / FAN)))).mapInArrow(finer, BLOCK)
+    return rows.repartition(n, "shard")
+
+
+def levels(n: int) -> int:
+    """How often blocks are dealt out so that each time at most ``FAN`` addresses follow from one."""
+    k = 1
+    while FAN**k < n:
+        k += 1
+    return k
+
+
+def parted(own: Counts, shard: np.ndarray) -> pa.RecordBatch:
+    """``rows`` for shards of any number: they are numbered within the block first."""
+    there, dense = np.unique(shard, return_inverse=True)
+    b = own.rows(dense)
+    return b.set_column(0, "shard", pa.array(there[b.column(0).to_numpy()].astype(np.int32)))
+
+
+# ---- the levels -------------------------------------------------------------------------------------------------
 
 
 class Words:
@@ -172,12 +286,18 @@ def shard_of_hash(hashes: np.ndarray, n: int) -> np.ndarray:
     return (((hashes >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
 
 
+def parts_of_context(cv: np.ndarray, model: dict) -> np.ndarray:
+    return np.clip(-(-cv * model["n2"] // max(1, model["N"])), 1, model["n2"])
+
+
+def shard_of_context(v: np.ndarray, n: int) -> np.ndarray:
+    return ((v.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64) % n
+
+
 def shard_of_pair(v: np.ndarray, w: np.ndarray, cv: np.ndarray, model: dict) -> np.ndarray:
     """A hash of the context; a context with more than a shard's share of tokens is dealt over several by ranges of w."""
-    n = model["n2"]
-    parts = np.minimum(n, -(-cv * n // max(1, model["N"])))
-    own = ((v.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64)
-    return (own + w * parts // max(1, model["V"])) % n
+    parts = parts_of_context(cv, model)
+    return (shard_of_context(v, model["n2"]) + w * parts // max(1, model["V"])) % model["n2"]
 
 
 class Numbered(dict):
@@ -238,31 +358,40 @@ def train(docs: DataFrame, *, text: str = "text", fold: str = "fold") -> dict:
     spark = docs.sparkSession
     folder = f"{shared_dir(spark)}/lm-{uuid.uuid4().hex}"
     spark.createDataFrame([], "x int").write.json(folder)  # makes the folder wherever it is
-    n = pieces(docs, SHARD_BYTES, 8)
+    n = pieces(docs, text, SHARD_BYTES, 8)
     model = {"folder": folder, "n1": n, "n2": n}
     rows = docs.select(text, fold)
+    first = FAN ** (levels(n) - 1)  # shards in a group that a block addresses
 
     def count_words(batches):
         for _, _, _, words in steps(batches, 0, 1):
             found = Counter(itertools.chain.from_iterable(words))
-            hashes = np.fromiter(map(word_hash, found), np.uint64, len(found))
-            keys, counts = summed(hashes, np.fromiter(found.values(), np.int64, len(found)))
-            yield blocks(shard_of_hash(keys, n), keys, counts)
-
-    def build_words(table: pa.Table) -> pa.Table:
-        own = table.column("shard")[0].as_py()
-        keys, counts = merged(table)
-        put(folder, f"words-{own}", to_bytes({**EliasFano.build(keys, 1 << 64).arrays("hash"), "count": counts}))
-        end = counts[keys == np.uint64(word_hash(END))]
-        return pa.table({"shard": pa.array([own], pa.int32()), "n": pa.array([len(keys)]), "total": pa.array([int(counts.sum())]), "docs": pa.array([int(end.sum())])})
-
-    got = rows.mapInArrow(count_words, BLOCK).groupBy("shard").applyInArrow(build_words, "shard int, n long, total long, docs long").collect()
+            own = Counts.of_words(np.fromiter(map(word_hash, found), np.uint64, len(found)), np.fromiter(found.values(), np.int64, len(found)))
+            yield own.rows(shard_of_hash(own.keys, n) // first)
+
+    def build_words(batches):
+        done = {"shard": [], "n": [], "total": [], "docs": []}
+        for own, rows_of in shards(batches):
+            c = Counts.merged(rows_of, 0)
+            put(folder, f"words-{own}", to_bytes({**EliasFano.build(c.keys, 1 << 64).arrays("hash"), "count": c.counts}))
+            end = c.counts[c.keys == np.uint64(word_hash(END))]
+            for k, x in zip(done, (own, len(c.keys), int(c.counts.sum()), int(end.sum()))):
+                done[k].append(x)
+        yield pa.RecordBatch.from_arrays([pa.array(done["shard"], pa.int32()), *(pa.array(done[k], pa.int64()) for k in ("n", "total", "docs"))], list(done))
+
+    dealt = by_shard(rows.mapInArrow(lambda b: given_back(count_words(b)), BLOCK), n, lambda keys: shard_of_hash(keys, n), 0)
+    got = dealt.sortWithinPartitions("shard").mapInArrow(lambda b: given_back(build_words(b)), "shard int, n long, total long, docs long").collect()
     got.sort()
     bases = np.cumsum([0] + [r["n"] for r in got])
     model |= {"words": [(r["shard"], int(b), r["n"]) for r, b in zip(got, bases)], "V": int(bases[-1]), "N": sum(r["total"] for r in got), "docs": sum(r["docs"] for r in got)}
     V = model["V"]
+    bits = V.bit_length()  # an id of V, the beginning or no next word, fits too
 
-    def count_pairs(batches):
+    def shard_of(keys: np.ndarray, words: Words) -> np.ndarray:
+        v, w = (keys // np.uint64(V)).astype(np.int64), (keys % np.uint64(V)).astype(np.int64)
+        return shard_of_pair(v, w, context_counts(words, v), model)
+
+    def count_triples(batches):
         words = Words(model)
         vocabulary = Vocabulary(words)
         for _, _, _, own in steps(batches, 0, 1):
@@ -271,49 +400,76 @@ def train(docs: DataFrame, *, text: str = "text", fold: str = "fold") -> dict:
             lengths = np.fromiter(map(len, own), np.int64, len(own))
             at = vocabulary.look(own, int(lengths.sum()))
             ids = vocabulary.ids[at]
-            v = contexts(ids, lengths, V)
-            keys, counts = np.unique(v.astype(np.uint64) * np.uint64(V) + ids.astype(np.uint64), return_counts=True)
-            v, w = (keys // np.uint64(V)).astype(np.int64), (keys % np.uint64(V)).astype(np.int64)
-            yield blocks(shard_of_pair(v, w, context_counts(words, v), model), keys, counts)
-
-    def merge_pairs(table: pa.Table) -> pa.Table:
-        own = table.column("shard")[0].as_py()
-        keys, counts = merged(table)
-        put(folder, f"pairs-{own}", to_bytes({"keys": keys, "counts": counts}))
-        words = Words(model)
-        v, w = (keys // np.uint64(V)).astype(np.int64), (keys % np.uint64(V)).astype(np.int64)
-        cv, pw = context_counts(words, v), words.p(words.counts(w))
-        fit = [float((counts * np.log((counts - 1 + m * pw) / (cv - 1 + m))).sum()) for m in MASSES]
-        return pa.table({"shard": pa.array([own], pa.int32()), "fit": pa.array([fit], pa.list_(pa.float64()))})
+            after = np.append(ids[1:], V)
+            after[np.cumsum(lengths) - 1] = V
+            c = Counts.of_triples(contexts(ids, lengths, V).astype(np.uint64) * np.uint64(V) + ids.astype(np.uint64), after, np.ones(len(ids), np.int64), bits)
+            yield c.rows(shard_of(c.keys, words) // first)
 
-    fits = sorted(rows.mapInArrow(count_pairs, BLOCK).groupBy("shard").applyInArrow(merge_pairs, "shard int, fit array<double>").collect()) if V else []
-    model["m"] = MASSES[int(np.argmax(np.sum([r["fit"] for r in fits], 0)))] if fits else 1.0
-    model["pairs"] = [r["shard"] for r in fits]
-
-    def build_pairs(batches):
+    def build_level(batches):
         words = Words(model)
-        for b in batches:
-            for own in b.column(0).to_pylist():
-                a = from_buffer(mapped(folder, f"pairs-{own}"))
-                keys, counts = a["keys"], a["counts"]
-                v, w = (keys // np.uint64(V)).astype(np.int64), (keys % np.uint64(V)).astype(np.int64)
-                ctx, rank, many = np.unique(v, return_inverse=True, return_counts=True)
-                value = np.log10((counts + model["m"] * words.p(words.counts(w))) / (context_counts(words, v) + model["m"]))
-                arrays = {
-                    **EliasFano.build(ctx, V + 1).arrays("context"),
-                    **EliasFano.build(np.concatenate([[0], np.cumsum(many)]), len(keys) + 1).arrays("pointer"),
-                    **EliasFano.build(rank.astype(np.uint64) * np.uint64(V) + w.astype(np.uint64), len(ctx) * V).arrays("follower"),
-                    "value": np.round(np.maximum(value, LEAST_LOG) / LEAST_LOG * (LEVELS - 1)).astype(np.uint16),
-                }
-                put(folder, f"trie-{own}", to_bytes(arrays))
-                put(folder, f"pairs-{own}", b"")
-            yield pa.RecordBatch.from_arrays([b.column(0)], ["shard"])
-
-    if fits:
-        spark.createDataFrame([(s,) for s in model["pairs"]], "shard int").repartition(len(fits)).mapInArrow(build_pairs, "shard int").foreach(lambda _: None)
+        for own, rows_of in shards(batches):
+            put(folder, f"trie-{own}", to_bytes(levels_of(Counts.merged(rows_of, bits), words, model)))
+            yield pa.RecordBatch.from_arrays([pa.array([own], pa.int32())], ["shard"])
+
+    if V:
+        found: list[Words] = []
+
+        def dealt_by(keys: np.ndarray) -> np.ndarray:  # in a task: the words are mapped once
+            if not found:
+                found.append(Words(model))
+            return shard_of(keys, found[0])
+
+        dealt = by_shard(rows.mapInArrow(lambda b: given_back(count_triples(b)), BLOCK), n, dealt_by, bits)
+        built = dealt.sortWithinPartitions("shard").mapInArrow(lambda b: given_back(build_level(b)), "shard int").collect()
+        model["pairs"] = sorted(r["shard"] for r in built)
+    else:
+        model["pairs"] = []
     return model
 
 
+def shards(batches):
+    """(shard, its packed rows) of rows sorted by shard."""
+    last, have = None, []
+    for b in batches:
+        for s, *r in zip(*(c.to_pylist() for c in b.columns)):
+            if s != last and have:
+                yield last, have
+                have = []
+            last = s
+            have.append(r)
+    if have:
+        yield last, have
+
+
+def levels_of(c: Counts, words: Words, model: dict) -> dict[str, np.ndarray]:
+    """A shard's part of levels 2 and 3."""
+    V = model["V"]
+    v, w = (c.keys // np.uint64(V)).astype(np.int64), (c.keys % np.uint64(V)).astype(np.int64)
+    own = np.repeat(np.arange(len(v)), c.many)
+    total = np.add.reduceat(c.counts, np.cumsum(c.many) - c.many)
+    ctx, rank = runs(v)
+    real = c.after < V
+    many = np.bincount(own[real], minlength=len(v))
+    return {
+        **EliasFano.build(ctx, V + 1).arrays("context"),
+        **EliasFano.build(np.concatenate([[0], np.cumsum(np.bincount(rank, minlength=len(ctx)))]), len(v) + 1, ones=True).arrays("pointer"),
+        **Ids.build(w, V).arrays("follower"),
+        "value": quantised((total - DISCOUNT) / words.counts(ctx)[rank]),
+        "mass": quantised(DISCOUNT * many / total),
+        **EliasFano.build(np.concatenate([[0], np.cumsum(many)]), int(many.sum()) + 1, ones=True).arrays("pointer3"),
+        **Ids.build(c.after[real], V).arrays("next"),
+        "value3": quantised((c.counts[real] - DISCOUNT) / total[own[real]]),
+    }
+
+
+def quantised(p: np.ndarray) -> np.ndarray:
+    return np.round(np.log10(np.maximum(p, 10.0**LEAST_LOG)) / LEAST_LOG * (LEVELS - 1)).astype(np.uint16)
+
+
+#: The probability of each quantised value; the last one stands for none.
+VALUES = np.append(10.0 ** (np.arange(LEVELS - 1) * LEAST_LOG / (LEVELS - 1)), 0.0)
+
+
 def context_counts(words: Words, v: np.ndarray) -> np.ndarray:
     """``v`` is sorted: each context is looked up once."""
     own, back = runs(v)
@@ -322,67 +478,129 @@ def context_counts(words: Words, v: np.ndarray) -> np.ndarray:
 
 def runs(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct values of a sorted array and where each element's is among them."""
-    new = np.concatenate([[True], v[1:] != v[:-1]]) if len(v) else np.zeros(0, bool)
+    new = first_of_runs(v)
     return v[new], np.cumsum(new) - 1
 
 
 class Trie:
-    """Queries of both levels."""
+    """Queries of all levels."""
 
     def __init__(self, model: dict):
         self.model, self.words, self.shards = model, Words(model), {}
         self.there = set(model["pairs"])
+        self.wide: dict[int, int] = {}  # distinct followers of contexts in several shards
 
-    def shard(self, k: int):
+    def shard(self, k: int) -> dict:
         if k not in self.shards:
             a = from_buffer(mapped(self.model["folder"], f"trie-{k}"))
-            self.shards[k] = *(EliasFano.of(a, x) for x in ("context", "pointer", "follower")), a["value"]
+            self.shards[k] = {
+                "context": EliasFano.of(a, "context"),
+                "pointer": EliasFano.of(a, "pointer"),
+                "follower": Ids.of(a, "follower"),
+                "pointer3": EliasFano.of(a, "pointer3"),
+                "next": Ids.of(a, "next"),
+                "value": a["value"],
+                "mass": a["mass"],
+                "value3": a["value3"],
+            }
         return self.shards[k]
 
-    def find(self, v: np.ndarray, w: np.ndarray, cv: np.ndarray) -> np.ndarray:
-        """log10 p(w|v) of pairs that were seen, nan for others; every pair is known words'."""
-        out = np.full(len(v), np.nan)
-        part = shard_of_pair(v, w, cv, self.model)
-        order = np.argsort(part, kind="stable")
-        cuts = np.flatnonzero(np.diff(part[order], prepend=-1, append=-1))
-        for i, j in zip(cuts[:-1], cuts[1:]):
-            k = int(part[order[i]])
+    def followers_of_wide(self, v: int, parts: int) -> int:
+        if v not in self.wide:
+            n, first, total = self.model["n2"], int(shard_of_context(np.array([v]), self.model["n2"])[0]), 0
+            for k in {(first + i) % n for i in range(parts)} & self.there:
+                s = self.shard(k)
+                rank = s["context"].locate(np.array([v]))
+                if rank[0] >= 0:
+                    lo, hi = s["pointer"].ranges(rank)
+                    total += int(hi[0] - lo[0])
+            self.wide[v] = total
+        return self.wide[v]
+
+    def pairs(self, v: np.ndarray, w: np.ndarray, cv: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of sorted pairs of known words: shard, place in level 2 (-1 if unseen), discounted probability, mass of the context v."""
+        shard, place = shard_of_pair(v, w, cv, self.model), np.full(len(v), -1, np.int64)
+        p, many = np.zeros(len(v)), np.zeros(len(v))
+        for k, at in of_each(shard):
             if k not in self.there:
                 continue
-            at = order[i:j]
-            context, _, follower, value = self.shard(k)
+            s = self.shard(k)
             own, back = runs(v[at])  # pairs come sorted, and a stable sort by shard keeps that
-            rank = context.locate(own)[back]
-            at, rank = at[rank >= 0], rank[rank >= 0]
-            child = follower.locate(rank.astype(np.uint64) * np.uint64(self.model["V"]) + w[at].astype(np.uint64))
+            rank = s["context"].locate(own)
+            seen = rank >= 0
+            lo, hi = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
+            lo[seen], hi[seen] = s["pointer"].ranges(rank[seen])
+            many[at] = (hi - lo)[back]
+            child = s["follower"].find(lo[back], hi[back], w[at])
             hit = child >= 0
-            out[at[hit]] = value[child[hit]] * (LEAST_LOG / (LEVELS - 1))
-        return out
+            place[at[hit]], p[at[hit]] = child[hit], VALUES[s["value"][child[hit]]]
+        parts = parts_of_context(cv, self.model)
+        for i in np.flatnonzero(first_of_runs(v) & (parts > 1)):
+            many[i : np.searchsorted(v, v[i], "right")] = self.followers_of_wide(int(v[i]), int(parts[i]))
+        return shard, place, p, DISCOUNT * many / np.maximum(cv, 1)
+
+    def triples(self, shard: np.ndarray, place: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of pairs found in level 2 and the words after them: discounted probability, mass of the pair."""
+        p, mass = np.zeros(len(w)), np.ones(len(w))
+        for k, at in of_each(shard):
+            s = self.shard(k)
+            mass[at] = VALUES[s["mass"][place[at]]]
+            at = at[w[at] >= 0]
+            lo, hi = s["pointer3"].ranges(place[at])
+            child = s["next"].find(lo, hi, w[at])
+            hit = child >= 0
+            p[at[hit]] = VALUES[s["value3"][child[hit]]]
+        return p, mass
 
     def followers(self, k: int, v: int) -> tuple[np.ndarray, np.ndarray]:
-        """Word ids after context ``v`` in shard ``k`` and their log10 probabilities, by the pointers."""
-        context, pointer, follower, value = self.shard(k)
-        rank = int(context.locate(np.array([v]))[0])
-        if rank < 0:
+        """Word ids after context ``v`` in shard ``k`` and their discounted probabilities."""
+        s = self.shard(k)
+        rank = s["context"].locate(np.array([v]))
+        if rank[0] < 0:
             return np.zeros(0, np.int64), np.zeros(0)
-        i, j = pointer.get(np.array([rank, rank + 1])).astype(np.int64)
-        return (follower.get(np.arange(i, j)) - np.uint64(rank * self.model["V"])).astype(np.int64), value[i:j] * (LEAST_LOG / (LEVELS - 1))
+        lo, hi = s["pointer"].ranges(rank)
+        return s["follower"].get(np.arange(lo[0], hi[0])).astype(np.int64), VALUES[s["value"][lo[0] : hi[0]]]
 
     def score(self, ids: np.ndarray, counts: np.ndarray, base: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """log10 probability of each token of the texts that ``ids`` holds one after another; ``base`` is that of words alone."""
-        V, m = self.model["V"], self.model["m"]
+        V = self.model["V"]
         v = contexts(ids, lengths, V)
-        cv = np.empty_like(counts)
-        cv[1:] = counts[:-1]
+        cv = np.append(self.model["docs"], counts[:-1])
         cv[v == V] = self.model["docs"]
-        out = np.log10(m / (cv + m)) + base
-        known = np.flatnonzero((v >= 0) & (ids >= 0) & (cv > 0))
-        keys, first, back = np.unique(v[known].astype(np.uint64) * np.uint64(max(1, V)) + ids[known].astype(np.uint64), return_index=True, return_inverse=True)
-        first = known[first]
-        found = self.find(v[first], ids[first], cv[first])[back]
-        hit = ~np.isnan(found)
-        out[known[hit]] = found[hit]
-        return out
+        p = 10.0**base
+        known = np.flatnonzero((v >= 0) & (cv > 0))
+        if not len(known) or not V:
+            return np.log10(p)
+        w = ids[known]
+        keys = v[known].astype(np.uint64) * np.uint64(V + 1) + np.where(w < 0, V, w).astype(np.uint64)  # V: unknown word
+        order = np.argsort(keys)
+        new = first_of_runs(keys[order])
+        back = np.empty(len(keys), np.int64)
+        back[order] = np.cumsum(new) - 1
+        one = known[order[new]]
+        real = ids[one] >= 0
+        shard, place, f, mass = self.pairs(v[one], np.where(real, ids[one], 0), cv[one])
+        f, place = np.where(real, f, 0), np.where(real, place, -1)
+        p[known] = f[back] + mass[back] * p[known]
+        # The pair that ends before a token is its longer context.
+        at = np.full(len(ids), -1, np.int64)
+        at[known] = back
+        pair = np.append(-1, at[:-1])
+        pair[v == V] = -1
+        deep = np.flatnonzero(pair >= 0)
+        deep = deep[place[pair[deep]] >= 0]
+        deep = deep[np.argsort(pair[deep])]
+        f, mass = self.triples(shard[pair[deep]], place[pair[deep]], ids[deep])
+        p[deep] = f + mass * p[deep]
+        return np.log10(p)
+
+
+def of_each(shard: np.ndarray):
+    """(shard, places of its elements in order)."""
+    order = np.argsort(shard.astype(np.uint16) if len(shard) and shard.max() < 65_536 else shard, kind="stable")
+    cuts = np.flatnonzero(np.diff(shard[order], prepend=-1, append=-1))
+    for i, j in zip(cuts[:-1], cuts[1:]):
+        yield int(shard[order[i]]), order[i:j]
 
 
 SCORES = T.StructType([*(T.StructField(n, T.LongType()) for n in ("n_tokens", "n_known", "train_tokens")), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
@@ -406,7 +624,7 @@ def score(docs: DataFrame, model: dict, *, text: str = "text") -> DataFrame:
             cols = [lengths, each((counts > 0).astype(np.int64)), np.full(len(own), model["N"]), each(base), each(trie.score(ids, counts, base, lengths))]
             yield pa.RecordBatch.from_arrays([*b.slice(i, j - i).columns[:-1], *(pa.array(x, pa.int64()) for x in cols[:3]), *(pa.array(x, pa.float64()) for x in cols[3:])], schema.names)
 
-    return docs.select(*out, text).mapInArrow(run, schema)
+    return docs.select(*out, text).mapInArrow(lambda batches: given_back(run(batches)), schema)
 
 
 def train_and_score(spark: SparkSession, docs: DataFrame) -> DataFrame:
