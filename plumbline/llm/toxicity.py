@@ -22,6 +22,7 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,12 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import WORD, crc_mod
+from plumbline.llm.common import WORD, crc_mod, given_back
 
 BUCKETS = 1 << 18
 SEGMENT = 256
-KEEP = 300_000
-WORDS_A_STEP = 600_000
+KEEP = 200_000
+WORDS_A_STEP = 200_000
 PER_CLASS = 1500
 MOST_CHARS = 8000
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("p", T.FloatType())]))
@@ -166,22 +167,21 @@ def doc_scores(p, lengths, fit) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(np.array(fit) @ doc_stats(p, lengths), -30, 30)))
 
 
-def train(rows: list[tuple[str, int]], *, rounds: int = 60, least: int = 6, odds: float = 20.0, l2: float = 1e-4) -> Model:
+def train(rows: Iterable[tuple[str, int]], *, rounds: int = 60, least: int = 6, odds: float = 20.0, l2: float = 1e-4) -> Model:
     """Learns from (text, label) rows; near copies (equal least shingle hash) count once."""
-    seen, docs, y = set(), [], []
+    seen, ids, y, labels = set(), [], [], []
+    vocabulary: dict[bytes, int] = {}
     for text, label in rows:
+        labels.append(label)
         ws = tokens(text)
         sign = min((zlib.crc32(b" ".join(ws[i : i + 3])) for i in range(max(1, len(ws) - 2))), default=0)
         if sign not in seen:
             seen.add(sign)
-            docs.append(ws)
+            ids.append(np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in ws), np.int32, len(ws)))
             y.append(label)
     y = np.array(y, float)
     if not len(y) or y.min() == y.max():
-        labels = [x for _, x in rows]
         return Model(np.zeros(BUCKETS, np.float32), np.ones((2, 2)), 1.0, (0.0, 0.0, 0.0), float(np.mean(labels)) if labels else 0.0)
-    vocabulary: dict[bytes, int] = {}
-    ids = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in ws], np.int64) for ws in docs]
     packed, many = array("q"), np.zeros(len(vocabulary), np.int64)
     for k, w in enumerate(vocabulary):
         own = features(w.decode("utf-8", "replace"))
@@ -198,14 +198,11 @@ def train(rows: list[tuple[str, int]], *, rounds: int = 60, least: int = 6, odds
     marked = np.zeros(size, bool)
     np.logical_or.at(marked, of, ((count[1] >= least) & (ratio >= odds))[flat])
     lengths = np.array([len(d) for d in ids], np.int64)
-    word = np.concatenate(ids) if len(ids) else np.zeros(0, np.int64)
+    word = np.concatenate(ids)
     gold = marked[word] & (np.repeat(y, lengths) == 1)
-    # Short sequences keep the passes wide: training cuts texts, scoring does not.
-    cut = np.concatenate([np.append(np.full(n // 128, 128), n % 128) for n in lengths]) if len(lengths) else lengths
-    cut = cut[cut > 0]
     weights, theta = np.zeros(BUCKETS), np.array([0.0, -3.0, 0.0, 1.0, -3.0])  # log factors 00, 01, 10, 11 and the start
     adam = [np.zeros(BUCKETS + 5), np.zeros(BUCKETS + 5)]
-    firsts = np.cumsum(cut) - cut
+    firsts = (np.cumsum(lengths) - lengths)[lengths > 0]
     is_first = np.zeros(len(word), bool)
     is_first[firsts] = True
     pair_gold = gold[:-1] * 2 + gold[1:]
@@ -213,7 +210,7 @@ def train(rows: list[tuple[str, int]], *, rounds: int = 60, least: int = 6, odds
     for r in range(rounds):
         emit = np.bincount(of, weights[flat], size)
         trans, start = np.exp(theta[:4].reshape(2, 2)), float(np.exp(theta[4]))
-        p = marginals(emit[word], cut, trans, start)
+        p = marginals(emit[word], lengths, trans, start)
         by_word = np.bincount(word, p - gold, size)
         grad = np.bincount(flat, by_word[of], BUCKETS)
         # Expected transitions by the pairwise marginals that agree with neighbouring unary marginals.
@@ -223,7 +220,7 @@ def train(rows: list[tuple[str, int]], *, rounds: int = 60, least: int = 6, odds
         both = np.where(abs(link - 1) < 1e-9, q0 * q1, (s - np.sqrt(np.maximum(0, s * s - 4 * link * (link - 1) * q0 * q1))) / (2 * (link - 1) + 1e-300))
         expected = np.array([(1 - q0 - q1 + both).sum(), (q1 - both).sum(), (q0 - both).sum(), both.sum()])
         grad_t = expected - np.bincount(pair_gold[not_cross], minlength=4)
-        g = np.concatenate([grad, grad_t, [(p[firsts] - gold[firsts]).sum()]]) / max(1, len(cut)) + l2 * np.concatenate([weights, theta])
+        g = np.concatenate([grad, grad_t, [(p[firsts] - gold[firsts]).sum()]]) / max(1, len(word) // 128) + l2 * np.concatenate([weights, theta])
         adam[0] = 0.9 * adam[0] + 0.1 * g
         adam[1] = 0.99 * adam[1] + 0.01 * g * g
         step = 0.3 * (1 - r / rounds) * (adam[0] / (1 - 0.9 ** (r + 1))) / (np.sqrt(adam[1] / (1 - 0.99 ** (r + 1))) + 1e-8)
@@ -257,11 +254,11 @@ def fit(sample: DataFrame) -> Model:
 
     def run(batches):
         rows = sorted((r for b in batches for r in zip(*(b.column(c).to_pylist() for c in range(3)))), key=lambda r: (r[0], r[1]))
-        m = train([(t, y) for _, y, t in rows])
+        m = train((t, y) for _, y, t in rows)
         head = np.array([*m.trans.ravel(), m.start, *m.fit, np.nan if m.share is None else m.share])
         yield pa.RecordBatch.from_arrays([pa.array([head.tobytes()], pa.binary()), pa.array([m.weights.astype(np.float32).tobytes()], pa.binary())], ["head", "weights"])
 
-    got = sample.select("doc_id", "label", "text").repartition(1).mapInArrow(run, "head binary, weights binary").first()
+    got = sample.select("doc_id", "label", "text").repartition(1).mapInArrow(lambda batches: given_back(run(batches)), "head binary, weights binary").first()
     if got is None:  # no labelled rows
         return train([])
     head, weights = got
@@ -302,4 +299,4 @@ def score(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*b.slice(i, j - i).columns, pa.array(got, pa.float64()), pa.array(found, kind)], [*rest, "toxicity", "toxic_spans"])
                 i = j
 
-    return docs.select(*rest).mapInArrow(run, schema)
+    return docs.select(*rest).mapInArrow(lambda batches: given_back(run(batches)), schema)
