@@ -49,6 +49,30 @@ def crc_mod(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def row_key(*columns: str) -> Column:
+    """128 bits of a row's columns, which tell rows apart; null differs from empty."""
+    part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
+    return F.unhex(F.md5(F.concat_ws("\n", *map(part, columns)).cast("binary")))
+
+
+def slices(batches, rows: int = 2000):
+    """Batches of ``rows`` rows at most, so that a task holds few texts at once."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
+def trimmed(build):
+    """``build`` of a group's table, with the memory it took given back."""
+
+    def run(table):
+        out = build(table)
+        trim()
+        return out
+
+    return run
+
+
 def given_back(rows):
     """Yields ``rows`` and then returns the memory that the task's tables held to the system, as a worker outlives its task and waits beside the next one's."""
     try:

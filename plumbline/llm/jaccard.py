@@ -41,15 +41,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import pieces, stored
+from plumbline.llm.common import given_back, pieces, row_key, slices, stored, trimmed
 from plumbline.llm.components import components
 from plumbline.llm.elias_fano import from_buffer, to_bytes
 from plumbline.llm.lm import planes, unplanes
 
 SHINGLE = 5
 LEAST, WHOLE = 75, 100  # the constants of long_lists follow from these
-STEP = 1_000_000
-KEEP = 400_000
+STEP = 500_000
+KEEP = 200_000
 SHARD_BYTES = 6 << 20
 #: Documents of a block from which a shingle's postings stay in the block.
 HOT = 32
@@ -148,7 +148,7 @@ def postings(shards: int, size: int):
         from pyspark import TaskContext
 
         shingler, block = Shingler(size), TaskContext.get().partitionId() << 24
-        for b in batches:
+        for b in slices(batches):
             ids, keys, sets, n = [], [], [], 0
             for i, key, t in zip(*(c.to_pylist() for c in b.columns)):
                 ids.append(i)
@@ -162,7 +162,7 @@ def postings(shards: int, size: int):
                 yield describe(block, ids, keys, sets)
                 block += 1
 
-    return run
+    return lambda batches: given_back(run(batches))
 
 
 def count_shard(table: pa.Table) -> pa.Table:
@@ -223,14 +223,8 @@ def gather_block(table: pa.Table) -> pa.Table:
 def shingle_sets(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE) -> DataFrame:
     shards = pieces(docs, text, SHARD_BYTES, 64)
     sent = docs.select(F.col(doc_id).cast("long"), row_key(doc_id, text), text).mapInArrow(postings(shards, size), ROW)
-    counted = sent.repartition(shards, "part").groupBy("part").applyInArrow(count_shard, ROW)
-    return counted.repartition(shards, "block").groupBy("block").applyInArrow(gather_block, SETS)
-
-
-def row_key(doc_id: str, text: str) -> Column:
-    """128 bits of a row's id and text; null differs from empty in both."""
-    part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
-    return F.unhex(F.md5(F.concat(part(doc_id), F.lit("\n"), part(text)).cast("binary")))
+    counted = sent.repartition(shards, "part").groupBy("part").applyInArrow(trimmed(count_shard), ROW)
+    return counted.repartition(shards, "block").groupBy("block").applyInArrow(trimmed(gather_block), SETS)
 
 
 def fits(na: str, nb: str):
@@ -283,12 +277,9 @@ def labelled(docs: DataFrame, *, doc_id: str, text: str, size: int = SHINGLE) ->
     tried = lists.join(pivots, "tok").where(F.col("gid") != F.col("pivot.gid")).where(fits("n", "pivot.n"))
     tried = tried.groupBy("gid", F.col("pivot.head").alias("a")).agg(F.count(F.lit(1)).alias("shared")).groupBy("gid").agg(F.max(F.struct("shared", "a")).alias("best"))
     outer = tried.join(members, "gid").select(F.col("best.a").alias("a"), F.col("sig").alias("b"))
-    links = [stored(verified(inner.unionByName(outer).distinct(), classes), "jaccard-links")]
-    labels = relabel(members, links)
-    for part in (small_lists, long_lists):
-        links += part(lists, members.join(labels, "sig"), classes)
-        labels = relabel(members, links)
-    return sets, classes, labels
+    labels = relabel(members.select("sig", F.col("sig").alias("label")), stored(verified(inner.unionByName(outer).distinct(), classes), "jaccard-links"))
+    labels = relabel(labels, small_lists(lists, members.join(labels, "sig"), classes))
+    return sets, classes, long_lists(lists, members, labels, classes)
 
 
 def degrees(labels: DataFrame, classes: DataFrame) -> DataFrame:
@@ -301,7 +292,7 @@ def degrees(labels: DataFrame, classes: DataFrame) -> DataFrame:
     dealt = dealt.join(classes.select("sig", "n", "toks"), "sig")
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select("label", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "at", "sig", "n", "toks")
-    counted = dealt.groupBy("label", "i", "j").applyInArrow(count_links, "sig binary, links long")
+    counted = dealt.groupBy("label", "i", "j").applyInArrow(trimmed(count_links), "sig binary, links long")
     return two.unionByName(counted.groupBy("sig").agg(F.sum("links").alias("links")))
 
 
@@ -330,7 +321,7 @@ def count_links(table: pa.Table) -> pa.Table:
     return pa.table({"sig": table.column("sig"), "links": links})
 
 
-def small_lists(lists: DataFrame, members: DataFrame, classes: DataFrame) -> list[DataFrame]:
+def small_lists(lists: DataFrame, members: DataFrame, classes: DataFrame) -> DataFrame:
     """Links between different components from the lists of ``SMALL`` classes or fewer."""
     units = members.groupBy("gid", "label").agg(F.min("n").alias("n"))
     posts = lists.where(F.col("length") <= SMALL).select("tok", "gid", "pos").join(units, "gid")
@@ -342,22 +333,25 @@ def small_lists(lists: DataFrame, members: DataFrame, classes: DataFrame) -> lis
     pairs = left.join(right, "tok").where("labela < labelb").where(fits("na", "nb")).where(early).select("gida", "labela", "gidb", "labelb").distinct()
     for x in "ab":
         pairs = pairs.join(members.select(F.col("gid").alias(f"gid{x}"), F.col("label").alias(f"label{x}"), F.col("sig").alias(x)), [f"gid{x}", f"label{x}"])
-    return [stored(verified(pairs.select("a", "b"), classes), "jaccard-links")]
+    return stored(verified(pairs.select("a", "b"), classes), "jaccard-links")
 
 
-def long_lists(lists: DataFrame, members: DataFrame, classes: DataFrame) -> list[DataFrame]:
-    """Links between different components from longer lists, by differences from the list's pivot."""
-    owned = members.join(classes.select("sig", (F.col("n") - F.size("toks")).alias("u")), "sig")
+def long_lists(lists: DataFrame, members: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
+    """The labels after the links between different components from longer lists, by differences from the list's pivot.
+
+    Links with the pivot itself are contracted first: most of a group of near copies is one component by then, and
+    only classes of different components are paired.
+    """
+    owned = members.join(labels, "sig").join(classes.select("sig", (F.col("n") - F.size("toks")).alias("u")), "sig")
     posts = lists.where(F.col("length") > SMALL).select("tok", "gid").join(owned, "gid")
     open_ = posts.groupBy("tok").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct("u", F.xxhash64("sig").alias("x"), "sig")).alias("pivot")).where("low <> high")
     pairs = posts.join(open_, "tok").select(F.col("pivot.sig").alias("a"), F.col("sig").alias("b")).where("a <> b").distinct()
-    label = members.select("sig", "label")
     far = compared(pairs, classes).select("a", "b", "na", "nb", "ua", "ub", F.size("tb").alias("size"), F.array_except("tb", "ta").alias("plus"), F.reverse(F.array_except("ta", "tb")).alias("minus"))
     far = stored(far, "jaccard-far")
-    direct = stored(far.where(linked(F.col("size") - F.size("plus"), "na", "nb")).select("a", "b"), "jaccard-links")
-    far = far.join(label.select(F.col("sig").alias("a"), F.col("label").alias("la")), "a").join(label.select(F.col("sig").alias("b"), F.col("label").alias("lb")), "b")
+    labels = relabel(labels, far.where(linked(F.col("size") - F.size("plus"), "na", "nb")).select("a", "b"))
+    far = far.join(labels.select(F.col("sig").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("sig").alias("b"), F.col("label").alias("lb")), "b")
     found = sharing(far).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    return [direct, stored(verified(found, classes), "jaccard-links")]
+    return relabel(labels, stored(verified(found, classes), "jaccard-links"))
 
 
 def sharing(far: DataFrame) -> DataFrame:
@@ -380,12 +374,12 @@ def sharing(far: DataFrame) -> DataFrame:
     return probes.join(index, ["a", "d"]).where("lx <> ly").where(fits("nx", "ny")).where(early)
 
 
-def relabel(members: DataFrame, links: list[DataFrame]) -> DataFrame:
-    edges = links[0]
-    for x in links[1:]:
-        edges = edges.unionByName(x)
-    found = components(edges).withColumnRenamed("v", "sig")
-    return stored(members.join(found, "sig", "left").select("sig", F.coalesce("label", "sig").alias("label")), "jaccard-labels")
+def relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(sig, label) after more links: only links between different labels count, once for each pair of labels, so the graph shrinks as labels meet."""
+    left, right = (labels.select(F.col("sig").alias(x), F.col("label").alias(f"l{x}")) for x in "ab")
+    edges = links.join(left, "a").join(right, "b").where("la <> lb").select(F.least("la", "lb").alias("la"), F.greatest("la", "lb").alias("lb")).distinct()
+    found = components(stored(edges, "jaccard-edges"), a="la", b="lb").select(F.col("v").alias("label"), F.col("label").alias("new"))
+    return stored(labels.join(found, "label", "left").select("sig", F.coalesce("new", "label").alias("label")), "jaccard-labels")
 
 
 def results(sets: DataFrame, labels: DataFrame, degree: DataFrame) -> DataFrame:

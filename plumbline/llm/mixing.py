@@ -93,6 +93,28 @@ def mix(
     return out.select(*docs.columns, "size", "source_size", "target", "taken")
 
 
+def cuts(mixed: DataFrame, *, doc_id: str = "doc_id", source: str = "source", seed: str = "mix") -> DataFrame:
+    """One row a source: how often the mix takes it whole, and the last row in key order that gets more, with what rows alike get on average.
+
+    Rows alike in id and size that stand at a source's cut share its words equally, to the next lower whole number.
+    """
+    times = F.expr("floor(target)").cast("long") - F.pmod(F.floor("target").cast("long"), F.greatest("source_size", F.lit(1)))
+    times = F.when(F.col("source_size") > 0, (times / F.col("source_size")).cast("long")).otherwise(F.lit(0))
+    rows = mixed.select(F.col(source).alias("__cut_of"), F.struct(random_key(F.col(doc_id), seed).alias("k"), F.col(doc_id).alias("d"), F.col("size").alias("s")).alias("at"), times.alias("times"), (F.col("taken") - times * F.col("size")).alias("more"))
+    alike = rows.groupBy("__cut_of", "at", "times").agg(F.sum("more").alias("more"), F.count(F.lit(1)).alias("n"))
+    last = F.max(F.when(F.col("more") > 0, F.struct("at", F.floor(F.col("more") / F.col("n")).cast("long").alias("each"))))
+    return alike.groupBy("__cut_of").agg(F.max("times").alias("__cut_times"), last.alias("__cut"))
+
+
+def applied(docs: DataFrame, size: Column, cut: DataFrame, *, doc_id: str = "doc_id", source: str = "source", seed: str = "mix") -> DataFrame:
+    """``docs`` with ``size`` and ``taken`` by the cuts of their sources. Rows stay where they are: the cuts are one row a source, small wherever sources are few, and their stored size tells the planner so."""
+    rows = docs.withColumn("size", F.greatest(size, F.lit(0)).cast("long"))
+    rows = rows.join(cut, F.col(source).eqNullSafe(F.col("__cut_of")), "left")
+    own, at = F.struct(random_key(F.col(doc_id), seed).alias("k"), F.col(doc_id).alias("d"), F.col("size").alias("s")), F.col("__cut")["at"]
+    more = F.when(F.col("__cut").isNull(), 0).when(own < at, F.col("size")).when(own == at, F.col("__cut")["each"]).otherwise(0)
+    return rows.withColumn("taken", (F.col("__cut_times") * F.col("size") + more).cast("long")).drop("__cut_of", "__cut_times", "__cut")
+
+
 def materialised(mixed: DataFrame, columns: list[str], *, text: str = "text") -> DataFrame:
     """The mix as rows: a document once for each whole time it is taken, and the document at a source's cut, if the cut is inside it, up to its last word taken."""
     times = F.expr("array_repeat(size, int(taken div greatest(size, 1)))")

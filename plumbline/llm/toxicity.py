@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import WORD, crc_mod, given_back
+from plumbline.llm.common import WORD, crc_mod, given_back, slices
 
 BUCKETS = 1 << 18
 SEGMENT = 256
@@ -279,7 +279,7 @@ def score(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
 
     def run(batches):
         cache: dict = {}
-        for b in batches:
+        for b in slices(batches):
             texts = [x or "" for x in b.column(rest.index(text)).to_pylist()]
             i = 0
             while i < len(texts):

@@ -1,3 +1,4 @@
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -57,3 +58,18 @@ def test_cut_keeps_whole_words(spark):
     mixed = spark.createDataFrame([(1, " one  two\nthree ", 3, 8), (2, "x", 1, 0)], "doc_id long, text string, size long, taken long")
     rows = [r.text for r in mixing.materialised(mixed, ["doc_id", "text"]).collect()]
     assert sorted(rows) == sorted([" one  two\nthree "] * 2 + [" one  two"])
+
+
+def test_cuts_give_what_the_mix_takes(spark):
+    """Taking rows by their sources' cuts equals the mix, but for rows alike at a cut, which share its words."""
+    rng = random.Random(9)
+    rows = [(i, f"s{i % 3}" if i % 3 else None, rng.randint(0, 40)) for i in range(400)] + [(None, "s1", 7)] * 5 + [(7, "s1", 3), (7, "s1", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, words long")
+    mixed = mixing.mix(docs, F.col("words"), rows_per_range=32)
+    taken = mixing.applied(docs, F.col("words"), mixing.cuts(mixed))
+    assert taken.columns == [*docs.columns, "size", "taken"]
+    want, got = ({(r.doc_id, r.source, r.size): r.s for r in x.groupBy("doc_id", "source", "size").agg(F.sum("taken").alias("s")).collect()} for x in (mixed, taken))
+    assert want.keys() == got.keys()
+    assert all(0 <= want[k] - got[k] < 7 for k in want) and sum(want[k] != got[k] for k in want) <= 3
+    empty = docs.limit(0)
+    assert mixing.applied(empty, F.col("words"), mixing.cuts(mixing.mix(empty, F.col("words")))).count() == 0
