@@ -34,8 +34,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources are mixed to their target weights; a document appears as often as the mix takes it."""
-    mixed = mixing.mix(docs, mixing.word_count(F.col("text")))
-    rows = mixing.materialised(mixed, docs.columns)
+    size = mixing.word_count(F.col("text"))
+    sized = stored(docs.select("doc_id", "source", size.alias("words")), "mix-sizes")
+    cut = stored(mixing.cuts(mixing.mix(sized, F.col("words"))), "mix-cuts")
+    rows = mixing.materialised(mixing.applied(docs, size, cut), docs.columns)
     return rows.withColumn("n_chars", F.length("text").cast("long"))
 
 
