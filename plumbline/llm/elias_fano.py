@@ -14,6 +14,8 @@ import json
 import numpy as np
 
 EVERY = 4
+#: Bits that are read at once.
+SEEN = 56
 ONES = 4
 U = np.uint64
 ONE = U(1)
@@ -39,18 +41,25 @@ def _pack(values: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
+def _at(words: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    """The bits from each position on, 57 or more of them: one load of 8 bytes from where its byte begins."""
+    whole = np.ndarray((len(words) * 8 - 7,), "<u8", words.data, strides=(1,))
+    return whole[bit >> 3] >> (bit & 7).astype(np.uint64)
+
+
 def _field(words: np.ndarray, at: np.ndarray, bits: int) -> np.ndarray:
     if not bits:
         return np.zeros(len(at), np.uint64)
-    at = at.astype(np.uint64) * U(bits)
-    return _window(words, at) & _mask(bits)
+    bit = at.astype(np.int64) * bits
+    low = _at(words, bit)
+    if bits > SEEN:  # the upper bits are read by themselves
+        return (low & _mask(SEEN)) | ((_at(words, bit + SEEN) & _mask(bits - SEEN)) << U(SEEN))
+    return low & _mask(bits)
 
 
 def _window(words: np.ndarray, bit: np.ndarray) -> np.ndarray:
-    """64 bits from each bit position."""
-    word, shift = (bit >> U(6)).astype(np.int64), bit & U(63)
-    high = np.where(shift == 0, U(0), words[word + 1] << ((U(64) - shift) & U(63)))
-    return (words[word] >> shift) | high
+    """``SEEN`` bits from each position."""
+    return _at(words, bit.astype(np.int64)) & _mask(SEEN)
 
 
 class EliasFano:
@@ -76,7 +85,7 @@ class EliasFano:
 
     def select0(self, k: np.ndarray) -> np.ndarray:
         """The position of the k-th zero, from 0."""
-        return self._select(self.zeros, k, EVERY, U(2**64 - 1))
+        return self._select(self.zeros, k, EVERY, _mask(SEEN))
 
     def _select(self, kept: np.ndarray, k: np.ndarray, every: int, flip: np.uint64 = U(0)) -> np.ndarray:
         k = k.astype(np.int64)
@@ -95,7 +104,7 @@ class EliasFano:
                         break
                     zz = np.where(more, zz & (zz - ONE), zz)
                 out[todo[ok]] = at[ok] + np.bitwise_count((zz & (~zz + ONE)) - ONE)
-            todo, at, left = todo[~ok], at[~ok] + U(64), left[~ok] - has[~ok]
+            todo, at, left = todo[~ok], at[~ok] + U(SEEN), left[~ok] - has[~ok]
         return out
 
     def locate(self, x: np.ndarray) -> np.ndarray:
@@ -108,7 +117,7 @@ class EliasFano:
         lo = np.zeros(len(x), np.int64)
         later = h > 0
         lo[later] = self.select0((h[later] - ONE).astype(np.int64)).astype(np.int64) + 1 - h[later].astype(np.int64)
-        free = ~_window(self.high, lo.astype(np.uint64) + h)  # the bucket ends at the next zero
+        free = _window(self.high, lo.astype(np.uint64) + h) ^ _mask(SEEN)  # the bucket ends at the next zero
         end = lo + np.bitwise_count((free & (~free + ONE)) - ONE)
         wide = np.flatnonzero(free == 0)
         if len(wide):

@@ -29,7 +29,6 @@ replaced, others pass through ``score``. Words are told apart by a 64-bit hash.
 
 from __future__ import annotations
 
-import itertools
 import math
 import os
 import tempfile
@@ -38,6 +37,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,8 +47,7 @@ from plumbline.llm.common import crc_mod, given_back, pieces, shared_dir
 from plumbline.llm.elias_fano import EliasFano, Ids, from_buffer, to_bytes
 
 FOLDS = 10
-STEP = 500_000
-KEEP = 250_000
+STEP = 2_500_000
 SHARD_BYTES = 12 << 20
 #: Groups of shards that a block addresses at most.
 FAN = 256
@@ -300,49 +299,43 @@ def shard_of_pair(v: np.ndarray, w: np.ndarray, cv: np.ndarray, model: dict) ->
     return (shard_of_context(v, model["n2"]) + w * parts // max(1, model["V"])) % model["n2"]
 
 
-class Numbered(dict):
-    """Numbers words as they are first asked for."""
+class Step:
+    """The tokens of some rows, one text after another: ``codes`` into ``words``, whose last one is the end token, and each text's number of tokens."""
 
-    def __missing__(self, word: bytes) -> int:
-        k = self[word] = len(self)
-        return k
+    def __init__(self, texts: pa.Array):
+        parts = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))  # of space and 9 to 13, as WORD has it
+        coded = parts.flatten().dictionary_encode()
+        own, many = coded.indices.to_numpy(), parts.value_lengths().to_numpy()
+        self.words = coded.dictionary.cast(pa.binary()).to_pylist()
+        keep = own != (self.words.index(b"") if b"" in self.words else -1)  # white space at a text's ends leaves empty strings
+        row = np.repeat(np.arange(len(many)), many)
+        self.lengths = np.bincount(row[keep], minlength=len(many)) + 1
+        ends = np.cumsum(self.lengths) - 1
+        inside = np.ones(int(self.lengths.sum()), bool)
+        inside[ends] = False
+        self.codes = np.full(len(inside), len(self.words), np.int64)
+        self.codes[inside] = own[keep]
+        self.words.append(END)
 
-
-class Vocabulary:
-    """A worker's table of the words it met: ids, counts and log10 base probabilities from level 1, kept up to a bounded number."""
-
-    def __init__(self, words: Words):
-        self.words, self.index = words, Numbered()
-        self.ids, self.counts, self.base = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-
-    def look(self, texts: list[list[bytes]], total: int) -> np.ndarray:
-        """The place in the table of each word of the texts, one after another."""
-        if len(self.index) > KEEP:
-            self.__init__(self.words)
-        old = len(self.index)
-        at = np.fromiter(map(self.index.__getitem__, itertools.chain.from_iterable(texts)), np.int64, total)
-        if len(self.index) > old:
-            new = itertools.islice(self.index, old, None)
-            ids, counts = self.words.find(np.fromiter(map(word_hash, new), np.uint64, len(self.index) - old))
-            self.ids, self.counts = np.concatenate([self.ids, ids]), np.concatenate([self.counts, counts])
-            self.base = np.concatenate([self.base, np.log10(self.words.p(counts))])
-        return at
+    def hashes(self) -> np.ndarray:
+        return np.fromiter(map(word_hash, self.words), np.uint64, len(self.words))
 
 
 def steps(batches, text: int, fold: int | None = None):
-    """Slices (batch, first row, row after the last, tokens of each row) of about ``STEP`` tokens; ``fold`` names a column of rows to leave out where it is 0."""
+    """(batch, first row, row after the last, tokens) of slices of about ``STEP`` bytes; ``fold`` names a column of rows to leave out where it is 0, and slices without any others are left out."""
     for b in batches:
-        texts = b.column(text).to_pylist()
-        use = [True] * len(texts) if fold is None else [x != 0 for x in b.column(fold).to_pylist()]
+        sizes = pc.binary_length(b.column(text)).fill_null(0).to_numpy(zero_copy_only=False)
         i = 0
-        while i < len(texts):
-            words, n, j = [], 0, i
-            while j < len(texts) and (j == i or n < STEP):
-                if use[j]:
-                    words.append(tokens(texts[j]))
-                    n += len(words[-1])
+        while i < len(sizes):
+            total, j = int(sizes[i]), i + 1
+            while j < len(sizes) and total + sizes[j] <= STEP:
+                total += int(sizes[j])
                 j += 1
-            yield b, i, j, words
+            own = b.column(text).slice(i, j - i)
+            if fold is not None:
+                own = own.filter(pc.not_equal(b.column(fold).slice(i, j - i), 0))
+            if len(own):
+                yield b, i, j, Step(own)
             i = j
 
 
@@ -364,9 +357,9 @@ def train(docs: DataFrame, *, text: str = "text", fold: str = "fold") -> dict:
     first = FAN ** (levels(n) - 1)  # shards in a group that a block addresses
 
     def count_words(batches):
-        for _, _, _, words in steps(batches, 0, 1):
-            found = Counter(itertools.chain.from_iterable(words))
-            own = Counts.of_words(np.fromiter(map(word_hash, found), np.uint64, len(found)), np.fromiter(found.values(), np.int64, len(found)))
+        for _, _, _, step in steps(batches, 0, 1):
+            many = np.bincount(step.codes, minlength=len(step.words))
+            own = Counts.of_words(step.hashes()[many > 0], many[many > 0])
             yield own.rows(shard_of_hash(own.keys, n) // first)
 
     def build_words(batches):
@@ -393,13 +386,8 @@ def train(docs: DataFrame, *, text: str = "text", fold: str = "fold") -> dict:
 
     def count_triples(batches):
         words = Words(model)
-        vocabulary = Vocabulary(words)
-        for _, _, _, own in steps(batches, 0, 1):
-            if not own:
-                continue
-            lengths = np.fromiter(map(len, own), np.int64, len(own))
-            at = vocabulary.look(own, int(lengths.sum()))
-            ids = vocabulary.ids[at]
+        for _, _, _, step in steps(batches, 0, 1):
+            ids, lengths = words.find(step.hashes())[0][step.codes], step.lengths
             after = np.append(ids[1:], V)
             after[np.cumsum(lengths) - 1] = V
             c = Counts.of_triples(contexts(ids, lengths, V).astype(np.uint64) * np.uint64(V) + ids.astype(np.uint64), after, np.ones(len(ids), np.int64), bits)
@@ -614,14 +602,12 @@ def score(docs: DataFrame, model: dict, *, text: str = "text") -> DataFrame:
 
     def run(batches):
         trie = Trie(model)
-        vocabulary = Vocabulary(trie.words)
-        for b, i, j, own in steps(batches, len(out)):
-            lengths = np.fromiter(map(len, own), np.int64, len(own))
-            at = vocabulary.look(own, int(lengths.sum()))
-            ids, counts, base = vocabulary.ids[at], vocabulary.counts[at], vocabulary.base[at]
+        for b, i, j, step in steps(batches, len(out)):
+            found, seen = trie.words.find(step.hashes())
+            ids, counts, base, lengths = found[step.codes], seen[step.codes], np.log10(trie.words.p(seen))[step.codes], step.lengths
             starts = np.cumsum(lengths) - lengths
             each = lambda x: np.add.reduceat(x, starts)
-            cols = [lengths, each((counts > 0).astype(np.int64)), np.full(len(own), model["N"]), each(base), each(trie.score(ids, counts, base, lengths))]
+            cols = [lengths, each((counts > 0).astype(np.int64)), np.full(len(lengths), model["N"]), each(base), each(trie.score(ids, counts, base, lengths))]
             yield pa.RecordBatch.from_arrays([*b.slice(i, j - i).columns[:-1], *(pa.array(x, pa.int64()) for x in cols[:3]), *(pa.array(x, pa.float64()) for x in cols[3:])], schema.names)
 
     return docs.select(*out, text).mapInArrow(lambda batches: given_back(run(batches)), schema)
