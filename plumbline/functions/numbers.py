@@ -26,6 +26,6 @@ def bucket(p: Column) -> Column:
 
 def numeric_token(text: Column) -> Column:
     """The first number of a text, without commas, times its k, m or b."""
-    number = F.try_to_number(F.regexp_replace(F.regexp_extract(text, r"(\d[\d,]*)", 1), ",", ""), F.lit("999999999999999")).cast("double")
-    times = F.lower(F.regexp_extract(text, r"\d[\d,]*(?:\.\d+)?\s?([kKmMbB])\b", 1))
-    return number * F.when(times == "k", 1e3).when(times == "m", 1e6).when(times == "b", 1e9).otherwise(1.0)
+    parts = lambda i: F.regexp_extract(text, r"(\d[\d,]*(?:\.\d+)?)(?:\s?([kKmMbB])\b)?", i)
+    times = F.lower(parts(2))
+    return F.regexp_replace(parts(1), ",", "").try_cast("double") * F.when(times == "k", 1e3).when(times == "m", 1e6).when(times == "b", 1e9).otherwise(1.0)

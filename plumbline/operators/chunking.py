@@ -42,14 +42,16 @@ def erase_markers(chunks: DataFrame, *, text="text") -> DataFrame:
 
 def descendants(nodes: DataFrame, *, node="node_id", parent="parent_id") -> DataFrame:
     """(ancestor, node, depth) of a forest, by a recursive query over the parent links."""
-    spark = nodes.sparkSession
-    nodes.select(F.col(node).alias("node"), F.col(parent).alias("parent")).createOrReplaceTempView("plumbline_nodes")
-    return spark.sql("""
+    links = nodes.select(F.col(node).alias("node"), F.col(parent).alias("parent"))
+    return nodes.sparkSession.sql(
+        """
         WITH RECURSIVE below(ancestor, node, depth) AS (
-          SELECT node, node, 0 FROM plumbline_nodes
+          SELECT node, node, 0 FROM {links}
           UNION ALL
-          SELECT b.ancestor, n.node, b.depth + 1 FROM below b JOIN plumbline_nodes n ON n.parent = b.node)
-        SELECT * FROM below""")
+          SELECT b.ancestor, n.node, b.depth + 1 FROM below b JOIN {links} n ON n.parent = b.node)
+        SELECT * FROM below""",
+        links=links,
+    )
 
 
 def boundary_damage(chunks: DataFrame, *, run: str, rank: str, doc: str, text="text") -> DataFrame:

@@ -62,7 +62,7 @@ def with_features(rows: DataFrame, *, p: str = "p") -> DataFrame:
 
 def embedded(rows: DataFrame, embed: Callable[[DataFrame], DataFrame], *, text: str = "text") -> DataFrame:
     """Each distinct text is embedded once (``embed`` takes and returns a frame keyed by ``text_key``) and joined back by hash."""
-    keyed = rows.withColumn("text_key", F.xxhash64(text))
+    keyed = rows.withColumn("text_key", F.md5(F.coalesce(F.concat(F.lit("="), text), F.lit("-")).cast("binary")))
     once = embed(keyed.select("text_key", text).dropDuplicates(["text_key"]))
     return keyed.join(once.drop(text), "text_key", "left").drop("text_key")
 

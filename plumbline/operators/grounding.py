@@ -45,7 +45,7 @@ def causes(rows: DataFrame, *, run="run_id", cause="cause", score="score", least
     """The primary cause of each run, and the others of ``least`` or more in order."""
     ranked = rows.where(F.col(score) >= least).groupBy(run).agg(F.sort_array(F.collect_list(F.struct((-F.col(score)).alias("s"), F.col(cause).alias("c")))).alias("x"))
     names = F.transform("x", lambda r: r["c"])
-    return ranked.select(run, names[0].alias("primary_cause"), F.slice(names, 2, 10_000).alias("secondary_causes"))
+    return ranked.select(run, names[0].alias("primary_cause"), F.slice(names, F.lit(2), F.greatest(F.size(names), F.lit(1))).alias("secondary_causes"))
 
 
 def external_relevance(chunks: DataFrame, signals: DataFrame, *, run="run_id", chunk="chunk_id") -> DataFrame:

@@ -11,11 +11,11 @@ def _run(run: str) -> Window:
 
 
 def z_outliers(scores: DataFrame, *, run="run_id", score="score", threshold: float = 2.0) -> DataFrame:
-    """Adds ``z`` (population deviation) and keeps |z| above the threshold; runs of one score or without spread have none."""
+    """Adds ``z`` (population deviation) and keeps scores whose z is above the threshold: only high ones; runs of one score or without spread have none."""
     w = _run(run)
     sd = F.stddev_pop(score).over(w)
     out = scores.withColumn("n", F.count(score).over(w)).withColumn("z", F.try_divide(F.col(score) - F.avg(score).over(w), sd))
-    return out.where((F.col("n") >= 2) & (F.abs("z") > threshold))
+    return out.where((F.col("n") >= 2) & (F.col("z") > threshold))
 
 
 def score_cliff(scores: DataFrame, *, run="run_id", score="score", rank="rank", high=0.95, low=0.5, gap=0.45) -> DataFrame:
