@@ -75,3 +75,50 @@ def expectations(gold: DataFrame, found: DataFrame, *, key: str) -> DataFrame:
             "secondary_match": F.size(F.array_except("expected_secondary", "found_secondary")) == 0,
         }
     )
+
+
+def calibrated(claims: DataFrame, cells: DataFrame, *, keys: list[str], score: str = "score") -> DataFrame:
+    """Each claim's confidence from a reliability table (``cell``, ``mean``): its own cell, else the one of its last key alone, else null. The table is an aggregate over few keys."""
+    text = lambda k: F.col(k).cast("string")
+    own = F.concat_ws(":", *(F.coalesce(text(k), F.lit("default")) for k in keys))
+    rows = claims.withColumns({"__own": own, "__rest": F.concat_ws(":", *(F.lit("default") for _ in keys[:-1]), text(keys[-1]))})
+    for name in ("__own", "__rest"):
+        rows = rows.join(cells.select(F.col("cell").alias(name), F.col("mean").alias(f"{name}_mean")), name, "left")
+    return rows.withColumn("calibrated", F.coalesce("__own_mean", "__rest_mean")).drop("__own", "__rest", "__own_mean", "__rest_mean")
+
+
+def analyzer_audit(results: DataFrame, cases: DataFrame, *, case: str = "case_id") -> DataFrame:
+    """How each analyzer fares: candidates, selections, right and wrong ones, right types and stages, false CLEANs, and cases it alone named but lost.
+
+    ``results``: case, analyzer, failure_type, stage, selected. ``cases``: case, expected_type, expected_stage, actual_type, actual_stage.
+    """
+    rows = results.join(cases, case)
+    type_, stage = F.col("failure_type").eqNullSafe(F.col("expected_type")), F.col("stage").eqNullSafe(F.col("expected_stage"))
+    passed = F.col("actual_type").eqNullSafe(F.col("expected_type")) & F.col("actual_stage").eqNullSafe(F.col("expected_stage"))
+    selected, named = F.col("selected"), F.col("failure_type").isNotNull()
+    clean = selected & (F.col("failure_type") == "CLEAN") & (F.col("expected_type") != "CLEAN")
+    return rows.groupBy("analyzer").agg(
+        _n(named).alias("candidates"), _n(selected).alias("selected"), _n(selected & type_ & stage).alias("tp"), _n(selected & ~(type_ & stage)).alias("fp"), _n(~passed & named & type_ & stage & ~selected).alias("fn"),
+        _n(selected & type_).alias("type_right"), _n(selected & stage).alias("stage_right"), _n(F.coalesce(clean, F.lit(False))).alias("false_clean"),
+    )
+
+
+def audit_totals(cases: DataFrame, *, by: list[str]) -> DataFrame:
+    """Cases and passes for each mode, each category and in all, by rollup-like grouping sets; null stands for all."""
+    passed = F.col("actual_type").eqNullSafe(F.col("expected_type")) & F.col("actual_stage").eqNullSafe(F.col("expected_stage"))
+    out = cases.withColumn("__ok", passed.cast("long")).groupingSets([[F.col(b)] for b in by] + [[]], *(F.col(b) for b in by))
+    return out.agg(F.count(F.lit(1)).alias("n"), F.sum("__ok").alias("passed")).withColumn("rate", F.col("passed") / F.col("n"))
+
+
+def heldout(rows: DataFrame, names: dict[str, str], *, gold: str = "gold", pred: str = "pred") -> DataFrame:
+    """Exact accuracy, detection and false alarms of predictions under common names; a name that is not mapped is OTHER."""
+    table = F.create_map(*(F.lit(x) for kv in names.items() for x in kv))
+    own = rows.select(F.col(gold).alias("g"), F.coalesce(F.element_at(table, F.col(pred)), F.lit("OTHER")).alias("p"))
+    clean = F.col("g") == "CLEAN"
+    out = own.agg(F.count(F.lit(1)).alias("n"), _n(F.col("g") == F.col("p")).alias("correct"), _n(clean).alias("clean"), _n(clean & (F.col("p") != "CLEAN")).alias("false_alarms"), _n(~clean & (F.col("p") != "CLEAN")).alias("detected"))
+    return out.withColumns({"accuracy": F.try_divide(F.col("correct").cast("double"), F.col("n")), "detection": F.try_divide(F.col("detected").cast("double"), F.col("n") - F.col("clean"))})
+
+
+def best_setting(swept: DataFrame, *, setting: str = "threshold", false_pass: str = "fp", f1: str = "f1") -> DataFrame:
+    """The setting with fewest false passes, then the highest F1, then the least setting (a top-1 report over a fixed grid)."""
+    return swept.orderBy(F.asc(false_pass), F.desc_nulls_last(f1), setting).limit(1)

@@ -1,8 +1,7 @@
 """Diagnosis of runs: every analyzer is an expression over one nested row, so a diagnosis needs no shuffle.
 
-``diagnose`` adds the analyzers' results as an array of structs, orders the failures by tier,
-specificity, weight, priority and place, applies the named rules in sequence, and derives stage, risk,
-confidence and review from the winner. The plan is narrow: it reads, projects and writes, scales with the
+``diagnose`` adds the analyzers' results as an array of structs, lets ``plans/policy.py`` decide which failure explains the
+run, and derives stage, risk, confidence, causes and review from it. The plan is narrow: it reads, projects and writes, scales with the
 files and runs unchanged on a stream. ``as_of`` is the time that ages are counted to.
 """
 
@@ -11,18 +10,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions import metadata as M
 from plumbline.functions import security
 from plumbline.functions import taxonomy as X
 from plumbline.functions import text as W
+from plumbline.operators import attribution, citations, sufficiency, validity, verification
 from plumbline.operators.documents import missing_items
+from plumbline.plans import policy
 
-RESULT = "struct<analyzer:string,at:int,weight:double,status:string,failure_type:string,stage:string,score:double,security_risk:string,evidence:array<string>>"
-NEGATION = ("not", "never", "cannot", "no")
+RESULT = "struct<analyzer:string,at:int,weight:double,status:string,failure_type:string,stage:string,score:double,security_risk:string,evidence:array<string>,marks:array<string>>"
 UNSURE = r"(?i)\b(i am not sure|i'm not sure|unsure|uncertain|might be|may be|possibly|it is unclear|cannot determine|do not know|don't know)\b"
 ABSTAIN = r"(?i)\b(cannot answer|can't answer|not enough (information|context)|no information|unable to (answer|determine))\b"
-CURRENT = r"(?i)\b(current|currently|latest|today|now|recent|up.to.date)\b"
-DATED = r"(?i)\b(as of|since|dated)\s+\d{4}\b"
-
 
 def conversation_runs(turns: DataFrame, chunks: int = 8) -> DataFrame:
     """Runs from a conversation table: a user's turn and its answer, with the assistant's turns among the ``chunks`` turns up to it as retrieved chunks.
@@ -46,12 +44,13 @@ def conversation_runs(turns: DataFrame, chunks: int = 8) -> DataFrame:
     )
 
 
-def result(at: int, name: str, weight: float, stage: str, status: Column, failure: Column, evidence: Column, score: Column | None = None, risk: Column | None = None) -> Column:
+def result(at: int, name: str, weight: float, stage: str, status: Column, failure: Column, evidence: Column, score: Column | None = None, risk: Column | None = None, marks: Column | None = None) -> Column:
     none = F.lit(None)
     return F.struct(
         F.lit(name).alias("analyzer"), F.lit(at).alias("at"), F.lit(weight).alias("weight"), status.alias("status"),
         F.when(status.isin("fail", "warn"), failure).alias("failure_type"), F.lit(stage).alias("stage"), (none if score is None else score).cast("double").alias("score"),
         (F.lit("NONE") if risk is None else risk).alias("security_risk"), F.when(status.isin("fail", "warn"), evidence).otherwise(F.array()).cast("array<string>").alias("evidence"),
+        (F.array() if marks is None else F.array_compact(marks)).cast("array<string>").alias("marks"),
     ).cast(RESULT)
 
 
@@ -60,136 +59,150 @@ def pairs(n: Column, hit) -> Column:
     return F.exists(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.when(i < n, F.exists(F.sequence(i + 1, F.greatest(n, i + 1)), lambda j: hit(i, j))).otherwise(False))
 
 
-def with_features(runs: DataFrame, as_of: Column) -> DataFrame:
+def with_features(runs: DataFrame, as_of: Column, check=verification.verify) -> DataFrame:
+    """What many analyzers read, computed once a row. ``check`` is the verifier of claims."""
     chunks = F.coalesce("retrieved_chunks", F.expr("CAST(array() AS array<struct<chunk_id:string,text:string,source_doc_id:string,score:double,metadata:map<string,string>>>)"))
-    out = runs.withColumn("chunks", chunks).withColumns(
+    entries = F.coalesce("corpus_entries", F.expr("CAST(array() AS array<struct<doc_id:string,text:string,timestamp:timestamp,metadata:map<string,string>>>)"))
+    out = runs.withColumns({"chunks": chunks, "entries": entries, "cited": F.coalesce("cited_doc_ids", F.array().cast("array<string>")), "answer": F.coalesce("final_answer", F.lit(""))})
+    out = out.withColumns(
         {
             "q": W.terms("query"),
             "answer_terms": W.terms("final_answer"),
             "chunk_terms": F.transform("chunks", lambda c: W.terms(c["text"])),
+            "chunk_tokens": F.transform("chunks", lambda c: F.coalesce(W.tokens(c["text"]), F.array().cast("array<string>"))),
             "context": F.array_join(F.transform("chunks", lambda c: c["text"]), "\n"),
             "docs": F.transform("chunks", lambda c: c["source_doc_id"]),
             "scores": F.filter(F.transform("chunks", lambda c: c["score"]), lambda s: s.isNotNull()),
-            "claims": F.filter(W.sentences("final_answer"), lambda s: (F.size(F.split(s, r"\s+")) >= 3) & ~s.rlike(ABSTAIN) & ~s.rlike(UNSURE)),
+            "claims": F.filter(W.sentences("final_answer"), lambda s: (F.size(F.split(s, r"\s+")) >= 3) & ~s.rlike(ABSTAIN) & ~s.rlike(UNSURE) & ~s.rlike(W.ABSTENTION)),
         }
     )
     n = F.size("scores")
     mean = F.aggregate("scores", F.lit(0.0), lambda a, s: a + s) / F.greatest(n, F.lit(1))
     out = out.withColumn("ratios", F.transform("chunk_terms", lambda t: F.coalesce(W.overlap(F.col("q"), t), F.lit(0.0)))).withColumn("mean", mean)
     spread = F.sqrt(F.aggregate("scores", F.lit(0.0), lambda a, s: a + (s - F.col("mean")) * (s - F.col("mean"))) / F.greatest(n, F.lit(1)))
-    context_terms = F.array_distinct(F.flatten("chunk_terms"))
-    entry = lambda d: F.element_at(F.filter("corpus_entries", lambda e: e["doc_id"] == d), -1)  # noqa: E731  the last entry of a document counts
-    known = F.array_distinct(F.filter("docs", lambda d: F.exists("corpus_entries", lambda e: e["doc_id"] == d)))
-    out = out.withColumns(
+    known = F.array_distinct(F.filter("docs", lambda d: F.exists("entries", lambda e: e["doc_id"] == d)))
+    entry = lambda d: F.try_element_at(F.filter("entries", lambda e: e["doc_id"] == d), F.lit(-1))  # noqa: E731  the last entry of a document counts
+    return out.withColumns(
         {
             "spread": spread,
-            "context_terms": context_terms,
-            "stale": F.filter(known, lambda d: entry(d)["timestamp"] < as_of - F.expr("INTERVAL 180 DAYS")),
-            "verified": F.transform("claims", claim_label),
+            "context_terms": F.array_distinct(F.flatten("chunk_terms")),
+            "aged": F.filter(known, lambda d: entry(d)["timestamp"] < as_of - F.expr("INTERVAL 180 DAYS")),
+            "dated": F.filter(F.transform("chunks", lambda c, i: F.struct(M.dated(c["metadata"])["date"].alias("date"), M.dated(c["metadata"])["key"].alias("key"), F.coalesce(W.overlap(F.array_distinct(W.tokens("answer")), F.array_distinct(W.tokens(c["text"]))), F.lit(0.0)).alias("fit"), i.alias("i"))), lambda x: x["date"].isNotNull()),
+            "sources": validity.assessed(validity.sources(F.col("chunks"), F.col("cited"), F.col("entries")), as_of),
+            "verdicts": verification.verified(F.col("claims"), F.transform("chunks", lambda c: c["text"]), check=check),
         }
     )
-    return out.withColumns({"labels": F.transform("verified", lambda v: v["label"]), "support": F.transform("verified", lambda v: F.get("docs", v["chunk"]))})
 
 
-def claim_label(claim: Column) -> Column:
-    """(label, chunk): entailed, contradicted or unsupported by the three chunks that share most terms with the claim, and the first of them.
+def fence(scores: Column) -> Column:
+    """Q3 + 1.5 IQR by linear interpolation; 0.92 for fewer than three scores."""
+    s = F.array_sort(scores)
 
-    A number that the nearest chunk replaces by another contradicts, as does a denial on one side only.
-    """
-    terms = W.content_terms(claim)
-    near = F.slice(F.reverse(F.array_sort(F.transform("chunk_terms", lambda t, i: F.struct(F.size(F.array_intersect(terms, t)).alias("n"), (-i).alias("i"), t.alias("t"))))), 1, 3)
-    best = F.array_distinct(F.flatten(F.transform(near, lambda x: x["t"])))
-    denied = F.size(F.array_intersect(best, F.array(*map(F.lit, NEGATION)))) > 0
-    denies = claim.rlike(r"(?i)\b(not|never|cannot|no longer)\b")
-    cover = F.coalesce(W.overlap(W.terms(claim), best), F.lit(0.0))
-    numbers = lambda t: F.transform(F.regexp_extract_all(t, F.lit(r"\d[\d,]*(?:\.\d+)?"), F.lit(0)), lambda x: F.regexp_replace(x, ",", ""))
-    own, shown = numbers(claim), numbers(F.get("chunks", (-F.get(near, 0)["i"]).cast("int"))["text"])
-    conflict = (F.size(own) > 0) & (F.size(shown) > 0) & ~F.arrays_overlap(own, shown) & (cover >= 0.25)
-    label = F.when(conflict, "contradicted").when((cover >= 0.5) & (denied != denies) & (cover < 0.9), "contradicted").when(cover >= 0.5, "entailed").otherwise("unsupported")
-    return F.struct(label.alias("label"), (-F.get(near, 0)["i"]).cast("int").alias("chunk"))
+    def quantile(p: float) -> Column:
+        at = (F.size(s) - 1) * F.lit(p)
+        low = F.floor(at).cast("int")
+        return F.get(s, low) + (at - low) * (F.get(s, F.least(low + 1, F.size(s) - 1)) - F.get(s, low))
+
+    return F.when(F.size(s) < 3, 0.92).otherwise(quantile(0.75) + 1.5 * (quantile(0.75) - quantile(0.25)))
+
+
+def relative(dated: Column, days: int = 30) -> Column:
+    """(used, newest): the dated chunk that the answer shares most with, and a newer one by ``days`` or more; null without both. Ties go to the first chunk."""
+    used = F.get(F.array_sort(F.transform(dated, lambda x: F.struct((-x["fit"]).alias("f"), x["i"].alias("i"), x.alias("x")))), 0)["x"]
+    newest = F.get(F.array_sort(F.transform(dated, lambda x: F.struct((-F.unix_date(x["date"])).alias("d"), x["i"].alias("i"), x.alias("x")))), 0)["x"]
+    return F.when((F.size(dated) >= 2) & (used["fit"] > 0) & (F.datediff(newest["date"], used["date"]) >= days), F.struct(used.alias("used"), newest.alias("newest")))
 
 
 def facts() -> dict[str, Column]:
     """What several analyzers or several fields of one use, computed once a row."""
     n = F.size("chunks")
+    labels = F.transform("verdicts", lambda v: v["label"])
     irrelevant, relevant = (F.size(F.filter("ratios", f)) for f in (lambda r: r == 0, lambda r: r >= 0.1))
     quoted = F.filter(F.regexp_extract_all("query", F.lit("""['"]([^'"]{3,80})['"]"""), F.lit(1)), lambda e: ~F.contains(F.lower("context"), F.lower(e)))
-    has_query = F.size("q") > 0
     coverage = F.coalesce(W.overlap(F.col("q"), F.col("context_terms")), F.lit(0.0))
-    phantom = F.filter(F.coalesce("cited_doc_ids", F.array().cast("array<string>")), lambda d: ~F.array_contains("docs", d))
     total = F.size("claims")
-    count = lambda v: F.size(F.filter("labels", lambda x: x == v))
-    failed = total - count("entailed")
+    count = lambda v: F.size(F.filter(labels, lambda x: x == v))
     near = pairs(n, lambda i, j: W.min_overlap(F.element_at("chunk_terms", i), F.element_at("chunk_terms", j)) > 0.85)
-    z = F.exists("scores", lambda s: (F.size("scores") >= 2) & (F.col("spread") > 0) & (F.abs(s - F.col("mean")) / F.col("spread") > 2.0))
+    z = F.exists("scores", lambda s: (F.size("scores") >= 2) & (F.col("spread") > 0) & ((s - F.col("mean")) / F.col("spread") > 2.0))
     top = F.reverse(F.array_sort("scores"))
     cliff = (F.size("scores") >= 2) & (F.get(top, 0) > 0.95) & (F.get(top, 1) < 0.5)
     injected = F.transform(F.filter("chunks", lambda c: security.injected(c["text"])), lambda c: c["chunk_id"])
     injected = F.array_distinct(F.concat(injected, security.split_over(F.col("chunks"))))
     steering = F.array_distinct(F.flatten(F.transform("chunks", lambda c: W.matches(c["text"], W.STEERING_ALL))))
     hard = F.arrays_overlap(steering, F.array(*map(F.lit, W.HARD_MARKERS))) | F.exists("chunks", lambda c: W.unlikely_tokens(c["text"]))
-    high = F.exists("scores", lambda s: s > 0.92)
     everything = F.concat_ws("\n", "query", "final_answer", "context")
-    denied = lambda t: F.size(F.array_intersect(t, F.array(*map(F.lit, NEGATION)))) > 0
-    conflict = pairs(n, lambda i, j: (F.size(F.array_intersect(F.element_at("chunk_terms", i), F.element_at("chunk_terms", j))) >= 4) & (denied(F.element_at("chunk_terms", i)) != denied(F.element_at("chunk_terms", j))))
+    conflict = pairs(n, lambda i, j: security.opposed(F.element_at("chunk_tokens", i), F.element_at("chunk_tokens", j)))
     p = F.filter(F.array(*(count(v) / F.greatest(total, F.lit(1)) for v in ("entailed", "unsupported", "contradicted"))), lambda x: x > 0)
     entropy = -F.aggregate(p, F.lit(0.0), lambda a, x: a + x * F.log2(x))
+    wants = F.col("query").rlike(sufficiency.CURRENT)
     return {
-        "x_irrelevant": irrelevant, "x_relevant": relevant, "x_quoted": quoted, "x_coverage": coverage, "x_phantom": phantom, "x_entailed": count("entailed"), "x_contradicted": count("contradicted"),
-        "x_near": near, "x_injected": injected, "x_steering": steering, "x_hard": hard | high, "x_private": W.privacy_request(F.col("query")) | W.medical_privacy(everything),
-        "x_conflict": conflict, "x_entropy": entropy, "x_odd": z | cliff,
+        "x_labels": labels, "x_irrelevant": irrelevant, "x_relevant": relevant, "x_quoted": quoted, "x_coverage": coverage, "x_phantom": F.array_except("cited", "docs"),
+        "x_entailed": count("entailed"), "x_contradicted": count("contradicted"), "x_near": near, "x_injected": injected, "x_steering": steering,
+        "x_hard": hard | F.exists("scores", lambda s: s > fence(F.col("scores"))), "x_private": W.privacy_request(F.col("query")) | W.medical_privacy(everything),
+        "x_conflict": conflict, "x_entropy": entropy, "x_odd": z | cliff, "x_enough": sufficiency.sufficiency(F.col("query"), F.col("context"), F.col("answer")), "x_relative": relative(F.col("dated")),
+        "x_citation": F.transform("verdicts", lambda v: citations.support_label(v, F.col("docs"), F.col("cited"))), "x_probe": F.transform("verdicts", lambda v: citations.probe_status(v, F.col("docs"), F.col("cited"))),
+        **{f"x_{k}": c for k, c in validity.severity(F.col("sources"), F.col("docs"), F.col("cited"), F.col("query"), F.col("answer"), wants).items()},
     }
 
 
 def analyzers() -> list[Column]:
-    lit, when = F.lit, F.when
+    lit, when, col = F.lit, F.when, F.col
     n, total = F.size("chunks"), F.size("claims")
     has_query = F.size("q") > 0
-    irrelevant, relevant, quoted, coverage, phantom, near, injected, steering, conflict, entropy = (F.col(f"x_{c}") for c in ("irrelevant", "relevant", "quoted", "coverage", "phantom", "near", "injected", "steering", "conflict", "entropy"))
-    hard, private, odd = F.col("x_hard"), F.col("x_private"), F.col("x_odd")
-    failed = total - F.col("x_entailed")
-    count = lambda v: F.col(f"x_{v}")
-    grounding = when((total == 0) | (n == 0), "skip").when(failed / total >= 0.3, "fail").when(failed > 0, "warn").otherwise("pass")
+    irrelevant, relevant, quoted, phantom, near, injected, steering, conflict, entropy = (col(f"x_{c}") for c in ("irrelevant", "relevant", "quoted", "phantom", "near", "injected", "steering", "conflict", "entropy"))
+    hard, private, odd, enough = col("x_hard"), col("x_private"), col("x_odd"), col("x_enough")
+    failed = total - col("x_entailed")
+    bad = F.filter("verdicts", lambda v: v["label"] != "entailed")
+    substantive = (F.length(F.trim("answer")) >= 80) & (F.regexp_count("answer", lit("[A-Za-z]{4,}")) >= 3) & ~col("answer").rlike(W.ABSTENTION) & ~col("answer").rlike(ABSTAIN) & ~col("answer").rlike(UNSURE)
+    empty = (total == 0) & substantive & (n > 0)
+    grounding = when(empty, "fail").when((total == 0) | (n == 0), "skip").when(failed / total >= 0.3, "fail").when(failed > 0, "warn").otherwise("pass")
+    explicit = F.exists(bad, lambda v: (v["label"] == "contradicted") & (v["conflicts"] > 0))
+    backed = F.exists(bad, lambda v: F.size(v["candidates"]) > 0)
+    contra = failed == col("x_contradicted")
+    grounds = F.array(
+        when(backed, "candidate_backed"), when(backed & ~contra, "signal:candidate_backed_unsupported_claim"), when(explicit, "explicit_contradiction"), when(col("x_contradicted") > 0, "signal:grounding_contradiction"),
+        when(F.exists(bad, lambda v: v["reason"] == "partial_support"), "partial_support"), when((col("x_contradicted") > 0) & contra & ~explicit, "inexplicit_grounding"),
+    )
+    stale_status = when((F.size("aged") > 0) | col("x_relative").isNotNull(), "fail").otherwise("pass")
+    broken = pairs(n, lambda i, j: (j == i + 1) & (F.element_at("docs", i) == F.element_at("docs", j)) & ~F.element_at("chunks", i)["text"].rlike(r"[.!?:;]\s*$") & F.element_at("chunks", j)["text"].rlike(r"^\s*[a-z]"))
     return [
-        result(1, "parser", 0.85, "PARSING", when(pairs(n, lambda i, j: (j == i + 1) & (F.element_at("docs", i) == F.element_at("docs", j)) & ~F.element_at("chunks", i)["text"].rlike(r"[.!?:;]\s*$") & F.element_at("chunks", j)["text"].rlike(r"^\s*[a-z]")), "warn").otherwise("pass"), lit("CHUNKING_BOUNDARY_ERROR"), F.array(lit("a chunk breaks off inside a sentence"))),
-        result(2, "sufficiency", 0.9, "SUFFICIENCY", when(n == 0, "fail").when(F.col("query").rlike(CURRENT) & F.col("context").rlike(DATED), "fail").when(~has_query, "skip").when(coverage < 0.3, "fail").otherwise("pass"), when((n > 0) & F.col("query").rlike(CURRENT) & F.col("context").rlike(DATED), "STALE_RETRIEVAL").otherwise("INSUFFICIENT_CONTEXT"), F.array(F.concat(lit("coverage "), F.round(coverage, 4).cast("string"))), coverage),
-        result(3, "grounding", 0.9, "GROUNDING", grounding, when(failed == count("contradicted"), "CONTRADICTED_CLAIM").otherwise("UNSUPPORTED_CLAIM"), F.transform(F.filter(F.arrays_zip("claims", "labels"), lambda x: x["labels"] != "entailed"), lambda x: F.concat_ws(": ", x["labels"], x["claims"])), count("entailed") / F.greatest(total, lit(1))),
-        result(5, "scope", 0.75, "RETRIEVAL", when((n == 0) | ~has_query, "skip").when(F.size(quoted) > 0, "fail").when(irrelevant == n, "fail").when(irrelevant > relevant, "warn").otherwise("pass"), lit("SCOPE_VIOLATION"), F.concat(F.transform(quoted, lambda e: F.concat(lit("quoted query entity missing: "), e)), F.array(F.concat_ws(" ", lit("irrelevant"), irrelevant.cast("string"))))),
-        result(6, "staleness", 0.95, "RETRIEVAL", when(F.size("stale") > 0, "fail").otherwise("pass"), lit("STALE_RETRIEVAL"), F.col("stale")),
-        result(7, "citations", 1.0, "RETRIEVAL", when(F.size(F.coalesce("cited_doc_ids", F.array().cast("array<string>"))) == 0, "skip").when(F.size(phantom) > 0, "fail").otherwise("pass"), lit("CITATION_MISMATCH"), phantom),
+        result(1, "parser", 0.85, "PARSING", when(broken, "warn").otherwise("pass"), lit("CHUNKING_BOUNDARY_ERROR"), F.array(lit("a chunk breaks off inside a sentence"))),
+        result(2, "sufficiency", 0.9, "SUFFICIENCY", when(n == 0, "fail").otherwise(enough["status"]), when(n == 0, "INSUFFICIENT_CONTEXT").otherwise(enough["failure_type"]), F.array(F.concat(enough["reason"], lit(", coverage "), F.round(col("x_coverage"), 4).cast("string"))), col("x_coverage"),
+               None, F.array(when((n > 0) & enough["reason"].isin(*sufficiency.STRUCTURED), F.concat(lit("sufficiency:"), enough["reason"])), when(n == 0, "missing_context"), when((n > 0) & (enough["reason"] == "low_coverage"), "signal:term_coverage_fallback"))),
+        result(3, "grounding", 0.9, "GROUNDING", grounding, when(empty, "CLAIM_EXTRACTION_FAILED").when(contra, "CONTRADICTED_CLAIM").otherwise("UNSUPPORTED_CLAIM"), when(empty, F.array(lit("no claims in a substantive answer"))).otherwise(F.transform(F.filter(F.arrays_zip("claims", "x_labels"), lambda x: x["x_labels"] != "entailed"), lambda x: F.concat_ws(": ", x["x_labels"], x["claims"]))), col("x_entailed") / F.greatest(total, lit(1)), None, grounds),
+        result(5, "scope", 0.75, "RETRIEVAL", when((n == 0) | ~has_query, "skip").when(F.size(quoted) > 0, "fail").when(irrelevant == n, "fail").when(irrelevant > relevant, "warn").otherwise("pass"), lit("SCOPE_VIOLATION"), F.concat(F.transform(quoted, lambda e: F.concat(lit("quoted query entity missing: "), e)), F.array(F.concat_ws(" ", lit("irrelevant"), irrelevant.cast("string")))),
+               None, None, F.array(when(F.size(quoted) > 0, "quoted_entity"), when(F.size(quoted) == 0, "lexical"))),
+        result(6, "staleness", 0.95, "RETRIEVAL", stale_status, lit("STALE_RETRIEVAL"), when(F.size("aged") > 0, col("aged")).otherwise(F.array(F.concat(lit("the answer follows chunk "), col("x_relative")["used"]["i"].cast("string"), lit(" of "), col("x_relative")["used"]["date"].cast("string"), lit(", chunk "), col("x_relative")["newest"]["i"].cast("string"), lit(" is of "), col("x_relative")["newest"]["date"].cast("string"))))),
+        result(7, "citations", 1.0, "RETRIEVAL", when(F.size("cited") == 0, "skip").when(F.size(phantom) > 0, "fail").otherwise("pass"), lit("CITATION_MISMATCH"), phantom, None, None, F.array(when(F.size(phantom) > 0, "reason:phantom_citation"))),
         result(8, "inconsistency", 0.5, "RETRIEVAL", when(conflict, "warn").otherwise("pass"), lit("INCONSISTENT_CHUNKS"), F.array(lit("chunks with shared terms differ in negation"))),
-        result(14, "anomaly", 0.7, "RETRIEVAL", when(near, "fail").when(odd, "warn").otherwise("pass"), lit("RETRIEVAL_ANOMALY"), F.array(when(near, "near-duplicate chunks").otherwise("score outlier"))),
+        result(14, "anomaly", 0.7, "RETRIEVAL", when(near, "fail").when(odd, "warn").otherwise("pass"), lit("RETRIEVAL_ANOMALY"), F.array(when(near, "near-duplicate chunks").otherwise("score outlier")), None, None, F.array(when(near, "explicit_anomaly"))),
         result(15, "injection", 1.0, "SECURITY", when(F.size(injected) > 0, "fail").otherwise("pass"), lit("PROMPT_INJECTION"), injected, None, when(F.size(injected) > 0, "HIGH").otherwise("NONE")),
         result(16, "poisoning", 0.95, "SECURITY", when((F.size(steering) > 0) & hard, "fail").when(F.size(steering) > 0, "warn").otherwise("pass"), lit("SUSPICIOUS_CHUNK"), steering, None, when((F.size(steering) > 0) & hard, "HIGH").when(F.size(steering) > 0, "LOW").otherwise("NONE")),
         result(17, "privacy", 1.0, "SECURITY", when(private, "fail").otherwise("pass"), lit("PRIVACY_VIOLATION"), F.array(lit("the query asks for a person's data")), None, when(private, "MEDIUM").otherwise("NONE")),
-        result(19, "uncertainty", 1.0, "CONFIDENCE", when(F.col("final_answer").rlike(UNSURE), "fail").when(total == 0, "skip").when(entropy < 0.5, "pass").when(entropy <= 1.2, "warn").otherwise("fail"), lit("LOW_CONFIDENCE"), F.array(F.concat(when(F.col("final_answer").rlike(UNSURE), "text-only uncertainty, ").otherwise(""), lit("entropy "), F.round(entropy, 4).cast("string"))), entropy),
+        result(19, "uncertainty", 1.0, "CONFIDENCE", when(col("final_answer").rlike(UNSURE), "fail").when(total == 0, "skip").when(entropy < 0.5, "pass").when(entropy <= 1.2, "warn").otherwise("fail"), lit("LOW_CONFIDENCE"), F.array(F.concat(when(col("final_answer").rlike(UNSURE), "text-only uncertainty, ").otherwise(""), lit("entropy "), F.round(entropy, 4).cast("string"))), entropy,
+               None, F.array(when(col("final_answer").rlike(UNSURE), "text_uncertainty"))),
     ]
 
 
-#: What a source's metadata or text says of its validity, the gravest first; the rest of the ladder is in operators/sources_of_truth.py.
-INVALID = ("withdrawn", "superseded", "replaced", "deprecated", "expired")
-NODES = ("query_understanding", "retrieval_coverage", "retrieval_precision", "context_assembly", "version_validity", "claim_support", "citation_support", "answer_completeness", "security", "confidence")
+NODES = ("query_understanding", "parser_validity", "retrieval_coverage", "retrieval_precision", "context_assembly", "version_validity", "claim_support", "citation_support", "answer_completeness", "security_risk")
+
+
+def of_result(name: str) -> Column:
+    """An analyzer's result among the first results."""
+    return F.get(F.filter("results", lambda r: r["analyzer"] == name), 0)
 
 
 def status_of(name: str) -> Column:
-    """An analyzer's status among the first results."""
-    return F.get(F.filter("results", lambda r: r["analyzer"] == name), 0)["status"]
+    return of_result(name)["status"]
 
 
 def later_facts() -> dict[str, Column]:
     """What the analyzers that read others' results use."""
-    cited = F.coalesce("cited_doc_ids", F.array().cast("array<string>"))
-    claims = F.arrays_zip("labels", "support")
-    entailed = F.filter(claims, lambda c: c["labels"] == "entailed")
-    said = F.transform("chunks", lambda c: F.struct(c["source_doc_id"].alias("doc"), F.coalesce(F.lower(F.element_at(c["metadata"], F.lit("status"))), W.lifecycle(c["text"])).alias("state")))
-    invalid = F.filter(said, lambda x: x["state"].isin(*INVALID))
     n = F.size("chunks")
     return {
-        "y_cited": cited,
-        "y_uncited": F.filter(entailed, lambda c: ~F.array_contains(cited, c["support"])),
-        "y_entailed": F.size(entailed),
-        "y_invalid": F.array_distinct(F.transform(invalid, lambda x: F.concat_ws(": ", x["doc"], x["state"]))),
-        "y_invalid_used": F.exists(invalid, lambda x: F.array_contains(cited, x["doc"]) | F.array_contains(F.transform(entailed, lambda c: c["support"]), x["doc"])),
+        "y_faithful": citations.faithfulness(F.when(n > 0, F.col("x_citation")).otherwise(F.array().cast("array<string>")), F.col("answer")),
+        "y_probe": F.when(n == 0, "skip").otherwise(citations.probe(F.col("x_probe"), F.col("cited"), F.col("answer_confidence"))),
+        "y_affected": F.when((F.size(F.array_distinct("docs")) > 1) & (F.size("cited") > 0), F.array_except("x_retrieved_stale", "cited")).when(F.size(F.array_distinct("docs")) > 1, F.col("x_retrieved_stale")).otherwise(F.array().cast("array<string>")),
         "y_noise": F.try_divide(F.col("x_irrelevant").cast("double"), n),
         "y_missing": missing_items(F.col("query"), F.col("final_answer")),
         "y_score": F.least(F.greatest(F.lit(1.0) - F.when(F.col("mean") < 0.5, 0.1).otherwise(0.0) * (F.size("scores") > 0).cast("int") - F.aggregate("results", F.lit(0.0), lambda a, r: a + F.when(r["status"] == "fail", F.when(r["security_risk"] == "HIGH", 0.2).otherwise(0.1)).when(r["status"] == "warn", 0.05).otherwise(0.0)), F.lit(0.0)), F.lit(1.0)),
@@ -198,36 +211,69 @@ def later_facts() -> dict[str, Column]:
 
 
 def later_analyzers() -> list[Column]:
-    lit, when = F.lit, F.when
+    lit, when, col = F.lit, F.when, F.col
     n = F.size("chunks")
-    uncited, cited = F.size("y_uncited"), F.size("y_cited")
-    failed = lambda name: F.coalesce(status_of(name) == "fail", lit(False))
-    faithful = when((F.col("y_entailed") == 0) | (cited == 0), "skip").when(uncited == F.col("y_entailed"), "fail").when(uncited > 0, "warn").otherwise("pass")
-    noisy = when((F.col("y_noise") >= 0.9) & (n >= 5), "fail").when((F.col("y_noise") >= 0.5) & (n >= 2), "warn").otherwise("pass")
-    cause = when(failed("citations"), "CITATION_MISMATCH").when(failed("staleness") | F.col("y_invalid_used"), "STALE_RETRIEVAL").when(n == 0, "INSUFFICIENT_CONTEXT").when(noisy == "fail", "SCOPE_VIOLATION")
+    faithful, probe = col("y_faithful"), col("y_probe")
+    size = lambda c: F.size(col(c))
+    grave = (size("x_cited_invalid") > 0) | (size("x_answer_bearing") > 0)
+    unsupported = F.exists("verdicts", lambda v: v["label"] != "entailed")
+    short = F.coalesce(status_of("sufficiency") == "fail", lit(False)) & (of_result("sufficiency")["failure_type"] == "INSUFFICIENT_CONTEXT")
+    noisy = when((col("y_noise") >= 0.9) & (col("x_irrelevant") >= 5), "fail").when((col("y_noise") >= 0.5) & (col("x_irrelevant") >= 2), "warn")
+    # The first rung that holds of a retrieval: (status, failure type, reason).
+    rung = lambda status, failure, reason: F.struct(status if isinstance(status, Column) else lit(status), lit(failure), lit(reason))
+    ladder = (
+        (n == 0, rung("fail", "INSUFFICIENT_CONTEXT", "no chunks")),
+        (size("x_cited_invalid") > 0, rung("fail", "STALE_RETRIEVAL", "cited sources are invalid")),
+        (size("x_answer_bearing") > 0, rung("fail", "STALE_RETRIEVAL", "the answer rests on invalid sources")),
+        (size("y_affected") > 0, rung("fail", "STALE_RETRIEVAL", "stale sources crowd the ranking")),
+        (size("x_invalid_here") > 0, rung("warn", "STALE_RETRIEVAL", "invalid sources were retrieved")),
+        (size("x_phantom") > 0, rung("fail", "CITATION_MISMATCH", "cited sources were not retrieved")),
+        (F.array_contains("x_citation", "missing") & ~short, rung("warn", "CITATION_MISMATCH", "claims lack citations")),
+        (unsupported & short & (size("cited") == 0), rung("fail", "INSUFFICIENT_CONTEXT", "context and claims lack evidence")),
+        (~unsupported & short, rung("fail", "INSUFFICIENT_CONTEXT", "context lacks what the query needs")),
+        (noisy.isNotNull(), rung(noisy, "RETRIEVAL_ANOMALY", "most chunks are beside the point")),
+        (unsupported & F.exists("verdicts", lambda v: (v["label"] != "entailed") & (F.size(v["candidates"]) > 0)) & (col("x_relevant") > 0) & (col("x_irrelevant") > 0), rung("warn", "RERANKER_FAILURE", "candidates without rank labels")),
+    )
+    found = F
+    for condition, out in ladder:
+        found = found.when(condition, out)
+    found = found.otherwise(rung("pass", None, None)).cast("struct<status:string,failure:string,reason:string>")
+    severity = F.array(when(size("x_cited_invalid") > 0, "severity:cited_invalid_source"), when(size("x_answer_bearing") > 0, "severity:answer_bearing_invalid_source"), when(~grave & (size("x_retrieved_stale") > 0), "severity:retrieved_only_stale_source"), when(grave, "strong"))
+    mixed = F.array_contains("x_probe", "unsupported_cited_claim") & F.array_contains("x_probe", "citation_supported")
     return [
-        result(4, "claim_sufficiency", 0.9, "SUFFICIENCY", when(F.size("claims") == 0, "skip").otherwise("pass"), lit("INSUFFICIENT_CONTEXT"), F.array(), F.try_divide(F.col("y_entailed").cast("double"), F.size("claims"))),
-        result(9, "citation_faithfulness", 0.7, "GROUNDING", faithful, lit("POST_RATIONALIZED_CITATION"), F.transform("y_uncited", lambda c: F.concat(lit("supported by an uncited source: "), c["support"]))),
-        result(10, "validity", 0.65, "RETRIEVAL", when(F.col("y_invalid_used"), "fail").when(F.size("y_invalid") > 0, "warn").otherwise("pass"), lit("STALE_RETRIEVAL"), F.col("y_invalid")),
-        result(11, "retrieval", 0.7, "RETRIEVAL", when(cause.isNotNull(), "fail").when(noisy == "warn", "warn").otherwise("pass"), F.coalesce(cause, lit("SCOPE_VIOLATION")), F.array(F.concat(lit("irrelevant share "), F.round("y_noise", 4).cast("string")))),
-        result(21, "confidence", 1.0, "CONFIDENCE", when(F.col("y_score") < 0.4, "fail").when(F.col("y_score") < 0.6, "warn").otherwise("pass"), lit("LOW_CONFIDENCE"), F.array(F.concat(lit("score "), F.round("y_score", 2).cast("string"))), F.round("y_score", 2)),
-        result(22, "depth", 0.98, "RETRIEVAL", when((F.size("y_missing") > 0) & (F.size(missing_items(F.col("query"), F.col("context"))) > 0), "fail").otherwise("pass"), lit("RETRIEVAL_DEPTH_LIMIT"), F.transform("y_missing", lambda i: F.concat(lit("item "), i.cast("string")))),
-        result(23, "answer", 0.95, "GENERATION", when((F.size("y_missing") > 0) & (F.size(missing_items(F.col("query"), F.col("context"))) == 0), "fail").when(F.col("y_sure") & F.exists("scores", lambda s: s < 0.5), "warn").otherwise("pass"), lit("GENERATION_IGNORE"), F.transform("y_missing", lambda i: F.concat(lit("item "), i.cast("string")))),
+        result(4, "claim_sufficiency", 0.9, "SUFFICIENCY", when(F.size("claims") == 0, "skip").otherwise("pass"), lit("INSUFFICIENT_CONTEXT"), F.array(), F.try_divide(col("x_entailed").cast("double"), F.size("claims"))),
+        result(9, "citation_faithfulness", 0.7, "GROUNDING", faithful["status"], faithful["failure_type"], F.array(faithful["reason"]), None, None, F.array(F.concat(lit("reason:"), faithful["reason"]), when((faithful["status"] == "warn") & (faithful["reason"] == "related_non_supporting_citation"), "related_non_supporting"), when((faithful["failure_type"] == "CONTRADICTED_CLAIM") & F.exists("verdicts", lambda v: v["conflicts"] > 0), "explicit_contradiction"))),
+        result(10, "validity", 0.65, "RETRIEVAL", when(grave | (size("y_affected") > 0) | (size("x_invalid_here") > 0), "fail").when(F.exists("sources", lambda x: x["state"].isin("stale_by_age", "stale", "amended") & F.array_contains("docs", x["doc"])), "warn").otherwise("pass"), lit("STALE_RETRIEVAL"), F.transform(F.filter("sources", lambda x: x["state"] != "active"), lambda x: F.concat_ws(": ", x["doc"], x["state"])), None, None, severity),
+        result(11, "retrieval", 0.7, "RETRIEVAL", found["status"], found["failure"], F.array(found["reason"]), None, None, F.concat(severity, F.array(lit("structured"), when(found["failure"] == "CITATION_MISMATCH", when(size("x_phantom") > 0, "reason:phantom_citation").otherwise("reason:citation_missing"))))),
+        result(12, "citation_probe", 0.85, "GROUNDING", probe, lit("POST_RATIONALIZED_CITATION"), F.transform(F.filter(F.arrays_zip("claims", "x_probe"), lambda x: ~x["x_probe"].isin("citation_supported", "unsupported_no_citation")), lambda x: F.concat_ws(": ", x["x_probe"], x["claims"])), None, None, F.array(when(mixed, "mixed_attachment"))),
+        result(21, "confidence", 1.0, "CONFIDENCE", when(col("y_score") < 0.4, "fail").when(col("y_score") < 0.6, "warn").otherwise("pass"), lit("LOW_CONFIDENCE"), F.array(F.concat(lit("score "), F.round("y_score", 2).cast("string"))), F.round("y_score", 2)),
+        result(22, "depth", 0.98, "RETRIEVAL", when((size("y_missing") > 0) & (F.size(missing_items(col("query"), col("context"))) > 0), "fail").otherwise("pass"), lit("RETRIEVAL_DEPTH_LIMIT"), F.transform("y_missing", lambda i: F.concat(lit("item "), i.cast("string")))),
+        result(23, "answer", 0.95, "GENERATION", when((size("y_missing") > 0) & (F.size(missing_items(col("query"), col("context"))) == 0), "fail").when(col("y_sure") & F.exists("scores", lambda s: s < 0.5), "warn").otherwise("pass"), lit("GENERATION_IGNORE"), F.transform("y_missing", lambda i: F.concat(lit("item "), i.cast("string")))),
     ]
 
 
 def nodes() -> Column:
-    """The verifier's nodes in order, each pass, uncertain, fail or skip."""
+    """The verifier's nodes in order, each pass, uncertain, fail or skip, up to the first that fails; where nothing was retrieved, a failing query does not end them."""
     when = F.when
     three = lambda name: when(status_of(name) == "fail", "fail").when(status_of(name) == "warn", "uncertain").when(status_of(name) == "skip", "skip").otherwise("pass")
     kind = W.answer_type(F.col("query"), F.col("final_answer"))
-    security = when(F.exists("results", lambda r: (r["stage"] == "SECURITY") & (r["status"] == "fail")), "fail").otherwise("pass")
+    security_ = when(F.exists("results", lambda r: (r["stage"] == "SECURITY") & (r["status"] == "fail")), "fail").otherwise("pass")
+    grave = (F.size("x_cited_invalid") > 0) | (F.size("x_answer_bearing") > 0) | (status_of("staleness") == "fail")
     found = (
-        when(F.size("q") == 0, "fail").otherwise("pass"), when(F.size("chunks") == 0, "fail").otherwise(three("sufficiency")), three("scope"),
-        when(F.col("x_near") | F.col("x_conflict"), "uncertain").otherwise("pass"), three("staleness"), three("grounding"), three("citations"),
-        when((kind == "mismatch") | (F.size("y_missing") > 0), "fail").when(kind == "uncertain", "uncertain").otherwise("pass"), security, three("uncertainty"),
+        when(F.size("q") == 0, "fail").otherwise("pass"), three("parser"), when(F.size("chunks") == 0, "fail").otherwise(three("sufficiency")), three("scope"),
+        when(F.col("x_near"), "fail").when(F.col("x_conflict"), "uncertain").otherwise("pass"), when(grave, "fail").when(F.size("x_doubtful") > 0, "uncertain").otherwise("pass"), three("grounding"), three("citations"),
+        when((kind == "mismatch") | (F.size("y_missing") > 0), "fail").when(kind == "uncertain", "uncertain").otherwise("pass"), security_,
     )
-    return F.array(*(F.struct(F.lit(i).alias("place"), F.lit(name).alias("node"), s.alias("status")) for i, (name, s) in enumerate(zip(NODES, found))))
+    whole = F.array(*(F.struct(F.lit(i).alias("place"), F.lit(name).alias("node"), s.alias("status")) for i, (name, s) in enumerate(zip(NODES, found))))
+    stops = F.filter(whole, lambda x: (x["status"] == "fail") & ~((x["place"] == 0) & (F.size("chunks") == 0)))
+    return F.when(F.size(stops) > 0, F.slice(whole, F.lit(1), F.get(stops, 0)["place"] + 1)).otherwise(whole)
+
+
+def first_failing(nodes_: Column) -> Column:
+    """The node to blame: damage by the parser, an explicit attack or an invalid source comes before the order of the nodes."""
+    failing = F.filter(nodes_, lambda x: x["status"] == "fail")
+    named = lambda *names: F.get(F.filter(failing, lambda x: x["node"].isin(*names)), 0)
+    return F.coalesce(named("parser_validity"), named("security_risk"), named("version_validity"), F.get(failing, 0))["node"]
 
 
 #: What to do about a failure.
@@ -239,61 +285,44 @@ REMEDY = {
     "POST_RATIONALIZED_CITATION": "ask for quotations of the text used", "RETRIEVAL_DEPTH_LIMIT": "retrieve more candidates", "GENERATION_IGNORE": "tighten the grounding instructions", "CLEAN": "nothing to do",
 }
 
-#: (winner now, root cause that takes its place, what its evidence must say), in sequence: each rule sees the winner before it.
-RULES = (
-    ("POST_RATIONALIZED_CITATION", "CITATION_MISMATCH", None),
-    ("CONTRADICTED_CLAIM", "CITATION_MISMATCH", None),
-    ("UNSUPPORTED_CLAIM", "LOW_CONFIDENCE", "text-only uncertainty"),
-    ("INSUFFICIENT_CONTEXT", "LOW_CONFIDENCE", "text-only uncertainty"),
-    ("INSUFFICIENT_CONTEXT", "CONTRADICTED_CLAIM", None),
-    ("INSUFFICIENT_CONTEXT", "UNSUPPORTED_CLAIM", None),
-    ("INSUFFICIENT_CONTEXT", "SCOPE_VIOLATION", "quoted query entity missing"),
-    ("CONTRADICTED_CLAIM", "STALE_RETRIEVAL", None),
-    ("POST_RATIONALIZED_CITATION", "STALE_RETRIEVAL", None),
-    ("UNSUPPORTED_CLAIM", "STALE_RETRIEVAL", None),
-    ("SCOPE_VIOLATION", "RETRIEVAL_ANOMALY", "near-duplicate"),
-)
-
+CHAIN = "array<struct<root:string,hypothesis:string>>"
 
-def failures(results: Column) -> Column:
-    return F.filter(results, lambda r: (r["status"] == "fail") & r["failure_type"].isNotNull() & ~r["analyzer"].isin("inconsistency", "confidence"))
 
+def diagnose(runs: DataFrame, *, as_of: str, check=verification.verify, extra: tuple[Column, ...] = (), rules: tuple[policy.Rule, ...] = policy.RULES) -> DataFrame:
+    """``run_id`` and the diagnosis of each run: primary failure, stage, risk, confidence, results, causes and review.
 
-def primary(failed: Column, rules=RULES) -> Column:
-    """The failure that explains the run: the first of ``failed`` by tier, specificity, weight, priority and place, after the rules.
-
-    The rules are folded over an array, so the expression grows with their number and not as its power.
+    ``check`` verifies a claim by its run's texts, ``extra`` are analyzers of one's own as columns built by ``result``, ``rules`` the
+    policy's. Runs without chunks, claims, citations or an answer have the verdicts of their empty lists; null text counts as empty.
     """
-    key = lambda r: F.struct(X.tier(r["failure_type"]).alias("t"), (-X.specificity(r["failure_type"])).alias("s"), (-r["weight"]).alias("w"), X.place(r["failure_type"], X.PRIORITY).alias("p"), r["at"].alias("at"), r.alias("r"))
-    first = F.get(F.array_sort(F.transform(failed, key)), 0)["r"]
-    table = F.array(*(F.struct(F.lit(now).alias("now"), F.lit(then).alias("then"), F.lit(says or "").alias("says")) for now, then, says in rules))
-
-    def apply(winner: Column, rule: Column) -> Column:
-        says = lambda r: (rule["says"] == "") | F.exists(r["evidence"], lambda e: F.contains(e, rule["says"]))
-        other = F.get(F.filter(failed, lambda r: (r["failure_type"] == rule["then"]) & says(r)), 0)
-        return F.when(winner["failure_type"] == rule["now"], F.coalesce(other, winner)).otherwise(winner)
-
-    return F.aggregate(table, first.cast(RESULT), apply)
-
-
-def diagnose(runs: DataFrame, *, as_of: str) -> DataFrame:
-    """``run_id`` and the diagnosis of each run: primary failure, stage, risk, confidence, results and review."""
-    out = with_features(runs, F.lit(as_of).cast("timestamp")).withColumns(facts()).withColumn("results", F.array(*analyzers()))
+    out = with_features(runs, F.lit(as_of).cast("timestamp"), check).withColumns(facts()).withColumn("results", F.array(*analyzers(), *extra))
     out = out.withColumns(later_facts()).withColumns({"nodes": nodes(), "results": F.concat("results", F.array(*later_analyzers()))})
-    out = out.withColumn("failed", failures(F.col("results"))).withColumn("winner", primary(F.col("failed")))
+    said = F.filter("results", lambda r: r["status"].isin("fail", "warn") & r["failure_type"].isNotNull() & (r["analyzer"] != "confidence"))
+    candidates = F.transform(said, lambda r: F.struct(r["analyzer"], r["at"], r["weight"], r["status"], r["failure_type"], r["stage"], F.lit("uncalibrated").alias("calibration"), r["evidence"], r["marks"]))
+    out = out.withColumn("run_marks", F.array_distinct(F.flatten(F.transform("results", lambda r: r["marks"]))))
+    out = policy.decide(out, candidates, F.col("run_marks"), rules)
     warned = F.get(F.filter("results", lambda r: (r["status"] == "warn") & r["failure_type"].isin("RETRIEVAL_ANOMALY", "CHUNKING_BOUNDARY_ERROR")), 0)
-    failure = F.coalesce(F.col("winner.failure_type"), warned["failure_type"], F.lit("CLEAN"))
+    top = F.col("p_primary")
+    failure = F.coalesce(top["failure_type"], warned["failure_type"], F.lit("CLEAN"))
+    out = out.withColumns({"failure": failure, "failing_stage": F.coalesce(top["stage"], warned["stage"], F.lit("UNKNOWN"))})
+    failed = lambda name: F.exists("results", lambda r: (r["analyzer"] == name) & (r["status"] == "fail"))
+    bad = F.get(F.filter("verdicts", lambda v: v["label"] != "entailed"), 0)
+    causes = F.when(bad.isNotNull(), attribution.causes_of(
+        bad, insufficient=failed("sufficiency"), missed=F.exists("nodes", lambda x: (x["node"] == "retrieval_coverage") & (x["status"] == "fail")), noisy=F.coalesce(F.col("y_noise") >= 0.5, F.lit(False)),
+        stale=F.array_distinct(F.concat("aged", "x_cited_invalid", "x_answer_bearing")), phantom=F.col("x_phantom"), post=F.col("y_probe") == "fail", security=F.exists("results", lambda r: (r["stage"] == "SECURITY") & (r["status"] == "fail")),
+        mean=F.when(F.size("scores") > 0, F.col("mean")).otherwise(1.0), n=F.size("chunks"),
+    ))
+    out = out.withColumns({"causes": causes, "findings": attribution.pinpoint(F.col("nodes"), F.col("run_id"))})
     risk = F.get(F.reverse(F.array_sort(F.transform("results", lambda r: F.struct(X.place(r["security_risk"], X.RISKS).alias("o"), r["security_risk"].alias("r"))))), 0)["r"]
     known = F.filter(F.transform("results", lambda r: F.when(r["analyzer"] != "uncertainty", r["score"])), lambda s: s.isNotNull())
     mean = F.try_divide(F.aggregate(known, F.lit(0.0), lambda a, s: a + s), F.size(known))
-    failing = F.get(F.filter("nodes", lambda x: x["status"] == "fail"), 0)
-    others = F.array_distinct(F.filter(F.transform("results", lambda r: r["failure_type"]), lambda f: f.isNotNull() & (f != F.coalesce(failure, F.lit("")))))
+    others = F.array_distinct(F.filter(F.transform("results", lambda r: r["failure_type"]), lambda f: f.isNotNull() & (f != F.col("failure"))))
     chain = F.transform(F.array_sort(F.transform(F.filter("results", lambda r: r["status"] == "fail"), lambda r: F.struct(X.place(r["stage"], X.STAGES).alias("o"), r["at"].alias("at"), F.concat_ws(":", r["stage"], r["failure_type"]).alias("s")))), lambda x: x["s"])
-    remedy = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in REMEDY.items() for x in kv)), failure), F.lit("look at the results"))
+    remedy = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in REMEDY.items() for x in kv)), F.col("failure")), F.lit("look at the results"))
     ok = F.size(F.filter("nodes", lambda x: x["status"].isin("pass", "skip")))
     out = out.select(
-        "run_id", "created_at", failure.alias("primary_failure"), F.coalesce(F.col("winner.stage"), warned["stage"], F.lit("UNKNOWN")).alias("stage"), risk.alias("security_risk"), F.round(mean, 6).alias("confidence"),
-        "results", failing["node"].alias("first_failing_node"), F.round(ok / F.lit(len(NODES)), 2).alias("pipeline_health"), others.alias("also_considered"), F.array_join(chain, " > ").alias("failure_chain"), remedy.alias("remedy"),
+        "run_id", "created_at", F.col("failure").alias("primary_failure"), F.col("failing_stage").alias("stage"), risk.alias("security_risk"), F.round(mean, 6).alias("confidence"),
+        "results", first_failing(F.col("nodes")).alias("first_failing_node"), F.round(ok / F.greatest(F.size("nodes"), F.lit(1)), 2).alias("pipeline_health"), others.alias("also_considered"), F.array_join(chain, " > ").alias("failure_chain"), remedy.alias("remedy"),
+        F.col("p_state")["applied"].alias("rules_applied"), attribution.selected(F.col("causes")).alias("cause"), attribution.chain(F.col("findings")).cast(CHAIN).alias("causal_chain"), attribution.trust(F.col("findings"), F.lit(True)).alias("trust"),
     )
     review = F.col("primary_failure").isin(*X.UNANSWERABLE, "CONTRADICTED_CLAIM", "UNSUPPORTED_CLAIM", "LOW_CONFIDENCE") | (F.col("security_risk") == "HIGH")
     return out.withColumns({"should_have_answered": ~F.col("primary_failure").isin(*X.UNANSWERABLE), "human_review": review})
