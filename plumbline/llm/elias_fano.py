@@ -16,7 +16,7 @@ import numpy as np
 EVERY = 4
 #: Bits that are read at once.
 SEEN = 56
-ONES = 4
+ONES = 2
 U = np.uint64
 ONE = U(1)
 

@@ -47,8 +47,8 @@ from plumbline.llm.common import crc_mod, given_back, pieces, shared_dir
 from plumbline.llm.elias_fano import EliasFano, Ids, from_buffer, to_bytes
 
 FOLDS = 10
-STEP = 2_500_000
-SHARD_BYTES = 12 << 20
+STEP = 3_000_000
+SHARD_BYTES = 20 << 20
 #: Groups of shards that a block addresses at most.
 FAN = 256
 #: No word holds a space, so the end token is none of them.
@@ -58,8 +58,42 @@ LEAST_LOG = -16.0
 DISCOUNT = 0.75
 
 
+#: Words over so many bytes are hashed one by one.
+SHORT = 64
+MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+
+
+def hashes_of(words: pa.Array) -> np.ndarray:
+    """64-bit hashes of binary strings: eight bytes of all words at a time, each mixed in by multiplications and shifts."""
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    low, high = int(ends[0]), int(ends[-1])
+    raw = np.zeros(high - low + 8, np.uint8)
+    if high > low:
+        raw[:-8] = np.frombuffer(words.buffers()[2], np.uint8)[low:high]
+    eight = np.ndarray((len(raw) - 7,), "<u8", raw.data, strides=(1,))
+    size, start = np.diff(ends), ends[:-1] - low
+    k0, k1, k2 = map(np.uint64, MIX)
+    out = (size.astype(np.uint64) + np.uint64(1)) * k0
+    todo = np.flatnonzero((size > 0) & (size <= SHORT))
+    at, left, h = start[todo], size[todo], out[todo]
+    while len(todo):
+        part = np.uint64(64) - np.minimum(left, 8).astype(np.uint64) * np.uint64(8)
+        h = (h ^ (eight[at] << part)) * k1  # what follows a word is shifted out
+        h = (h ^ (h >> np.uint64(29))) * k2
+        h ^= h >> np.uint64(32)
+        out[todo] = h
+        more = left > 8
+        todo, at, left, h = todo[more], at[more] + 8, left[more] - 8, h[more]
+    for i in np.flatnonzero(size > SHORT):
+        out[i] = xxhash.xxh3_64_intdigest(raw[start[i] : start[i] + size[i]].tobytes())
+    return out
+
+
 def word_hash(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word)
+    return END_HASH if word == END else int(hashes_of(pa.array([word], pa.binary()))[0])
+
+
+END_HASH = xxhash.xxh3_64_intdigest(END)
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -300,25 +334,23 @@ def shard_of_pair(v: np.ndarray, w: np.ndarray, cv: np.ndarray, model: dict) ->
 
 
 class Step:
-    """The tokens of some rows, one text after another: ``codes`` into ``words``, whose last one is the end token, and each text's number of tokens."""
+    """The tokens of some rows, one text after another: ``codes`` into the distinct words' ``hashes``, whose last one is the end token's, and each text's number of tokens."""
 
     def __init__(self, texts: pa.Array):
         parts = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))  # of space and 9 to 13, as WORD has it
         coded = parts.flatten().dictionary_encode()
         own, many = coded.indices.to_numpy(), parts.value_lengths().to_numpy()
-        self.words = coded.dictionary.cast(pa.binary()).to_pylist()
-        keep = own != (self.words.index(b"") if b"" in self.words else -1)  # white space at a text's ends leaves empty strings
+        words = coded.dictionary.cast(pa.binary())
+        empty = np.flatnonzero(pc.binary_length(words).to_numpy() == 0)  # white space at a text's ends leaves empty strings
+        keep = own != empty[0] if len(empty) else np.ones(len(own), bool)
         row = np.repeat(np.arange(len(many)), many)
         self.lengths = np.bincount(row[keep], minlength=len(many)) + 1
         ends = np.cumsum(self.lengths) - 1
         inside = np.ones(int(self.lengths.sum()), bool)
         inside[ends] = False
-        self.codes = np.full(len(inside), len(self.words), np.int64)
+        self.codes = np.full(len(inside), len(words), np.int64)
         self.codes[inside] = own[keep]
-        self.words.append(END)
-
-    def hashes(self) -> np.ndarray:
-        return np.fromiter(map(word_hash, self.words), np.uint64, len(self.words))
+        self.hashes = np.append(hashes_of(words), np.uint64(END_HASH))
 
 
 def steps(batches, text: int, fold: int | None = None):
@@ -358,8 +390,8 @@ def train(docs: DataFrame, *, text: str = "text", fold: str = "fold") -> dict:
 
     def count_words(batches):
         for _, _, _, step in steps(batches, 0, 1):
-            many = np.bincount(step.codes, minlength=len(step.words))
-            own = Counts.of_words(step.hashes()[many > 0], many[many > 0])
+            many = np.bincount(step.codes, minlength=len(step.hashes))
+            own = Counts.of_words(step.hashes[many > 0], many[many > 0])
             yield own.rows(shard_of_hash(own.keys, n) // first)
 
     def build_words(batches):
@@ -367,7 +399,7 @@ def train(docs: DataFrame, *, text: str = "text", fold: str = "fold") -> dict:
         for own, rows_of in shards(batches):
             c = Counts.merged(rows_of, 0)
             put(folder, f"words-{own}", to_bytes({**EliasFano.build(c.keys, 1 << 64).arrays("hash"), "count": c.counts}))
-            end = c.counts[c.keys == np.uint64(word_hash(END))]
+            end = c.counts[c.keys == np.uint64(END_HASH)]
             for k, x in zip(done, (own, len(c.keys), int(c.counts.sum()), int(end.sum()))):
                 done[k].append(x)
         yield pa.RecordBatch.from_arrays([pa.array(done["shard"], pa.int32()), *(pa.array(done[k], pa.int64()) for k in ("n", "total", "docs"))], list(done))
@@ -387,7 +419,7 @@ def train(docs: DataFrame, *, text: str = "text", fold: str = "fold") -> dict:
     def count_triples(batches):
         words = Words(model)
         for _, _, _, step in steps(batches, 0, 1):
-            ids, lengths = words.find(step.hashes())[0][step.codes], step.lengths
+            ids, lengths = words.find(step.hashes)[0][step.codes], step.lengths
             after = np.append(ids[1:], V)
             after[np.cumsum(lengths) - 1] = V
             c = Counts.of_triples(contexts(ids, lengths, V).astype(np.uint64) * np.uint64(V) + ids.astype(np.uint64), after, np.ones(len(ids), np.int64), bits)
@@ -549,13 +581,13 @@ class Trie:
         lo, hi = s["pointer"].ranges(rank)
         return s["follower"].get(np.arange(lo[0], hi[0])).astype(np.int64), VALUES[s["value"][lo[0] : hi[0]]]
 
-    def score(self, ids: np.ndarray, counts: np.ndarray, base: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """log10 probability of each token of the texts that ``ids`` holds one after another; ``base`` is that of words alone."""
+    def score(self, ids: np.ndarray, counts: np.ndarray, alone: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """log10 probability of each token of the texts that ``ids`` holds one after another; ``alone`` is each word's own probability, and is overwritten."""
         V = self.model["V"]
         v = contexts(ids, lengths, V)
         cv = np.append(self.model["docs"], counts[:-1])
         cv[v == V] = self.model["docs"]
-        p = 10.0**base
+        p = alone
         known = np.flatnonzero((v >= 0) & (cv > 0))
         if not len(known) or not V:
             return np.log10(p)
@@ -603,11 +635,12 @@ def score(docs: DataFrame, model: dict, *, text: str = "text") -> DataFrame:
     def run(batches):
         trie = Trie(model)
         for b, i, j, step in steps(batches, len(out)):
-            found, seen = trie.words.find(step.hashes())
-            ids, counts, base, lengths = found[step.codes], seen[step.codes], np.log10(trie.words.p(seen))[step.codes], step.lengths
+            found, seen = trie.words.find(step.hashes)
+            alone = trie.words.p(seen)
+            ids, counts, base, lengths = found[step.codes], seen[step.codes], np.log10(alone)[step.codes], step.lengths
             starts = np.cumsum(lengths) - lengths
             each = lambda x: np.add.reduceat(x, starts)
-            cols = [lengths, each((counts > 0).astype(np.int64)), np.full(len(lengths), model["N"]), each(base), each(trie.score(ids, counts, base, lengths))]
+            cols = [lengths, each((counts > 0).astype(np.int64)), np.full(len(lengths), model["N"]), each(base), each(trie.score(ids, counts, alone[step.codes], lengths))]
             yield pa.RecordBatch.from_arrays([*b.slice(i, j - i).columns[:-1], *(pa.array(x, pa.int64()) for x in cols[:3]), *(pa.array(x, pa.float64()) for x in cols[3:])], schema.names)
 
     return docs.select(*out, text).mapInArrow(lambda batches: given_back(run(batches)), schema)

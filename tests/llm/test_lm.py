@@ -3,6 +3,7 @@ import math
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from plumbline.llm import lm
@@ -117,8 +118,7 @@ def test_probabilities_sum_to_one(spark):
     ids, counts = trie.words.find(np.array([lm.word_hash(w) for w in words], np.uint64))
     found = [trie.followers(k, int(ids[0])) for k in model["pairs"]]
     assert sum(len(w) for w, _ in found) == 4  # b, c, d and the end
-    base = np.log10(trie.words.p(counts))
-    unknown = np.log10(trie.words.p(np.zeros(1)))
+    base, unknown = trie.words.p(counts), trie.words.p(np.zeros(1))
     for head in ([], [0], [1, 0], [2, 3], [3, 3]):  # contexts: the beginning, seen and unseen pairs
         total = 0.0
         for last in range(6):
@@ -126,3 +126,21 @@ def test_probabilities_sum_to_one(spark):
             own = np.array([ids[i] if i < 5 else -1 for i in seq]), np.array([counts[i] if i < 5 else 0 for i in seq]), np.array([base[i] if i < 5 else unknown[0] for i in seq])
             total += 10 ** trie.score(*own, np.array([len(seq)]))[-1]
         assert abs(total - 1) < 1e-3
+
+
+def test_hashes_of_words():
+    words = [b"", b"a", b"b", b"ab", b"a\0", b"abcdefgh", b"abcdefghi", b"abcdefgh\0", b"x" * 64, b"x" * 65, b"y" * 1000, "é".encode()] + [f"w{i}".encode() for i in range(5000)]
+    whole = lm.hashes_of(pa.array(words, pa.binary()))
+    assert len(set(whole.tolist())) == len(words)
+    assert [lm.word_hash(w) for w in words[:12]] == whole[:12].tolist()  # whatever stands beside a word
+    assert lm.hashes_of(pa.array(words, pa.binary()).slice(3, 5)).tolist() == whole[3:8].tolist()
+    assert np.unique(lm.shard_of_hash(whole, 16)).size == 16
+
+
+def test_steps_read_words_as_the_tokens_do():
+    texts = ["  A\tb \n b\x0b", "", None, "É\x85x\xa0y \x1c z", " ", "one " * 2000]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["t"])
+    got = [s for *_, s in lm.steps([batch], 0)]
+    hashes = [h for s in got for h in s.hashes[s.codes].tolist()]
+    assert hashes == [lm.word_hash(w) for t in texts for w in lm.tokens(t)]
+    assert [n for s in got for n in s.lengths.tolist()] == [len(lm.tokens(t)) for t in texts]
