@@ -69,7 +69,7 @@ def features(found: DataFrame) -> DataFrame:
             "f_changes": (F.length(runs) - 1) / (n - 1),
             "f_digits": share("[0-9]"),
             "f_upper": share("[A-Z]"),
-            "f_distinct": F.size(F.array_distinct(F.split(F.left(c, F.lit(256)), ""))) / F.least(n, F.lit(256)),
+            "f_distinct": F.size(F.array_distinct(F.split(c, ""))) / F.least(n, F.lit(256)),
             "f_dictionary": 1 - F.length(F.regexp_replace(F.lower(c), f"({words})", "")) / n,
             "f_slashes": F.length(F.regexp_replace(c, "[^/]", "")).cast("double"),
             "f_path": flag(left.rlike(r"(://|[/.~])[^\s]*$") | c.rlike(r"^/|/[a-z]+/")),
