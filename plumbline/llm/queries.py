@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import ann, bpe, jaccard, line_dedup, lm, mixing, naming, secret_scan, topk, toxicity, url_filter
+from plumbline.llm import ann, bpe, exponion, jaccard, line_dedup, lm, mixing, naming, secret_scan, topk, toxicity, url_filter
 from plumbline.llm.common import crc_mod, stored, table
 
 TOKENIZER_FILE = "byte_bpe_50k.tiktoken"
@@ -67,6 +67,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.round_trip(docs, public_tokenizers.path(TOKENIZER_FILE), public_tokenizers.PATTERN))
 
 
+def op11_exponion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exponion.cluster(table(spark, sf_dir, "embeddings"))
+
+
 def op13_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return naming.dedup(table(spark, sf_dir, "documents"))
 
@@ -82,11 +86,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_toxicity": op9_toxicity,
     "op10_bpe": op10_bpe,
+    "op11_exponion": op11_exponion,
     "op13_naming": op13_naming,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_url_filter": url_filter.ORACLE,
     "op8_mixing": mixing.ORACLE,
+    "op11_exponion": exponion.ORACLE,
     "op13_naming": naming.ORACLE,
 }
