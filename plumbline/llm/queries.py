@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import ann, bpe, exponion, jaccard, line_dedup, lm, mixing, naming, secret_scan, topk, toxicity, url_filter
+from plumbline.llm import ann, bpe, exponion, jaccard, line_dedup, lm, mixing, naming, secret_scan, spelling, topk, toxicity, url_filter
 from plumbline.llm.common import crc_mod, stored, table
 
 TOKENIZER_FILE = "byte_bpe_50k.tiktoken"
@@ -71,6 +71,10 @@ def op11_exponion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exponion.cluster(table(spark, sf_dir, "embeddings"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def op13_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return naming.dedup(table(spark, sf_dir, "documents"))
 
@@ -87,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_bpe": op10_bpe,
     "op11_exponion": op11_exponion,
+    "op12_spelling": op12_spelling,
     "op13_naming": op13_naming,
 }
 
