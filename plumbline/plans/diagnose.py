@@ -14,7 +14,7 @@ from plumbline.functions import metadata as M
 from plumbline.functions import security
 from plumbline.functions import taxonomy as X
 from plumbline.functions import text as W
-from plumbline.operators import attribution, citations, sufficiency, validity, verification
+from plumbline.operators import attribution, citations, requirements, sufficiency, validity, verification
 from plumbline.operators.documents import missing_items
 from plumbline.plans import policy
 
@@ -22,23 +22,41 @@ RESULT = "struct<analyzer:string,at:int,weight:double,status:string,failure_type
 UNSURE = r"(?i)\b(i am not sure|i'm not sure|unsure|uncertain|might be|may be|possibly|it is unclear|cannot determine|do not know|don't know)\b"
 ABSTAIN = r"(?i)\b(cannot answer|can't answer|not enough (information|context)|no information|unable to (answer|determine))\b"
 
-def conversation_runs(turns: DataFrame, chunks: int = 8) -> DataFrame:
-    """Runs from a conversation table: a user's turn and its answer, with the assistant's turns among the ``chunks`` turns up to it as retrieved chunks.
+#: Turns of a conversation that one task takes, besides those that its first and last runs need.
+SPAN = 256
+
+
+def turn_windows(turns: DataFrame, chunks: int, span: int = SPAN) -> DataFrame:
+    """Every turn with ``near``, the ``chunks`` turn numbers before it, and the next turn's role and text.
 
-    One shuffle by conversation serves the order, the next turn and the chunks; a run's array is bounded however long its conversation is.
+    A conversation is cut into spans of turns; a turn is also a row of the span that needs it as a chunk or as the next turn, and each span is ordered by itself. So
+    a long conversation is many tasks' work, and arrays are bounded by ``chunks``.
     """
-    parts = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    near = F.collect_list(F.struct("turn", "role", "text")).over(w.rowsBetween(-chunks, 1))
+    at = lambda shift: F.floor((F.col("turn") + shift) / F.lit(span)).cast("long")
+    rows = turns.select("conv_id", "turn", "role", "text", F.explode(F.array_distinct(F.array(at(0), at(chunks), at(-1)))).alias("span"))
+    w = Window.partitionBy("conv_id", "span").orderBy("turn")
+    near = F.collect_list(F.struct("turn", "role", "text")).over(w.rangeBetween(-chunks, -1))
     next_ = lambda c: F.lead(c).over(w)
-    rows = turns.select("conv_id", "turn", "role", "text").repartition(parts, "conv_id").select("*", near.alias("near"), next_("role").alias("next_role"), next_("turn").alias("next_turn"), next_("text").alias("final_answer"))
+    parts = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(parts, "conv_id", "span").select("*", near.alias("near"), next_("role").alias("next_role"), next_("turn").alias("next_turn"), next_("text").alias("final_answer"))
+    return rows.where(F.col("span") == at(0))
+
+
+def conversation_runs(turns: DataFrame, chunks: int = 8) -> DataFrame:
+    """Runs from a conversation table: a user's turn and its answer, with the assistant's turns among the ``chunks`` turns before it as retrieved chunks.
+
+    The answer cites the last of them, and every fifth run cites a turn that is not there.
+    """
+    rows = turn_windows(turns, chunks)
     rows = rows.where("role = 'user' AND next_role = 'assistant' AND next_turn = turn + 1")
     chunk = lambda x: F.struct(
         F.concat_ws("-", "conv_id", x["turn"]).alias("chunk_id"), x["text"].alias("text"), F.concat(F.lit("doc"), x["turn"]).alias("source_doc_id"), F.lit(None).cast("double").alias("score"), F.expr("CAST(map() AS map<string,string>)").alias("metadata")
     )
+    last = F.array_max(F.transform(F.filter("near", lambda x: x["role"] == "assistant"), lambda x: x["turn"]))
+    cites = F.array_compact(F.array(F.when(last.isNotNull(), F.concat(F.lit("doc"), last)), F.when(F.pmod(F.xxhash64("conv_id", "turn"), F.lit(5)) == 0, F.concat(F.lit("doc"), F.col("turn") + 1000))))
     return rows.select(
         F.concat_ws("-", "conv_id", "turn").alias("run_id"), F.col("text").alias("query"), F.transform(F.filter("near", lambda x: x["role"] == "assistant"), chunk).alias("retrieved_chunks"), "final_answer",
-        F.array(F.concat(F.lit("doc"), F.col("turn") + 1), F.concat(F.lit("doc"), F.col("turn") + 7)).alias("cited_doc_ids"),
+        cites.alias("cited_doc_ids"),
         F.lit(None).cast("double").alias("answer_confidence"), F.expr("CAST(array() AS array<struct<doc_id:string,text:string,timestamp:timestamp,metadata:map<string,string>>>)").alias("corpus_entries"),
         F.expr("CAST(map() AS map<string,string>)").alias("metadata"), F.lit(None).cast("timestamp").alias("created_at"),
     )
@@ -205,6 +223,7 @@ def later_facts() -> dict[str, Column]:
         "y_affected": F.when((F.size(F.array_distinct("docs")) > 1) & (F.size("cited") > 0), F.array_except("x_retrieved_stale", "cited")).when(F.size(F.array_distinct("docs")) > 1, F.col("x_retrieved_stale")).otherwise(F.array().cast("array<string>")),
         "y_noise": F.try_divide(F.col("x_irrelevant").cast("double"), n),
         "y_missing": missing_items(F.col("query"), F.col("final_answer")),
+        "y_drift": requirements.drift(F.coalesce("q", F.array().cast("array<string>")), F.col("context_terms")),
         "y_score": F.least(F.greatest(F.lit(1.0) - F.when(F.col("mean") < 0.5, 0.1).otherwise(0.0) * (F.size("scores") > 0).cast("int") - F.aggregate("results", F.lit(0.0), lambda a, r: a + F.when(r["status"] == "fail", F.when(r["security_risk"] == "HIGH", 0.2).otherwise(0.1)).when(r["status"] == "warn", 0.05).otherwise(0.0)), F.lit(0.0)), F.lit(1.0)),
         "y_sure": F.col("final_answer").rlike(r"(?i)\b(definitely|certainly|without doubt|guaranteed|always)\b"),
     }
@@ -247,7 +266,8 @@ def later_analyzers() -> list[Column]:
         result(11, "retrieval", 0.7, "RETRIEVAL", found["status"], found["failure"], F.array(found["reason"]), None, None, F.concat(severity, F.array(lit("structured"), when(found["failure"] == "CITATION_MISMATCH", when(size("x_phantom") > 0, "reason:phantom_citation").otherwise("reason:citation_missing"))))),
         result(12, "citation_probe", 0.85, "GROUNDING", probe, lit("POST_RATIONALIZED_CITATION"), F.transform(F.filter(F.arrays_zip("claims", "x_probe"), lambda x: ~x["x_probe"].isin("citation_supported", "unsupported_no_citation")), lambda x: F.concat_ws(": ", x["x_probe"], x["claims"])), None, None, F.array(when(mixed, "mixed_attachment"))),
         result(21, "confidence", 1.0, "CONFIDENCE", when(col("y_score") < 0.4, "fail").when(col("y_score") < 0.6, "warn").otherwise("pass"), lit("LOW_CONFIDENCE"), F.array(F.concat(lit("score "), F.round("y_score", 2).cast("string"))), F.round("y_score", 2)),
-        result(22, "depth", 0.98, "RETRIEVAL", when((size("y_missing") > 0) & (F.size(missing_items(col("query"), col("context"))) > 0), "fail").otherwise("pass"), lit("RETRIEVAL_DEPTH_LIMIT"), F.transform("y_missing", lambda i: F.concat(lit("item "), i.cast("string")))),
+        result(22, "depth", 0.98, "RETRIEVAL", when((shallow := (size("y_missing") > 0) & (F.size(missing_items(col("query"), col("context"))) > 0)) | (col("y_drift")["status"] == "fail"), "fail").otherwise("pass"), when(shallow, "RETRIEVAL_DEPTH_LIMIT").otherwise("SCOPE_VIOLATION"),
+               when(shallow, F.transform("y_missing", lambda i: F.concat(lit("item "), i.cast("string")))).otherwise(F.array(F.concat(lit("missing scope terms: "), F.array_join(col("y_drift")["missing"], " "))))),
         result(23, "answer", 0.95, "GENERATION", when((size("y_missing") > 0) & (F.size(missing_items(col("query"), col("context"))) == 0), "fail").when(col("y_sure") & F.exists("scores", lambda s: s < 0.5), "warn").otherwise("pass"), lit("GENERATION_IGNORE"), F.transform("y_missing", lambda i: F.concat(lit("item "), i.cast("string")))),
     ]
 
@@ -323,6 +343,7 @@ def diagnose(runs: DataFrame, *, as_of: str, check=verification.verify, extra: t
         "run_id", "created_at", F.col("failure").alias("primary_failure"), F.col("failing_stage").alias("stage"), risk.alias("security_risk"), F.round(mean, 6).alias("confidence"),
         "results", first_failing(F.col("nodes")).alias("first_failing_node"), F.round(ok / F.greatest(F.size("nodes"), F.lit(1)), 2).alias("pipeline_health"), others.alias("also_considered"), F.array_join(chain, " > ").alias("failure_chain"), remedy.alias("remedy"),
         F.col("p_state")["applied"].alias("rules_applied"), attribution.selected(F.col("causes")).alias("cause"), attribution.chain(F.col("findings")).cast(CHAIN).alias("causal_chain"), attribution.trust(F.col("findings"), F.lit(True)).alias("trust"),
+        requirements.evidence_lists(F.col("claims"), F.col("verdicts"), F.transform("chunks", lambda c: c["chunk_id"])).alias("claim_evidence"), requirements.covered(requirements.asked("query"), F.col("chunk_terms")).alias("requirements"),
     )
     review = F.col("primary_failure").isin(*X.UNANSWERABLE, "CONTRADICTED_CLAIM", "UNSUPPORTED_CLAIM", "LOW_CONFIDENCE") | (F.col("security_risk") == "HIGH")
     return out.withColumns({"should_have_answered": ~F.col("primary_failure").isin(*X.UNANSWERABLE), "human_review": review})
