@@ -7,8 +7,8 @@ word would hold a partner of the other's that is ranked behind its own three, an
 bigram, whose places would have to be in opposite orders in both words.
 
 The edit lies wholly behind or wholly before that bigram. Behind: both words begin alike up to and with the bigram (same place).
-Before: both end alike from the bigram on (place moved by the difference of lengths). So the join's key is the shared bigram with the
-part of the word that must be equal, and pairs within it are verified by their edit distance in the join
+Before: both end alike from the bigram on (place moved by the difference of lengths). So the join's keys are the shared bigram with the
+parts of the word that must be equal (``keyed``), and pairs within one are verified by their edit distance in the join
 itself. Keys with more than ``LONG`` words are cut into blocks, and each pair of blocks is a key of its own.
 
 The form of a word is its nearest word of largest count, if that is ``times`` its own at least; roots follow forms in
@@ -35,6 +35,8 @@ RUN = r"[A-Za-zÀ-ÿ]"
 LETTERS = 26 + 64
 #: Bigrams a word keeps: one more than an edit can spoil.
 PREFIX = 3
+#: Letters next to a bigram, or at the word's other end, that go into a key.
+NEXT = 2
 LONG = 4096
 PART_BYTES = 32 << 20
 PART_ROWS = 200_000
@@ -79,15 +81,24 @@ def ranks(vocab: DataFrame) -> Column:
 
 
 def keyed(vocab: DataFrame) -> DataFrame:
-    """Two rows for each of a word's ``PREFIX`` rarest positional bigrams: ``key`` is what lies before and with it, or with and behind it."""
-    word, own = F.col("word"), F.col("own")
+    """Keys of a word by each of its ``PREFIX`` rarest positional bigrams: what must be equal in a word one edit away if the edit is not in that bigram.
+
+    If the edit is behind the bigram, all up to the bigram is equal, and of the rest either the first ``NEXT`` letters or, if the edit is in
+    those, the last ones; a rest too short for that (``2 * NEXT`` letters; one of just that many takes both forms, as its partner may be shorter) is
+    left out of the key. Likewise before the bigram.
+    """
+    word, at, size = F.col("word"), F.col("own")["at"], F.length("word")
     rank = ranks(vocab)
     placed = F.transform("grams", lambda g, i: F.struct(F.element_at(rank, g + 1).alias("rank"), (i + 1).alias("at")))
     rows = vocab.select("word", grams(word).alias("grams")).select("word", F.slice(F.array_sort(placed), 1, PREFIX).alias("rare")).select("word", F.explode("rare").alias("own"))
-    head = F.concat(F.lit("<"), F.substring(word, F.lit(1), own["at"] + 1))
-    tail = F.concat(F.lit(">"), F.substring(word, own["at"], F.length(word)))
-    # the rare bigram's place is part of what must agree: with equal heads by their length, with equal tails by theirs
-    return rows.select("word", F.explode(F.array(head, tail)).alias("key"))
+    cut = lambda start, n: F.substring(word, start, n)
+    start, first, last, n = F.lit(1), cut(F.lit(1), F.lit(NEXT)), cut(size - NEXT + 1, F.lit(NEXT)), 2 * NEXT
+    head, tail, behind, before = cut(start, at + 1), cut(at, size), size - at - 1, at - 1
+    keys = F.array(
+        F.when(behind <= n, F.concat(F.lit("0<"), head)), F.when(behind >= n, F.concat(F.lit("1<"), cut(start, at + 1 + NEXT))), F.when(behind >= n, F.concat(F.lit("2<"), head, F.lit(" "), last)),
+        F.when(before <= n, F.concat(F.lit("0>"), tail)), F.when(before >= n, F.concat(F.lit("1>"), cut(at - NEXT, size))), F.when(before >= n, F.concat(F.lit("2>"), first, F.lit(" "), tail)),
+    )
+    return rows.select("word", F.explode(F.array_compact(keys)).alias("key"))
 
 
 def blocked(rows: DataFrame, *, long: int = LONG) -> tuple[DataFrame, DataFrame]:
