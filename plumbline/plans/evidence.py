@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import text as W
 from plumbline.operators import requirements as R
+from plumbline.operators import triplets as T
 from plumbline.plans.catalogue import ORACLE_SQL, QUERIES, case_sql, query, r6, re2, term
 from plumbline.plans.diagnose import turn_windows
 from plumbline.sources.tables import table
@@ -123,3 +124,44 @@ def scope_drift(spark, sf):
     d = R.drift(F.col("q"), F.coalesce("c", F.array().cast("array<string>")))
     out = rows.select("conv_id", "turn", d.alias("d")).select("conv_id", "turn", F.size("d.shared").alias("n_shared"), F.array_join("d.missing", " ").alias("missing"), F.size("d.strange").alias("n_strange"), "d.match", "d.drift", "d.status")
     return r6(out, "match", "drift")
+
+
+# ---- triplets --------------------------------------------------------------------------------------------------
+
+#: Claims and chunks, with the label of each claim: values and polarity that clash, near misses of subject, predicate and object, several triplets in one claim.
+CLAIMED = (
+    ("The annual plan costs $40 per month.", ("The annual plan costs $40.",), "entailed"),
+    ("The annual plan costs $40 per month.", ("The annual plan costs $45 per month.",), "contradicted"),
+    ("The annual plan costs $40 per month.", ("The monthly plan costs $45 per month.",), "unsupported"),
+    ("Refunds are allowed within 30 days.", ("Refunds are not allowed within 30 days.",), "contradicted"),
+    ("Refunds are not allowed.", ("Refunds are not allowed.", "Refunds are paid by card."), "entailed"),
+    ("Acme founded the museum in 1999 and sells maps.", ("Acme founded the museum in 1999.", "Acme sells maps and books."), "entailed"),
+    ("Acme founded the museum in 1999 and sells globes.", ("Acme founded the museum in 1999.", "Acme sells maps and books."), "unsupported"),
+    ("Acme founded the museum in 1999 and sells globes.", ("Acme founded the museum in 1998.",), "contradicted"),
+    ("Yesterday, again!", ("The annual plan costs $40.",), "abstain"),
+    ("The office is located in Paris.", (), "unsupported"),
+)
+
+
+@query()
+def claim_triplets(spark, sf):
+    """Triplets of every document, and of the fixed claims (negative ids): how many of each predicate, how many denied, with values and with qualifiers."""
+    fixed = spark.createDataFrame([(-(i + 1), c) for i, (c, _, _) in enumerate(CLAIMED)], "doc_id long, text string")
+    found = T.extracted(table(spark, sf, "documents").select("doc_id", "text").unionByName(fixed), "doc_id").select("doc_id", "t.*")
+    one = lambda c: F.sum(c.cast("long"))
+    return found.groupBy((F.col("doc_id") < 0).alias("fixed"), "predicate").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("key").alias("n_subjects"), one(F.col("negated")).alias("n_negated"), one(F.size("values") > 0).alias("n_valued"), one(F.size("qualifiers") > 0).alias("n_qualified")
+    )
+
+
+@query()
+def triplet_verification(spark, sf):
+    """Every sentence of an answer against the triplets of the turns before its question, and the fixed claims (negative ids)."""
+    rows = turn_windows(table(spark, sf, "conversations"), 8).where("role = 'user' AND next_role = 'assistant' AND next_turn = turn + 1")
+    claims = rows.select("conv_id", "turn", F.posexplode(W.sentences("final_answer")).alias("claim", "text"))
+    chunks = rows.select("conv_id", "turn", F.explode(F.filter("near", lambda x: x["role"] == "assistant")).alias("c")).select("conv_id", "turn", F.col("c.turn").alias("chunk"), F.col("c.text").alias("text"))
+    fixed = spark.createDataFrame([(-(i + 1), 0, 0, c) for i, (c, _, _) in enumerate(CLAIMED)], "conv_id long, turn long, claim int, text string")
+    held = spark.createDataFrame([(-(i + 1), 0, k, t) for i, (_, ts, _) in enumerate(CLAIMED) for k, t in enumerate(ts)], "conv_id long, turn long, chunk long, text string")
+    out = T.verified(claims.unionByName(fixed), chunks.unionByName(held), "conv_id", "turn")
+    join = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    return out.select("conv_id", "turn", "claim", "n_triplets", "label", join("supporting"), join("contradicting"))
