@@ -165,3 +165,118 @@ def triplet_verification(spark, sf):
     out = T.verified(claims.unionByName(fixed), chunks.unionByName(held), "conv_id", "turn")
     join = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
     return out.select("conv_id", "turn", "claim", "n_triplets", "label", join("supporting"), join("contradicting"))
+
+
+# ---- tables in texts -------------------------------------------------------------------------------------------
+
+#: Texts with blocks and near misses: one line alone, a rule without a header, ragged rows, two blocks, prose with pipes.
+TABLED = (
+    "| Plan | Price |\n|---|---|\n| Basic | 5 |\n| Plus | 9 |", "Intro\n| a | b |\nOutro", "Name\tAge\nAnn\t31\nBob\t40\n\nx  y  z\n1  2  3\n4  5  6  7", "|---|\n|---|", "either | or | both", "a  b\nc  d", "", "| 1 | 2 |\n| 3 | 4 |\nend\n| x |\n| y |",
+)
+
+
+def order_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """An order's lines as a known table, and a chunk of it in one of six forms by the order's number: pipes, tabs, aligned columns, one line, numbers without structure, or no table at all.
+
+    Strategies follow the number, too; some chunks do not name their table.
+    """
+    from plumbline.operators import tables as B
+
+    key = F.col("l_orderkey")
+    line = F.struct("l_linenumber", F.col("l_partkey").cast("string").alias("p"), F.col("l_quantity").cast("int").cast("string").alias("q"), F.col("l_returnflag").alias("f"))
+    rows = table(spark, sf, "lineitem").groupBy(key.alias("doc_id")).agg(F.array_sort(F.collect_list(line)).alias("r"))
+    joined = lambda sep, ends="": F.array_join(F.transform("r", lambda x: F.concat(F.lit(ends), F.concat_ws(sep, x["p"], x["q"], x["f"]), F.lit(ends[::-1]))), "\n")
+    form = F.pmod(F.col("doc_id"), F.lit(6))
+    text = (
+        F.when(form == 0, F.concat(F.lit("Order lines\n| Part | Quantity | Flag |\n|---|---|---|\n"), joined(" | ", "| ")))
+        .when(form == 1, F.concat(F.lit("Part\tQuantity\tFlag\n"), joined("\t")))
+        .when(form == 2, joined("  "))
+        .when(form == 3, F.concat(F.lit("Part Quantity Flag of this order are "), F.array_join(F.transform("r", lambda x: F.concat_ws(" ", x["p"], x["q"], x["f"])), " ")))
+        .when(form == 4, F.array_join(F.transform("r", lambda x: F.concat_ws("\n", x["p"], x["q"])), "\n"))
+        .otherwise("Nothing of the table is here.")
+    )
+    strategy = F.element_at(F.array(*(F.lit(s[0]) for s in B.STRATEGIES)), (F.pmod(F.col("doc_id"), F.lit(11)) + 1).cast("int"))
+    base = rows.select("doc_id", "r", strategy.alias("strategy"), text.alias("text"))
+    tables = base.select("doc_id", F.lit("t0").alias("table_id"), F.array(*map(F.lit, ("Part", "Quantity", "Flag"))).alias("headers"), "strategy")
+    ids = F.when((form < 4) & (F.pmod(F.col("doc_id"), F.lit(12)) != 9), F.array(F.lit("t0"))).otherwise(F.array().cast("array<string>"))
+    return tables, base.select("doc_id", F.lit("c0").alias("chunk"), "text", ids.alias("source_table_ids"), "strategy")
+
+
+ORDER_TEXT_SQL = """lines AS (SELECT l_orderkey AS doc_id, list({'n': l_linenumber, 'p': CAST(l_partkey AS VARCHAR), 'q': CAST(CAST(l_quantity AS INTEGER) AS VARCHAR), 'f': l_returnflag} ORDER BY l_linenumber, CAST(l_partkey AS VARCHAR), CAST(CAST(l_quantity AS INTEGER) AS VARCHAR), l_returnflag) AS r FROM lineitem GROUP BY 1),
+base AS (SELECT doc_id, CASE doc_id % 6
+  WHEN 0 THEN 'Order lines' || chr(10) || '| Part | Quantity | Flag |' || chr(10) || '|---|---|---|' || chr(10) || array_to_string(list_transform(r, lambda x: '| ' || x.p || ' | ' || x.q || ' | ' || x.f || ' |'), chr(10))
+  WHEN 1 THEN 'Part' || chr(9) || 'Quantity' || chr(9) || 'Flag' || chr(10) || array_to_string(list_transform(r, lambda x: x.p || chr(9) || x.q || chr(9) || x.f), chr(10))
+  WHEN 2 THEN array_to_string(list_transform(r, lambda x: x.p || '  ' || x.q || '  ' || x.f), chr(10))
+  WHEN 3 THEN 'Part Quantity Flag of this order are ' || array_to_string(list_transform(r, lambda x: x.p || ' ' || x.q || ' ' || x.f), ' ')
+  WHEN 4 THEN array_to_string(list_transform(r, lambda x: x.p || chr(10) || x.q), chr(10))
+  ELSE 'Nothing of the table is here.' END AS text FROM lines)"""
+
+
+def _texts_with_tables(spark, sf):
+    _, chunks = order_tables(spark, sf)
+    fixed = spark.createDataFrame([(-(i + 1), t) for i, t in enumerate(TABLED)], "doc_id long, text string")
+    # order numbers and document ids are told apart by their source
+    docs = table(spark, sf, "documents").select(F.lit("documents").alias("source"), "doc_id", "text")
+    return docs.unionByName(chunks.select(F.lit("orders").alias("source"), "doc_id", "text")).unionByName(fixed.select(F.lit("fixed").alias("source"), "doc_id", "text"))
+
+
+@query(
+    rf"""WITH {ORDER_TEXT_SQL},
+texts AS (SELECT 'documents' AS source, doc_id, text FROM documents UNION ALL SELECT 'orders', doc_id, text FROM base
+  UNION ALL SELECT 'fixed', * FROM (VALUES {", ".join(f"({-(i + 1)}, {quoted(t)})" for i, t in enumerate(TABLED))})),
+u AS (SELECT source, doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS pos FROM texts),
+k AS (SELECT *, CASE WHEN regexp_matches(line, '^\s*\|.+\|\s*$') THEN 'pipe' WHEN contains(line, chr(9)) THEN 'tab' WHEN regexp_matches(line, '^\S+(?:[ \t]{{2,}}\S+){{2,}}\s*$') THEN 'aligned' ELSE '' END AS kind FROM u),
+g AS (SELECT *, pos - row_number() OVER (PARTITION BY source, doc_id, kind ORDER BY pos) AS island FROM k WHERE kind <> ''),
+c AS (SELECT *, regexp_matches(line, '^\s*\|[ \t:|-]+\|\s*$') AS rule, row_number() OVER (PARTITION BY source, doc_id, kind, island ORDER BY pos) AS nth,
+  CASE kind WHEN 'pipe' THEN string_split(regexp_replace(line, '^\s*\||\|\s*$', '', 'g'), '|') WHEN 'tab' THEN string_split(line, chr(9)) ELSE string_split_regex(trim(line), '[ \t]{{2,}}') END AS cells FROM g),
+w AS (SELECT source, doc_id, kind, island, len(cells) AS width, count(*) AS n FROM c WHERE NOT rule GROUP BY ALL),
+m AS (SELECT source, doc_id, kind, island, arg_max(width, (n, width)) AS n_cols, max(n) AS most, sum(n) AS body FROM w GROUP BY ALL),
+b AS (SELECT source, doc_id, kind, island, min(pos) AS first, max(pos) AS last, bool_or(nth = 2 AND rule) AS ruled, bool_or(nth = 1 AND rule) AS starts_ruled, bool_or(nth = 1 AND regexp_matches(line, '[0-9]')) AS first_digit,
+  bool_or(regexp_matches(line, '[0-9]')) AS any_digit, any_value(cells) FILTER (nth = 1) AS top FROM c GROUP BY ALL HAVING count(*) > 1),
+h AS (SELECT b.*, m.n_cols, m.most, m.body, (ruled OR (NOT first_digit AND any_digit)) AND NOT starts_ruled AS headed FROM b LEFT JOIN m USING (source, doc_id, kind, island))
+SELECT source, doc_id, CAST(first AS INTEGER) AS first, CAST(last AS INTEGER) AS last, kind, CAST(coalesce(body, 0) - CAST(headed AS INTEGER) AS INTEGER) AS n_rows, CAST(n_cols AS INTEGER) AS n_cols, round(most / body::DOUBLE, 6) AS width_share,
+  CASE WHEN headed THEN array_to_string(list_transform(top, lambda x: lower(trim(x))), ',') ELSE '' END AS header
+FROM h"""
+)
+def table_blocks(spark, sf):
+    """Table blocks of every document, of every order's rendered lines and of fixed texts (negative ids)."""
+    from plumbline.operators import tables as B
+
+    rows = _texts_with_tables(spark, sf).select("source", "doc_id", F.explode(B.blocks("text")).alias("b")).select("source", "doc_id", "b.*")
+    return r6(rows.withColumn("header", F.array_join("header", ",")), "width_share")
+
+
+def _flag_sql(flag: int) -> str:
+    from plumbline.operators import tables as B
+
+    return "(" + " OR ".join(f"strategy = '{s[0]}'" for s in B.STRATEGIES if s[flag + 1]) + ")"
+
+
+@query(
+    rf"""WITH {ORDER_TEXT_SQL},
+names AS (SELECT ['unknown', 'fixed_token', 'recursive_text', 'sentence', 'hierarchical', 'markdown_header', 'semantic', 'table_aware', 'parent_child', 'summary', 'late_chunking'] AS s),
+t AS (SELECT doc_id, text, s[doc_id % 11 + 1] AS strategy, doc_id % 6 < 4 AND doc_id % 12 <> 9 AS named, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS ls FROM base, names),
+w AS (SELECT *, list_filter(list_transform(string_split(text, chr(10)), lambda x: len(list_filter(string_split_regex(x, '\s+'), lambda y: y <> ''))), lambda n: n >= 3) AS widths,
+  list_filter(string_split_regex(text, '\s+'), lambda y: y <> '') AS words, regexp_extract_all(text, '[A-Za-z][A-Za-z./()-]*|[0-9]+(?:[.,][0-9]+)?') AS tok FROM t),
+s AS (SELECT *, CASE WHEN regexp_matches(text, '(?m)^\s*\|.+\|\s*$') THEN 1.0 ELSE (CAST(contains(text, chr(9)) AS INTEGER) + CAST(len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^\S+(?:[ \t]{{2,}}\S+){{2,}}\s*$'))) >= 2 AS INTEGER)
+    + CAST(CASE WHEN len(widths) >= 3 THEN list_max(list_transform(widths, lambda v: len(list_filter(widths, lambda u: u = v)))) / len(widths)::DOUBLE ELSE 0 END >= 0.6 AS INTEGER)) / 5.0::DOUBLE END AS structure,
+  CASE WHEN named THEN (CAST(contains(lower(text), 'part') AS INTEGER) + CAST(contains(lower(text), 'quantity') AS INTEGER) + CAST(contains(lower(text), 'flag') AS INTEGER)) / 3.0::DOUBLE END AS headed FROM w),
+f AS (SELECT *, structure < 0.7 AS low, headed < 0.5 AS bare, {_flag_sql(0)} AS kt, {_flag_sql(1)} AS kh, {_flag_sql(2)} AS ke, {_flag_sql(3)} AS mf, {_flag_sql(4)} AS np FROM s WHERE NOT {_flag_sql(5)}),
+known AS (
+  SELECT doc_id, 't0' AS table_id, CASE WHEN named THEN 'c0' END AS chunk, CASE WHEN named THEN 'weak_table' ELSE 'lost_table' END AS "check",
+    CASE WHEN NOT named THEN 'fail' WHEN kt AND low THEN 'fail' ELSE 'warn' END AS severity,
+    CASE WHEN NOT named THEN 0.9 WHEN kt THEN least(0.95, greatest(0.7, 1 - structure)) WHEN mf THEN least(0.9, greatest(0.6, 1 - headed)) ELSE least(0.9, greatest(0.6, 1 - structure)) END AS confidence
+  FROM f WHERE (NOT named AND (np OR kt OR ke)) OR (named AND CASE WHEN kt THEN low OR (kh AND bare) WHEN mf THEN kh AND bare ELSE low OR (kh AND bare) END)),
+loose AS (SELECT *, len(ls) = 1 AND len(tok) >= 8 AND len(list_filter(tok, lambda x: regexp_matches(x, '[0-9]'))) >= 2 AND len(list_filter(tok, lambda x: regexp_matches(x, '[A-Za-z]'))) >= 6
+    AND len(list_filter(tok[1:3], lambda x: NOT regexp_matches(x, '^[A-Z][^0-9]*$'))) = 0 AND len(list_filter(tok[4:], lambda x: regexp_matches(x, '[0-9]'))) > 0 AND len(list_filter(tok[4:], lambda x: regexp_matches(x, '[A-Za-z]'))) > 0 AS squeezed,
+    len(list_filter(words, lambda x: regexp_matches(x, '[0-9]'))) / greatest(len(words), 1)::DOUBLE AS digits FROM f WHERE NOT named AND structure < 0.3),
+plain AS (
+  SELECT doc_id, NULL AS table_id, 'c0' AS chunk, CASE WHEN squeezed THEN 'collapsed_table' ELSE 'dense_numbers' END AS "check", CASE WHEN squeezed AND NOT mf THEN 'fail' ELSE 'warn' END AS severity, CASE WHEN squeezed THEN 0.85 ELSE 0.55 END AS confidence
+  FROM loose WHERE squeezed OR (digits >= 0.3 AND len(ls) >= 4))
+SELECT doc_id, table_id, chunk, "check", severity, round(CAST(confidence AS DOUBLE), 6) AS confidence FROM known UNION ALL SELECT doc_id, table_id, chunk, "check", severity, round(CAST(confidence AS DOUBLE), 6) FROM plain"""
+)
+def table_findings(spark, sf):
+    """What happened to every order's table in its chunk: lost, weak, collapsed into a line, or dense numbers."""
+    from plumbline.operators import tables as B
+
+    return r6(B.table_findings(*order_tables(spark, sf)).select("doc_id", "table_id", "chunk", "check", "severity", "confidence"), "confidence")
