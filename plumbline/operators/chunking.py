@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.session import stored
+
 
 def fixed_windows(docs: DataFrame, *, doc="doc_id", text="text", size: int = 200, overlap: int = 50) -> DataFrame:
     """Windows of ``size`` words that overlap; the last one stops at the end."""
@@ -40,18 +42,43 @@ def erase_markers(chunks: DataFrame, *, text="text") -> DataFrame:
     return chunks.withColumn(text, F.regexp_replace(text, r"(?m)^[ \t]*(?:\d+[.)]|[#*\-]+)[ \t]+", ""))
 
 
+def ancestors(nodes: DataFrame, *, node="node_id", parent="parent_id") -> DataFrame:
+    """(node, ancestor, depth) of every node and all above it, itself at depth 0, by pointer doubling.
+
+    Round k knows all ancestors nearer than 2**k and each node's one at just 2**k; it joins both, so a chain of a thousand nodes takes ten
+    rounds. Rounds are stored. Parents that are no nodes count as none. Nodes on or below a cycle
+    have no root: they are left out (``cyclic`` lists them).
+    """
+    links = nodes.select(F.col(node).alias("node"), F.col(parent).alias("up")).where("node IS NOT NULL")
+    known = links.select(F.col("node").alias("up"))
+    jump = stored(links.where("up IS NOT NULL").join(known.distinct(), "up", "left_semi").select("node", "up"), "jump")
+    bound = links.count()
+    found = links.select("node", F.col("node").alias("ancestor"), F.lit(0).cast("long").alias("depth")).distinct()
+    step = 1
+    while not jump.isEmpty():
+        if step > bound:  # only a cycle is longer than the number of nodes
+            looped = jump.select("node").distinct()
+            return found.join(looped, "node", "left_anti")
+        above = jump.select(F.col("node").alias("ancestor"), F.col("up").alias("next"))
+        found = stored(found.unionByName(found.join(above, "ancestor").select("node", F.col("next").alias("ancestor"), (F.col("depth") + step).alias("depth"))), "ancestors")
+        jump = stored(jump.join(jump.select(F.col("node").alias("up"), F.col("up").alias("next")), "up").select("node", F.col("next").alias("up")), "jump")
+        step *= 2
+    return found
+
+
+def cyclic(nodes: DataFrame, *, node="node_id", parent="parent_id") -> DataFrame:
+    """Nodes on a cycle of parent links, or below one: those that still have an ancestor as many links up as there are nodes."""
+    jump = stored(nodes.select(F.col(node).alias("node"), F.col(parent).alias("up")).where("node IS NOT NULL AND up IS NOT NULL"), "cyclic")
+    bound, step = nodes.count(), 1
+    while step <= bound and not jump.isEmpty():
+        jump = stored(jump.join(jump.select(F.col("node").alias("up"), F.col("up").alias("next")), "up").select("node", F.col("next").alias("up")).distinct(), "cyclic")
+        step *= 2
+    return jump.select(F.col("node").alias(node)).distinct()
+
+
 def descendants(nodes: DataFrame, *, node="node_id", parent="parent_id") -> DataFrame:
-    """(ancestor, node, depth) of a forest, by a recursive query over the parent links."""
-    links = nodes.select(F.col(node).alias("node"), F.col(parent).alias("parent"))
-    return nodes.sparkSession.sql(
-        """
-        WITH RECURSIVE below(ancestor, node, depth) AS (
-          SELECT node, node, 0 FROM {links}
-          UNION ALL
-          SELECT b.ancestor, n.node, b.depth + 1 FROM below b JOIN {links} n ON n.parent = b.node)
-        SELECT * FROM below""",
-        links=links,
-    )
+    """(ancestor, node, depth) of a forest: every node with all below it, itself at depth 0."""
+    return ancestors(nodes, node=node, parent=parent).select("ancestor", "node", F.col("depth").cast("int").alias("depth"))
 
 
 def boundary_damage(chunks: DataFrame, *, run: str, rank: str, doc: str, text="text") -> DataFrame:

@@ -1,7 +1,6 @@
 """Tables in texts: blocks of table lines, their headers and widths, and what a chunker did to the tables that the parser knew.
 
-Blocks are islands of neighbouring lines of one kind, found inside the row by array functions: no shuffle, linear in
-the text. Known tables meet chunks by an equality join on document and table id; strategies of chunkers are a fixed table of guarantees that is
+Blocks are islands of neighbouring lines of one kind; only lines that look like a table's are shuffled. Known tables meet chunks by an equality join on document and table id; strategies of chunkers are a fixed table of guarantees that is
 joined as a small one.
 
 Null and empty texts hold no blocks; an island of one line is no block; a table that no chunk names is lost, which counts where
@@ -11,7 +10,7 @@ promise nothing.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 PIPE, ALIGNED, HTML = r"^\s*\|.+\|\s*$", r"^\S+(?:[ \t]{2,}\S+){2,}\s*$", r"(?i)<\s*(table|tr|td|th)\b"
@@ -61,35 +60,28 @@ def once(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def blocks(text: Column | str) -> Column:
-    """The table blocks of a text: (first, last, kind, n_rows, n_cols, width_share, header), lines from 0. A rule below the header and lines of another kind end or part nothing else.
+def blocks(texts: DataFrame, *by: str, text: str = "text") -> DataFrame:
+    """The table blocks of each row's text: ``by``, first, last (lines from 0), kind, n_rows, n_cols, width_share and header.
 
-    The header is the first line if a rule follows it, or if it holds no digit and a later line does.
+    Neighbouring table lines of one kind have the same difference of place and number among their kind. Only table lines are shuffled, by ``by`` and kind; the counts of widths keep
+    that partitioning. The header is the first line if a rule follows it, or if it holds no digit and a later line does.
     """
-    lines = F.split(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), "\n")
-
-    def block(all_: Column, kinds: Column, s: Column, e: Column) -> Column:
-        kind = F.get(kinds, s)
-        own = F.slice(all_, s + 1, e - s + 1)
-        body = F.filter(own, lambda x: ~x.rlike(RULE))
-
-        def described(widths: Column) -> Column:
-            most = F.array_max(F.transform(F.array_distinct(widths), lambda w: F.struct(F.size(F.filter(widths, lambda v: v == w)).alias("n"), w.alias("w"))))
-            ruled, first = F.get(own, 1).rlike(RULE), F.get(own, 0)
-            worded = ~first.rlike("[0-9]") & F.exists(own, lambda x: x.rlike("[0-9]"))
-            headed = F.coalesce((ruled | worded) & ~first.rlike(RULE), F.lit(False))
-            header = F.when(headed, F.transform(cells(first, kind), lambda c: F.lower(c))).otherwise(F.array().cast("array<string>"))
-            return F.struct(
-                s.alias("first"), e.alias("last"), kind.alias("kind"), (F.size(body) - headed.cast("int")).alias("n_rows"), most["w"].alias("n_cols"), (most["n"] / F.greatest(F.size(widths), F.lit(1))).alias("width_share"), header.alias("header")
-            )
-
-        return once(F.transform(body, lambda x: F.size(cells(x, kind))), described)
-
-    def islands(all_: Column, kinds: Column) -> Column:
-        edge = lambda step: F.array_compact(F.transform(kinds, lambda k, i: F.when((k != "") & ~F.coalesce(F.when((i + step >= 0) & (i + step < F.size(kinds)), F.get(kinds, i + step) == k), F.lit(False)), i)))
-        return F.transform(F.filter(F.arrays_zip(edge(-1).alias("s"), edge(1).alias("e")), lambda x: x["e"] > x["s"]), lambda x: block(all_, kinds, x["s"], x["e"]))
-
-    return once(lines, lambda a: once(F.transform(a, line_kind), lambda k: islands(a, k)))
+    lines = texts.select(*by, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("pos", "line")).withColumn("kind", line_kind(F.col("line"))).where("kind <> ''")
+    w = Window.partitionBy(*by, "kind").orderBy("pos")
+    rows = lines.withColumn("island", F.col("pos") - F.row_number().over(w)).withColumns({"rule": F.col("line").rlike(RULE), "digit": F.col("line").rlike("[0-9]")})
+    rows = rows.withColumn("width", F.when(~F.col("rule"), F.size(cells(F.col("line"), F.col("kind")))))
+    two = F.slice(F.array_sort(F.collect_list(F.struct("pos", "line", "rule", "digit"))), 1, 2)
+    part = rows.groupBy(*by, "kind", "island", "width").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"), F.max("pos").alias("last"), F.max("digit").alias("digit"), two.alias("top"))
+    some = part.groupBy(*by, "kind", "island").agg(
+        F.min("first").alias("first"), F.max("last").alias("last"), F.sum(F.when(F.col("width").isNotNull(), F.col("n"))).alias("body"), F.max(F.when(F.col("width").isNotNull(), F.struct("n", "width"))).alias("most"), F.max("digit").alias("digit"),
+        F.slice(F.array_sort(F.flatten(F.collect_list("top"))), 1, 2).alias("top"),
+    ).where("last > first")
+    one, ruled = F.col("top")[0], F.col("top")[1]["rule"]
+    headed = (ruled | (~one["digit"] & F.col("digit"))) & ~one["rule"]
+    header = F.when(headed, F.transform(cells(one["line"], F.col("kind")), lambda c: F.lower(c))).otherwise(F.array().cast("array<string>"))
+    return some.select(
+        *by, "first", "last", "kind", (F.coalesce("body", F.lit(0)) - headed.cast("int")).cast("int").alias("n_rows"), F.col("most")["width"].alias("n_cols"), (F.col("most")["n"] / F.col("body")).alias("width_share"), header.alias("header")
+    )
 
 
 def words(text: Column) -> Column:

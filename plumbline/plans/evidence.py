@@ -242,7 +242,7 @@ def table_blocks(spark, sf):
     """Table blocks of every document, of every order's rendered lines and of fixed texts (negative ids)."""
     from plumbline.operators import tables as B
 
-    rows = _texts_with_tables(spark, sf).select("source", "doc_id", F.explode(B.blocks("text")).alias("b")).select("source", "doc_id", "b.*")
+    rows = B.blocks(_texts_with_tables(spark, sf), "source", "doc_id")
     return r6(rows.withColumn("header", F.array_join("header", ",")), "width_share")
 
 
