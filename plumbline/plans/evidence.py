@@ -280,3 +280,83 @@ def table_findings(spark, sf):
     from plumbline.operators import tables as B
 
     return r6(B.table_findings(*order_tables(spark, sf)).select("doc_id", "table_id", "chunk", "check", "severity", "confidence"), "confidence")
+
+
+# ---- outlines ----------------------------------------------------------------------------------------------------
+
+
+def order_outlines(spark: SparkSession, sf: str) -> DataFrame:
+    """An order's lines as a numbered text: the part's number decides how a line begins, some are tables' titles or ends."""
+    n, part = F.col("l_linenumber").cast("string"), F.pmod(F.col("l_partkey"), F.lit(16))
+    begin = F.when(part < 4, F.concat(n, F.lit(". "))).when(part < 6, F.lit("(B) ")).when(part < 9, F.concat(F.lit("("), n, F.lit(") "))).when(part < 11, F.lit("(ii) ")).when(part < 12, F.lit("c) ")).when(part < 14, F.lit("")).when(part < 15, F.lit("Annexure ")).otherwise("Copy to ")
+    line = F.struct("l_linenumber", F.concat(begin, F.lit("part "), F.col("l_partkey").cast("string"), F.lit("  of "), F.col("l_returnflag")).alias("s"))
+    rows = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.array_sort(F.collect_list(line)).alias("r"))
+    head = F.when(F.col("doc_id") % 3 == 0, F.lit("LINES DEPARTMENT\n1. before the body\nORDER:\n")).otherwise(F.lit(""))
+    return rows.select("doc_id", F.concat(head, F.array_join(F.transform("r", lambda x: x["s"]), "\n")).alias("text"))
+
+
+OUTLINE_SQL = r"""l AS (SELECT l_orderkey AS doc_id, l_linenumber AS n, CASE WHEN l_partkey % 16 < 4 THEN l_linenumber || '. ' WHEN l_partkey % 16 < 6 THEN '(B) ' WHEN l_partkey % 16 < 9 THEN '(' || l_linenumber || ') ' WHEN l_partkey % 16 < 11 THEN '(ii) '
+    WHEN l_partkey % 16 < 12 THEN 'c) ' WHEN l_partkey % 16 < 14 THEN '' WHEN l_partkey % 16 < 15 THEN 'Annexure ' ELSE 'Copy to ' END || 'part ' || l_partkey || '  of ' || l_returnflag AS s FROM lineitem),
+x AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 3 ELSE 0 END + row_number() OVER (PARTITION BY doc_id ORDER BY n, s) - 1 AS pos, regexp_replace(s, '\s+', ' ', 'g') AS s FROM l),
+e AS (SELECT *, CASE WHEN regexp_matches(s, '^Annexure') THEN 'title' WHEN regexp_matches(s, '^Copy to') THEN 'end' WHEN regexp_matches(s, '^[0-9]+\.') THEN 'top' WHEN regexp_matches(s, '^\([A-Z]+\)') THEN 'upper'
+    WHEN regexp_matches(s, '^\([0-9]+\)') THEN 'numeric' WHEN regexp_matches(s, '^\([ivx]+\)') THEN 'roman' WHEN regexp_matches(s, '^[a-z]\)') THEN 'alpha' ELSE '' END AS kind FROM x),
+v AS (SELECT *, coalesce(max(CASE WHEN kind <> '' THEN pos END) OVER (PARTITION BY doc_id ORDER BY pos), -1) AS event FROM e),
+t AS (SELECT doc_id, event AS pos, string_agg(CASE WHEN kind = '' THEN s ELSE regexp_replace(s, '^\S+ ', '') END, ' ' ORDER BY pos) AS text, max(kind) AS kind FROM v WHERE event >= 0 GROUP BY ALL),
+a AS (SELECT t.*, coalesce((SELECT arg_max(u.kind, u.pos) FROM t u WHERE u.doc_id = t.doc_id AND u.pos <= t.pos AND u.kind IN ('title', 'end', 'top')), '') = 'title' AS in_table, (SELECT count(*) FROM t u WHERE u.doc_id = t.doc_id AND u.pos <= t.pos AND u.kind = 'end') AS section FROM t),
+m AS (SELECT *, lag(kind) OVER (PARTITION BY doc_id, section ORDER BY pos) AS before FROM a WHERE NOT in_table AND kind NOT IN ('title', 'end')),
+d AS (SELECT *, CASE kind WHEN 'top' THEN 1 WHEN 'upper' THEN 2 WHEN 'numeric' THEN CASE WHEN before = 'upper' THEN 3 ELSE 2 END WHEN 'roman' THEN CASE WHEN before = 'alpha' THEN 4 ELSE 3 END ELSE CASE WHEN before = 'numeric' THEN 4 ELSE 3 END END AS depth FROM m)"""
+
+
+@query(
+    f"""WITH {OUTLINE_SQL}
+SELECT d.doc_id, CAST(d.pos AS INTEGER) AS pos, CAST((SELECT max(u.pos) FROM d u WHERE u.doc_id = d.doc_id AND u.section = d.section AND u.pos < d.pos AND u.depth < d.depth) AS INTEGER) AS parent_pos, CAST(d.depth AS INTEGER) AS depth, d.kind, d.text FROM d"""
+)
+def outline_nodes(spark, sf):
+    """The node tree of every order's numbered text: nearest earlier marker of lower depth as parent."""
+    from plumbline.operators import outline
+
+    return outline.nodes(order_outlines(spark, sf), "doc_id").select("doc_id", "pos", "parent_pos", "depth", "kind", "text")
+
+
+@query(
+    f"""WITH RECURSIVE {OUTLINE_SQL},
+p AS MATERIALIZED (SELECT d.doc_id, d.pos, d.text, (SELECT max(u.pos) FROM d u WHERE u.doc_id = d.doc_id AND u.section = d.section AND u.pos < d.pos AND u.depth < d.depth) AS parent FROM d),
+b AS (SELECT doc_id, pos AS top, pos, text FROM p UNION ALL SELECT b.doc_id, b.top, p.pos, p.text FROM b JOIN p ON p.doc_id = b.doc_id AND p.parent = b.pos)
+SELECT doc_id, CAST(top AS INTEGER) AS pos, CAST(count(*) AS INTEGER) AS n_nodes, md5(string_agg(text, chr(10) ORDER BY pos)) AS digest FROM b GROUP BY doc_id, top"""
+)
+def outline_chunks(spark, sf):
+    """One chunk a node: its text and that of all nodes below it, by pointer doubling over the parent links."""
+    from plumbline.operators import chunking, outline
+
+    id_ = lambda c: F.col("doc_id") * 1_000_000 + F.col(c)
+    rows = outline.nodes(order_outlines(spark, sf), "doc_id").select("doc_id", "pos", id_("pos").alias("node_id"), id_("parent_pos").alias("parent_id"), "text")
+    out = chunking.hierarchical(rows, order="pos")
+    return out.select(F.expr("node_id div 1000000").alias("doc_id"), F.expr("int(node_id % 1000000)").alias("pos"), "n_nodes", F.md5(F.col("chunk").cast("binary")).alias("digest"))
+
+
+#: Texts that show a hierarchy run together, and near misses.
+FLAT = ("Chapter 1 says (1) a (2) b (3) c", "1. One 2. Two 3. Three 4. Four", "Section 1, section 1 and Part II", "Part I, Rule 2 and Section 3", "(1) a (2) b (3) c", "Chapter one (1) a (2) b (3) c", "plain")
+
+
+@query(
+    rf"""WITH names AS (SELECT ['unknown', 'fixed_token', 'recursive_text', 'sentence', 'hierarchical', 'markdown_header', 'semantic', 'table_aware', 'parent_child', 'summary', 'late_chunking'] AS s),
+o AS (SELECT l_orderkey AS doc_id, 'c' || l_linenumber AS chunk, l_linenumber AS n, l_partkey % 7 AS f, l_suppkey % 3 = 0 AS bare, s[l_orderkey % 11 + 1] AS strategy, l_partkey % 5 <> 0 AS sourced, l_suppkey % 4 = 1 AS crosses FROM lineitem, names),
+c AS (SELECT *, [{", ".join(quoted(t) for t in FLAT)}][f + 1] AS text FROM o),
+k AS (SELECT *, len(list_distinct(list_transform(regexp_extract_all(text, '(?i)\b(part\s+[ivxlcdm]+|chapter\s+[0-9]+|section\s+[0-9]+|rule\s+[0-9]+|annexure\s+[a-z0-9]+)\b'), lambda x: lower(x)))) AS h, len(regexp_extract_all(text, '\([0-9]+\)|\b[0-9]+\.\s+[A-Z][A-Za-z]+')) AS q, strategy IN ('hierarchical', 'markdown_header') AS keeps FROM c)
+SELECT doc_id, chunk, 'flattened_hierarchy' AS "check", CASE WHEN keeps AND h > 0 AND q >= 3 THEN 'fail' ELSE 'warn' END AS severity, NULL::DOUBLE AS share FROM k WHERE bare AND strategy <> 'summary' AND (h >= 3 OR q >= 4 OR (h > 0 AND q >= 3))
+UNION ALL SELECT doc_id, chunk, 'crosses_section', 'warn', NULL FROM k WHERE crosses AND keeps
+UNION ALL SELECT doc_id, NULL, 'missing_paths', 'warn', round(avg(CAST(bare AS DOUBLE)), 6) FROM k WHERE sourced AND keeps GROUP BY doc_id HAVING avg(CAST(bare AS DOUBLE)) > 0.2 + 1e-9"""
+)
+def hierarchy_findings(spark, sf):
+    """Order lines as chunks of fixed texts, strategies by the order's number: hierarchies run into text, chunks over section bounds, too few paths."""
+    from plumbline.operators import outline
+    from plumbline.operators import tables as B
+
+    rows = table(spark, sf, "lineitem")
+    at = lambda xs, i: F.element_at(F.array(*map(F.lit, xs)), (i + 1).cast("int"))
+    bare = F.pmod("l_suppkey", F.lit(3)) == 0
+    chunks = rows.select(
+        F.col("l_orderkey").alias("doc_id"), F.concat(F.lit("c"), "l_linenumber").alias("chunk"), at(FLAT, F.pmod("l_partkey", F.lit(7))).alias("text"), F.when(bare, F.array().cast("array<string>")).otherwise(F.array(F.lit("A"))).alias("path"),
+        at([s[0] for s in B.STRATEGIES], F.pmod("l_orderkey", F.lit(11))).alias("strategy"), (F.pmod("l_partkey", F.lit(5)) != 0).alias("sourced"), (F.pmod("l_suppkey", F.lit(4)) == 1).alias("crosses"),
+    )
+    return r6(outline.hierarchy_findings(chunks), "share")
