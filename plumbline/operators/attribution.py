@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators.grounding import cause_score
+from plumbline.session import stored
 
 CAUSE = "struct<cause:string,stage:string,score:double,evidence_for:array<string>,evidence_against:array<string>,fix:string,effect:string>"
 GOVERNANCE = ("citation_mismatch", "stale_source_usage", "post_rationalized_citation")
@@ -91,3 +92,28 @@ def trust(findings: Column, fallback: Column) -> Column:
     """warn, or human_review where fallback heuristics were used; null without findings. It never blocks."""
     decision = F.when(fallback, "human_review").otherwise("warn")
     return F.when(F.size(findings) > 0, F.struct(decision.alias("decision"), F.lit(False).alias("blocking"), F.lit(True).alias("human_review_required"), F.array(F.lit("calibration_unavailable"), F.lit("human_review_required")).alias("unmet")))
+
+
+#: Reports that an attribution rests on, and where each stands in a diagnosis: of a claim, or of the run's analyzers.
+REPORTS = ("verdict", "citation", "probe", "sufficiency", "staleness", "citations", "anomaly", "verifier")
+OF_CLAIM = ("verdict", "citation", "probe")
+
+
+def trace(diagnoses: DataFrame) -> DataFrame:
+    """One row for each run, claim and report: what the report says, its stage, and where that comes from. Reports of the run stand beside each of its claims; a report that is not there is no row. The diagnosis is stored first, as its expressions are too large to stand in a filter once more."""
+    claim = lambda c, name, value: F.struct(F.lit(name).alias("report"), value.alias("says"), F.lit("GROUNDING").alias("stage"), F.lit("claim").alias("of"))
+
+    def rows(c: Column) -> Column:
+        own = F.array(claim(c, "verdict", F.concat_ws(": ", c["label"], c["reason"])), claim(c, "citation", c["citation"]), claim(c, "probe", c["probe"]))
+        runs = F.transform(F.filter("results", lambda r: r["analyzer"].isin(*[r_ for r_ in REPORTS if r_ not in OF_CLAIM])), lambda r: F.struct(r["analyzer"].alias("report"), F.concat_ws(": ", r["status"], r["failure_type"]).alias("says"), r["stage"].alias("stage"), F.lit("run").alias("of")))
+        return F.filter(F.concat(own, runs), lambda x: x["says"].isNotNull())
+
+    each = stored(diagnoses.select("run_id", "results", "claim_causes"), "diagnoses").select("run_id", "results", F.explode("claim_causes").alias("c"))
+    return each.select("run_id", F.col("c.claim").alias("claim"), F.explode(rows(F.col("c"))).alias("x")).select("run_id", "claim", "x.*")
+
+
+def attributed(diagnoses: DataFrame) -> DataFrame:
+    """One row for each failed claim: its label, likeliest cause, the others and the remedy."""
+    each = stored(diagnoses.select("run_id", "claim_causes"), "diagnoses").select("run_id", F.explode("claim_causes").alias("c")).where("c.causes IS NOT NULL")
+    pick = selected(F.col("c.causes"))
+    return each.select("run_id", F.col("c.claim").alias("claim"), F.col("c.text").alias("text"), F.col("c.label").alias("label"), pick["primary_cause"].alias("cause"), pick["secondary_causes"].alias("also"), pick["fix"].alias("fix"))

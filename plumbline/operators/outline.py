@@ -125,6 +125,11 @@ def flattened(text: Column) -> Column:
     return F.struct(F.size(inline).alias("headings"), F.regexp_count(text, F.lit(CLAUSES)).alias("clauses"))
 
 
+def run_together(text: Column) -> Column:
+    """Whether a text shows a hierarchy that was run together: three headings, four clauses, or a heading and three clauses."""
+    return once(flattened(text), lambda f: (f["headings"] >= 3) | (f["clauses"] >= 4) | ((f["headings"] > 0) & (f["clauses"] >= 3)))
+
+
 def hierarchy_findings(chunks: DataFrame, *, doc: str = "doc_id") -> DataFrame:
     """Findings on ``chunks`` (doc, chunk, text, path, strategy, sourced, crosses): hierarchies run into text, chunks over section bounds, and documents of which too few chunks have a path (null chunk)."""
     rows = with_strategy(chunks).withColumns({"f": flattened(F.coalesce("text", F.lit(""))), "bare": F.coalesce(F.size("path"), F.lit(0)) == 0})

@@ -156,11 +156,11 @@ def known_table_findings(tables: DataFrame, chunks: DataFrame, *, doc: str = "do
 
 def text_finding(text: Column, may_flatten: Column) -> Column:
     """What a chunk without a table's id looks like: a collapsed table, dense numbers without structure, or null."""
-    loose = structure_score(text) < COLLAPSED
     lines = F.size(F.filter(F.split(text, "\n"), lambda x: F.trim(x) != ""))
-    return F.when(collapsed(text) & loose, finding("collapsed_table", F.when(may_flatten, "warn").otherwise("fail"), 0.85)).when(
-        (digit_share(text) >= DENSE) & (lines >= 4) & loose, finding("dense_numbers", "warn", 0.55)
-    )
+    shape = F.when(collapsed(text), "collapsed").when((digit_share(text) >= DENSE) & (lines >= 4), "dense")
+    loose = F.when(shape.isNotNull(), structure_score(text) < COLLAPSED)
+    found = lambda x: F.when(x["loose"] & (x["shape"] == "collapsed"), finding("collapsed_table", F.when(may_flatten, "warn").otherwise("fail"), 0.85)).when(x["loose"] & (x["shape"] == "dense"), finding("dense_numbers", "warn", 0.55))
+    return once(F.struct(shape.alias("shape"), loose.alias("loose")), found)
 
 
 def text_findings(chunks: DataFrame, *, doc: str = "doc_id") -> DataFrame:

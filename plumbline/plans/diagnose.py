@@ -14,11 +14,11 @@ from plumbline.functions import metadata as M
 from plumbline.functions import security
 from plumbline.functions import taxonomy as X
 from plumbline.functions import text as W
-from plumbline.operators import attribution, citations, requirements, sufficiency, validity, verification
+from plumbline.operators import attribution, citations, outline, requirements, sufficiency, tables, validity, verification
 from plumbline.operators.documents import missing_items
 from plumbline.plans import policy
+from plumbline.plans.contract import REQUIRED, RESULT, Analyzer, Hooks, isolated, missing
 
-RESULT = "struct<analyzer:string,at:int,weight:double,status:string,failure_type:string,stage:string,score:double,security_risk:string,evidence:array<string>,marks:array<string>>"
 UNSURE = r"(?i)\b(i am not sure|i'm not sure|unsure|uncertain|might be|may be|possibly|it is unclear|cannot determine|do not know|don't know)\b"
 ABSTAIN = r"(?i)\b(cannot answer|can't answer|not enough (information|context)|no information|unable to (answer|determine))\b"
 
@@ -77,7 +77,7 @@ def pairs(n: Column, hit) -> Column:
     return F.exists(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.when(i < n, F.exists(F.sequence(i + 1, F.greatest(n, i + 1)), lambda j: hit(i, j))).otherwise(False))
 
 
-def with_features(runs: DataFrame, as_of: Column, check=verification.verify) -> DataFrame:
+def with_features(runs: DataFrame, as_of: Column, check=verification.verify_whole, hooks: Hooks = Hooks()) -> DataFrame:
     """What many analyzers read, computed once a row. ``check`` is the verifier of claims."""
     chunks = F.coalesce("retrieved_chunks", F.expr("CAST(array() AS array<struct<chunk_id:string,text:string,source_doc_id:string,score:double,metadata:map<string,string>>>)"))
     entries = F.coalesce("corpus_entries", F.expr("CAST(array() AS array<struct<doc_id:string,text:string,timestamp:timestamp,metadata:map<string,string>>>)"))
@@ -96,7 +96,7 @@ def with_features(runs: DataFrame, as_of: Column, check=verification.verify) ->
     )
     n = F.size("scores")
     mean = F.aggregate("scores", F.lit(0.0), lambda a, s: a + s) / F.greatest(n, F.lit(1))
-    out = out.withColumn("ratios", F.transform("chunk_terms", lambda t: F.coalesce(W.overlap(F.col("q"), t), F.lit(0.0)))).withColumn("mean", mean)
+    out = out.withColumn("ratios", F.transform("chunk_terms", lambda t: hooks.relevance(F.col("q"), t))).withColumn("mean", mean)
     spread = F.sqrt(F.aggregate("scores", F.lit(0.0), lambda a, s: a + (s - F.col("mean")) * (s - F.col("mean"))) / F.greatest(n, F.lit(1)))
     known = F.array_distinct(F.filter("docs", lambda d: F.exists("entries", lambda e: e["doc_id"] == d)))
     entry = lambda d: F.try_element_at(F.filter("entries", lambda e: e["doc_id"] == d), F.lit(-1))  # noqa: E731  the last entry of a document counts
@@ -104,7 +104,7 @@ def with_features(runs: DataFrame, as_of: Column, check=verification.verify) ->
         {
             "spread": spread,
             "context_terms": F.array_distinct(F.flatten("chunk_terms")),
-            "aged": F.filter(known, lambda d: entry(d)["timestamp"] < as_of - F.expr("INTERVAL 180 DAYS")),
+            "aged": F.filter(known, lambda d: hooks.stale(entry(d), as_of)),
             "dated": F.filter(F.transform("chunks", lambda c, i: F.struct(M.dated(c["metadata"])["date"].alias("date"), M.dated(c["metadata"])["key"].alias("key"), F.coalesce(W.overlap(F.array_distinct(W.tokens("answer")), F.array_distinct(W.tokens(c["text"]))), F.lit(0.0)).alias("fit"), i.alias("i"))), lambda x: x["date"].isNotNull()),
             "sources": validity.assessed(validity.sources(F.col("chunks"), F.col("cited"), F.col("entries")), as_of),
             "verdicts": verification.verified(F.col("claims"), F.transform("chunks", lambda c: c["text"]), check=check),
@@ -131,7 +131,7 @@ def relative(dated: Column, days: int = 30) -> Column:
     return F.when((F.size(dated) >= 2) & (used["fit"] > 0) & (F.datediff(newest["date"], used["date"]) >= days), F.struct(used.alias("used"), newest.alias("newest")))
 
 
-def facts() -> dict[str, Column]:
+def facts(hooks: Hooks = Hooks()) -> dict[str, Column]:
     """What several analyzers or several fields of one use, computed once a row."""
     n = F.size("chunks")
     labels = F.transform("verdicts", lambda v: v["label"])
@@ -149,7 +149,7 @@ def facts() -> dict[str, Column]:
     steering = F.array_distinct(F.flatten(F.transform("chunks", lambda c: W.matches(c["text"], W.STEERING_ALL))))
     hard = F.arrays_overlap(steering, F.array(*map(F.lit, W.HARD_MARKERS))) | F.exists("chunks", lambda c: W.unlikely_tokens(c["text"]))
     everything = F.concat_ws("\n", "query", "final_answer", "context")
-    conflict = pairs(n, lambda i, j: security.opposed(F.element_at("chunk_tokens", i), F.element_at("chunk_tokens", j)))
+    conflict = pairs(n, lambda i, j: hooks.contradiction(F.element_at("chunk_tokens", i), F.element_at("chunk_tokens", j)))
     p = F.filter(F.array(*(count(v) / F.greatest(total, F.lit(1)) for v in ("entailed", "unsupported", "contradicted"))), lambda x: x > 0)
     entropy = -F.aggregate(p, F.lit(0.0), lambda a, x: a + x * F.log2(x))
     wants = F.col("query").rlike(sufficiency.CURRENT)
@@ -157,6 +157,8 @@ def facts() -> dict[str, Column]:
         "x_labels": labels, "x_irrelevant": irrelevant, "x_relevant": relevant, "x_quoted": quoted, "x_coverage": coverage, "x_phantom": F.array_except("cited", "docs"),
         "x_entailed": count("entailed"), "x_contradicted": count("contradicted"), "x_near": near, "x_injected": injected, "x_steering": steering,
         "x_hard": hard | F.exists("scores", lambda s: s > fence(F.col("scores"))), "x_private": W.privacy_request(F.col("query")) | W.medical_privacy(everything),
+        "x_tables": F.filter(F.transform("chunks", lambda c: F.struct(c["chunk_id"].alias("chunk"), tables.text_finding(F.coalesce(c["text"], F.lit("")), F.lit(True))["check"].alias("check"))), lambda x: x["check"].isNotNull()),
+        "x_flat": F.transform(F.filter("chunks", lambda c: outline.run_together(F.coalesce(c["text"], F.lit("")))), lambda c: c["chunk_id"]),
         "x_conflict": conflict, "x_entropy": entropy, "x_odd": z | cliff, "x_enough": sufficiency.sufficiency(F.col("query"), F.col("context"), F.col("answer")), "x_relative": relative(F.col("dated")),
         "x_citation": F.transform("verdicts", lambda v: citations.support_label(v, F.col("docs"), F.col("cited"))), "x_probe": F.transform("verdicts", lambda v: citations.probe_status(v, F.col("docs"), F.col("cited"))),
         **{f"x_{k}": c for k, c in validity.severity(F.col("sources"), F.col("docs"), F.col("cited"), F.col("query"), F.col("answer"), wants).items()},
@@ -184,7 +186,9 @@ def analyzers() -> list[Column]:
     stale_status = when((F.size("aged") > 0) | col("x_relative").isNotNull(), "fail").otherwise("pass")
     broken = pairs(n, lambda i, j: (j == i + 1) & (F.element_at("docs", i) == F.element_at("docs", j)) & ~F.element_at("chunks", i)["text"].rlike(r"[.!?:;]\s*$") & F.element_at("chunks", j)["text"].rlike(r"^\s*[a-z]"))
     return [
-        result(1, "parser", 0.85, "PARSING", when(broken, "warn").otherwise("pass"), lit("CHUNKING_BOUNDARY_ERROR"), F.array(lit("a chunk breaks off inside a sentence"))),
+        result(1, "parser", 0.85, "PARSING", when(broken | (F.size("x_tables") > 0) | (F.size("x_flat") > 0), "warn").otherwise("pass"),
+               when(F.size("x_tables") > 0, "TABLE_STRUCTURE_LOSS").when(F.size("x_flat") > 0, "HIERARCHY_FLATTENING").otherwise("CHUNKING_BOUNDARY_ERROR"),
+               when(F.size("x_tables") > 0, F.transform("x_tables", lambda x: F.concat_ws(": ", x["chunk"], x["check"]))).when(F.size("x_flat") > 0, F.transform("x_flat", lambda c: F.concat(c, lit(": a hierarchy run into text")))).otherwise(F.array(lit("a chunk breaks off inside a sentence")))),
         result(2, "sufficiency", 0.9, "SUFFICIENCY", when(n == 0, "fail").otherwise(enough["status"]), when(n == 0, "INSUFFICIENT_CONTEXT").otherwise(enough["failure_type"]), F.array(F.concat(enough["reason"], lit(", coverage "), F.round(col("x_coverage"), 4).cast("string"))), col("x_coverage"),
                None, F.array(when((n > 0) & enough["reason"].isin(*sufficiency.STRUCTURED), F.concat(lit("sufficiency:"), enough["reason"])), when(n == 0, "missing_context"), when((n > 0) & (enough["reason"] == "low_coverage"), "signal:term_coverage_fallback"))),
         result(3, "grounding", 0.9, "GROUNDING", grounding, when(empty, "CLAIM_EXTRACTION_FAILED").when(contra, "CONTRADICTED_CLAIM").otherwise("UNSUPPORTED_CLAIM"), when(empty, F.array(lit("no claims in a substantive answer"))).otherwise(F.transform(F.filter(F.arrays_zip("claims", "x_labels"), lambda x: x["x_labels"] != "entailed"), lambda x: F.concat_ws(": ", x["x_labels"], x["claims"]))), col("x_entailed") / F.greatest(total, lit(1)), None, grounds),
@@ -273,7 +277,7 @@ def later_analyzers() -> list[Column]:
 
 
 def nodes() -> Column:
-    """The verifier's nodes in order, each pass, uncertain, fail or skip, up to the first that fails; where nothing was retrieved, a failing query does not end them."""
+    """The verifier's nodes in order, each pass, uncertain, fail or skip, whatever fails before."""
     when = F.when
     three = lambda name: when(status_of(name) == "fail", "fail").when(status_of(name) == "warn", "uncertain").when(status_of(name) == "skip", "skip").otherwise("pass")
     kind = W.answer_type(F.col("query"), F.col("final_answer"))
@@ -285,15 +289,45 @@ def nodes() -> Column:
         when((kind == "mismatch") | (F.size("y_missing") > 0), "fail").when(kind == "uncertain", "uncertain").otherwise("pass"), security_,
     )
     whole = F.array(*(F.struct(F.lit(i).alias("place"), F.lit(name).alias("node"), s.alias("status")) for i, (name, s) in enumerate(zip(NODES, found))))
+    return whole
+
+
+def up_to_first(whole: Column) -> Column:
+    """The nodes up to the first that fails; where nothing was retrieved, a failing query does not end them."""
     stops = F.filter(whole, lambda x: (x["status"] == "fail") & ~((x["place"] == 0) & (F.size("chunks") == 0)))
     return F.when(F.size(stops) > 0, F.slice(whole, F.lit(1), F.get(stops, 0)["place"] + 1)).otherwise(whole)
 
 
-def first_failing(nodes_: Column) -> Column:
-    """The node to blame: damage by the parser, an explicit attack or an invalid source comes before the order of the nodes."""
-    failing = F.filter(nodes_, lambda x: x["status"] == "fail")
-    named = lambda *names: F.get(F.filter(failing, lambda x: x["node"].isin(*names)), 0)
-    return F.coalesce(named("parser_validity"), named("security_risk"), named("version_validity"), F.get(failing, 0))["node"]
+def first_failing(nodes_: Column, whole: Column) -> Column:
+    """The node to blame: damage by the parser, an explicit attack or an invalid source comes first wherever it stands, a phantom citation before symptoms of the context, then the order of the nodes."""
+    failing, original = F.filter(whole, lambda x: x["status"] == "fail"), F.get(F.filter(nodes_, lambda x: x["status"] == "fail"), 0)["node"]
+    named = lambda *names: F.get(F.filter(failing, lambda x: x["node"].isin(*names)), 0)["node"]
+    cited = F.when((F.size("x_phantom") > 0) & original.isin("citation_support", "context_assembly", "retrieval_precision"), named("citation_support"))
+    return F.coalesce(named("parser_validity"), named("security_risk"), named("version_validity"), cited, original)
+
+
+#: The failure that a node stands for.
+NODE_FAILURE = {
+    "query_understanding": "INSUFFICIENT_CONTEXT", "parser_validity": "CHUNKING_BOUNDARY_ERROR", "retrieval_coverage": "INSUFFICIENT_CONTEXT", "retrieval_precision": "SCOPE_VIOLATION", "context_assembly": "RETRIEVAL_ANOMALY",
+    "version_validity": "STALE_RETRIEVAL", "claim_support": "UNSUPPORTED_CLAIM", "citation_support": "CITATION_MISMATCH", "answer_completeness": "GENERATION_IGNORE", "security_risk": "PROMPT_INJECTION",
+}
+
+
+def verifier() -> Column:
+    """The verifier as an analyzer: it fails with the node to blame, and lists the nodes that fail after it."""
+    node, map_ = F.col("blamed"), F.create_map(*(F.lit(x) for kv in NODE_FAILURE.items() for x in kv))
+    grounding, secure = of_result("grounding"), F.get(F.filter("results", lambda r: (r["stage"] == "SECURITY") & (r["status"] == "fail")), 0)
+    failure = F.when((node == "claim_support") & (grounding["status"] == "fail"), grounding["failure_type"]).when(node == "security_risk", secure["failure_type"]).otherwise(F.element_at(map_, node))
+    status = F.when(node.isNotNull(), "fail").when(F.exists("nodes", lambda x: x["status"] == "uncertain"), "warn").otherwise("pass")
+    doubtful = F.get(F.filter("nodes", lambda x: x["status"] == "uncertain"), 0)["node"]
+    after = F.transform(F.col("downstream"), lambda n: F.concat(F.lit("then "), n))
+    marks = F.array(F.when(node == "claim_support", F.when(F.exists("verdicts", lambda v: (v["label"] == "contradicted") & (v["conflicts"] > 0)), "explicit_contradiction")))
+    return result(13, "verifier", 0.6, "UNKNOWN", status, F.when(node.isNotNull(), failure), F.concat(F.array(F.coalesce(node, doubtful)), after), None, None, marks).withField("stage", F.coalesce(F.element_at(stage_of_node(), node), F.lit("UNKNOWN")))
+
+
+def stage_of_node() -> Column:
+    own = dict(zip(NODES, ("RETRIEVAL", "PARSING", "SUFFICIENCY", "RETRIEVAL", "RETRIEVAL", "RETRIEVAL", "GROUNDING", "GROUNDING", "GENERATION", "SECURITY")))
+    return F.create_map(*(F.lit(x) for kv in own.items() for x in kv))
 
 
 #: What to do about a failure.
@@ -308,30 +342,49 @@ REMEDY = {
 CHAIN = "array<struct<root:string,hypothesis:string>>"
 
 
-def diagnose(runs: DataFrame, *, as_of: str, check=verification.verify, extra: tuple[Column, ...] = (), rules: tuple[policy.Rule, ...] = policy.RULES) -> DataFrame:
+def diagnose(
+    runs: DataFrame, *, as_of: str, check=verification.verify_whole, extra: tuple[Column, ...] = (), analyzers_: tuple[Analyzer, ...] = (), required=REQUIRED, hooks: Hooks = Hooks(), entailment_grade: bool = False, rules: tuple[policy.Rule, ...] = policy.RULES
+) -> DataFrame:
     """``run_id`` and the diagnosis of each run: primary failure, stage, risk, confidence, results, causes and review.
 
-    ``check`` verifies a claim by its run's texts, ``extra`` are analyzers of one's own as columns built by ``result``, ``rules`` the
-    policy's. Runs without chunks, claims, citations or an answer have the verdicts of their empty lists; null text counts as empty.
+    ``check`` verifies a claim by its run's texts, ``extra`` are analyzers of one's own as columns built by ``result``, ``analyzers_`` those in Python, each within its own error
+    boundary, ``required`` the analyzers without which no run is clean, ``hooks`` shared judgements, ``rules`` the
+    policy's. With ``entailment_grade`` the verifier is trusted to judge entailment, and an answer all of whose claims it entails clears weak failures of retrieval; the built-in one is lexical and is not. Runs without chunks, claims, citations or an answer have the verdicts of their empty lists; null text counts as empty.
     """
-    out = with_features(runs, F.lit(as_of).cast("timestamp"), check).withColumns(facts()).withColumn("results", F.array(*analyzers(), *extra))
-    out = out.withColumns(later_facts()).withColumns({"nodes": nodes(), "results": F.concat("results", F.array(*later_analyzers()))})
+    if analyzers_:
+        runs = runs.withColumn("own_results", isolated(analyzers_, runs.columns))
+    own = F.col("own_results") if analyzers_ else F.array().cast(f"array<{RESULT}>")
+    out = with_features(runs, F.lit(as_of).cast("timestamp"), check, hooks).withColumns(facts(hooks)).withColumn("results", F.concat(F.array(*analyzers(), *extra), own))
+    out = out.withColumns(later_facts()).withColumns({"all_nodes": nodes(), "results": F.concat("results", F.array(*later_analyzers()))})
+    out = out.withColumn("nodes", up_to_first(F.col("all_nodes"))).withColumn("blamed", first_failing(F.col("nodes"), F.col("all_nodes")))
+    place = F.get(F.filter("all_nodes", lambda x: x["node"] == F.col("blamed")), 0)["place"]
+    out = out.withColumn("downstream", F.transform(F.filter("all_nodes", lambda x: (x["status"] == "fail") & (x["place"] > place)), lambda x: x["node"]))
+    out = out.withColumn("results", F.concat("results", F.array(verifier())))
     said = F.filter("results", lambda r: r["status"].isin("fail", "warn") & r["failure_type"].isNotNull() & (r["analyzer"] != "confidence"))
     candidates = F.transform(said, lambda r: F.struct(r["analyzer"], r["at"], r["weight"], r["status"], r["failure_type"], r["stage"], F.lit("uncalibrated").alias("calibration"), r["evidence"], r["marks"]))
-    out = out.withColumn("run_marks", F.array_distinct(F.flatten(F.transform("results", lambda r: r["marks"]))))
+    clean_claims = F.lit(entailment_grade) & (F.size("claims") > 0) & F.forall("verdicts", lambda v: v["label"] == "entailed")
+    out = out.withColumn("run_marks", F.array_distinct(F.concat(F.flatten(F.transform("results", lambda r: r["marks"])), F.when(clean_claims, F.array(F.lit("entailment_clean"))).otherwise(F.array().cast("array<string>")))))
     out = policy.decide(out, candidates, F.col("run_marks"), rules)
+    out = out.withColumn("missing_analyzers", missing(F.col("results"), required))
     warned = F.get(F.filter("results", lambda r: (r["status"] == "warn") & r["failure_type"].isin("RETRIEVAL_ANOMALY", "CHUNKING_BOUNDARY_ERROR")), 0)
     top = F.col("p_primary")
-    failure = F.coalesce(top["failure_type"], warned["failure_type"], F.lit("CLEAN"))
+    failure = F.coalesce(top["failure_type"], F.when(F.size("missing_analyzers") > 0, F.lit("INCOMPLETE_DIAGNOSIS")), warned["failure_type"], F.lit("CLEAN"))
     out = out.withColumns({"failure": failure, "failing_stage": F.coalesce(top["stage"], warned["stage"], F.lit("UNKNOWN"))})
     failed = lambda name: F.exists("results", lambda r: (r["analyzer"] == name) & (r["status"] == "fail"))
-    bad = F.get(F.filter("verdicts", lambda v: v["label"] != "entailed"), 0)
-    causes = F.when(bad.isNotNull(), attribution.causes_of(
-        bad, insufficient=failed("sufficiency"), missed=F.exists("nodes", lambda x: (x["node"] == "retrieval_coverage") & (x["status"] == "fail")), noisy=F.coalesce(F.col("y_noise") >= 0.5, F.lit(False)),
+    whole = F.arrays_zip(F.col("claims").alias("text"), F.col("verdicts").alias("v"), F.col("x_citation").alias("citation"), F.col("x_probe").alias("probe"))
+    of_run = dict(
+        insufficient=failed("sufficiency"), missed=F.exists("nodes", lambda x: (x["node"] == "retrieval_coverage") & (x["status"] == "fail")), noisy=F.coalesce(F.col("y_noise") >= 0.5, F.lit(False)),
         stale=F.array_distinct(F.concat("aged", "x_cited_invalid", "x_answer_bearing")), phantom=F.col("x_phantom"), post=F.col("y_probe") == "fail", security=F.exists("results", lambda r: (r["stage"] == "SECURITY") & (r["status"] == "fail")),
         mean=F.when(F.size("scores") > 0, F.col("mean")).otherwise(1.0), n=F.size("chunks"),
+    )
+    out = out.withColumns({f"r_{k}": c for k, c in of_run.items()})
+    of_run = {k: F.col(f"r_{k}") for k in of_run}
+    each = F.transform(whole, lambda x, i: F.struct(
+        i.alias("claim"), x["text"].alias("text"), x["v"]["label"].alias("label"), x["v"]["reason"].alias("reason"), x["citation"].alias("citation"), x["probe"].alias("probe"),
+        F.when(x["v"]["label"] != "entailed", attribution.causes_of(x["v"], **of_run)).alias("causes"),
     ))
-    out = out.withColumns({"causes": causes, "findings": attribution.pinpoint(F.col("nodes"), F.col("run_id"))})
+    out = out.withColumns({"claim_causes": each, "findings": attribution.pinpoint(F.filter("all_nodes", lambda x: x["node"] == F.col("blamed")), F.col("run_id"))})
+    out = out.withColumn("causes", F.get(F.filter("claim_causes", lambda c: c["causes"].isNotNull()), 0)["causes"])
     risk = F.get(F.reverse(F.array_sort(F.transform("results", lambda r: F.struct(X.place(r["security_risk"], X.RISKS).alias("o"), r["security_risk"].alias("r"))))), 0)["r"]
     known = F.filter(F.transform("results", lambda r: F.when(r["analyzer"] != "uncertainty", r["score"])), lambda s: s.isNotNull())
     mean = F.try_divide(F.aggregate(known, F.lit(0.0), lambda a, s: a + s), F.size(known))
@@ -341,7 +394,7 @@ def diagnose(runs: DataFrame, *, as_of: str, check=verification.verify, extra: t
     ok = F.size(F.filter("nodes", lambda x: x["status"].isin("pass", "skip")))
     out = out.select(
         "run_id", "created_at", F.col("failure").alias("primary_failure"), F.col("failing_stage").alias("stage"), risk.alias("security_risk"), F.round(mean, 6).alias("confidence"),
-        "results", first_failing(F.col("nodes")).alias("first_failing_node"), F.round(ok / F.greatest(F.size("nodes"), F.lit(1)), 2).alias("pipeline_health"), others.alias("also_considered"), F.array_join(chain, " > ").alias("failure_chain"), remedy.alias("remedy"),
+        "results", F.col("blamed").alias("first_failing_node"), F.col("downstream").alias("downstream_nodes"), "missing_analyzers", "claim_causes", "run_marks", F.round(ok / F.greatest(F.size("nodes"), F.lit(1)), 2).alias("pipeline_health"), others.alias("also_considered"), F.array_join(chain, " > ").alias("failure_chain"), remedy.alias("remedy"),
         F.col("p_state")["applied"].alias("rules_applied"), attribution.selected(F.col("causes")).alias("cause"), attribution.chain(F.col("findings")).cast(CHAIN).alias("causal_chain"), attribution.trust(F.col("findings"), F.lit(True)).alias("trust"),
         requirements.evidence_lists(F.col("claims"), F.col("verdicts"), F.transform("chunks", lambda c: c["chunk_id"])).alias("claim_evidence"), requirements.covered(requirements.asked("query"), F.col("chunk_terms")).alias("requirements"),
     )
