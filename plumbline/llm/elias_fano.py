@@ -25,14 +25,18 @@ def _mask(bits: int) -> np.uint64:
     return U((1 << bits) - 1)
 
 
+#: Fields that are packed at once; a multiple of 64, so that each part begins with a word.
+PACKED = 1 << 16
+
+
 def _pack(values: np.ndarray, bits: int) -> np.ndarray:
     """``bits``-wide fields, one after another, with a spare word at the end."""
     n = len(values)
     out = np.zeros(n * bits // 64 + 2, np.uint64)
-    if bits and n:
-        at = np.arange(n, dtype=np.uint64) * U(bits)
+    for i in range(0, n if bits else 0, PACKED):
+        v = values[i : i + PACKED].astype(np.uint64)
+        at = np.arange(i, i + len(v), dtype=np.uint64) * U(bits)
         word, shift = (at >> U(6)).astype(np.int64), at & U(63)
-        v = values.astype(np.uint64)
         # Fields are in order, so those that begin in one word are neighbours and can be summed.
         starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
         out[word[starts]] |= np.bitwise_or.reduceat(v << shift, starts)
@@ -200,7 +204,7 @@ class Ids:
     @classmethod
     def build(cls, ids: np.ndarray, most: int) -> Ids:
         bits = max(1, int(most).bit_length())
-        return cls(bits, _pack(ids.astype(np.uint64), bits))
+        return cls(bits, _pack(ids, bits))
 
     def arrays(self, name: str) -> dict[str, np.ndarray]:
         return {f"{name}.bits": np.array([self.bits], np.uint64), f"{name}.packed": self.packed}

@@ -48,7 +48,7 @@ from plumbline.llm.elias_fano import EliasFano, Ids, from_buffer, to_bytes
 
 FOLDS = 10
 STEP = 3_000_000
-SHARD_BYTES = 20 << 20
+SHARD_BYTES = 14 << 20
 #: Groups of shards that a block addresses at most.
 FAN = 256
 #: No word holds a space, so the end token is none of them.
@@ -138,6 +138,8 @@ def mapped(folder: str, name: str):
 #: ``many`` and ``next`` are empty where keys are words: a pair's triples are its ``many`` next ids with their counts.
 BLOCK = T.StructType([T.StructField("shard", T.IntegerType()), *(T.StructField(x, T.BinaryType()) for x in ("keys", "many", "next", "counts"))])
 ENTRIES_A_MERGE = 1_500_000
+#: Entries that a merge sorts at once.
+SORTED = 400_000
 
 
 def planes(a: np.ndarray) -> bytes:
@@ -203,18 +205,33 @@ class Counts:
         keys = [np.cumsum(unplanes(r[0], np.uint64), dtype=np.uint64) for r in rows]
         if not rows[0][1]:
             return cls.of_words(np.concatenate(keys), np.concatenate([numbers(r[3], len(k)) for r, k in zip(rows, keys)]))
-        many = [unplanes(r[1], np.uint32).astype(np.int64) for r in rows]
-        sizes = [int(m.sum()) for m in many]
-        return cls.of_triples(
-            np.repeat(np.concatenate(keys), np.concatenate(many)),
-            np.concatenate([numbers(r[2], n) for r, n in zip(rows, sizes)]),
-            np.concatenate([numbers(r[3], n) for r, n in zip(rows, sizes)]),
-            bits,
-        )
+        many = [unplanes(r[1], np.uint32) for r in rows]
+        ends = [np.concatenate([[0], np.cumsum(m, dtype=np.int64)]) for m in many]
+        after, counts = ([packed(r[k], int(e[-1])) for r, e in zip(rows, ends)] for k in (2, 3))
+        parts = max(1, -(-sum(int(e[-1]) for e in ends) // SORTED))
+        some = np.sort(np.concatenate([k[::64] for k in keys]))
+        cuts = np.unique(some[np.arange(1, parts) * len(some) // parts])
+        at = [np.concatenate([[0], np.searchsorted(k, cuts), [len(k)]]) for k in keys]
+        done = []
+        for i in range(len(cuts) + 1):  # ranges of keys, one after another, so that little is sorted at once
+            heads = [slice(a[i], a[i + 1]) for a in at]
+            tails = [slice(e[a[i]], e[a[i + 1]]) for a, e in zip(at, ends)]
+            own = cls.of_triples(
+                np.repeat(np.concatenate([k[s] for k, s in zip(keys, heads)]), np.concatenate([m[s] for m, s in zip(many, heads)])),
+                np.concatenate([x[s] for x, s in zip(after, tails)]),
+                np.concatenate([x[s] for x, s in zip(counts, tails)]).astype(np.int64),
+                bits,
+            )
+            done.append((own.keys, own.counts, own.many, own.after))
+        return cls(*map(np.concatenate, zip(*done)))
+
+
+def packed(raw: bytes, n: int) -> np.ndarray:
+    return unplanes(raw, np.uint32 if len(raw) == 4 * n else np.uint64)
 
 
 def numbers(raw: bytes, n: int) -> np.ndarray:
-    return unplanes(raw, np.uint32 if len(raw) == 4 * n else np.uint64).astype(np.int64)
+    return packed(raw, n).astype(np.int64)
 
 
 def first_of_runs(a: np.ndarray) -> np.ndarray:
@@ -451,7 +468,7 @@ def shards(batches):
     """(shard, its packed rows) of rows sorted by shard."""
     last, have = None, []
     for b in batches:
-        for s, *r in zip(*(c.to_pylist() for c in b.columns)):
+        for s, *r in zip(b.column(0).to_pylist(), *(map(pa.BinaryScalar.as_buffer, c) for c in b.columns[1:])):  # views, not copies
             if s != last and have:
                 yield last, have
                 have = []
@@ -470,6 +487,10 @@ def levels_of(c: Counts, words: Words, model: dict) -> dict[str, np.ndarray]:
     ctx, rank = runs(v)
     real = c.after < V
     many = np.bincount(own[real], minlength=len(v))
+    share = c.counts - DISCOUNT
+    share /= total[own]
+    value3 = quantised(share[real])
+    del own, share
     return {
         **EliasFano.build(ctx, V + 1).arrays("context"),
         **EliasFano.build(np.concatenate([[0], np.cumsum(np.bincount(rank, minlength=len(ctx)))]), len(v) + 1, ones=True).arrays("pointer"),
@@ -478,12 +499,16 @@ def levels_of(c: Counts, words: Words, model: dict) -> dict[str, np.ndarray]:
         "mass": quantised(DISCOUNT * many / total),
         **EliasFano.build(np.concatenate([[0], np.cumsum(many)]), int(many.sum()) + 1, ones=True).arrays("pointer3"),
         **Ids.build(c.after[real], V).arrays("next"),
-        "value3": quantised((c.counts[real] - DISCOUNT) / total[own[real]]),
+        "value3": value3,
     }
 
 
 def quantised(p: np.ndarray) -> np.ndarray:
-    return np.round(np.log10(np.maximum(p, 10.0**LEAST_LOG)) / LEAST_LOG * (LEVELS - 1)).astype(np.uint16)
+    x = np.maximum(p, 10.0**LEAST_LOG)
+    np.log10(x, out=x)
+    x /= LEAST_LOG
+    x *= LEVELS - 1
+    return np.round(x, out=x).astype(np.uint16)
 
 
 #: The probability of each quantised value; the last one stands for none.
