@@ -16,7 +16,8 @@
    verified against the list's pivot p, the class with the fewest shingles of its own. If x does not link
    with p, it links with y only if both differ from p in the same shingles, in at least (4 |p - y| + 3 |y - p| + 3 (own
    shingles of y - of p) + 1) / 7 of them. So candidates share one of the first differences of y, those
-   that p lacks first. For random edits hardly any is left.
+   that p lacks first. Groups that link among themselves, but not with p, have long lists under these differences too: they
+   are contracted with pivots of their own, round by round, before pairs are listed. For random edits hardly any is left.
 
 6. Links are counted in each component, as both ends of every link are in one: its classes are dealt by hash to
    blocks of about ``BLOCK``, and each two blocks are compared in arrays, without a row for each pair. The work grows with
@@ -262,7 +263,8 @@ def labelled(docs: DataFrame, *, doc_id: str, text: str, size: int = SHINGLE) ->
     share = F.expr(f"int(n - ceil({LEAST} * n / {WHOLE}) + 1 - (n - size(toks)))")
     classes = classes.select("sig", "n", "toks", share.alias("own"))
     classes = classes.withColumn("prefix", F.slice("toks", F.lit(1), F.greatest("own", F.lit(1)))).where("own > 0")
-    classes = stored(classes.withColumn("gid", F.xxhash64("n", "prefix")), "jaccard-classes")
+    group = F.concat_ws(",", F.col("n").cast("string"), F.col("prefix").cast("array<string>"))
+    classes = stored(classes.withColumn("gid", F.unhex(F.md5(group.cast("binary")))), "jaccard-classes")
     members = classes.select("sig", "gid", "n")
     groups = classes.groupBy("gid").agg(F.min("sig").alias("head"), F.min("n").alias("n"), F.first(F.size("toks")).alias("size"), F.first("prefix").alias("prefix"), F.count(F.lit(1)).alias("many"))
     groups = stored(groups, "jaccard-groups")
@@ -349,20 +351,51 @@ def long_lists(lists: DataFrame, members: DataFrame, labels: DataFrame, classes:
     far = compared(pairs, classes).select("a", "b", "na", "nb", "ua", "ub", F.size("tb").alias("size"), F.array_except("tb", "ta").alias("plus"), F.reverse(F.array_except("ta", "tb")).alias("minus"))
     far = stored(far, "jaccard-far")
     labels = relabel(labels, far.where(linked(F.col("size") - F.size("plus"), "na", "nb")).select("a", "b"))
+    labels = contracted(far, labels, classes)
     far = far.join(labels.select(F.col("sig").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("sig").alias("b"), F.col("label").alias("lb")), "b")
     found = sharing(far).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     return relabel(labels, stored(verified(found, classes), "jaccard-links"))
 
 
+def differences() -> tuple[Column, Column]:
+    """A class's differences from its pivot in order, and how many of the first ones its partners must share one of."""
+    differ = F.concat("plus", F.transform("minus", lambda x: -x - 1))
+    least = F.ceil((F.size("minus") * 4 + (F.size("plus") + F.col("ub") - F.col("ua")) * 3 + 1) / 7)
+    return differ, (F.size("plus") + F.size("minus") - least + 1).cast("int")
+
+
+def contracted(far: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
+    """The labels after the links of a group whose classes link with each other but not with the list's pivot.
+
+    Classes that share a first difference from the pivot are a list again. In lists of more than ``SMALL``, every class of
+    another component is verified against one class of the list, in each round another one chosen by hash, so rows are linear in the
+    lists. Rounds go on while a tenth of the classes tried link; the pairs that are left are found by ``sharing``.
+    """
+    differ, first = differences()
+    posts = stored(far.where(first > 0).select("a", "b", F.explode(F.slice(differ, F.lit(1), first)).alias("d")), "jaccard-posts")
+    turn = 0
+    while True:
+        own = posts.join(labels.select(F.col("sig").alias("b"), "label"), "b")
+        lists = own.groupBy("a", "d").agg(F.count(F.lit(1)).alias("many"), F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct(F.xxhash64("b", F.lit(turn)).alias("x"), "b", "label")).alias("pivot"))
+        lists = lists.where((F.col("many") > SMALL) & (F.col("low") != F.col("high")))
+        tried = own.join(lists, ["a", "d"]).where("label <> pivot.label").select(F.col("pivot.b").alias("a"), "b").distinct()
+        tried = stored(tried, "jaccard-tried")
+        links = stored(verified(tried, classes), "jaccard-links")
+        found, all_ = links.count(), tried.count()
+        if found:
+            labels = relabel(labels, links)
+        if found * 10 < all_ or not found:
+            return labels
+        turn += 1
+
+
 def sharing(far: DataFrame) -> DataFrame:
     """Rows (x, y) of classes of different components that share a first difference from their pivot.
 
     What a class has beyond the pivot comes rarest first; then what it lacks of the pivot, the pivot's most common shingles
     first, as few classes of the list lack those. Both orders are the same for all classes of a pivot.
     """
-    differ = F.concat("plus", F.transform("minus", lambda x: -x - 1))
-    least = F.ceil((F.size("minus") * 4 + (F.size("plus") + F.col("ub") - F.col("ua")) * 3 + 1) / 7)
-    first = (F.size("plus") + F.size("minus") - least + 1).cast("int")
+    differ, first = differences()
     apart = far.where(~linked(F.col("size") - F.size("plus"), "na", "nb") & (F.col("la") != F.col("lb")))
     side = lambda rows, x, parts: rows.select(
         "a", F.col("b").alias(x), F.col("nb").alias(f"n{x}"), F.col("lb").alias(f"l{x}"), F.size("minus").alias(f"m{x}"), F.size(differ).alias(f"d{x}"), (F.col("size") - F.size("plus") + F.size("minus")).alias(f"p{x}"), F.posexplode(parts).alias(f"at{x}", "d")

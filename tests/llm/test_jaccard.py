@@ -94,3 +94,19 @@ def test_links_inside_components_count(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     monkeypatch.setattr(jaccard, "BLOCK", 32)  # one component has several blocks, the others one
     assert {r.doc_id: r.n_links for r in jaccard.join(docs).collect()} == want
+
+
+def test_group_that_links_with_itself_but_not_with_its_pivot(spark, monkeypatch):
+    rng = random.Random(11)
+    passage, base = words(rng, 60, 10**6), words(rng, 90, 10**6)
+    rows = [(i, " ".join([*passage, *words(rng, 6, 10**6)])) for i in range(3)]  # fewest shingles of their own: the passage's pivots
+    for i in range(60):
+        k = rng.randint(2, 85)
+        rows.append((100 + i, " ".join([*passage, *base[:k], f"x{i}", *base[k + 1 :]])))
+    monkeypatch.setattr(jaccard, "SMALL", 8)
+    listed = []
+    sharing = jaccard.sharing
+    monkeypatch.setattr(jaccard, "sharing", lambda far: listed.append(sharing(far)) or listed[-1])
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows)
+    assert listed[0].count() < 3 * len(rows)  # not the square of the group
