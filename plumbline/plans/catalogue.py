@@ -328,10 +328,13 @@ def noise_ratio(spark, sf):
 FROM score_runs GROUP BY run_id"""
 )
 def confidence_score(spark, sf):
-    mean = F.avg("score")
-    penalty = F.when(mean < 0.5, 0.1).otherwise(0.0) + 0.05 * F.sum((F.col("failure_type") == "R").cast("int"))
-    out = score_runs(spark, sf).groupBy("run_id").agg(mean.alias("mean"), F.coalesce(F.stddev_samp("score"), F.lit(0.0)).alias("deviation"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), mean - penalty)).alias("confidence"))
-    return r6(out, "mean", "deviation", "confidence")
+    """A run's scores are summed in the order of the file's rows: a mean of just 0.5 is on either side of the penalty's limit by the order of its sum."""
+    rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("run_id"), (F.col("l_discount") * 10).alias("score"), F.col("l_returnflag").alias("failure_type"), "_metadata.file_name", "_metadata.row_index")
+    placed = F.array_sort(F.collect_list(F.when(F.col("score").isNotNull(), F.struct("file_name", "row_index", "score"))))
+    out = rows.groupBy("run_id").agg(placed.alias("x"), F.coalesce(F.stddev_samp("score"), F.lit(0.0)).alias("deviation"), F.sum((F.col("failure_type") == "R").cast("int")).alias("returned"))
+    out = out.withColumn("mean", F.try_divide(F.aggregate("x", F.lit(0.0), lambda s, x: s + x["score"]), F.size("x")))
+    penalty = F.when(F.col("mean") < 0.5, 0.1).otherwise(0.0) + 0.05 * F.col("returned")
+    return r6(out.select("run_id", "mean", "deviation", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("mean") - penalty)).alias("confidence")), "mean", "deviation", "confidence")
 
 
 # ---- citations, freshness, validity ----------------------------------------------------------------------------

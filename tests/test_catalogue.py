@@ -35,3 +35,26 @@ def test_query(spark, db, name):
     assert sorted(got.columns) == sorted(want.columns)
     rows = lambda df: sorted(tuple(map(norm, r)) for r in df[sorted(df.columns)].itertuples(index=False))
     assert rows(got) == rows(want)
+
+
+def test_confidence_sums_in_file_order(spark, tmp_path):
+    """A mean of 0.5 is under the penalty's limit or not by the order of its sum; files and splits must not change that."""
+    import datetime
+    import itertools
+    import random
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rng, keys = random.Random(3), range(400)
+    rows = list(itertools.chain(*([(k, d / 100) for k, d in zip(keys, ds)] for ds in zip(*[(a, b, c, 20 - a - b - c) for a, b, c in ([rng.randint(0, 6) for _ in range(3)] for _ in keys)]))))
+    table = pa.table({"l_orderkey": pa.array([k for k, _ in rows], pa.int64()), "l_discount": [d for _, d in rows], "l_returnflag": ["N"] * len(rows), **{c: [0] * len(rows) for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")}, "l_shipdate": [datetime.date(2000, 1, 1)] * len(rows)})
+    (tmp_path / "lineitem.parquet").mkdir()
+    for i in range(8):
+        pq.write_table(table.slice(i * 200, 200), tmp_path / "lineitem.parquet" / f"part-{i}.parquet")
+    want = {}
+    for k, d in rows:
+        want[k] = want.get(k, 0.0) + d * 10
+    want = {k: round(s / 4 - (0.1 if s / 4 < 0.5 else 0), 6) for k, s in want.items()}
+    got = {r.run_id: r.confidence for r in catalogue.QUERIES["confidence_score"](spark, str(tmp_path)).collect()}
+    assert set(want.values()) == {0.4, 0.5} and got == want
