@@ -241,8 +241,8 @@ def first_of_runs(a: np.ndarray) -> np.ndarray:
 def by_shard(rows: DataFrame, n: int, shard_of, bits: int) -> DataFrame:
     """Packed rows dealt to the partitions of their shards, each in one partition.
 
-    Up to ``FAN`` shards they are addressed at once. Beyond, ``rows`` carry a group of shards; rows of a group (spread over
-    several partitions by a salt) are merged up to ``ENTRIES_A_MERGE`` entries and dealt out to the group's
+    Up to ``FAN`` shards they are addressed at once. Beyond, ``rows`` carry a group of shards; rows of a group (spread by a salt over
+    as many partitions as its share of all, however few the groups) are merged up to ``ENTRIES_A_MERGE`` entries and dealt out to the group's
     shards or smaller groups by ``shard_of``, level by level.
     """
     level = levels(n)
@@ -271,10 +271,15 @@ def by_shard(rows: DataFrame, n: int, shard_of, bits: int) -> DataFrame:
                 yield out(g)
 
         parts = max(8, math.ceil(n / 8))
-        rows = rows.repartition(parts, "shard", F.pmod(F.hash("keys"), F.lit(math.ceil(parts / FAN)))).mapInArrow(finer, BLOCK)
+        rows = rows.repartition(parts, "shard", F.pmod(F.hash("keys"), F.lit(salts(n, step * FAN, parts)))).mapInArrow(finer, BLOCK)
     return rows.repartition(n, "shard")
 
 
+def salts(n: int, group: int, parts: int) -> int:
+    """Into how many salts the rows of each group of ``group`` shards are cut, so that four keys or more go to each of ``parts`` partitions."""
+    return math.ceil(4 * parts / math.ceil(n / group))
+
+
 def levels(n: int) -> int:
     """How often blocks are dealt out so that each time at most ``FAN`` addresses follow from one."""
     k = 1
@@ -299,6 +304,7 @@ class Words:
     def __init__(self, model: dict):
         self.model, self.shards = model, {}
         self.bases = np.array([b for _, b, _ in model["words"]], np.int64)
+        self.places = {own: k for k, (own, _, _) in enumerate(model["words"])}
 
     def shard(self, k: int):
         if k not in self.shards:
@@ -308,14 +314,13 @@ class Words:
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ids, counts = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
-        part = shard_of_hash(hashes, self.model["n1"])
-        for k, (own, base, _) in enumerate(self.model["words"]):
-            i = np.flatnonzero(part == own)
-            if len(i):
+        for own, i in of_each(shard_of_hash(hashes, self.model["n1"])):
+            if own in self.places:
+                k = self.places[own]
                 seq, count = self.shard(k)
                 at = seq.locate(hashes[i])
                 i, at = i[at >= 0], at[at >= 0]
-                ids[i], counts[i] = base + at, count[at]
+                ids[i], counts[i] = self.bases[k] + at, count[at]
         return ids, counts
 
     def counts(self, ids: np.ndarray) -> np.ndarray:

@@ -144,3 +144,22 @@ def test_steps_read_words_as_the_tokens_do():
     hashes = [h for s in got for h in s.hashes[s.codes].tolist()]
     assert hashes == [lm.word_hash(w) for t in texts for w in lm.tokens(t)]
     assert [n for s in got for n in s.lengths.tolist()] == [len(lm.tokens(t)) for t in texts]
+
+
+def test_few_groups_are_dealt_to_all_partitions(spark, tmp_path):
+    """430 shards are two groups; the blocks of both are merged by all partitions, not by two."""
+    n, folder = 430, str(tmp_path)
+    rng = np.random.default_rng(8)
+    keys = np.sort(rng.integers(0, 1 << 63, 2000).astype(np.uint64) * np.uint64(2))
+    blocks = [r for part in np.array_split(rng.permutation(keys), 400) for r in lm.Counts.of_words(part, np.ones(len(part), np.int64)).rows(np.zeros(len(part), np.int64)).to_pylist()]
+    blocks = [{**r, "shard": i % 2} for i, r in enumerate(blocks)]
+
+    def shard_of(own):
+        from pyspark import TaskContext
+
+        open(f"{folder}/{TaskContext.get().partitionId()}", "w").close()
+        return lm.shard_of_hash(own, n)
+
+    rows = lm.by_shard(spark.createDataFrame(blocks, lm.BLOCK), n, shard_of, 0).select("keys").collect()
+    assert sorted(k for r in rows for k in np.cumsum(lm.unplanes(r["keys"], np.uint64), dtype=np.uint64).tolist()) == keys.tolist()
+    assert len(list(tmp_path.iterdir())) > 40
