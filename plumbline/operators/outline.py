@@ -47,8 +47,8 @@ def part_of(line: Column, kind: Column, group: int) -> Column:
     return out
 
 
-def nodes(docs: DataFrame, *by: str, text: str = "text") -> DataFrame:
-    """One row a node: ``by``, ``pos`` (its line), ``parent_pos``, ``depth``, ``kind``, ``label``, ``path`` (labels from the root) and ``text``.
+def placed(docs: DataFrame, *by: str, text: str = "text") -> DataFrame:
+    """One row a node: ``by``, ``pos`` (its line), ``above`` (places and labels of the nodes over it, from the root), ``depth``, ``kind``, ``label`` and ``text``.
 
     One shuffle of the lines by document serves all windows and the texts.
     """
@@ -82,8 +82,24 @@ def nodes(docs: DataFrame, *by: str, text: str = "text") -> DataFrame:
         here = F.when((F.col("depth") > d) & (F.col(f"d{d}")["pos"] > reach), F.col(f"d{d}"))
         line.append(here)
         reach = F.greatest(reach, F.coalesce(F.when(F.col("depth") > d, F.col(f"d{d}")["pos"]), F.lit(-1)))
-    above = F.array_compact(F.array(*line))
-    return rows.select(*by, "pos", F.try_element_at(above, F.lit(-1))["pos"].alias("parent_pos"), "depth", "kind", "label", F.concat(F.transform(above, lambda a: a["label"]), F.array("label")).alias("path"), "text")
+    return rows.select(*by, "pos", F.array_compact(F.array(*line)).alias("above"), "depth", "kind", "label", "text")
+
+
+def nodes(docs: DataFrame, *by: str, text: str = "text") -> DataFrame:
+    """One row a node: ``by``, ``pos`` (its line), ``parent_pos``, ``depth``, ``kind``, ``label``, ``path`` (labels from the root) and ``text``."""
+    path = F.concat(F.transform("above", lambda a: a["label"]), F.array("label"))
+    return placed(docs, *by, text=text).select(*by, "pos", F.try_element_at("above", F.lit(-1))["pos"].alias("parent_pos"), "depth", "kind", "label", path.alias("path"), "text")
+
+
+def chunks(docs: DataFrame, *by: str, text: str = "text") -> DataFrame:
+    """One chunk a node: ``by``, ``pos``, ``chunk`` (its text and that of all nodes below it, in document order) and ``n_nodes``.
+
+    A node lies under ``DEEPEST`` - 1 others at most and knows them, so it goes to each of their chunks within the document's own task: no links are joined and nothing is shuffled again.
+    """
+    rows = placed(docs, *by, text=text)
+    own = rows.select(*by, F.explode(F.concat(F.transform("above", lambda a: a["pos"]), F.array("pos"))).alias("top"), F.struct("pos", "text").alias("n"))
+    out = own.groupBy(*by, F.col("top").alias("pos")).agg(F.array_sort(F.collect_list("n")).alias("x"))
+    return out.select(*by, "pos", F.array_join(F.transform("x", lambda n: n["text"]), "\n").alias("chunk"), F.size("x").alias("n_nodes"))
 
 
 def head(text: Column) -> Column:

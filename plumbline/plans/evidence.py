@@ -5,6 +5,8 @@ Each reads whole tables and, beside them, fixed runs or texts (negative ids) tha
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -285,12 +287,21 @@ def table_findings(spark, sf):
 # ---- outlines ----------------------------------------------------------------------------------------------------
 
 
+#: Order lines that one task reads as numbered texts: its sorts and windows hold a few hundred bytes a line.
+LINES_A_TASK = 200_000
+
+
 def order_outlines(spark: SparkSession, sf: str) -> DataFrame:
-    """An order's lines as a numbered text: the part's number decides how a line begins, some are tables' titles or ends."""
+    """An order's lines as a numbered text: the part's number decides how a line begins, some are tables' titles or ends.
+
+    Orders are dealt to as many tasks as their lines need, so that a task's memory does not grow with the table.
+    """
     n, part = F.col("l_linenumber").cast("string"), F.pmod(F.col("l_partkey"), F.lit(16))
     begin = F.when(part < 4, F.concat(n, F.lit(". "))).when(part < 6, F.lit("(B) ")).when(part < 9, F.concat(F.lit("("), n, F.lit(") "))).when(part < 11, F.lit("(ii) ")).when(part < 12, F.lit("c) ")).when(part < 14, F.lit("")).when(part < 15, F.lit("Annexure ")).otherwise("Copy to ")
     line = F.struct("l_linenumber", F.concat(begin, F.lit("part "), F.col("l_partkey").cast("string"), F.lit("  of "), F.col("l_returnflag")).alias("s"))
-    rows = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.array_sort(F.collect_list(line)).alias("r"))
+    lines = table(spark, sf, "lineitem")
+    lines = lines.repartition(max(8, math.ceil(lines.count() / LINES_A_TASK)), "l_orderkey")
+    rows = lines.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.array_sort(F.collect_list(line)).alias("r"))
     head = F.when(F.col("doc_id") % 3 == 0, F.lit("LINES DEPARTMENT\n1. before the body\nORDER:\n")).otherwise(F.lit(""))
     return rows.select("doc_id", F.concat(head, F.array_join(F.transform("r", lambda x: x["s"]), "\n")).alias("text"))
 
@@ -325,13 +336,10 @@ b AS (SELECT doc_id, pos AS top, pos, text FROM p UNION ALL SELECT b.doc_id, b.t
 SELECT doc_id, CAST(top AS INTEGER) AS pos, CAST(count(*) AS INTEGER) AS n_nodes, md5(string_agg(text, chr(10) ORDER BY pos)) AS digest FROM b GROUP BY doc_id, top"""
 )
 def outline_chunks(spark, sf):
-    """One chunk a node: its text and that of all nodes below it, by pointer doubling over the parent links."""
-    from plumbline.operators import chunking, outline
+    """One chunk a node: its text and that of all nodes below it."""
+    from plumbline.operators import outline
 
-    id_ = lambda c: F.col("doc_id") * 1_000_000 + F.col(c)
-    rows = outline.nodes(order_outlines(spark, sf), "doc_id").select("doc_id", "pos", id_("pos").alias("node_id"), id_("parent_pos").alias("parent_id"), "text")
-    out = chunking.hierarchical(rows, order="pos")
-    return out.select(F.expr("node_id div 1000000").alias("doc_id"), F.expr("int(node_id % 1000000)").alias("pos"), "n_nodes", F.md5(F.col("chunk").cast("binary")).alias("digest"))
+    return outline.chunks(order_outlines(spark, sf), "doc_id").select("doc_id", "pos", "n_nodes", F.md5(F.col("chunk").cast("binary")).alias("digest"))
 
 
 #: Texts that show a hierarchy run together, and near misses.

@@ -131,3 +131,31 @@ def test_orphans_and_cycles(spark):
     assert got == [(1, 1, 0), (2, 1, 1), (2, 2, 0), (3, 3, 0), (9, 3, 1), (9, 9, 0)]
     none = df.limit(0)
     assert chunking.ancestors(none).count() == 0 and O.link_findings(none).count() == 0
+
+
+def test_chunks_hold_all_below(spark):
+    """As by the parent links; every step stays in the document's own task."""
+    rng = random.Random(5)
+    line = lambda: rng.choice(["1. a", "2.", "(A) b", "(1) d", "(ii) f", "(a) g", "plain text", "Annexure I", "To", "12 monkeys"])
+    docs = spark.createDataFrame([(i, "\n".join(line() for _ in range(rng.randint(0, 40)))) for i in range(40)] + [(98, None), (99, "")], "doc int, text string")
+    id_ = lambda c: F.col("doc") * 1000 + F.col(c)
+    links = O.nodes(docs, "doc").select(id_("pos").alias("node_id"), id_("parent_pos").alias("parent_id"), "pos", "text")
+    want = sorted((r.node_id, r.chunk, r.n_nodes) for r in chunking.hierarchical(links).collect())
+    rows = O.chunks(docs, "doc")
+    assert sorted((r.doc * 1000 + r.pos, r.chunk, r.n_nodes) for r in rows.collect()) == want and len(want) > 200
+    plan = rows._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_order_outlines_are_dealt_by_their_lines(spark, monkeypatch):
+    import os
+
+    import pytest
+
+    from plumbline.plans import evidence
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("the driver's tables are not here")
+    monkeypatch.setattr(evidence, "LINES_A_TASK", 100, raising=False)
+    rows = O.nodes(evidence.order_outlines(spark, "/root/testdata/sf0.001"), "doc_id").groupBy(F.spark_partition_id()).count().collect()
+    assert len(rows) > 40 and max(r["count"] for r in rows) < 400
