@@ -48,13 +48,29 @@ PREDICATES = {
 FORMS = {phrase: norm for norm, phrases in PREDICATES.items() for phrase in phrases}
 BE = ("is", "are", "was", "were", "be", "been")
 NEGATION = r"(?:not|never|no longer)"
-_ANY = "|".join(sorted(map(re.escape, FORMS), key=lambda p: (-len(p), p)))
-_ACTION = "|".join(sorted((p for p in FORMS if p not in BE and " " not in p), key=lambda p: (-len(p), p)))
+
+
+def either(phrases) -> str:
+    """Alternatives by their first letter, so that a word is held against few of them; the longest of a letter first."""
+    by: dict[str, list[str]] = {}
+    for p in sorted(phrases, key=lambda p: (-len(p), p)):
+        by.setdefault(p[0], []).append(re.escape(p[1:]))
+    return "|".join(f"{a}(?:{'|'.join(rest)})" for a, rest in by.items())
+
+
+_ANY = either(FORMS)
+_ACTION = either(p for p in FORMS if p not in BE and " " not in p)
 #: A verb phrase, with a form of "be" and a participle taken as a passive of its own.
 VERB = re.compile(rf"\b(?:(?!must\s+have\b)(?:does|do|did|will|shall|can|could|would|may|must)\s+)?(?P<no>{NEGATION}\s+|cannot\s+)?(?:(?P<be>is|are|was|were|be|been)\s+(?P<mid>{NEGATION}\s+)?(?P<part>{_ACTION})|(?P<verb>{_ANY}))\b(?P<after>\s+{NEGATION}\b)?", re.I)
 QUALIFIER = re.compile(r"\b(?:effective from|with effect from|up to|not exceeding|subject to|only for|only if|per (?:day|month|year|person|family)|in respect of|provided that|unless|except for|within)\b", re.I)
 VALUE = re.compile(r"(?P<money>[$€£₹]\s?\d[\d,]*(?:\.\d+)?)|(?P<percent>\d+(?:\.\d+)?\s?(?:%|percent))|(?P<date>\b(?:19|20)\d\d-\d\d-\d\d\b)|(?P<duration>\b\d+\s(?:day|week|month|year|hour|minute)s?\b)|(?P<year>\b(?:19|20)\d\d\b)|(?P<number>\b\d[\d,]*(?:\.\d+)?\b)", re.I)
-SENTENCE = re.compile(r"(?:\b(?:No|Nos|Dr|Mr|Mrs|Ms|St|vs|etc)\.|[^.!?\n;]|\.(?=[\dA-Za-z]))+[.!?\n;]?")
+SENTENCE = re.compile(r"(?:[^.!?\n;]+|" + "|".join(rf"(?<=\b{a})\." for a in ("No", "Nos", "Dr", "Mr", "Mrs", "Ms", "St", "vs", "etc")) + r"|\.(?=[\dA-Za-z]))+[.!?\n;]?")
+#: Every verb phrase begins with one of these words; a sentence without any is not searched for phrases.
+FIRST = {phrase.split()[0] for phrase in FORMS}
+WORD = re.compile(r"\w+")
+#: Letters that equal s, k and i where case is ignored, but not once lowered.
+ODD = re.compile("[\u017f\u212a\u0130\u0131]")
+PLAIN = str.maketrans("\u017f\u212a\u0130\u0131", "skii")
 RELATIVE = re.compile(r"\b(?:that|which|who|whose)\b", re.I)
 BREAK = re.compile(r",|;|\s+(?:and|or|but|while|whereas|because|although)\s+", re.I)
 ARTICLES = {"the", "a", "an", "this", "that", "these", "those", "its", "their", "his", "her", "our", "all", "any", "of", "to", "for", "in", "on", "at", "by", "with", "from"}
@@ -83,7 +99,9 @@ def values_of(text: str) -> list[dict]:
 
 def triplets(text: str | None) -> list[dict]:
     """The triplets of a text, sentence by sentence, with the places of their clauses."""
-    return [t for s in SENTENCE.finditer(text or "") if s.group().strip() for t in clauses(s.group(), s.start())]
+    text = text or ""
+    odd = ODD.search(text) is not None
+    return [t for s in SENTENCE.finditer(text) if odd or not FIRST.isdisjoint(WORD.findall(s.group().lower())) for t in clauses(s.group(), s.start())]
 
 
 def clauses(sentence: str, offset: int) -> Iterator[dict]:
@@ -115,7 +133,7 @@ def clauses(sentence: str, offset: int) -> Iterator[dict]:
             continue
         first = QUALIFIER.search(said)
         obj = said[: first.start()].strip(" ,") if first and said[: first.start()].strip(" ,") else said
-        verb = FORMS[re.sub(r"\s+", " ", (v["part"] or v["verb"]).lower())]
+        verb = FORMS[re.sub(r"\s+", " ", (v["part"] or v["verb"]).translate(PLAIN).lower())]
         yield {
             "subject": subject, "predicate": f"be {verb}" if passive else verb, "object": obj, "negated": any(v[g] for g in ("no", "mid", "after")), "qualifiers": [q.group().lower() for q in QUALIFIER.finditer(said)],
             "values": values_of(said), "start": offset + subject_at, "end": offset + v.end() + len(rest), "key": " ".join(key), "words": sorted(set(normal(VALUE.sub(" ", obj)))),

@@ -82,3 +82,12 @@ def test_empty_tables(spark):
     assert T.verified(none, chunks, "run").count() == 0
     one = T.verified(spark.createDataFrame([(1, 1, None)], "run int, claim int, text string"), chunks.limit(0), "run").first()
     assert (one.label, one.n_triplets) == ("abstain", 0)
+
+
+def test_only_sentences_with_a_verbs_word_are_searched(monkeypatch):
+    seen, clauses = [], T.clauses
+    monkeypatch.setattr(T, "clauses", lambda s, at: seen.append(s) or clauses(s, at))
+    got = T.triplets("No verb here at all. The plan Costs $4. See No. 7 of history.\nAcme uſes maps.")
+    assert [(t["subject"], t["predicate"], t["object"]) for t in got] == [("The plan", "cost", "$4"), ("Acme", "use", "maps")]
+    plain = [T.triplets(x) and x for x in ("Nothing. The theses of history.", "It must. We must have it.")]
+    assert plain[1] and not plain[0] and "Nothing." not in seen and " The theses of history." not in seen
