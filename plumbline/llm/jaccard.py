@@ -18,6 +18,8 @@
    shingles of y - of p) + 1) / 7 of them. So candidates share one of the first differences of y, those
    that p lacks first. Groups that link among themselves, but not with p, have long lists under these differences too: they
    are contracted with pivots of their own, round by round, before pairs are listed. For random edits hardly any is left.
+   Lists of which more is left, as of parts of one text that overlap too little to link, are not listed by pairs either: their classes are dealt to
+   blocks and compared in arrays, as in 6.
 
 6. Links are counted in each component, as both ends of every link are in one: its classes are dealt by hash to
    blocks of about ``BLOCK``, and each two blocks are compared in arrays, without a row for each pair. The work grows with
@@ -57,8 +59,10 @@ HOT = 32
 BY_COUNT = np.uint32(2**32 - 1)
 #: Classes in a list up to which its pairs are listed.
 SMALL = 48
-#: Classes of a component in a block whose links are counted.
+#: Classes in a block whose links are counted or sought.
 BLOCK = 512
+#: Blocks that crowded lists make at least, if each has so many classes.
+BLOCKS, LEAST_BLOCK = 16, 64
 ROW = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("block", T.LongType()), *(T.StructField(x, T.BinaryType()) for x in "abc")])
 SETS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("sig", T.BinaryType()), T.StructField("toks", T.ArrayType(T.LongType()))])
 
@@ -291,21 +295,34 @@ def degrees(labels: DataFrame, classes: DataFrame) -> DataFrame:
     two = inside.where("many = 2").select("sig", F.lit(1).cast("long").alias("links"))
     blocks = F.ceil(F.col("many") / BLOCK)
     dealt = inside.where("many > 2").select("sig", "label", blocks.alias("blocks"), F.pmod(F.xxhash64("sig"), blocks).alias("at"))
-    dealt = dealt.join(classes.select("sig", "n", "toks"), "sig")
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("label", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "at", "sig", "n", "toks")
+    dealt = in_pairs(dealt.join(classes.select("sig", "n", "toks"), "sig"), "label")
     counted = dealt.groupBy("label", "i", "j").applyInArrow(trimmed(count_links), "sig binary, links long")
     return two.unionByName(counted.groupBy("sig").agg(F.sum("links").alias("links")))
 
 
+def in_pairs(dealt: DataFrame, *keep: str) -> DataFrame:
+    """Classes of blocks ``at`` of ``blocks``, once for each pair of blocks (i, j) that theirs is in."""
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return dealt.select(*keep, F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "at", "sig", "n", "toks")
+
+
 def count_links(table: pa.Table) -> pa.Table:
     """The links of each class of one block with the others in it, or of each class of two blocks with those of the other one."""
+    links = np.zeros(len(table), np.int64)
+    for x, met in met_in_blocks(table):
+        links[x] += len(met)
+        if table.column("i")[0].as_py() != table.column("j")[0].as_py():
+            links[met] += 1
+    return pa.table({"sig": table.column("sig"), "links": links})
+
+
+def met_in_blocks(table: pa.Table):
+    """(x, the places of the classes of block j that link with x) of each class of block i."""
     i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
     at, n = table.column("at").to_numpy(), table.column("n").to_numpy()
     toks = table.column("toks").combine_chunks()
     own, ids = np.unique(toks.flatten().to_numpy(), return_inverse=True)
     ends = np.concatenate([[0], np.cumsum(toks.value_lengths().to_numpy())])
-    links = np.zeros(len(n), np.int64)
     right = np.flatnonzero(at == j)
     starts = np.concatenate([[0], np.cumsum((ends[1:] - ends[:-1])[right])])
     if len(right):
@@ -316,11 +333,7 @@ def count_links(table: pa.Table) -> pa.Table:
             held[mine] = 1
             same = np.add.reduceat(held[theirs], starts[:-1])
             held[mine] = 0
-            met = right[(same * (WHOLE + LEAST) >= (n[x] + n[right]) * LEAST) & (right != x)]
-            links[x] += len(met)
-            if i != j:
-                links[met] += 1
-    return pa.table({"sig": table.column("sig"), "links": links})
+            yield x, right[(same * (WHOLE + LEAST) >= (n[x] + n[right]) * LEAST) & (right != x)]
 
 
 def small_lists(lists: DataFrame, members: DataFrame, classes: DataFrame) -> DataFrame:
@@ -353,8 +366,10 @@ def long_lists(lists: DataFrame, members: DataFrame, labels: DataFrame, classes:
     labels = relabel(labels, far.where(linked(F.col("size") - F.size("plus"), "na", "nb")).select("a", "b"))
     labels = contracted(far, labels, classes)
     far = far.join(labels.select(F.col("sig").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("sig").alias("b"), F.col("label").alias("lb")), "b")
-    found = sharing(far).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    return relabel(labels, stored(verified(found, classes), "jaccard-links"))
+    posts = stored(posted(far), "jaccard-posts")
+    crowded, held = (stored(x, "jaccard-crowded") for x in crowds(posts))
+    found = sharing(posts.join(crowded, ["a", "d"], "left_anti")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return relabel(labels, stored(verified(found, classes).unionByName(linked_in_blocks(held, classes)), "jaccard-links"))
 
 
 def differences() -> tuple[Column, Column]:
@@ -389,22 +404,63 @@ def contracted(far: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFra
         turn += 1
 
 
-def sharing(far: DataFrame) -> DataFrame:
-    """Rows (x, y) of classes of different components that share a first difference from their pivot.
+def posted(far: DataFrame) -> DataFrame:
+    """One row for each difference of a class ``b`` from its pivot ``a``: its place ``at``, whether it is among the ``first``, and whether b and its label are ``apart`` from the pivot.
 
     What a class has beyond the pivot comes rarest first; then what it lacks of the pivot, the pivot's most common shingles
     first, as few classes of the list lack those. Both orders are the same for all classes of a pivot.
     """
     differ, first = differences()
-    apart = far.where(~linked(F.col("size") - F.size("plus"), "na", "nb") & (F.col("la") != F.col("lb")))
-    side = lambda rows, x, parts: rows.select(
-        "a", F.col("b").alias(x), F.col("nb").alias(f"n{x}"), F.col("lb").alias(f"l{x}"), F.size("minus").alias(f"m{x}"), F.size(differ).alias(f"d{x}"), (F.col("size") - F.size("plus") + F.size("minus")).alias(f"p{x}"), F.posexplode(parts).alias(f"at{x}", "d")
-    )
-    probes, index = side(apart, "x", differ), side(far.where(first > 0), "y", F.slice(differ, F.lit(1), first))
+    apart = ~linked(F.col("size") - F.size("plus"), "na", "nb") & (F.col("la") != F.col("lb"))
+    rows = far.select("a", "b", F.col("nb").alias("n"), F.col("lb").alias("l"), apart.alias("apart"), first.alias("k"), F.size("minus").alias("m"), F.size(differ).alias("size"), (F.col("size") - F.size("plus") + F.size("minus")).alias("p"), F.posexplode(differ).alias("at", "d"))
+    return rows.select("a", "d", "b", "n", "l", "apart", (F.col("at") < F.col("k")).alias("first"), "m", "size", "p", "at").where("apart OR first")
+
+
+def crowds(posts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The lists (a, d) whose pairs of different components are too many to list, and the classes (a, b, l) in them with the number of ``blocks`` they are compared in.
+
+    A list is one if its pairs are more than ``SMALL`` times its rows. The lists of a pivot are compared in blocks where
+    that makes fewer rows than their pairs.
+    """
+    both = posts.groupBy("a", "d", "l").agg(F.sum(F.col("apart").cast("long")).alias("x"), F.sum(F.col("first").cast("long")).alias("y"))
+    lists = both.groupBy("a", "d").agg((F.sum("x") * F.sum("y") - F.sum(F.col("x") * F.col("y"))).alias("pairs"), (F.sum("x") + F.sum("y")).alias("many"))
+    lists = stored(lists.where(F.col("pairs") > F.col("many") * SMALL).select("a", "d", "pairs"), "jaccard-crowded")
+    held = stored(posts.join(lists, ["a", "d"]).select("a", "b", "l").distinct(), "jaccard-held")
+    # Some blocks are there for small crowds, too, so that they are several tasks' work.
+    blocks = F.greatest(F.ceil(F.col("many") / BLOCK), F.least(F.ceil(F.col("many") / LEAST_BLOCK), F.lit(BLOCKS)))
+    sizes = held.groupBy("a").agg(F.count(F.lit(1)).alias("many")).select("a", (F.col("many") * blocks).alias("rows"), blocks.alias("blocks"))
+    chosen = lists.groupBy("a").agg(F.sum("pairs").alias("pairs")).join(sizes, "a").where("pairs > rows").select("a", "blocks")
+    return lists.join(chosen, "a").select("a", "d"), held.join(chosen, "a")
+
+
+def linked_in_blocks(held: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) that join all components of ``held`` that any of its pairs link; each two blocks of a pivot's classes are compared in arrays, without a row for each pair."""
+    dealt = held.select("a", F.col("b").alias("sig"), "l", "blocks", F.pmod(F.xxhash64("b"), "blocks").alias("at"))
+    dealt = in_pairs(dealt.join(classes.select("sig", "n", "toks"), "sig"), "a", "l")
+    return dealt.groupBy("a", "i", "j").applyInArrow(trimmed(first_links), "a binary, b binary")
+
+
+def first_links(table: pa.Table) -> pa.Table:
+    """Links between the components of one block's classes, or of one block's with another's, until no further one joins two of them."""
+    _, own = np.unique(np.array(table.column("l").to_pylist(), object), return_inverse=True)
+    sig, found = table.column("sig").to_pylist(), []
+    for x, met in met_in_blocks(table):
+        for y in met:
+            if own[x] != own[y]:
+                found.append((sig[x], sig[y]))
+                own[own == own[y]] = own[x]
+    return pa.table({"a": pa.array([x for x, _ in found], pa.binary()), "b": pa.array([y for _, y in found], pa.binary())})
+
+
+def sharing(posts: DataFrame) -> DataFrame:
+    """Rows (x, y) of classes of different components that share a difference from their pivot that is one of y's first, x being apart from the pivot."""
+    side = lambda rows, x: rows.select("a", "d", "apart", *(F.col(c).alias(f"{c}{x}") for c in ("n", "l", "m", "size", "p", "at")), F.col("b").alias(x))
+    probes, index = side(posts.where("apart"), "x").drop("apart"), side(posts.where("first"), "y")
     # A linking pair shares so many differences that its first shared one is not late in either.
     need = F.greatest(F.ceil((F.col("nx") + F.col("ny")) * LEAST / (LEAST + WHOLE)) - F.col("px") + F.col("mx") + F.col("my"), F.lit(1))
-    early = (F.col("atx") + need <= F.col("dx")) & (F.col("aty") + need <= F.col("dy"))
-    return probes.join(index, ["a", "d"]).where("lx <> ly").where(fits("nx", "ny")).where(early)
+    early = (F.col("atx") + need <= F.col("sizex")) & (F.col("aty") + need <= F.col("sizey"))
+    once = ~F.col("apart") | (F.col("x") < F.col("y"))  # two classes that are apart would meet in both orders
+    return probes.join(index, ["a", "d"]).where("lx <> ly").where(once).where(fits("nx", "ny")).where(early)
 
 
 def relabel(labels: DataFrame, links: DataFrame) -> DataFrame:

@@ -110,3 +110,23 @@ def test_group_that_links_with_itself_but_not_with_its_pivot(spark, monkeypatch)
     got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows)
     assert listed[0].count() < 3 * len(rows)  # not the square of the group
+
+
+def test_parts_of_one_text_that_overlap_too_little_to_link(spark, monkeypatch):
+    rng = random.Random(3)
+    pieces = [words(rng, 12, 10**6) for _ in range(12)]
+    rows = [(0, " ".join(w for p in pieces for w in p))]
+    for i in range(90):
+        kept = sorted(rng.sample(range(12), 6))
+        rows.append((100 + 2 * i, " ".join(w for k in kept for w in pieces[k])))
+        if i % 3 == 0:  # a near copy
+            rows.append((101 + 2 * i, " ".join([*(w for k in kept for w in pieces[k]), f"x{i}"])))
+    monkeypatch.setattr(jaccard, "SMALL", 3)
+    monkeypatch.setattr(jaccard, "BLOCK", 32)
+    listed = []
+    sharing = jaccard.sharing
+    monkeypatch.setattr(jaccard, "sharing", lambda posts: listed.append(sharing(posts)) or listed[-1])
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows)
+    assert len({r.component_id for r in got}) > 20
+    assert listed[0].count() < 20 * len(rows)  # not the square of the group
