@@ -48,6 +48,8 @@ from plumbline.llm.elias_fano import EliasFano, Ids, from_buffer, to_bytes
 
 FOLDS = 10
 STEP = 3_000_000
+#: Bytes of a step that is scored: a step looks into every shard, so the more texts share one, the fewer places in memory each of them touches.
+SCORED = 6_000_000
 SHARD_BYTES = 14 << 20
 #: Groups of shards that a block addresses at most.
 FAN = 256
@@ -375,14 +377,15 @@ class Step:
         self.hashes = np.append(hashes_of(words), np.uint64(END_HASH))
 
 
-def steps(batches, text: int, fold: int | None = None):
-    """(batch, first row, row after the last, tokens) of slices of about ``STEP`` bytes; ``fold`` names a column of rows to leave out where it is 0, and slices without any others are left out."""
+def steps(batches, text: int, fold: int | None = None, most: int | None = None):
+    """(batch, first row, row after the last, tokens) of slices of about ``most`` bytes (``STEP`` if not given); ``fold`` names a column of rows to leave out where it is 0, and slices without any others are left out."""
+    most = most or STEP
     for b in batches:
         sizes = pc.binary_length(b.column(text)).fill_null(0).to_numpy(zero_copy_only=False)
         i = 0
         while i < len(sizes):
             total, j = int(sizes[i]), i + 1
-            while j < len(sizes) and total + sizes[j] <= STEP:
+            while j < len(sizes) and total + sizes[j] <= most:
                 total += int(sizes[j])
                 j += 1
             own = b.column(text).slice(i, j - i)
@@ -590,14 +593,16 @@ class Trie:
         return shard, place, p, DISCOUNT * many / np.maximum(cv, 1)
 
     def triples(self, shard: np.ndarray, place: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of pairs found in level 2 and the words after them: discounted probability, mass of the pair."""
+        """Of sorted pairs found in level 2 and the words after them: discounted probability, mass of the pair."""
         p, mass = np.zeros(len(w)), np.ones(len(w))
         for k, at in of_each(shard):
             s = self.shard(k)
-            mass[at] = VALUES[s["mass"][place[at]]]
-            at = at[w[at] >= 0]
-            lo, hi = s["pointer3"].ranges(place[at])
-            child = s["next"].find(lo, hi, w[at])
+            own, back = runs(place[at])  # they come sorted, each pair as often as it occurs
+            mass[at] = VALUES[s["mass"][own]][back]
+            real = w[at] >= 0
+            at, back = at[real], back[real]
+            lo, hi = s["pointer3"].ranges(own)
+            child = s["next"].find(lo[back], hi[back], w[at])
             hit = child >= 0
             p[at[hit]] = VALUES[s["value3"][child[hit]]]
         return p, mass
@@ -664,7 +669,7 @@ def score(docs: DataFrame, model: dict, *, text: str = "text") -> DataFrame:
 
     def run(batches):
         trie = Trie(model)
-        for b, i, j, step in steps(batches, len(out)):
+        for b, i, j, step in steps(batches, len(out), most=SCORED):
             found, seen = trie.words.find(step.hashes)
             alone = trie.words.p(seen)
             ids, counts, base, lengths = found[step.codes], seen[step.codes], np.log10(alone)[step.codes], step.lengths

@@ -163,3 +163,15 @@ def test_few_groups_are_dealt_to_all_partitions(spark, tmp_path):
     rows = lm.by_shard(spark.createDataFrame(blocks, lm.BLOCK), n, shard_of, 0).select("keys").collect()
     assert sorted(k for r in rows for k in np.cumsum(lm.unplanes(r["keys"], np.uint64), dtype=np.uint64).tolist()) == keys.tolist()
     assert len(list(tmp_path.iterdir())) > 40
+
+
+def test_a_pair_is_looked_up_once_in_a_step(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "a b a c a d b a") for i in range(1, 9)], "doc_id long, text string").selectExpr("*", "1 AS fold")
+    trie, asked = lm.Trie(lm.train(docs)), []
+    step = lm.Step(pa.array(["a b a c a d b a"] * 50))
+    for k in trie.model["pairs"]:
+        p = trie.shard(k)["pointer3"]
+        monkeypatch.setattr(p, "ranges", lambda i, f=p.ranges: asked.append(len(i)) or f(i))
+    found, seen = trie.words.find(step.hashes)
+    trie.score(found[step.codes], seen[step.codes], trie.words.p(seen)[step.codes], step.lengths)
+    assert 0 < sum(asked) <= 9  # the distinct pairs, not the 400 places after them
