@@ -104,12 +104,17 @@ def any_of(text: Column, bank) -> Column:
 def intent(text: Column) -> Column:
     """(class, score) of the first concept whose verb and object are within ten words; null without one."""
     tok = F.regexp_extract_all(F.regexp_replace(F.lower(text), r"\bset[^a-z]+aside\b", "set_aside"), F.lit("set_aside|[a-z]+"), F.lit(0))
-    at = lambda words: F.array_compact(F.transform(tok, lambda t, i: F.when(t.isin(*words), i)))
-    out = F
-    for name, verbs, objects in CONCEPTS:
-        near = F.exists(at(verbs), lambda v: F.exists(at(objects), lambda o: F.abs(v - o) <= NEAR))  # noqa: B023
-        out = out.when(near, F.struct(F.lit(name).alias("intent"), F.lit(PROXIMITY).alias("score")))
-    return out.otherwise(F.lit(None))
+
+    def first(tok: Column) -> Column:
+        at = lambda words: F.array_compact(F.transform(tok, lambda t, i: F.when(t.isin(*words), i)))
+        out = F
+        for name, verbs, objects in CONCEPTS:
+            near = F.exists(at(verbs), lambda v: F.exists(at(objects), lambda o: F.abs(v - o) <= NEAR))  # noqa: B023
+            out = out.when(near, F.struct(F.lit(name).alias("intent"), F.lit(PROXIMITY).alias("score")))
+        return out.otherwise(F.lit(None))
+
+    # the tokens are computed once and handed on as the only element of an array
+    return F.get(F.transform(F.array(tok), first), 0)
 
 
 def paraphrased(text: Column) -> Column:
